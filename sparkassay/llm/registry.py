@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import decontam, linededup, packing, simhash
+from sparkassay.llm import decontam, langid, linededup, packing, simhash
 
 
 def tokenizer_path() -> str:
@@ -26,6 +26,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ from docs d left join hit using (doc_id) left join named using (doc_id)
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
