@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import decontam, langid, linededup, packing, simhash
+from sparkassay.llm import decontam, langid, licences, linededup, packing, simhash, topk
 
 
 def tokenizer_path() -> str:
@@ -30,10 +30,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -88,11 +96,27 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from docs d left join hit using (doc_id) left join named using (doc_id)
 """
 
+OP9_SQL = """
+with usable as (
+    select vec_id, [floor(1024 * cast(x as double)) for x in embedding] as e from embeddings
+    where vec_id is not null and embedding is not null
+        and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+    from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 10
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_licence_scan": op5_licence_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_exact_topk": op9_exact_topk,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE = {"op3_line_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
+ORACLE = {"op3_line_dedup": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_decontamination": OP10_SQL}
