@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import decontam, langid, licences, linededup, packing, simhash, topk
+from sparkassay.llm import decontam, htmltext, langid, licences, linededup, packing, simhash, topk
 
 
 def tokenizer_path() -> str:
@@ -22,6 +22,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_table(spark, sf_dir, "documents"))
 
@@ -112,6 +116,7 @@ where rank <= 10
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_licence_scan": op5_licence_scan,
