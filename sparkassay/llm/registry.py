@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import decontam, htmltext, langid, licences, linededup, packing, simhash, topk
+from sparkassay.llm import decontam, htmltext, langid, licences, linededup, packing, resample, simhash, topk
 
 
 def tokenizer_path() -> str:
@@ -42,6 +42,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(_table(spark, sf_dir, "embeddings"))
 
@@ -121,6 +125,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_licence_scan": op5_licence_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_importance_resampling": op8_importance_resampling,
     "op9_exact_topk": op9_exact_topk,
     "op10_decontamination": op10_decontamination,
 }
