@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import decontam, htmltext, langid, licences, linededup, packing, resample, simhash, topk
+from sparkassay.llm import decontam, htmltext, katz, langid, licences, linededup, packing, resample, simhash, topk
 
 
 def tokenizer_path() -> str:
@@ -38,6 +38,10 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
@@ -124,6 +128,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_licence_scan": op5_licence_scan,
+    "op6_katz_scores": op6_katz_scores,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_importance_resampling": op8_importance_resampling,
     "op9_exact_topk": op9_exact_topk,
