@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from sparkassay.plans import corpus  # noqa: F401  each module registers its queries
+from sparkassay.plans.base import ORACLE, QUERIES  # noqa: F401
