@@ -26,23 +26,27 @@ QA_KEYS = ["question_id", "fact_cluster_id", "query", "query_kind", "fixture_run
 
 
 class Json:
-    """Typed looks into a column of JSON text."""
+    """Typed looks into a column of JSON text.
 
-    def __init__(self, raw: Column) -> None:
-        self.keys = F.json_object_keys(raw)
-        self.value = F.try_parse_json(raw)
+    The text is parsed once: `df` holds each key's type and text as columns of their own, which the
+    optimizer does not merge into the rules that read them many times.
+    """
 
-    def at(self, key: str) -> Column:
-        return F.try_variant_get(self.value, f"$.{key}", "variant")
+    def __init__(self, df: DataFrame, raw: str, names: list[str]) -> None:
+        parsed = df.withColumns({"__keys": F.json_object_keys(raw), "__value": F.try_parse_json(raw)})
+        at = lambda k, kind: F.try_variant_get("__value", f"$.{k}", kind)
+        kinds = {f"__kind_{k}": F.coalesce(F.schema_of_variant(at(k, "variant")), F.lit("VOID")) for k in names}
+        self.df = parsed.withColumns(kinds | {f"__text_{k}": at(k, "string") for k in names})
+        self.keys = F.col("__keys")
 
     def kind(self, key: str) -> Column:
-        return F.coalesce(F.schema_of_variant(self.at(key)), F.lit("VOID"))
+        return F.col(f"__kind_{key}")
 
     def text(self, key: str) -> Column:
-        return F.try_variant_get(self.value, f"$.{key}", "string")
+        return F.col(f"__text_{key}")
 
     def number(self, key: str) -> Column:
-        return F.try_variant_get(self.value, f"$.{key}", "double")
+        return self.text(key).try_cast("double")
 
     def has(self, key: str) -> Column:
         return F.coalesce(F.array_contains(self.keys, key), F.lit(False))
@@ -52,7 +56,8 @@ class Json:
 
     def missing(self, key: str) -> Column:
         """Absent, null, an empty text or an empty list; zero, false and an empty object are not missing."""
-        return ~self.has(key) | (self.kind(key) == "VOID") | (self.kind(key) == "ARRAY<VOID>") & (F.coalesce(self.text(key), F.lit("[]")) == "[]") | (self.kind(key) == "STRING") & (F.coalesce(self.text(key), F.lit("")) == "")
+        text = F.coalesce(self.text(key), F.lit(""))
+        return (self.kind(key) == "VOID") | (self.kind(key) == "ARRAY<VOID>") & text.isin("", "[]") | (self.kind(key) == "STRING") & (text == "")
 
     def is_number(self, key: str, whole: bool) -> Column:
         kind = self.kind(key)
@@ -61,6 +66,11 @@ class Json:
     def isin(self, key: str, values: list[str]) -> Column:
         return (self.kind(key) == "STRING") & F.coalesce(self.text(key).isin(*values), F.lit(False))
 
+    def judged(self, rules: list[tuple[str, Column]]) -> DataFrame:
+        """The rows with `violation`."""
+        out = self.df.withColumn("violation", first_broken(rules))
+        return out.drop(*(c for c in out.columns if c.startswith("__")))
+
 
 def first_broken(rules: list[tuple[str, Column]]) -> Column:
     """The name of the first rule whose condition holds; a null condition does not hold."""
@@ -77,22 +87,21 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-_PREDICATES = "array<struct<predicate_id:string,text:string,importance:string>>"
-
-
-def fixture_violation(raw: str | Column) -> Column:
+def fixture_violations(df: DataFrame, raw: str) -> DataFrame:
     """Public fixtures: traceable, public, with atomic predicates."""
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    j = Json(raw)
-    listed = F.try_variant_get(j.value, "$.predicates", "array<variant>")
+    j = Json(df, raw, [*FIXTURE_TEXTS, "private_input_used", "source_url", "predicates"])
+    # each predicate's keys, and the types and texts of the three it may have
+    parts = ("predicate_id", "text", "importance")
+    look = lambda p, k: F.struct(F.coalesce(F.schema_of_variant(F.try_variant_get(p, f"$.{k}", "variant")), F.lit("VOID")).alias("kind"), F.try_variant_get(p, f"$.{k}", "string").alias("text"))
+    listed = F.transform(F.try_variant_get("__value", "$.predicates", "array<variant>"), lambda p: F.struct(F.json_object_keys(F.to_json(p)).alias("keys"), *(look(p, k).alias(k) for k in parts)))
+    j.df = j.df.withColumn("__predicates", listed)
 
     def odd(p: Column) -> Column:
-        inner = Json(F.to_json(p))
-        extra = F.size(F.array_except(inner.keys, F.array(*map(F.lit, ("predicate_id", "text", "importance"))))) > 0
-        importance = inner.has("importance") & ~inner.isin("importance", IMPORTANCE)
-        return F.coalesce(inner.keys.isNull() | extra | ~inner.is_text("predicate_id") | ~inner.is_text("text") | importance, F.lit(True))
+        named = lambda k: (p[k]["kind"] == "STRING") & (F.coalesce(p[k]["text"], F.lit("")) != "")
+        importance = F.array_contains(p["keys"], "importance") & ~((p["importance"]["kind"] == "STRING") & F.coalesce(p["importance"]["text"].isin(*IMPORTANCE), F.lit(False)))
+        return F.coalesce(p["keys"].isNull() | (F.size(F.array_except(p["keys"], F.array(*map(F.lit, parts)))) > 0) | ~named("predicate_id") | ~named("text") | importance, F.lit(True))
 
-    return first_broken(
+    return j.judged(
         [
             ("not_an_object", j.keys.isNull()),
             ("missing", _any([j.missing(k) for k in (*FIXTURE_TEXTS, "predicates")])),
@@ -103,26 +112,26 @@ def fixture_violation(raw: str | Column) -> Column:
             ("retrieved_at", ~T.has_zone(j.text("retrieved_at"))),
             ("source_url", j.has("source_url") & ((j.kind("source_url") != "STRING") | ~T.is_https(j.text("source_url")))),
             ("source_url_missing", (j.text("source_type") == "public_web") & j.missing("source_url")),
-            ("predicates", ~j.kind("predicates").startswith("ARRAY") | F.exists(listed, odd)),
+            ("predicates", ~j.kind("predicates").startswith("ARRAY") | F.exists("__predicates", odd)),
         ]
     )
 
 
-def label_violation(raw: str | Column) -> Column:
+def label_violations(df: DataFrame, raw: str) -> DataFrame:
     """Atomic labels: closed keys, Y, N or U, a reason with U only."""
-    j = Json(F.col(raw) if isinstance(raw, str) else raw)
-    needed = ("question_id", "target_type", "target_id", "value")
-    allowed = F.array(*map(F.lit, (*needed, "reason", "elapsed_ms", "decision_source", "confidence")))
-    return first_broken(
+    needed, others = ["question_id", "target_type", "target_id", "value"], ["reason", "elapsed_ms", "decision_source", "confidence"]
+    j = Json(df, raw, [*needed, *others])
+    reason = j.has("reason") & ~j.missing("reason") & ~F.coalesce(j.text("reason").isin("false", "0", "{}"), F.lit(False))
+    return j.judged(
         [
             ("not_an_object", j.keys.isNull()),
             ("missing", _any([j.missing(k) for k in needed])),
-            ("additional_properties", F.size(F.array_except(j.keys, allowed)) > 0),
+            ("additional_properties", F.size(F.array_except(j.keys, F.array(*map(F.lit, (*needed, *others))))) > 0),
             ("non_empty_strings", _any([~j.is_text(k) for k in needed])),
             ("target_type", ~j.isin("target_type", TARGET_TYPES)),
             ("value", ~j.isin("value", VALUES)),
             ("reason_required", (j.text("value") == "U") & ~j.isin("reason", U_REASONS)),
-            ("reason_without_u", (j.text("value") != "U") & j.has("reason") & ~j.missing("reason") & ~F.coalesce(j.text("reason").isin("false", "0", "{}"), F.lit(False))),
+            ("reason_without_u", (j.text("value") != "U") & reason),
             ("elapsed_ms", j.has("elapsed_ms") & (~j.is_number("elapsed_ms", True) | (j.number("elapsed_ms") < 0))),
             ("decision_source", j.has("decision_source") & ~j.isin("decision_source", DECISION_SOURCES)),
             ("confidence", j.has("confidence") & (~j.is_number("confidence", False) | ~j.number("confidence").between(0, 1))),
@@ -130,16 +139,15 @@ def label_violation(raw: str | Column) -> Column:
     )
 
 
-def candidate_violation(raw: str | Column) -> Column:
+def candidate_violations(df: DataFrame, raw: str) -> DataFrame:
     """Retrieval candidates: known arm, digest, rank from 1."""
-    j = Json(F.col(raw) if isinstance(raw, str) else raw)
-    texts = ("question_id", "content_id", "arm", "content_digest")
-    allowed = F.array(*map(F.lit, (*texts, "rank_before_dedup", "inspection_receipt")))
-    return first_broken(
+    texts, others = ["question_id", "content_id", "arm", "content_digest"], ["rank_before_dedup", "inspection_receipt"]
+    j = Json(df, raw, [*texts, *others])
+    return j.judged(
         [
             ("not_an_object", j.keys.isNull()),
             ("missing", _any([j.missing(k) for k in (*texts, "rank_before_dedup")])),
-            ("additional_properties", F.size(F.array_except(j.keys, allowed)) > 0),
+            ("additional_properties", F.size(F.array_except(j.keys, F.array(*map(F.lit, (*texts, *others))))) > 0),
             ("non_empty_strings", _any([~j.is_text(k) for k in texts])),
             ("arm", ~j.isin("arm", ARMS)),
             ("content_digest", ~T.is_sha256(j.text("content_digest"))),
