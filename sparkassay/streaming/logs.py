@@ -59,4 +59,4 @@ def drain(spark: SparkSession, stream: DataFrame, base: str, mode: str = "append
 
     write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     write.foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
