@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions import text as T
+from sparkassay.operators.runlog import numbered
 
 KEY = ["question_id", "target_type", "target_id"]
 
@@ -32,15 +33,8 @@ def reduce_events(events: DataFrame, *columns: str) -> DataFrame:
 
 
 def label_order(active: DataFrame) -> DataFrame:
-    """Standing labels in the order of their last label, as the undo stack has them.
-
-    Places are counted within ranges of seq and offset by the ranges before, so no task holds them all.
-    """
-    ranged = active.withColumn("range", F.floor(F.col("seq") / 1024))
-    before = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    starts = before.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("seq", *KEY))
-    return ranged.join(starts.select("range", "before"), "range").withColumn("place", (F.col("before") + place).cast("bigint")).drop("range", "before")
+    """Standing labels with their place in the order of their last label, as the undo stack has them."""
+    return numbered(active, "seq", *KEY).withColumnRenamed("number", "place")
 
 
 def overlay(active: DataFrame, prelabels: DataFrame) -> DataFrame:

@@ -33,16 +33,19 @@ def breaker(attempts: DataFrame, by: str, limit: int = 3) -> DataFrame:
     return tripped.groupBy(by).agg(F.min("seq").alias("tripped_at"))
 
 
-def numbered(rows: DataFrame, order: str, width: int = 1024) -> DataFrame:
-    """rows with `number` from 1 in the order of a whole-number column of distinct values.
+def numbered(rows: DataFrame, order: str, *ties: str, cells: int = 1 << 14) -> DataFrame:
+    """rows with `number` from 1 in the order of a whole-number column (and of ties).
 
-    Ranges of the column are counted first, so that rows are numbered within their range.
+    The column's extent is cut into at most `cells` ranges.  Rows are numbered within their range, after the
+    counts of the ranges before; the one task that adds these up sees a row a range, however many rows there are.
     """
-    ranged = rows.withColumn("__range", F.floor(F.col(order) / width))
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
+    ranged = rows.withColumn("__range", F.expr(f"(`{order}` - {low or 0}) div {width}"))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order, *ties))
     return ranged.join(starts, "__range").withColumn("number", (F.col("__before") + place).cast("bigint")).drop("__range", "__before")
 
 

@@ -201,9 +201,12 @@ def evidence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Specified only: lexical and dense candidates as blind cards."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     asked = table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("question_id"), F.col("v").alias("q"))
-    # the stated questions against all vectors; only each question's best go on
-    score = F.round(F.aggregate(F.zip_with("q", "v", lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x), 6)
-    pairs = e.join(asked, F.col("vec_id") != F.col("question_id")).select("question_id", "vec_id", score.alias("score"))
+    # the stated questions against all vectors, question by question within a block of them
+    score = lambda q, v: F.round(F.aggregate(F.zip_with(q, v, lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x), 6)
+    blocks = asked.groupBy((F.col("question_id") % 8).alias("block")).agg(F.collect_list(F.struct("question_id", "q")).alias("asked"))
+    each = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7)))).join(blocks, "block")
+    scored = F.filter("asked", lambda a: a["question_id"] != F.col("vec_id"))
+    pairs = each.select("vec_id", "v", F.explode(scored).alias("a")).select("a.question_id", "vec_id", score(F.col("a.q"), F.col("v")).alias("score"))
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "vec_id")
     dense = pairs.withColumn("rank", F.row_number().over(best).cast("bigint")).filter("rank <= 5").select("question_id", F.concat(F.lit("doc:"), F.col("vec_id").cast("string")).alias("content_id"), F.lit("dense").alias("arm"), "rank")
     lexical = hits(spark, sf_dir).select("question_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("content_id"), F.lit("lexical").alias("arm"), "rank")
