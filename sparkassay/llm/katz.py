@@ -13,6 +13,7 @@ neither the driver nor a task holds a table that grows with the corpus.
 1. blocks: token numbers and the block's words.   2. counts: answers of all partitions, for words and pairs.
 3. partial: each document's score but for the alphas it needs, and each block's share of what contexts
    lose; a pair is accounted by the first block that holds it.   4. alphas: added up by context, answered to the blocks.
+   A context that stands in one block only needs no answer: the block has all of its alpha.
 
 Good-Turing discounts apply to counts up to TRUSTED, from counts of counts over the whole corpus; above,
 a count loses LEAST, so that every context leaves something.
@@ -113,8 +114,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal number, tokens
         words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        # frequent words get small numbers, which take few bytes once compressed
+        order = np.argsort(-np.bincount(at), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        at = rank[at]
         train = np.repeat(~np.concatenate(held), np.concatenate(sizes))
-        row = [number, list(ids), np.concatenate(held), np.concatenate(sizes).astype("<i4").tobytes(), words.tobytes(), at.astype("<u4").tobytes(), np.bincount(at[train], minlength=len(words)).astype("<i8").tobytes(), tokens]
+        row = [number, list(ids), np.concatenate(held), np.concatenate(sizes).astype("<i4").tobytes(), words[order].tobytes(), _planes(at), _small(np.bincount(at[train], minlength=len(words))), tokens]
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
         out = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["block", "doc_ids", "held", "sizes", "words", "tokens", "trained", "n_tokens"])
         number += 1
@@ -143,6 +149,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BLOCKS = "block bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, words binary, tokens binary, trained binary, n_tokens bigint"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by their first bytes, then their second, and so on."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 class Block:
     """A block's tokens with their words and pairs."""
 
@@ -150,9 +165,12 @@ class Block:
         self.number, self.ids = row["block"], row["doc_ids"]
         self.held = np.array(row["held"], bool)
         self.sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
-        self.words = np.frombuffer(row["words"], U64)
-        self.word = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
-        self.trained = np.frombuffer(row["trained"], "<i8")
+        words = np.frombuffer(row["words"], U64)
+        order = np.argsort(words)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.words, self.trained = words[order], _wide(row["trained"])[order]
+        self.word = place[_from_planes(row["tokens"])]
         self.train = np.repeat(~self.held, self.sizes)
         first = np.cumsum(self.sizes) - self.sizes
         #: contexts as places in the words, START after the last
@@ -221,10 +239,12 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     owner[at[rows]] = rows
     first = np.zeros(len(at), bool)
     first[owner[owner >= 0]] = True
+    if kind == WORD:  # for words: whether the block is the only one that has it
+        first = np.bincount(at)[at] == 1
     out, begin = {c: [] for c in _ANSWER_ARROW.names}, 0
     for block, x in zip(blocks, asked):
         end = begin + len(x)
-        values = (kind, part, block, _small(counts[at[begin:end]]), np.packbits(first[begin:end]).tobytes() if kind == PAIR else b"", None)
+        values = (kind, part, block, _small(counts[at[begin:end]]), np.packbits(first[begin:end]).tobytes(), None)
         for c, v in zip(out, values):
             out[c].append(v)
         begin = end
@@ -250,7 +270,8 @@ def _partial(totals: object):
         words = np.concatenate([_wide(r["counts"]) for r in right if r["kind"] == WORD])
         starts, words = words[0], words[1:]  # START sorts first
         pairs = np.concatenate([_wide(r["counts"]) for r in right if r["kind"] == PAIR])
-        first = np.concatenate([np.unpackbits(np.frombuffer(r["first"], np.uint8), count=len(_wide(r["counts"]))) for r in right if r["kind"] == PAIR]).astype(bool)
+        marks = lambda kind: np.concatenate([np.unpackbits(np.frombuffer(r["first"], np.uint8), count=len(_wide(r["counts"]))) for r in right if r["kind"] == kind]).astype(bool)
+        first, alone = marks(PAIR), marks(WORD)
         documents = np.repeat(np.arange(len(block.sizes)), block.sizes)
         total = lambda x: np.bincount(documents, x, minlength=len(block.sizes))
         own = words[block.word]
@@ -266,11 +287,18 @@ def _partial(totals: object):
         mine = which[first]
         lost = np.bincount(block.context[mine], (pairs - all_.kept(pairs, PAIR))[first], minlength=len(contexts))
         after = np.bincount(block.context[mine], all_.word_probability(words)[block.word[mine]], minlength=len(contexts))
-        # alphas that documents wait for
-        waits = np.flatnonzero(~seen & (context > 0))
+        # alphas of contexts that stand in no other block are known here
+        whole = np.append(alone[1:], alone[0]) & (contexts > 0)
+        alpha = np.zeros(len(contexts))
+        alpha[whole] = _log_alpha(lost[whole], after[whole], contexts[whole])
+        waits = ~seen & (context > 0)
+        score = score + np.where(waits, alpha[block.context], 0)
+        # documents wait for the others
+        waits = np.flatnonzero(waits & ~whole[block.context])
         used = np.zeros(len(contexts), bool)
         used[block.context[mine]] = True
         used[block.context[waits]] = True
+        used &= ~whole
         keys = np.append(block.words, START)[used]
         order = np.argsort(keys)
         place = np.empty(len(contexts), np.int64)
@@ -285,6 +313,12 @@ def _partial(totals: object):
     return run
 
 
+def _log_alpha(lost: np.ndarray, seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 alpha from the counts a context loses, the word probability of what follows it, and its count."""
+    with np.errstate(divide="ignore"):
+        return np.log10(lost / np.maximum(n, 1)) - np.log10(np.maximum(1 - seen, 1e-300))
+
+
 def _ask_alpha(partitions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,8 +341,7 @@ def _answer_alpha(key: tuple, table: pa.Table) -> pa.Table:
     np.add.at(lost, at, np.concatenate([np.frombuffer(x.as_py()) for x in table["lost"]]))
     np.add.at(seen, at, np.concatenate([np.frombuffer(x.as_py()) for x in table["seen"]]))
     np.maximum.at(n, at, np.concatenate([_wide(x.as_py()) for x in table["totals"]]))
-    with np.errstate(divide="ignore"):
-        alpha = np.log10(lost / np.maximum(n, 1)) - np.log10(np.maximum(1 - seen, 1e-300))
+    alpha = _log_alpha(lost, seen, n)
     cuts = np.cumsum([len(x) for x in asked])
     return pa.table({"part": pa.array([key[0].as_py()] * len(asked), pa.int32()), "block": table["block"], "alpha": pa.array([alpha[at[b - len(x) : b]].tobytes() for x, b in zip(asked, cuts)], pa.binary())})
 
