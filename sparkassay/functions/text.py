@@ -125,3 +125,9 @@ def focused(text: str | Column, terms: Column, limit: int = 3000) -> Column:
 def collapse_ends(text: str | Column) -> Column:
     """Without white space at the ends; inside, text stays as it is."""
     return F.regexp_replace(_col(text), rf"\A{WS}+|{WS}+\z", "")
+
+
+def request_key(api: str | Column, parameters: dict[str, Column]) -> Column:
+    """The cache key of a request: the digest of its address with parameters in the order of their names."""
+    pairs = [F.concat(F.lit(f"{k}="), F.url_encode(parameters[k].cast("string"))) for k in sorted(parameters)]
+    return sha256(F.concat(_col(api), F.lit("?"), F.concat_ws("&", *pairs)))

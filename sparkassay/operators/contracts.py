@@ -258,3 +258,16 @@ def source_manifest_violation(m: Column, manifest_sha256: Column, trusted: Colum
             ("foreign_domain", foreign_urls > 0),
         ]
     )
+
+
+def review_binding(fixtures: DataFrame, by: str, own_sha256: Column, reviewed_sha256: Column) -> DataFrame:
+    """(by, bound): whether fixtures are the reviewed file itself, or all derive from it (parent_fixture_sha256)."""
+    derived = F.coalesce(F.col("parent_fixture_sha256") == reviewed_sha256, F.lit(False))
+    return fixtures.groupBy(by).agg((F.min(own_sha256 == reviewed_sha256) | F.min(derived)).alias("bound"))
+
+
+def same_run(manifest_fingerprint: str | None, fingerprint: str, artifacts_exist: bool) -> str | None:
+    """Why a run may not go on: artifacts without a manifest, or a manifest of another run.  Checked on the driver, before a job."""
+    if manifest_fingerprint is None:
+        return "orphan_artifacts" if artifacts_exist else None
+    return None if manifest_fingerprint == fingerprint else "fingerprint_mismatch"

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions import rewrite, terms
@@ -121,12 +121,15 @@ def transform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with e as (select user_id, {b.EVENT_VALUE} as v, value from events)
-select user_id, count(*) as decisions, round(avg((v = 'U')::int), 8) as u_rate, (list_sort(list(value)))[cast(floor((count(*) - 1) * 0.5::double) as bigint) + 1] as median_time from e group by user_id
+with e as (select user_id, event_id, {b.EVENT_VALUE} as v, value from events), l as (select *, lag(v) over (partition by user_id order by event_id) as before from e)
+select user_id, count(*) as decisions, round(avg((v = 'U')::int), 8) as u_rate, round(avg((v = before)::int), 8) as repeat_agreement, (list_sort(list(value)))[cast(floor((count(*) - 1) * 0.5::double) as bigint) + 1] as median_time from l group by user_id
 """)
 def review_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    rates = e.groupBy("user_id").agg(F.count("*").alias("decisions"), F.round(F.avg((F.expr(b.EVENT_VALUE) == "U").cast("double")), 8).alias("u_rate"))
+    """Share of U, agreement with the decision before, median time (specified only)."""
+    e = table(spark, sf_dir, "events").withColumn("v", F.expr(b.EVENT_VALUE))
+    again = e.withColumn("before", F.lag("v").over(Window.partitionBy("user_id").orderBy("event_id")))
+    share = lambda c: F.round(F.avg(c.cast("double")), 8)
+    rates = again.groupBy("user_id").agg(F.count("*").alias("decisions"), share(F.col("v") == "U").alias("u_rate"), share(F.col("v") == F.col("before")).alias("repeat_agreement"))
     return rates.join(metrics.nearest_rank(e, "user_id", "value", {"median_time": 0.5}).drop("n"), "user_id")
 
 

@@ -39,6 +39,30 @@ def uniqueness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.uniqueness(table(spark, sf_dir, "events"), "event_id", "user_id")
 
 
+_FOREIGN = f"(select count(*) from pages where {b.sql_host('url')} not like '%.example.com')"
+
+
+@query(f"""
+select case_, case case_ when 0 then case when {_FOREIGN} > 0 then 'foreign_domain' end when 1 then 'missing' when 2 then 'unsupported' when 3 then 'not_public' when 4 then 'untrusted_manifest' when 5 then 'snapshot_mismatch' when 6 then 'allowed_domains' end as violation
+from (select unnest(range(7)) as case_)
+""")
+def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of the pages table, sound and with each of its faults."""
+    pages = table(spark, sf_dir, "pages")
+    foreign = pages.filter(~T.host("url").endswith(".example.com")).agg(F.count("*").alias("foreign"))
+    rows = foreign.withColumn("case_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))))
+    way = lambda i, odd, usual: F.when(F.col("case_") == i, odd).otherwise(usual)
+    m = F.struct(F.lit(1).alias("schema_version"), F.lit("s").alias("snapshot_sha256"), way(2, F.lit("other"), F.lit("public_web_snapshot")).alias("source_type"), way(6, F.slice(F.array(F.lit("")), 1, 0), F.array(F.lit("*.example.com"))).alias("allowed_domains"), way(1, F.lit(None).cast("string"), F.lit("CC")).alias("license_basis"), F.lit(True).alias("approved_for_public_test"), (F.col("case_") == 3).alias("contains_private_data"))
+    return rows.select("case_", contracts.source_manifest_violation(m, F.lit("m"), way(4, F.lit("x"), F.lit("m")), way(5, F.lit("x"), F.lit("s")), F.col("foreign")).alias("violation"))
+
+
+@query("select source, bool_and(lang = 'en') or bool_and(doc_id % 7 <> 3) as bound from documents group by source")
+def review_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source as a file of fixtures: reviewed itself if all English, else by what its rows derive from."""
+    rows = table(spark, sf_dir, "documents").select("source", "lang", F.when(F.col("doc_id") % 7 != 3, "reviewed").alias("parent_fixture_sha256"))
+    return contracts.review_binding(rows, "source", F.when(F.col("lang") == "en", "reviewed").otherwise("own"), F.lit("reviewed"))
+
+
 # -- validators --------------------------------------------------------------------------------------
 # Rows of a table as JSON, each broken in the way that its id decides; the SQL names the rule by the way.
 

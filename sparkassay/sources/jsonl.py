@@ -64,3 +64,8 @@ def canary_files(spark: SparkSession, path: str, canary: str) -> DataFrame:
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def total_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """One row: files and their bytes, for a limit on what a run may keep."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

@@ -235,6 +235,19 @@ def test_jsonl(spark, tmp_path):
     assert jsonl.canary_files(spark, str(tmp_path / "raw.bin"), "MARK").count() == 1
 
 
+def test_requests_runs_and_bytes(spark, tmp_path):
+    from sparkassay.functions import text as T
+    from sparkassay.operators import contracts
+
+    row = frame(spark, [("a b", 1)], "q string, n int").select(T.request_key(F.lit("https://w/api"), {"search": F.col("q"), "limit": F.col("n")}).alias("k"), F.sha2(F.lit("https://w/api?limit=1&search=a+b"), 256).alias("w")).first()
+    assert row.k == row.w
+    assert [contracts.same_run(*x) for x in ((None, "a", False), (None, "a", True), ("a", "a", True), ("b", "a", True))] == [None, "orphan_artifacts", None, "fingerprint_mismatch"]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a").write_bytes(b"123")
+    (tmp_path / "b").write_bytes(b"45")
+    assert tuple(jsonl.total_bytes(spark, str(tmp_path)).first()) == (2, 5)
+
+
 def test_streams_resume_and_windows(spark, tmp_path):
     rows = spark.range(100).selectExpr("id % 7 as question_id", "cast(1704067200 + id * 10 as timestamp) as ts", "cast(id as double) as value")
     rows.repartition(5).write.parquet(str(tmp_path / "in"))
