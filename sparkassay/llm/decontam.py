@@ -7,7 +7,7 @@ place in the window and the document's bounds give the one span that can match (
 filter), and the span's words are then compared with the window's.
 
 The prefix table goes to all executors in parts of at most PART_WINDOWS windows; documents run through
-one part after another in the same stage, so a benchmark of any size is handled without a shuffle of texts.
+one part after another, so a benchmark of any size is handled without a shuffle of texts.
 
 Cases: a null or empty text has no words and is clean.  Repeated documents get a row each.  Items with
 a null id, or without words, take no part; repeated items count once.  Empty tables give no rows, or clean ones.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.store import written
-from sparkassay.llm.words import ALNUM, U64, Words, mix, scan
+from sparkassay.llm.words import ALNUM, U64, Words, mix, rows, scan
 
 WINDOW = 13
 SHINGLE = 4
@@ -32,8 +32,8 @@ SHINGLE = 4
 RATIO = 20
 #: Windows of one part of the prefix table; some 1 KB each at most.
 PART_WINDOWS = 100_000
-#: Parts that one stage runs through before its result is written.
-PARTS_A_STAGE = 8
+#: Parts that one Python worker holds; more are run in further stages, each from a written table.
+PARTS_A_STAGE = 2
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -167,12 +167,23 @@ _HIT = "struct<start:bigint,size:int,items:array<bigint>>"
 _HIT_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int32()), ("items", pa.list_(pa.int64()))]))
 
 
+def _chain(*steps: Callable) -> Callable:
+    """Steps over batches, one after the other in one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
+
+
 def _pass(part: object) -> Callable:
     """Add one part's occurrences to __hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = part.value
-        for batch in batches:
+        for batch in rows(batches):
             found = batch.column("__hits").to_pylist()
             per = np.zeros(batch.num_rows, np.int64)
             for w in scan(batch.column("text"), ALNUM):
@@ -224,14 +235,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     table = written(wins.join(prefix, "words").select("k", "p.shingle", "p.place", "size", "words", "items"), "prefix")
     state = docs.withColumns({"__hits": F.expr(f"cast(array() as array<{_HIT}>)"), "__words": F.lit(0).cast("bigint")})
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
-    for i, rows in enumerate(_parts(table, part)):
-        if i and i % PARTS_A_STAGE == 0:
-            state = written(state, f"hits{i}")
-        state = state.mapInArrow(_pass(spark.sparkContext.broadcast(Part([(r["k"], r["shingle"], r["place"], r["size"], bytes(r["words"]), r["items"]) for r in rows]))), names)
-    if table.isEmpty():  # no windows: words are still counted
-        state = state.mapInArrow(_pass(spark.sparkContext.broadcast(Part([]))), names)
+    broadcast = spark.sparkContext.broadcast
+    ready = []
+    for found in _parts(table, part):
+        if len(ready) == PARTS_A_STAGE:
+            state, ready = written(state.mapInArrow(_chain(*ready), names), "hits"), []
+        ready.append(_pass(broadcast(Part([(r["k"], r["shingle"], r["place"], r["size"], bytes(r["words"]), r["items"]) for r in found]))))
+    if not ready:  # no windows: words are still counted
+        ready.append(_pass(broadcast(Part([]))))
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return state.mapInArrow(_judge(ratio), f"{names}, {_ADDED}")
+    return state.mapInArrow(_chain(*ready, _judge(ratio)), f"{names}, {_ADDED}")
 
 
 def report(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:

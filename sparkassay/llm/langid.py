@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.words import ALNUM, LOWER, slices, utf8
+from sparkassay.llm.words import ALNUM, LOWER, rows, slices, utf8
 
 ORDER = 4
 BINS = 1 << 15
@@ -168,7 +168,7 @@ def train(docs: DataFrame) -> Model | None:
 def _predict(model: object, penalty: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.value
-        for batch in batches:
+        for batch in rows(batches):
             texts = batch.column("text")
             lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             mixture: list[list] = [[] for _ in lang]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.llm.store import written
 from sparkassay.llm.tokens import WordPieces
+from sparkassay.llm.words import rows
 
 CAPACITY = 2048
 #: A bin this full is emitted before the last round.
@@ -65,7 +66,7 @@ def _pieces(path: str, capacity: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordPieces.shared(path).encode
-        for batch in batches:
+        for batch in rows(batches):
             ids = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
             for doc, data in zip(ids, encode(batch.column("text"))):
@@ -98,8 +99,9 @@ def _bins(level: int, task: int, at: int, groups: list[list[int]], sizes: np.nda
     )
 
 
-def _pack_partition(capacity: int, full: int) -> Callable:
+def _pack_partition(path: str, capacity: int, full: int) -> Callable:
     """Best-fit in blocks of a partition; the underfull bins of a block join the next block as items."""
+    cut = _pieces(path, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,13 +134,13 @@ def _pack_partition(capacity: int, full: int) -> Callable:
                 open_bins = pa.Table.from_batches([out.filter(pa.compute.invert(done))])
                 yield out.filter(done)
 
-        rows = 0
-        for batch in batches:
+        found = 0
+        for batch in cut(batches):
             waiting.append(batch)
-            rows += batch.num_rows
-            if rows >= BLOCK:
+            found += batch.num_rows
+            if found >= BLOCK:
                 yield from pack(False)
-                rows = 0
+                found = 0
         yield from pack(True)
 
     return run
@@ -162,8 +164,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, nearly_full: int
     path is the tokenizer file.  Rounds end when the underfull bins fit one group of GROUP bins, or
     when a round merges less than a fiftieth of them: with larger leftovers no further merging pays.
     """
-    pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
-    tables = [written(pieces.mapInArrow(_pack_partition(capacity, nearly_full), BIN), "bins0")]
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tables = [written(plain.mapInArrow(_pack_partition(path, capacity, nearly_full), BIN), "bins0")]
     sequences = []
     groups = None
     for level in range(1, 16):

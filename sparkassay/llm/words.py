@@ -45,7 +45,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2^64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES + SLICE_BYTES // 4)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             out = np.empty(size, U64)
             out[0] = 1
@@ -99,6 +99,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def rows(batches: Iterator[pa.RecordBatch], n: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most n rows: what Python makes of texts is several times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of documents of about limit bytes each; always at least one document."""
     i, n = 0, len(offsets) - 1
