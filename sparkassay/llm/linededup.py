@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.store import written
+from sparkassay.llm.words import rows as few
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Most bytes of arrays that are sent to every executor.
@@ -151,7 +152,7 @@ def _halves(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct(min_chars: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             ids = batch.column("doc_id").fill_null(_NONE).to_numpy()
             found = [list(dict.fromkeys(_keys(t, min_chars)[2])) for t in batch.column("text").to_pylist()]
             a, b = _halves([h for x in found for h in x])
@@ -206,25 +207,25 @@ def _probe_all(rows: object, shards: int, min_chars: int) -> Callable:
                 gone[mine[hit]] = x.keeper[at[hit]] != doc[mine[hit]]
             return gone
 
-        for batch in batches:
+        for batch in few(batches):
             ids = batch.column("doc_id").fill_null(_NONE).to_numpy()
             yield _append(batch, *_result(batch.column("text").to_pylist(), ids, min_chars, drops))
 
     return run
 
 
-def _requests(shards: int, salts: int, min_chars: int) -> Callable:
+def _requests(shards: int, min_chars: int) -> Callable:
     """Line hashes of each document, dealt to their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             row = batch.column("__row").to_numpy()
             found = [_keys(t, min_chars)[2] for t in batch.column("text").to_pylist()]
             a, b = _halves([h for x in found for h in x])
             per = [len(x) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((a.view(np.int64) % shards).astype(np.int32)), pa.array(np.repeat(row % salts, per).astype(np.int32)), pa.array(np.repeat(row, per)), pa.array(np.repeat(batch.column("doc_id").fill_null(_NONE).to_numpy(), per)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                names=["shard", "salt", "__row", "doc_id", "a", "b"],
+                [pa.array((a.view(np.int64) % shards).astype(np.int32)), pa.array(np.repeat(row, per)), pa.array(np.repeat(batch.column("doc_id").fill_null(_NONE).to_numpy(), per)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
+                names=["shard", "__row", "doc_id", "a", "b"],
             )
 
     return run
@@ -247,7 +248,7 @@ def _apply(min_chars: int) -> Callable:
     """Drop the answered hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             gone = batch.column("__gone").to_pylist()
             texts = batch.column("text").to_pylist()
             n, dropped, kept = [], [], []
@@ -282,10 +283,11 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
         return docs.mapInArrow(_probe_all(rows, shards, min_chars), f"{names}, {_ADDED}")
     probes = docs.withColumn("__row", F.monotonically_increasing_id())
     probes = written(probes, "documents")  # row numbers must not change between the two readings
-    lines = written(probes.mapInArrow(_requests(shards, 1 << 20, min_chars), "shard int, salt int, __row bigint, doc_id bigint, a bigint, b bigint"), "probes")
-    salts = max(1, -(-lines.count() // SHARD_PROBES))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int"))
-    spread = index.withColumn("salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
+    lines = written(probes.mapInArrow(_requests(shards, min_chars), "shard int, __row bigint, doc_id bigint, a bigint, b bigint"), "probes")
+    # a shard with a hot line is met by its probes in as many tasks as they need
+    salts = lines.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_PROBES).cast("int").alias("salts"))
+    salted = lines.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("__row"), F.col("salts")).cast("int")).drop("salts")
+    spread = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     gone = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(_answer, "__row bigint, a bigint, b bigint")
     gone = gone.groupBy("__row").agg(F.collect_set(F.struct("a", "b")).alias("__gone"))
     return probes.join(gone, "__row", "left").mapInArrow(_apply(min_chars), f"{names}, {_ADDED}")
