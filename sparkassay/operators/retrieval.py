@@ -13,7 +13,7 @@ K1, B = 1.5, 0.75
 def term_stats(docs: DataFrame) -> DataFrame:
     """(term, df, idf) over docs (doc_id, text)."""
     n = docs.agg(F.count("*").alias("n"))
-    df = docs.select(F.explode(F.array_distinct(T.tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode_outer(F.array_distinct(T.tokens("text"))).alias("term")).filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # n is one row
 
 
@@ -26,21 +26,32 @@ def length_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(T.tokens("text")).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
+#: Rows of question weights up to which they are sent to every executor.
+SMALL = 500_000
+
+
 def bm25(docs: DataFrame, questions: DataFrame, k: int = 5, digits: int = 8) -> DataFrame:
     """(question_id, rank, doc_id, score): the k best documents of each question.
 
     Only terms of questions are carried beyond the scan.  A repeated question term counts again; no
     document without a common term is ranked.  Scores are rounded before ranking, ties go to the smaller id.
+
+    Postings are dealt by document, so that scores are summed where they are made and each task sends on its k
+    best of a question only.
     """
     asked = questions.select("question_id", F.explode(T.tokens("query")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("mult"))
     wanted = asked.select("term").distinct()
     read = docs.select("doc_id", T.tokens("text").alias("tokens")).withColumn("len", F.size("tokens"))
-    postings = read.select("doc_id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # explode_outer: the filter that Spark would add below explode takes texts apart a second time
+    postings = read.select("doc_id", "len", F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    # reads all columns of the postings, so that their shuffle is one for both uses
+    df = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("len") > 0)).alias("df"))
     weights = asked.join(df, "term").crossJoin(F.broadcast(length_stats(docs)))  # one row
     weights = weights.select("question_id", "term", (F.col("mult") * idf(F.col("n"), F.col("df")) * (K1 + 1)).alias("weight"), F.greatest(F.lit(1.0), "avgdl").alias("avgdl"))
+    if asked.count() <= SMALL:
+        weights = F.broadcast(weights)
     part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = postings.join(weights, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score")).filter(F.col("score") != 0)
+    scored = postings.repartition("doc_id").join(weights, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score")).filter(F.col("score") != 0)
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k).select("question_id", "rank", "doc_id", "score")
 
