@@ -81,8 +81,8 @@ def shingle_counts(docs: DataFrame, wins: DataFrame, part: int = PART_WINDOWS) -
     """(shingle, n): how often the windows' shingles stand in all documents."""
     wanted = written(wins.select("k", F.explode("shingles").alias("shingle")).distinct(), "shingles")
     out = None
-    for rows in _parts(wanted, part * 10):
-        known = docs.sparkSession.sparkContext.broadcast({k: np.unique(np.array([r["shingle"] for r in rows if r["k"] == k], np.int64).view(U64)) for k in {r["k"] for r in rows}})
+    for listed in _parts(wanted, part * 10):
+        known = docs.sparkSession.sparkContext.broadcast({k: np.unique(np.array([r["shingle"] for r in listed if r["k"] == k], np.int64).view(U64)) for k in {r["k"] for r in listed}})
 
         def run(batches: Iterator[pa.RecordBatch], known: object = known) -> Iterator[pa.RecordBatch]:
             tables = [(k, v, Lookup(v)) for k, v in known.value.items()]
