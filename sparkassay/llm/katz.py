@@ -15,8 +15,8 @@ neither the driver nor a task holds a table that grows with the corpus.
    lose; a pair is accounted by the first block that holds it.   4. alphas: added up by context, answered to the blocks.
    A context that stands in one block only needs no answer: the block has all of its alpha.
 
-Good-Turing discounts apply to counts up to TRUSTED, from counts of counts over the whole corpus; above,
-a count loses LEAST, so that every context leaves something.
+Good-Turing discounts apply to counts up to TRUSTED, from counts of counts over the whole corpus, smoothed
+where copies make them uneven; above, a count loses LEAST, so that every context leaves something.
 
 Cases: a null or empty text is the end token alone.  Without training documents every text has score
 0.  Repeated rows are learned and scored once each.  A null doc_id is learned from.
@@ -51,19 +51,40 @@ WORD, PAIR = 0, 1
 # -- discounts -----------------------------------------------------------------------------
 
 
+def _factors(ratios: np.ndarray, cut: float) -> np.ndarray | None:
+    """Katz's factors d(0..TRUSTED) from r*/r of r = 1..TRUSTED and what counts above keep; None where they are not between 0 and 1."""
+    d = (ratios - cut) / (1 - cut) if cut < 1 else np.zeros(TRUSTED)
+    return np.append(1.0, d) if ((d > 0) & (d < 1)).all() else None
+
+
+def _slope(n: list[int]) -> float:
+    """b of the log-linear fit n(r) ~ r^b of Simple Good-Turing; gaps thin out the counts beside them."""
+    r = [c for c in range(1, len(n)) if n[c]]
+    if len(r) < 2:
+        return 0.0
+    after = [*r[1:], 2 * r[-1] - r[-2]]
+    z = [2 * n[c] / (t - q) for q, c, t in zip([0, *r], r, after)]
+    return float(np.polyfit(np.log(r), np.log(z), 1)[0])
+
+
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
     """Katz's factors d(0..TRUSTED) from the numbers of n-grams seen 1, 2, .. TRUSTED + 1 times.
 
-    Where the counts of counts give no factor between 0 and 1, a count loses a constant share of one instead.
+    Copies in the corpus make counts of counts uneven, so that Turing's r* = (r + 1) n(r + 1) / n(r) can exceed r.
+    Then n(r) is smoothed by a log-linear fit (Simple Good-Turing), which gives r*/r = (1 + 1/r)^(b + 1) and
+    factors between 0 and 1 for any b < -1.  Without such a fit a count loses a constant share of one.
     """
     n, k = [0, *counts_of_counts], TRUSTED
+    r = np.arange(1, k + 1)
+    d = None
     if all(n[1 : k + 2]):
-        cut = (k + 1) * n[k + 1] / n[1]
-        d = [((c + 1) * n[c + 1] / (c * n[c]) - cut) / (1 - cut) if cut < 1 else 0.0 for c in range(1, k + 1)]
-        if all(0 < x < 1 for x in d):
-            return np.array([1.0, *d])
-    one = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    return np.array([1.0, *((c - one) / c for c in range(1, k + 1))])
+        d = _factors(np.array([(c + 1) * n[c + 1] / (c * n[c]) for c in r.tolist()]), (k + 1) * n[k + 1] / n[1])
+    if d is None and (b := _slope(n)) < -1:
+        d = _factors((1 + 1 / r) ** (b + 1), float(k + 1) ** (b + 1))
+    if d is None:
+        one = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        d = np.append(1.0, (r - one) / r)
+    return d
 
 
 @dataclass

@@ -104,3 +104,32 @@ def test_discounts():
     d = katz.discounts([100, 40, 22, 14, 10, 7])
     assert d[0] == 1 and all(0 < x < 1 for x in d[1:])
     assert all(0 < x < 1 for x in katz.discounts([5, 9, 1, 0, 0, 0])[1:]) and all(0 < x < 1 for x in katz.discounts([0] * 6)[1:])
+
+
+#: Numbers of words and pairs seen 1..6 times in the training documents of sf0.1, whose copies make d(4) of plain Turing 1.228 and 1.093.
+UNEVEN = [[207344, 59772, 25017, 14274, 13493, 7080], [1579638, 246704, 51653, 21705, 18939, 7580]]
+
+
+@pytest.mark.parametrize("n", UNEVEN)
+def test_good_turing_is_in_force_with_copies(n):
+    d = katz.discounts(n)
+    x, y = [math.log(r) for r in range(1, 7)], [math.log(v) for v in n]
+    b = (6 * sum(p * q for p, q in zip(x, y)) - sum(x) * sum(y)) / (6 * sum(p * p for p in x) - sum(x) ** 2)
+    smooth = [math.exp(b * math.log(r)) for r in range(1, 7)]
+    cut = 6 * smooth[5] / smooth[0]
+    assert list(d[1:]) == pytest.approx([((r + 1) * smooth[r] / (r * smooth[r - 1]) - cut) / (1 - cut) for r in range(1, 6)])
+    assert all(0 < x < 1 for x in d[1:]) and list(d[1:]) == sorted(d[1:])
+
+
+def test_scores_with_copies(spark):
+    """A corpus whose fivefold copies break plain Turing: scores follow the smoothed factors, not a constant loss."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(30)) for _ in range(120)]
+    rows = list(enumerate(texts + [t for t in texts[:8] for _ in range(4)]))
+    plain = Plain(rows)
+    n = [sum(v == i for v in plain.pair.values()) for i in range(1, 7)]
+    assert any((r + 1) * n[r] > r * n[r - 1] for r in range(1, 6))  # plain Turing gives no discount here
+    one = n[0] / (n[0] + 2 * n[1])
+    assert plain.dp[1] != pytest.approx(1 - one) and all(0 < x < 1 for x in plain.dp[1:])
+    got = {r.doc_id: r.score for r in katz.report(documents(spark, rows)).collect()}
+    assert got == pytest.approx({d: plain.row(d, t)[1][1] for d, t in rows}, rel=1e-9)
