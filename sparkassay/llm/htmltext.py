@@ -1,15 +1,15 @@
 """Operator 2 - main text of HTML pages by wrapper induction.
 
-Pages of a host share a layout.  Every page's block tree is aligned with its host's reference page (the
-smallest page_id) by simple tree matching.  Over all pages of the host, a node whose text mostly equals
-the reference's is constant and becomes template; the others are slots, and slots hold content.
+Pages of a host share a few layouts.  Every page's block tree is aligned with its host's reference pages (of each of the
+most frequent shapes the smallest and largest page_id with text) by simple tree matching.  Over all pages of the host, a
+node whose text mostly equals a reference's is constant and becomes template; the others are slots, and slots hold content.
 
 Alignments are summed up per host and node before any shuffle, and the trees, not the pages, meet
 their reference, so a host of any size is spread over many tasks.
 
 Furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) also varies from
-page to page, so elements and class names that say what they are decide before the template does.
-Where a page marks its article or main element, the text is what lies inside the largest one.
+page to page, so elements and class names that say what they are go as well as the template.  Where a page marks article
+or main elements, the text is what lies inside them.  A page whose text would all be template keeps it: it is a copy of others.
 
 Cases: a null or empty html gives an empty text.  Pages without a host (null or odd url) share one group.
 Repeated rows are pages each.  An empty table gives no rows.  Columns besides page_id, url and html are ignored.
@@ -21,17 +21,19 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkassay.llm.dom import match, parse
+from sparkassay.llm.dom import Page, match, parse
 from sparkassay.llm.store import written
 
 #: A node is template if it is constant in so large a share of so many aligned pages.
 SHARE, SUPPORT = 0.6, 4
+#: Shapes of a host that have reference pages.
+LAYOUTS = 3
 #: Most of a block outside any article that may be link text.
 LINKED = 0.5
-_TREE = "shape string, digests array<bigint>, nodes array<int>, texts array<string>, kept array<boolean>"
+_TREE = "shape string, digests array<bigint>, nodes array<int>, texts array<string>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,34 +42,28 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for text in batch.column("html").to_pylist():
             page = parse(text or "")
-            sizes: dict[int, int] = {}
-            for node, piece, _ in page.pieces:
-                if page.main[node] >= 0 and not page.furniture[node]:
-                    sizes[page.main[node]] = sizes.get(page.main[node], 0) + len(piece)
-            region = max(sizes, key=lambda m: (sizes[m], -m), default=None)
-            nodes, texts, kept = [], [], []
+            marked = any(page.main[node] >= 0 and not page.furniture[node] for node, _, _ in page.pieces)
+            header = _headers(page)
+            nodes, texts = [], []
             for node, piece, linked in page.pieces:
-                inside = region is not None and page.main[node] == region
-                if page.furniture[node] or region is not None and not inside or region is None and linked > LINKED * len(piece):
+                if page.furniture[node] or marked and page.main[node] < 0 or not marked and linked > LINKED * len(piece):
                     continue
-                header = _in_header(page, node) and not page.heading[node]
-                if not header:
+                if not header[node] or page.heading[node]:
                     nodes.append(node)
                     texts.append(piece)
-                    kept.append(inside)
-            rows.append((json.dumps([page.label, page.children], separators=(",", ":")), page.digests(), nodes, texts, kept))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.bool_()))
+            rows.append((json.dumps([page.label, page.children], separators=(",", ":")), page.digests(), nodes, texts))
+        columns = list(zip(*rows)) if rows else [()] * 4
+        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()))
         named = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), *named], names=["page_id", "url", "host", "shape", "digests", "nodes", "texts", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), *named], names=["page_id", "url", "host", "shape", "digests", "nodes", "texts"])
 
 
-def _in_header(page: object, node: int) -> bool:
-    while node >= 0:
-        if page.label[node].split(".")[0].split("#")[0] == "header":
-            return True
-        node = page.parent[node]
-    return False
+def _headers(page: Page) -> list[bool]:
+    """Whether each node is a header element or inside one; parents have smaller numbers."""
+    out: list[bool] = []
+    for label, parent in zip(page.label, page.parent):
+        out.append(label.split(".")[0].split("#")[0] == "header" or parent >= 0 and out[parent])
+    return out
 
 
 class _Aligner:
@@ -94,10 +90,10 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     align, counts = _Aligner(), {}
 
     def flush() -> pa.RecordBatch:
-        rows = [(h, n, a, e) for (h, n), (a, e) in counts.items()]
+        rows = [(*key, a, e) for key, (a, e) in counts.items()]
         counts.clear()
-        host, node, aligned, equal = zip(*rows) if rows else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(aligned, pa.int64()), pa.array(equal, pa.int64())], names=["host", "node", "aligned", "equal"])
+        host, ref, node, aligned, equal = zip(*rows) if rows else ((), (), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(ref, pa.int64()), pa.array(node, pa.int32()), pa.array(aligned, pa.int64()), pa.array(equal, pa.int64())], names=["host", "ref", "node", "aligned", "equal"])
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -105,7 +101,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue  # a copy of the reference says nothing about its template
             for mine, node in align(row["shape"], row["ref_shape"]).items():
                 if row["ref_digests"][node]:
-                    n = counts.setdefault((row["host"], node), [0, 0])
+                    n = counts.setdefault((row["host"], row["ref"], node), [0, 0])
                     n[0] += 1
                     n[1] += row["digests"][mine] == row["ref_digests"][node]
         if len(counts) > 200_000:
@@ -114,15 +110,17 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join the pieces that stand in no template node."""
+    """Join the pieces that stand in no template node of any reference."""
     align = _Aligner()
     for batch in batches:
         out = []
-        for row in batch.select(["shape", "nodes", "texts", "kept", "ref_shape", "template"]).to_pylist():
-            template, constant = set(row["template"] or ()), set()
-            if template and not all(row["kept"]):
-                constant = {mine for mine, node in align(row["shape"], row["ref_shape"]).items() if node in template}
-            out.append("\n".join(t for n, t, k in zip(row["nodes"], row["texts"], row["kept"]) if k or n not in constant))
+        for row in batch.select(["shape", "nodes", "texts", "known"]).to_pylist():
+            constant = set()
+            for reference in row["known"] or ():
+                template = set(reference["template"])
+                constant |= {mine for mine, node in align(row["shape"], reference["ref_shape"]).items() if node in template}
+            slots = [t for n, t in zip(row["nodes"], row["texts"]) if n not in constant]
+            out.append("\n".join(slots or row["texts"]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -132,12 +130,16 @@ def extract(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) -> D
     plain = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host.alias("host"), F.col("html").cast("string").alias("html"))
     url = plain.schema["url"].dataType.simpleString()
     trees = written(plain.mapInArrow(_parse, f"page_id bigint, url {url}, host string, {_TREE}"), "trees")
-    reference = trees.groupBy("host").agg(F.min(F.struct("page_id", "shape", "digests")).alias("r"))
-    reference = written(reference.select("host", F.col("r.shape").alias("ref_shape"), F.col("r.digests").alias("ref_digests")), "references")
+    page = F.struct("page_id", "digests")
+    layouts = trees.filter(F.exists("digests", lambda x: x != 0)).groupBy("host", "shape").agg(F.count("*").alias("n"), F.min(page).alias("low"), F.max(page).alias("high"))
+    often = Window.partitionBy("host").orderBy(F.desc("n"), "shape")
+    layouts = layouts.withColumn("i", F.row_number().over(often)).filter(F.col("i") <= LAYOUTS)
+    reference = layouts.select("host", "shape", "i", F.posexplode(F.array_distinct(F.array("low.digests", "high.digests"))).alias("j", "ref_digests"))
+    reference = written(reference.select("host", (2 * F.col("i") + F.col("j")).cast("bigint").alias("ref"), F.col("shape").alias("ref_shape"), "ref_digests"), "references")
     shapes = trees.select("host", "shape", "digests").join(reference, "host")
-    agreed = shapes.mapInArrow(_agree, "host string, node int, aligned bigint, equal bigint").groupBy("host", "node").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal"))
+    agreed = shapes.mapInArrow(_agree, "host string, ref bigint, node int, aligned bigint, equal bigint").groupBy("host", "ref", "node").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal"))
     constant = agreed.filter((F.col("aligned") >= support) & (F.col("equal") >= share * F.col("aligned")))
-    template = constant.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("template"))
-    known = written(reference.select("host", "ref_shape").join(template, "host"), "templates")
-    texts = trees.select("page_id", "url", "host", "shape", "nodes", "texts", "kept").join(known, "host", "left").mapInArrow(_assemble, f"page_id bigint, url {url}, text string")
+    template = constant.groupBy("host", "ref").agg(F.sort_array(F.collect_set("node")).alias("template"))
+    known = reference.select("host", "ref", "ref_shape").join(template, ["host", "ref"]).groupBy("host").agg(F.collect_list(F.struct("ref_shape", "template")).alias("known"))
+    texts = trees.select("page_id", "url", "host", "shape", "nodes", "texts").join(written(known, "templates"), "host", "left").mapInArrow(_assemble, f"page_id bigint, url {url}, text string")
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))

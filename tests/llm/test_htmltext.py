@@ -90,3 +90,20 @@ def test_simple_tree_matching(a, b):
 def test_records_are_one_node():
     page = parse("<ul>" + "<li><h3>t</h3><p>x</p></li>" * 50 + "</ul>")
     assert len(page.label) == 5 and len(page.pieces) == 100
+
+
+def test_template_inside_articles(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class=strap>Read by everyone in town</div><p>Story {i}.</p></article><article><p>More of {i}.</p></article></body>"
+    rows = [(0, "http://s.example/0", ""), *((i, f"http://s.example/{i}", page(i)) for i in range(1, 9))]
+    rows += [(i, f"http://t.example/{i}", f"<body><article><p>The same story.</p></article><div>{i}</div></body>") for i in range(20, 28)]
+    got = run(spark, rows)
+    for i in range(1, 9):
+        assert got[i].text == f"Title {i}\nStory {i}.\nMore of {i}."
+    assert {got[i].text for i in range(20, 28)} == {"The same story."}  # copies of each other, not template
+
+
+def test_references_of_several_layouts(spark):
+    story = lambda i: f"<body><div>Our daily news</div><p>Story {i}.</p></body>"
+    album = lambda i: f"<body><section><h2>Album {i}</h2><h3>All pictures here</h3></section></body>"
+    got = run(spark, [(i, f"http://s.example/{i}", (album if i % 2 else story)(i)) for i in range(16)])
+    assert [got[i].text for i in range(16)] == [f"Album {i}" if i % 2 else f"Story {i}." for i in range(16)]
