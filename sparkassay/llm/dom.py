@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import xxhash
 
 # Element and role names of HTML, and words that mark page furniture in class and id.
@@ -28,9 +30,8 @@ SCOPE = frozenset("table ul ol dl body html article section div main".split())
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?|<[a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-#: Children that a pair of nodes may have for exact matching; wider pairs are matched by labels in order.
-CELLS = 40_000
-DEPTH = 60
+#: Cells of an alignment of children that are held at once; larger ones are halved first.
+CELLS = 1 << 24
 
 
 @dataclass
@@ -77,6 +78,7 @@ def parse(text: str) -> Page:
     root = page.add("#", -1, False, -1, False)
     # (tag, node, children met in this appearance, label of the last child)
     stack: list[list] = [["#", root, 0, -1]]
+    opened: Counter = Counter()  # tags on the stack
     words: list[str] = []
     linked = links = 0
     hidden: str | None = None
@@ -92,9 +94,12 @@ def parse(text: str) -> Page:
         linked = 0
 
     def close(tags: frozenset | set, scope: frozenset | set) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
                 flush()
+                opened.subtract(e[0] for e in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in scope:
@@ -148,7 +153,7 @@ def parse(text: str) -> Page:
             close({"p"}, SCOPE - {"div"} if tag == "p" else SCOPE)
             if tag in CLOSES:
                 close(CLOSES[tag], SCOPE - CLOSES[tag])
-            if tag == "hr" or len(stack) > DEPTH:
+            if tag == "hr":
                 continue
             css, name, role = _attributes(m[3])
             label = f"{tag}.{css.split()[0]}" if css.strip() else f"{tag}#{name}" if name else tag
@@ -167,56 +172,131 @@ def parse(text: str) -> Page:
                 up[2], up[3] = place + 1, place
                 node = siblings[place]
             stack.append([tag, node, 0, -1])
+            opened[tag] += 1
     flush()
     return page
 
 
+class _Kinds:
+    """Distinct subtrees of both trees, by number, and the sizes of the largest alignments of pairs of them."""
+
+    def __init__(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.weight: list[int] = []
+        self.made: dict[tuple[int, int], int] = {}
+
+    def of(self, labels: list[str], children: list[list[int]]) -> list[int]:
+        """The kind of each node; children have larger numbers than their parents."""
+        out = [0] * len(labels)
+        for n in range(len(labels) - 1, -1, -1):
+            kids = tuple(out[c] for c in children[n])
+            k = out[n] = self.ids.setdefault((labels[n], kids), len(self.label))
+            if k == len(self.label):
+                self.label.append(labels[n])
+                self.kids.append(kids)
+                self.weight.append(1 + sum(self.weight[c] for c in kids))
+        return out
+
+    def size(self, x: int, y: int) -> int | None:
+        """The largest alignment of two kinds; None where it is not made yet."""
+        if x == y:
+            return self.weight[x]
+        if self.label[x] != self.label[y]:
+            return 0
+        return self.made.get((x, y)) if self.kids[x] and self.kids[y] else 1
+
+    def ends(self, x: int, y: int) -> tuple[int, int]:
+        """How many children are equal from the start, and then from the end: some largest alignment pairs these."""
+        p, q = self.kids[x], self.kids[y]
+        n = min(len(p), len(q))
+        a = next((i for i in range(n) if p[i] != q[i]), n)
+        return a, next((i for i in range(n - a) if p[-1 - i] != q[-1 - i]), n - a)
+
+    def middle(self, x: int, y: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        a, b = self.ends(x, y)
+        return self.kids[x][a : len(self.kids[x]) - b], self.kids[y][a : len(self.kids[y]) - b]
+
+    def solve(self, x: int, y: int) -> None:
+        """Make the size of (x, y) and of all pairs below it, without recursion."""
+        todo = [(x, y)]
+        while todo:
+            x, y = todo[-1]
+            if self.size(x, y) is not None:
+                todo.pop()
+                continue
+            p, q = self.middle(x, y)
+            by_label: dict[str, list[int]] = {}
+            for v in set(q):
+                by_label.setdefault(self.label[v], []).append(v)
+            wait = [(u, v) for u in set(p) for v in by_label.get(self.label[u], ()) if self.size(u, v) is None]
+            if wait:
+                todo += wait
+                continue
+            equal = sum(self.weight[k] for k in self.kids[x]) - sum(self.weight[k] for k in p)
+            self.made[x, y] = 1 + equal + int(self.rows(p, q)[-1][-1])
+            todo.pop()
+
+    def rows(self, p: tuple[int, ...], q: tuple[int, ...], keep: bool = False) -> list[np.ndarray]:
+        """Rows of the table of best sizes over starts of p and q: all, or the last one."""
+        places: dict[str, list[int]] = {}
+        for j, v in enumerate(q):
+            places.setdefault(self.label[v], []).append(j)
+        gains: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        out = [np.zeros(len(q) + 1, np.int32)]
+        for u in p:
+            if u not in gains:
+                at = places.get(self.label[u], [])
+                gains[u] = np.array(at, np.int64), np.array([self.size(u, q[j]) for j in at], np.int32)
+            at, gain = gains[u]
+            row = out[-1].copy()
+            row[at + 1] = np.maximum(row[at + 1], out[-1][at] + gain)
+            row = np.maximum.accumulate(row)
+            if not keep:
+                out.clear()
+            out.append(row)
+        return out
+
+    def align(self, p: tuple[int, ...], q: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of p and q that a largest alignment pairs."""
+        pairs, todo = [], [(0, len(p), 0, len(q))]
+        while todo:
+            a, b, c, d = todo.pop()
+            if (b - a) * (d - c) > CELLS and b - a > 1:
+                mid = (a + b) // 2
+                k = c + int(np.argmax(self.rows(p[a:mid], q[c:d])[-1] + self.rows(p[mid:b][::-1], q[c:d][::-1])[-1][::-1]))
+                todo += [(a, mid, c, k), (mid, b, k, d)]
+                continue
+            best, i, j = self.rows(p[a:b], q[c:d], True), b - a, d - c
+            while i and j:
+                gain = self.size(p[a + i - 1], q[c + j - 1])
+                if gain and best[i][j] == best[i - 1][j - 1] + gain:
+                    i, j = i - 1, j - 1
+                    pairs.append((a + i, c + j))
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return pairs
+
+
 def match(a: tuple[list[str], list[list[int]]], b: tuple[list[str], list[list[int]]]) -> dict[int, int]:
     """Simple tree matching: the largest alignment of two trees that keeps labels, parents and order.
 
     Trees are (labels, children); the result takes nodes of a to nodes of b.
     """
-    (la, ca), (lb, cb) = a, b
-    made: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def size(x: int, y: int) -> int:
-        if la[x] != lb[y]:
-            return 0
-        if (x, y) not in made:
-            p, q = ca[x], cb[y]
-            if not p or not q:
-                made[x, y] = (1, [])
-            elif len(p) * len(q) > CELLS:
-                pairs, j = [], 0
-                for u in p:
-                    k = next((k for k in range(j, min(len(q), j + 50)) if la[u] == lb[q[k]]), None)
-                    if k is not None:
-                        pairs.append((u, q[k]))
-                        j = k + 1
-                made[x, y] = (1 + sum(size(u, v) for u, v in pairs), pairs)
-            else:
-                best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-                gain = [[size(u, v) for v in q] for u in p]
-                for i in range(1, len(p) + 1):
-                    for j in range(1, len(q) + 1):
-                        best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + gain[i - 1][j - 1])
-                pairs, i, j = [], len(p), len(q)
-                while i and j:
-                    if gain[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + gain[i - 1][j - 1]:
-                        i, j = i - 1, j - 1
-                        pairs.append((p[i], q[j]))
-                    elif best[i][j] == best[i - 1][j]:
-                        i -= 1
-                    else:
-                        j -= 1
-                made[x, y] = (1 + best[-1][-1], pairs)
-        return made[x, y][0]
-
+    kinds = _Kinds()
+    ka, kb = kinds.of(*a), kinds.of(*b)
     out: dict[int, int] = {}
-    if size(0, 0):
-        todo = [(0, 0)]
-        while todo:
-            x, y = todo.pop()
-            out[x] = y
-            todo += made[x, y][1]
+    todo = [(0, 0)] if a[0][0] == b[0][0] else []
+    while todo:
+        x, y = todo.pop()
+        out[x] = y
+        p, q, (i, j) = a[1][x], b[1][y], kinds.ends(ka[x], kb[y])
+        todo += zip(p[:i], q[:i])
+        todo += zip(p[len(p) - j :], q[len(q) - j :])
+        if i + j < min(len(p), len(q)):
+            kinds.solve(ka[x], kb[y])
+            todo += [(p[i + m], q[i + n]) for m, n in kinds.align(*kinds.middle(ka[x], kb[y]))]
     return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkassay.llm import htmltext
+from sparkassay.llm import dom, htmltext
 from sparkassay.llm.dom import match, parse
 
 
@@ -92,6 +94,34 @@ def test_records_are_one_node():
     assert len(page.label) == 5 and len(page.pieces) == 100
 
 
+def test_deep_nesting(spark):
+    deep = lambda inside: "<div>" * 70 + inside + "</div>" * 70
+    page = f"<body><div id=page><article><p>First.</p>{deep('<p>Deep.</p><nav>Menu</nav><div class=share>Share</div>')}<p>Second.</p></article></div><p>Outside</p>"
+    assert run(spark, [(1, "http://a/1", page)])[1].text == "First.\nDeep.\nSecond."
+
+
+def test_wide_and_deep_trees():
+    rng = random.Random(4)
+    p, q = ([rng.choice("abcdefgh") for _ in range(n)] for n in (260, 300))
+    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i, x in enumerate(p):
+        for j, y in enumerate(q):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x == y))
+    wide = lambda kids: (["r", *kids], [list(range(1, len(kids) + 1)), *([] for _ in kids)])
+    assert len(match(wide(p), wide(q))) == 1 + best[-1][-1]
+    chain = lambda n, last: (["d"] * (n - 1) + [last], [[i + 1] for i in range(n - 1)] + [[]])
+    assert len(match(chain(5000, "x"), chain(5000, "y"))) == 4999
+
+
+def test_halved_alignment(monkeypatch):
+    rng = random.Random(6)
+    tree = lambda n: flat(("r", [(rng.choice("ab"), [(rng.choice("ab"), []) for _ in range(rng.randint(0, 2))]) for _ in range(n)]))
+    pairs = [(tree(40), tree(50)) for _ in range(20)]
+    whole = [len(match(a, b)) for a, b in pairs]
+    monkeypatch.setattr(dom, "CELLS", 9)
+    assert [len(match(a, b)) for a, b in pairs] == whole
+
+
 def test_template_inside_articles(spark):
     page = lambda i: f"<body><article><h1>Title {i}</h1><div class=strap>Read by everyone in town</div><p>Story {i}.</p></article><article><p>More of {i}.</p></article></body>"
     rows = [(0, "http://s.example/0", ""), *((i, f"http://s.example/{i}", page(i)) for i in range(1, 9))]
