@@ -82,6 +82,10 @@ def whitespace_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.sha256(T.joined_key("text")).alias("joined_digest"), T.collapsed_digest("text").alias("collapsed_digest"))
 
 
+#: Short heads of questions that stand in one row.
+HEADS = 256
+
+
 @query(f"""
 with {b.SQL_HITS}, truth as (
     select b.item_id as question_id, d.doc_id, d.lang from benchmark b join documents d on contains(d.text, substring(b.text, 1, 80))
@@ -97,10 +101,20 @@ def source_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     # the second to fourth whole words of the head stand in any text that holds it
     words = lambda x: F.filter(F.split(x, r"[\s\p{Z}]+"), lambda w: w != "")
-    q = q.withColumn("key", F.array_join(F.slice(words(F.col("head")), 2, 3), " ")).filter(F.size(words(F.col("head"))) >= 5)
+    long = F.size(words(F.col("head"))) >= 5
+    short = q.filter(~F.coalesce(long, F.lit(False)) & F.col("head").isNotNull())
+    q = q.filter(long).withColumn("key", F.array_join(F.slice(words(F.col("head")), 2, 3), " "))
     grams = d.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("key"))
     near = grams.join(q, "key").select("doc_id", "question_id", "head")
     truth = near.join(d, "doc_id").filter(F.contains("text", "head")).select("question_id", "doc_id", "lang")
+    # heads of fewer words have no such key: documents meet all of them, in blocks of bounded size
+    blocks = -(-short.count() // HEADS)
+    if blocks:
+        block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+        held = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("question_id", "head")).alias("heads"))
+        each = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(held, "block")
+        found = each.withColumn("heads", F.filter("heads", lambda h: F.contains(F.col("text"), h["head"])))
+        truth = truth.unionByName(found.select(F.explode("heads.question_id").alias("question_id"), "doc_id", "lang"))
     return retrieval.source_hits(hits(spark, sf_dir), truth, "lang")
 
 
