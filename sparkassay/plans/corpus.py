@@ -82,8 +82,8 @@ def whitespace_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.sha256(T.joined_key("text")).alias("joined_digest"), T.collapsed_digest("text").alias("collapsed_digest"))
 
 
-#: Short heads of questions that stand in one row.
-HEADS = 256
+#: Short heads of questions, and vectors of questions, that stand in one row.
+HEADS = VECTORS = 256
 
 
 @query(f"""
@@ -217,8 +217,9 @@ def evidence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("question_id"), F.col("v").alias("q"))
     # the stated questions against all vectors, question by question within a block of them
     score = lambda q, v: F.round(F.aggregate(F.zip_with(q, v, lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x), 6)
-    blocks = asked.groupBy((F.col("question_id") % 8).alias("block")).agg(F.collect_list(F.struct("question_id", "q")).alias("asked"))
-    each = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7)))).join(blocks, "block")
+    n = max(8, -(-asked.count() // VECTORS))
+    blocks = asked.groupBy(F.pmod("question_id", F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("question_id", "q")).alias("asked"))
+    each = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
     scored = F.filter("asked", lambda a: a["question_id"] != F.col("vec_id"))
     pairs = each.select("vec_id", "v", F.explode(scored).alias("a")).select("a.question_id", "vec_id", score(F.col("a.q"), F.col("v")).alias("score"))
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "vec_id")

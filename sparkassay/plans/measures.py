@@ -40,9 +40,9 @@ _PHASE = "case when iteration % 2 = 1 then 'fixed_seed_reproducibility' else 'va
 
 @query(f"select {_DAY} as iteration, max(case when event_type <> 'view' then value end) as gpu_peak, max(case when event_type = 'none' then value end) as memory_peak from events group by {_DAY}")
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of an iteration as an array, null where a sampler failed; peaks skip nulls."""
-    samples = table(spark, sf_dir, "events").groupBy(F.expr(_DAY).alias("iteration")).agg(F.collect_list(F.struct(F.when(F.col("event_type") != "view", F.col("value")).alias("gpu"), F.when(F.col("event_type") == "none", F.col("value")).alias("memory"))).alias("samples"))
-    return samples.select("iteration", F.explode("samples").alias("s")).groupBy("iteration").agg(F.max("s.gpu").alias("gpu_peak"), F.max("s.memory").alias("memory_peak"))
+    """A sample is null where a sampler failed; peaks skip nulls."""
+    gpu, memory = F.when(F.col("event_type") != "view", F.col("value")), F.when(F.col("event_type") == "none", F.col("value"))
+    return table(spark, sf_dir, "events").groupBy(F.expr(_DAY).alias("iteration")).agg(F.max(gpu).alias("gpu_peak"), F.max(memory).alias("memory_peak"))
 
 
 @query(f"select phase, count(*) as n from (select {_PHASE} as phase from (select distinct {_DAY} as iteration from events)) group by phase")

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sparkassay.plans import corpus
-from tests.test_queries import plain
+from tests.test_queries import TABLES, duck, plain, pytestmark  # noqa: F401
 
 
 @pytest.mark.parametrize("size", [256, 2])
@@ -23,3 +23,12 @@ def test_sources_of_short_heads(spark, tmp_path, monkeypatch, size):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
     want = plain(con.execute(entry.oracle_sql()["source_hit_at_k"]).df())
     assert plain(entry.queries()["source_hit_at_k"](spark, str(tmp_path)).toPandas()) == want
+
+
+def test_blocks_follow_the_questions(spark, duck, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(corpus, "VECTORS", 2)
+    assert plain(entry.queries()["evidence_pool"](spark, TABLES).toPandas()) == plain(duck.execute(entry.oracle_sql()["evidence_pool"]).df())
+
+
+def test_peaks_gather_nothing(spark):
+    assert "collect_list" not in entry.queries()["peaks"](spark, TABLES)._jdf.queryExecution().toString()
