@@ -6,33 +6,40 @@ maximisation estimates the proportions.  The language set is chosen by penalised
 nested by proportion are compared, and a further language must raise the log likelihood by more than
 penalty * log(n-grams).  The prediction is the language with the largest share of the chosen set.
 
-Cases: null texts and texts without a letter are `und` with score 0, and so is every text when
-nothing can be learned from.  A null language is not learned from.  Ties go to the language that sorts
-first.  Repeated documents count, and are predicted, once each.
+The log likelihood is concave in the proportions s: with g(k) the mean of p(k) / p(mixture) over the n-grams, no mixture
+exceeds the present one by more than n * log(max g).  Rounds go on until this bound is within TOLERANCE or shows on
+which side of the penalty the maximum lies, so their number is no setting.
+
+The model takes 128 KB a language, whatever the corpus; the estimation holds VALUES values at once for any number of languages.
+
+Cases: null texts and texts without a letter (a character of Unicode category L) are `und` with score 0, and so
+is every text when nothing can be learned from.  A null language is not learned from.  Ties go to the language that
+sorts first.  Repeated documents count, and are predicted, once each.  A very long text is held as the counts of its distinct
+n-grams, 32,768 at most.  An empty table gives no rows.  Other columns of any name pass through; columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.llm.frames import carried, with_columns
 from sparkassay.llm.words import ALNUM, LOWER, rows, slices, utf8
 
 ORDER = 4
 BINS = 1 << 15
-#: Most languages that a model holds: 256 * BINS 4-byte values are 32 MB.
-MAX_LANGUAGES = 256
-ROUNDS = 8
 PENALTY = 1.0
 SMOOTHING = 0.5
-#: Bytes of text in one run of the estimation.
-SLICE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: Estimation ends when no mixture can have a log likelihood greater by this, or when more would not change the decision.
+TOLERANCE = 0.05
+#: Bytes of text in one run of the estimation, and values (n-grams x languages) that it holds at once.
+SLICE, VALUES = 1 << 18, 1 << 21
+_LETTER = regex.compile(r"\p{L}")
 _KEPT = ALNUM.copy()
 _KEPT[0x30:0x3A] = False
 
@@ -109,28 +116,33 @@ class Model:
         self.p = np.ascontiguousarray(p.T.astype(np.float32))  # a row for each n-gram
         self.log = np.log(self.p)
 
-    def proportions(self, p: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(proportions, log likelihood) of each document by expectation-maximisation."""
-        first = np.cumsum(size) - size
-        share = np.full((len(size), p.shape[1]), 1 / p.shape[1], np.float32)
-        for _ in range(ROUNDS):
-            w = p * np.repeat(share, size, axis=0)
-            w /= w.sum(1, keepdims=True)
-            share = np.add.reduceat(w, first, axis=0) / size[:, None].astype(np.float32)
-        w = (p * np.repeat(share, size, axis=0)).sum(1)
-        return share, np.add.reduceat(np.log(w), first, dtype=np.float64)
-
-    def infer(self, bins: np.ndarray, size: np.ndarray, penalty: float) -> list[tuple[int, float, dict[int, float]]]:
+    def infer(self, bins: np.ndarray, size: np.ndarray, penalty: float) -> Iterator[tuple[int, float, dict[int, float]]]:
         """(language, score, proportions of the chosen set) of each document."""
+        ends, i = np.cumsum(size), 0
+        room = max(1, VALUES // len(self.names))
+        while i < len(size):
+            begin = int(ends[i] - size[i])
+            j = max(i + 1, int(np.searchsorted(ends, begin + room, "right")))
+            part, times = bins[begin : int(ends[j - 1])], None
+            n = size[i:j]
+            if j == i + 1 and n[0] > BINS:
+                counts = np.bincount(part, minlength=BINS)
+                part = np.flatnonzero(counts)
+                times, n = counts[part].astype(np.float32), np.array([len(part)])
+            yield from self._infer(part, n, times, penalty)
+            i = j
+
+    def _infer(self, bins: np.ndarray, size: np.ndarray, times: np.ndarray | None, penalty: float) -> Iterator[tuple[int, float, dict[int, float]]]:
         first = np.cumsum(size) - size
-        p = self.p[bins]
-        alone = np.add.reduceat(self.log[bins], first, axis=0, dtype=np.float64)
-        share, full = self.proportions(p, size)
+        log = self.log[bins] if times is None else self.log[bins] * times[:, None]
+        alone = np.add.reduceat(log, first, axis=0, dtype=np.float64)
+        total = size.astype(np.float64) if times is None else np.array([times.sum(dtype=np.float64)])
         best = alone.argmax(1)
-        cost = penalty * np.log(np.maximum(size, 2))
+        cost = penalty * np.log(np.maximum(total, 2))
         relative = np.exp(alone - alone.max(1, keepdims=True))
         relative /= relative.sum(1, keepdims=True)
-        out = []
+        p = self.p[bins]
+        share, full = proportions(p, size, times, alone.max(1) + cost)
         for i, lang in enumerate(best.tolist()):
             chosen = {lang: 1.0}
             # the whole mixture is the best any set can do
@@ -138,14 +150,48 @@ class Model:
                 order = np.argsort(-share[i], kind="stable").tolist()
                 rows, reached = p[first[i] : first[i] + size[i]], alone[i, lang]
                 for k in range(2, len(order) + 1):
-                    part, found = self.proportions(np.ascontiguousarray(rows[:, order[:k]]), size[i : i + 1])
+                    part, found = proportions(np.ascontiguousarray(rows[:, order[:k]]), size[i : i + 1], times)
                     if found[0] - reached <= cost[i]:
                         break
                     reached, chosen = found[0], {order[x]: float(part[0, x]) for x in range(k)}
                 lang = min(chosen, key=lambda x: (-chosen[x], x))
             sure = relative[i, lang] if len(chosen) == 1 else 1.0
-            out.append((lang, min(1.0, max(0.0, chosen[lang] * float(sure))), chosen))
-        return out
+            yield lang, min(1.0, max(0.0, chosen[lang] * float(sure))), chosen
+
+
+def proportions(p: np.ndarray, size: np.ndarray, times: np.ndarray | None = None, line: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log likelihood) of each document by expectation-maximisation.
+
+    p: the probability of each n-gram in each language; size: n-grams of each document; times: how often each occurs.
+    Documents whose maximum is shown to be on one side of `line` are not estimated further.
+    """
+    share = np.full((len(size), p.shape[1]), 1 / p.shape[1], np.float64)
+    reached = np.empty(len(size))
+    live = np.arange(len(size))
+    while len(live):
+        first = np.cumsum(size) - size
+        now = share[live]
+        mixed = np.einsum("ij,ij->i", p, np.repeat(now.astype(np.float32), size, axis=0))
+        part = p / mixed[:, None]
+        logs = np.log(mixed)
+        if times is not None:
+            part *= times[:, None]
+            logs *= times
+        total = size if times is None else times.sum(dtype=np.float64)
+        g = np.add.reduceat(part, first, axis=0, dtype=np.float64) / np.reshape(total, (-1, 1))
+        found = np.add.reduceat(logs, first, dtype=np.float64)
+        reached[live] = found
+        slack = total * np.log(np.maximum(g.max(1), 1.0))
+        # steps beyond what 4-byte probabilities tell are no progress
+        done = (slack <= TOLERANCE) | (np.abs(now * g - now).max(1) <= 1e-6)
+        if line is not None:
+            done |= found + slack <= line[live]
+        share[live[~done]] = (now * g)[~done]
+        if done.any():
+            keep = np.repeat(~done, size)
+            p, times = p[keep], times if times is None else times[keep]
+            live, size = live[~done], size[~done]
+    return share, reached
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -155,8 +201,6 @@ def train(docs: DataFrame) -> Model | None:
     table = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = table.toArrow()
     names = sorted(table["lang"].unique().to_pylist())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is bounded at {MAX_LANGUAGES}")
     if not names:
         return None
     dense = np.zeros((len(names), BINS))
@@ -165,6 +209,10 @@ def train(docs: DataFrame) -> Model | None:
     return Model(names, dense)
 
 
+_ADDED = "lang_pred string, score double, mixture map<string,double>"
+_NAMES = [c.split()[0] for c in _ADDED.split(", ")]
+
+
 def _predict(model: object, penalty: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.value
@@ -179,8 +227,7 @@ def _predict(model: object, penalty: float) -> Callable:
                         if has[i]:
                             lang[i], score[i] = made.names[best], s
                             mixture[i] = [(made.names[x], v) for x, v in sorted(chosen.items(), key=lambda y: (-y[1], y[0]))]
-            keep = [i for i, c in enumerate(batch.schema.names) if c not in ("lang_pred", "score", "mixture")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.map_(pa.string(), pa.float64()))], names=[*(batch.schema.names[i] for i in keep), "lang_pred", "score", "mixture"])
+            yield with_columns(batch, _NAMES, [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.map_(pa.string(), pa.float64()))])
 
     return run
 
@@ -188,9 +235,7 @@ def _predict(model: object, penalty: float) -> Callable:
 def identify(docs: DataFrame, learn_from: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """docs (text, ...) with lang_pred, score and mixture (language to proportion of the chosen set)."""
     model = docs.sparkSession.sparkContext.broadcast(train(learn_from))
-    docs = docs.drop("lang_pred", "score", "mixture").withColumn("text", F.col("text").cast("string"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predict(model, penalty), f"{names}, lang_pred string, score double, mixture map<string,double>")
+    return carried(docs, _ADDED).to_arrow(_predict(model, penalty), _ADDED)
 
 
 def report(docs: DataFrame, penalty: float = PENALTY) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.llm.frames import carried, with_columns
 from sparkassay.llm.words import ALNUM, U64, Words, scan
 
 MIN_MATCH = 4
@@ -225,16 +226,14 @@ def _scan(scanner: object) -> Callable:
                 for c, v in zip(out, row):
                     c.append(v)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), kind]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(out, kinds))], names=[*batch.schema.names, *_NAMES])
+            yield with_columns(batch, _NAMES, [pa.array(c, k) for c, k in zip(out, kinds)])
 
     return run
 
 
 def scan_licences(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """docs (text, ...) with word counts, base places, labels, score and spans."""
-    docs = docs.drop(*_NAMES).withColumn("text", F.col("text").cast("string"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(scanner or Scanner())), f"{names}, {_ADDED}")
+    return carried(docs, _ADDED).to_arrow(_scan(docs.sparkSession.sparkContext.broadcast(scanner or Scanner())), _ADDED)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -1,17 +1,19 @@
 """Operator 3 - removal of lines that many documents share.
 
-A sharded minimal perfect hash over the distinct repeated line hashes indexes arrays of fingerprints,
+A sharded minimal perfect hash over the distinct line hashes that recur indexes compact arrays of fingerprints,
 counts and keepers; documents probe these arrays instead of joining their lines.
 
 1. Each document gives its distinct line keys as 128-bit hashes; one aggregation, combined before its
    shuffle, counts the documents of each and finds the largest doc_id.
-2. Hashes that reach min_docs go to shards by their first bits; a task builds each shard's arrays.
-3. While all arrays fit INDEX_BYTES they are broadcast and documents probe them where they are read.
-   Beyond it, each shard's arrays meet the line hashes of that shard only, split by salt.
+2. Hashes of two or more documents go to shards by their first bits; a task builds each shard's arrays.
+3. While all arrays fit INDEX_BYTES they are broadcast and documents probe them where they are read: a line goes if its
+   count reaches min_docs and its keeper is another.  Beyond it, each shard's arrays meet the line hashes of that
+   shard only, split by salt.
 
 Cases: a null or empty text is one empty line.  Each row is a document; rows that repeat a doc_id
 count once each, and all rows of the largest doc_id keep the line.  A null doc_id counts as the
-smallest.  An empty table gives no rows.  Other columns pass through `dedup`.
+smallest.  An empty table gives no rows.  A very long text is cut by line and probed at once; its lines are held in memory, no
+other document's are.  Other columns of any name pass through `dedup`; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.llm.frames import carried, with_columns
 from sparkassay.llm.store import written
 from sparkassay.llm.words import rows as few
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Most bytes of arrays that are sent to every executor.
 INDEX_BYTES = 32 << 20
+#: Lines of fewer documents are in no array.
+RECURS = 2
 #: Line hashes of a shard, and probes that meet a shard in one task.
 SHARD_KEYS, SHARD_PROBES = 200_000, 500_000
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -103,15 +108,18 @@ class Shard:
     def __init__(self, row: dict) -> None:
         self.hash = PerfectHash.load(row["bits"], row["sizes"])
         self.fingerprint = np.frombuffer(row["fingerprints"], U64)
-        self.count = np.frombuffer(row["counts"], np.int64)
+        self.count = np.frombuffer(row["counts"], "<u4")
         self.keeper = np.frombuffer(row["keepers"], np.int64)
 
-    def probe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Number of each line hash (a, b) in the arrays, or -1."""
+    def drops(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, min_docs: int) -> np.ndarray:
+        """Whether documents lose the line hashes (a, b)."""
         at = self.hash.index(a ^ (b << U64(1)))
-        hit = at >= 0
-        hit[hit] = self.fingerprint[at[hit]] == b[hit]
-        return np.where(hit, at, -1)
+        hit = np.flatnonzero(at >= 0)
+        at = at[hit]
+        gone = (self.fingerprint[at] == b[hit]) & (self.count[at] >= min_docs) & (self.keeper[at] != doc[hit])
+        out = np.zeros(len(a), bool)
+        out[hit] = gone
+        return out
 
 
 _SHARD = "shard int, bits binary, sizes array<int>, fingerprints binary, counts binary, keepers binary"
@@ -126,7 +134,7 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     order = np.empty(len(keys), np.int64)
     order[function.index(keys)] = np.arange(len(keys))
     bits, sizes = function.dump()
-    row = {"shard": [key[0].as_py()], "bits": [bits], "sizes": [sizes], "fingerprints": [b[order].tobytes()], "counts": [n[order].tobytes()], "keepers": [keeper[order].tobytes()]}
+    row = {"shard": [key[0].as_py()], "bits": [bits], "sizes": [sizes], "fingerprints": [b[order].tobytes()], "counts": [np.minimum(n[order], (1 << 32) - 1).astype("<u4").tobytes()], "keepers": [keeper[order].tobytes()]}
     return pa.table(row, pa.schema([("shard", pa.int32()), ("bits", pa.binary()), ("sizes", pa.list_(pa.int32())), ("fingerprints", pa.binary()), ("counts", pa.binary()), ("keepers", pa.binary())]))
 
 
@@ -162,10 +170,10 @@ def _distinct(min_chars: int) -> Callable:
     return run
 
 
-def line_counts(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(a, b, n, keeper): hashes of lines in at least min_docs documents."""
+def line_counts(docs: DataFrame, min_chars: int, least: int) -> DataFrame:
+    """(a, b, n, keeper): hashes of lines in at least so many documents."""
     lines = docs.mapInArrow(_distinct(min_chars), "a bigint, b bigint, doc_id bigint")
-    return lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
+    return lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= least)
 
 
 def _result(texts: list, ids: np.ndarray, min_chars: int, drops: Callable) -> tuple[list, list, list]:
@@ -187,12 +195,11 @@ _ADDED = "n_lines bigint, n_dropped bigint, kept_text string"
 
 
 def _append(batch: pa.RecordBatch, n: list, dropped: list, kept: list) -> pa.RecordBatch:
-    keep = [i for i, c in enumerate(batch.schema.names) if not c.startswith("__")]
     text = pa.array(kept, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), text], names=[*(batch.schema.names[i] for i in keep), "n_lines", "n_dropped", "kept_text"])
+    return with_columns(batch, ["n_lines", "n_dropped", "kept_text"], [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), text], without=("row", "gone"))
 
 
-def _probe_all(rows: object, shards: int, min_chars: int) -> Callable:
+def _probe_all(rows: object, shards: int, min_chars: int, min_docs: int) -> Callable:
     """Probe broadcast arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +209,7 @@ def _probe_all(rows: object, shards: int, min_chars: int) -> Callable:
             gone, shard = np.zeros(len(a), bool), a.view(np.int64) % shards
             for s, x in index.items():
                 mine = np.flatnonzero(shard == s) if shards > 1 else np.arange(len(a))
-                at = x.probe(a[mine], b[mine])
-                hit = at >= 0
-                gone[mine[hit]] = x.keeper[at[hit]] != doc[mine[hit]]
+                gone[mine] = x.drops(a[mine], b[mine], doc[mine], min_docs)
             return gone
 
         for batch in few(batches):
@@ -219,29 +224,30 @@ def _requests(shards: int, min_chars: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
-            row = batch.column("__row").to_numpy()
+            row = batch.column("row").to_numpy()
             found = [_keys(t, min_chars)[2] for t in batch.column("text").to_pylist()]
             a, b = _halves([h for x in found for h in x])
             per = [len(x) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array((a.view(np.int64) % shards).astype(np.int32)), pa.array(np.repeat(row, per)), pa.array(np.repeat(batch.column("doc_id").fill_null(_NONE).to_numpy(), per)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                names=["shard", "__row", "doc_id", "a", "b"],
+                names=["shard", "row", "doc_id", "a", "b"],
             )
 
     return run
 
 
-def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+def _answer(min_docs: int) -> Callable:
     """Probe one shard: the hashes of each row that its document loses."""
-    kinds = pa.schema([("__row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    if not left.num_rows or not right.num_rows:
-        return kinds.empty_table()
-    shard = Shard(right.slice(0, 1).to_pylist()[0])
-    a, b, doc = (left[c].to_numpy() for c in ("a", "b", "doc_id"))
-    at = shard.probe(a.view(U64), b.view(U64))
-    gone = at >= 0
-    gone[gone] = shard.keeper[at[gone]] != doc[gone]
-    return left.filter(pa.array(gone)).select(["__row", "a", "b"]).cast(kinds)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = pa.schema([("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        shard = Shard(right.slice(0, 1).to_pylist()[0])
+        a, b, doc = (left[c].to_numpy() for c in ("a", "b", "doc_id"))
+        return left.filter(pa.array(shard.drops(a.view(U64), b.view(U64), doc, min_docs))).select(["row", "a", "b"]).cast(kinds)
+
+    return run
 
 
 def _apply(min_chars: int) -> Callable:
@@ -249,7 +255,7 @@ def _apply(min_chars: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
-            gone = batch.column("__gone").to_pylist()
+            gone = batch.column("gone").to_pylist()
             texts = batch.column("text").to_pylist()
             n, dropped, kept = [], [], []
             for text, out in zip(texts, gone):
@@ -271,26 +277,25 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     """docs (doc_id, text, ...) with n_lines, n_dropped and kept_text."""
     spark = docs.sparkSession
     two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = written(line_counts(two, min_chars, min_docs), "lines")
+    counts = written(line_counts(two, min_chars, min(RECURS, min_docs)), "lines")
     keys = counts.count()
     shards = max(1, -(-keys // SHARD_KEYS))
     index = written(counts.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_build, _SHARD), "index")
-    docs = docs.drop("n_lines", "n_dropped", "kept_text").withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    held = carried(docs, _ADDED)
     size = index.agg(F.sum(sum((F.length(c) for c in ("bits", "fingerprints", "counts", "keepers")), F.lit(0)))).first()[0] or 0
     if size <= index_bytes:
         rows = spark.sparkContext.broadcast([r.asDict() for r in index.collect()])
-        return docs.mapInArrow(_probe_all(rows, shards, min_chars), f"{names}, {_ADDED}")
-    probes = docs.withColumn("__row", F.monotonically_increasing_id())
+        return held.to_arrow(_probe_all(rows, shards, min_chars, min_docs), _ADDED)
+    probes = held.df.withColumn("row", F.monotonically_increasing_id())
     probes = written(probes, "documents")  # row numbers must not change between the two readings
-    lines = written(probes.mapInArrow(_requests(shards, min_chars), "shard int, __row bigint, doc_id bigint, a bigint, b bigint"), "probes")
+    lines = written(probes.mapInArrow(_requests(shards, min_chars), "shard int, row bigint, doc_id bigint, a bigint, b bigint"), "probes")
     # a shard with a hot line is met by its probes in as many tasks as they need
     salts = lines.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_PROBES).cast("int").alias("salts"))
-    salted = lines.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("__row"), F.col("salts")).cast("int")).drop("salts")
+    salted = lines.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).drop("salts")
     spread = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    gone = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(_answer, "__row bigint, a bigint, b bigint")
-    gone = gone.groupBy("__row").agg(F.collect_set(F.struct("a", "b")).alias("__gone"))
-    return probes.join(gone, "__row", "left").mapInArrow(_apply(min_chars), f"{names}, {_ADDED}")
+    gone = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(_answer(min_docs), "row bigint, a bigint, b bigint")
+    gone = gone.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    return held.to_arrow(_apply(min_chars), _ADDED, probes.join(gone, "row", "left"))
 
 
 def report(docs: DataFrame, **options: int) -> DataFrame:

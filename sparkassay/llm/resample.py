@@ -1,15 +1,16 @@
 """Operator 8 - quality by importance resampling.
 
 Two generative models of hashed word n-grams are counted: of target texts (labelled good) and of all raw
-texts.  A document's log ratio is the mean log(target / raw) of its n-grams, scaled to a span of SPAN
-n-grams.  Adding Gumbel noise and taking the k largest samples k documents without replacement, in
-proportion to their weights.  The noise is a hash of the document, so the sample can be repeated.
+texts.  A document's log ratio is log(target / raw) of its whole text: the sum over its n-grams.  Adding Gumbel noise and
+taking the k largest samples k documents without replacement, in proportion to the ratio of the two models.
+The noise is a hash of the document, so the sample can be repeated.
 
 Raw counts cover all documents.  Target labels are learned from at most MAX_LABELLED documents, those
 with the smallest hash of doc_id, so their ids go to all executors in bounded size.
 
 Cases: a null or empty text has log ratio 0.  Equal keys at the last place are all taken, as are repeated
-rows.  Without labels every log ratio is 0.  Null labels or ids teach nothing.  Empty tables give no rows.
+rows.  Without labels every log ratio is 0.  Null labels or ids teach nothing.  Empty tables give no rows.  A very long
+text counts whole and is scanned alone; its log ratio is as large as it is long.  Columns besides those named, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from sparkassay.llm.words import NOT_SPACE, U64, Words, mix, scan
 
 BITS = 14
 MAX_LABELLED = 50_000
-SPAN = 128
 #: Share of all documents that the sample takes.
 SHARE = 0.8
 SEED = 1
@@ -72,15 +72,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.nd
     return np.log(p[1]) - np.log(p[0])
 
 
-def _weigh(ratio: object, span: int) -> Callable:
+def _weigh(ratio: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratio.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for w in scan(batch.column("text"), NOT_SPACE):
                 bin_, doc = bins(w)
-                n = np.bincount(doc, minlength=w.n)
-                out[w.first : w.first + w.n] = span * np.bincount(doc, table[bin_], minlength=w.n) / np.maximum(n, 1)
+                out[w.first : w.first + w.n] = np.bincount(doc, table[bin_], minlength=w.n)
             keep = [i for i, c in enumerate(batch.schema.names) if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out)], names=[*(batch.schema.names[i] for i in keep), "log_ratio"])
 
@@ -103,7 +102,7 @@ def kth_largest(values: DataFrame, k: int, cells: int = 1 << 12) -> int:
     return lo
 
 
-def sample(docs: DataFrame, labels: DataFrame, share: float = SHARE, span: int = SPAN, seed: int = SEED) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
     """(doc_id, log_ratio, gumbel_key, selected) of every row of docs (doc_id, text).
 
     labels (doc_id, quality) are the ones to learn from.  Keys are compared to RESOLUTION of their value.
@@ -113,7 +112,7 @@ def sample(docs: DataFrame, labels: DataFrame, share: float = SHARE, span: int =
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
     noisy = plain.withColumn("noise", -F.ln(-F.ln(uniform)))
-    weighed = noisy.mapInArrow(_weigh(ratio, span), "doc_id bigint, noise double, log_ratio double")
+    weighed = noisy.mapInArrow(_weigh(ratio), "doc_id bigint, noise double, log_ratio double")
     keyed = weighed.select("doc_id", "log_ratio", (F.col("log_ratio") + F.col("noise")).alias("gumbel_key"))
     keyed = written(keyed.withColumn("rank_key", F.floor(F.col("gumbel_key") / RESOLUTION).cast("bigint")), "keys")
     n = keyed.count()

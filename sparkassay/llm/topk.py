@@ -7,11 +7,13 @@ shards, then over all.  Products are exact: in 64-bit floats while no sum can re
 Cases: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows with a null
 id; vectors meet those of their own length only.  All rows with a query's id count as its own.  A query
 id on several rows is one query, by the vector that sorts first.  Equal rows are candidates each.  A
-score beyond 64 bits is cut to the nearest 64-bit number after ranking.
+score beyond 64 bits is cut to the nearest 64-bit number after ranking.  Empty tables give no rows.  Columns besides vec_id
+and embedding, of any name, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 K = 10
 SCALE = 1024
-#: Rows of a shard and of a block of queries, at most; smaller tables have up to LEAST_SHARDS shards.
-SHARD, BLOCK, LEAST_SHARDS, SMALLEST = 262_144, 32_768, 64, 1024
+#: Bytes of doubles of a shard and of a block of queries, at most; smaller tables have up to LEAST_SHARDS shards of SMALLEST rows.
+SHARD, BLOCK, LEAST_SHARDS, SMALLEST = 128 << 20, 16 << 20, 64, 1024
 #: Rows and columns of a tile.
 TILE_QUERIES, TILE_ROWS = 256, 8192
 #: Lists of shards that meet in the first merge.
@@ -30,16 +32,22 @@ FAN_IN = 32
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    """Rows of floor(SCALE * x), whole numbers as doubles."""
+    """Rows of floor(SCALE * x): whole numbers as doubles, or as integers of any size where a double would overflow."""
     lists = vectors.combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(flat * SCALE).reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
+    if (np.abs(flat) > np.finfo(np.float64).max / SCALE).any():
+        # a double this large is a whole number
+        flat = np.array([int(x) * SCALE if abs(x) > 2**53 else math.floor(x * SCALE) for x in flat.tolist()], object)
+    else:
+        flat = np.floor(flat * SCALE)
+    return flat.reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
 
 
 def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, queries.shape[1])
+    largest = lambda x: int(np.abs(x).max(initial=0))
+    bound = largest(queries) * largest(rows) * max(1, queries.shape[1])
     if bound < 2**53:
-        return queries @ rows.T
+        return (queries @ rows.T).astype(np.float64)
     exact = np.array([[int(x) for x in q] for q in queries], object).reshape(queries.shape) @ np.array([[int(x) for x in r] for r in rows], object).reshape(rows.shape).T
     return exact if bound >= 2**62 else exact.astype(np.int64)
 
@@ -97,7 +105,7 @@ def _tile(k: int) -> Callable:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding, dim) of the vectors that take part."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double") * SCALE) < float("inf")))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.size("embedding").alias("dim"))
 
 
@@ -105,9 +113,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of vectors for each row of queries (vec_id, embedding)."""
     rows = usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min(F.struct("embedding", "dim")).alias("q")).select("vec_id", "q.*")
-    n, m = rows.count(), asked.count()
-    shards = max(-(-n // SHARD), min(LEAST_SHARDS, -(-n // SMALLEST)), 1)
-    blocks = max(-(-m // BLOCK), 1)
+    size = lambda df: [x or 0 for x in df.agg(F.count("*"), F.sum(8 * F.greatest("dim", F.lit(1)).cast("bigint"))).first()]
+    (n, wide), (_, asked_wide) = size(rows), size(asked)
+    shards = max(-(-wide // SHARD), min(LEAST_SHARDS, -(-n // SMALLEST)), 1)
+    blocks = max(-(-asked_wide // BLOCK), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
     right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))

@@ -16,7 +16,6 @@ SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -38,21 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * _BASE)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + SLICE_BYTES // 4)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            out = np.empty(size, U64)
-            out[0] = 1
-            out[1:] = base
-            np.multiply.accumulate(out, out=out)
-            _powers[key] = out
-    return _powers["up"], _powers["down"]
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 
 @dataclass
@@ -73,13 +59,22 @@ class Words:
         return np.repeat(np.arange(self.n), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+        """A 64-bit hash of each word's bytes, the same wherever the word stands.
+
+        Each run of eight bytes is mixed with its place in the word; the sum is mixed with the word's length.
+        """
         if not len(self.start):
             return np.empty(0, U64)
-        up, down = _power(len(self.buf) + 1)
-        sums = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        size = self.end - self.start
+        runs = (size + 7) // 8
+        first = np.cumsum(runs) - runs
+        place = np.arange(int(runs.sum())) - np.repeat(first, runs)
+        at = np.repeat(self.start, runs) + 8 * place
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.buf) + 1,), np.dtype("<u8"), padded, 0, (1,))
+        held = np.minimum(np.repeat(self.end, runs) - at, 8)
+        mixed = mix((eight[at] & _FIRST[held]) ^ mix((place + 1).astype(U64) * _BASE))
+        return mix(np.add.reduceat(mixed, first) + size.astype(U64) * _BASE)
 
     def text(self, i: int, j: int) -> bytes:
         """Words i..j-1, joined by one space."""

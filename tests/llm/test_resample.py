@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from sparkassay.llm import resample
+from sparkassay.llm.words import NOT_SPACE, scan
 
 
 def make(seed=0, n=400):
@@ -58,6 +63,31 @@ def test_kth_largest(spark, cells):
         assert resample.kth_largest(frame, k, cells) == sorted(values, reverse=True)[k - 1]
 
 
+def test_selection_against_plain_gumbel_topk(spark):
+    """Every row's log ratio, key and selection, by dictionaries over the same bins and the same noise."""
+    docs, labels = make(3, 150)
+    docs += [(None, "good1 junk2"), (700, None), docs[5]]
+    bins = lambda t: [int(b) for w in scan(pa.array([t]), NOT_SPACE) for b in resample.bins(w)[0]]
+    raw, target = Counter(), Counter()
+    good = {d for d, q in labels if q and zlib.crc32(str(d).encode()) % 4 != 2}
+    for d, t in docs:
+        raw.update(bins(t))
+        if d in good:
+            target.update(bins(t))
+    size = 1 << resample.BITS
+    chance = lambda c, b: math.log((c[b] + 1) / (sum(c.values()) + size))
+    ratio = [sum(chance(target, b) - chance(raw, b) for b in bins(t)) for _, t in docs]
+    noise = {(r.doc_id, r.text): -math.log(-math.log(((r.h % ((1 << 53) - 1)) + 1) / 2**53)) for r in spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", f"xxhash64(doc_id, text, {resample.SEED}) as h").collect()}
+    keys = [x + noise[d] for d, x in zip(docs, ratio)]
+    last = sorted(keys, reverse=True)[math.ceil(resample.SHARE * len(docs)) - 1]
+    got = resample.report(*frames(spark, docs, labels)).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((d, x, k, k >= last - 1e-9) for (d, _), x, k in zip(docs, ratio, keys)), key=order)
+    assert len(got) == len(want)
+    for g, w in zip(sorted(((r.doc_id, r.log_ratio, r.gumbel_key, r.selected) for r in got), key=order), want):
+        assert g[0] == w[0] and g[1:3] == pytest.approx(w[1:3], abs=1e-8) and g[3] == w[3]
+
+
 def test_odd_rows(spark):
     docs, labels = make(1, 50)
     docs += [(None, "good1"), (900, None), (901, ""), docs[3], docs[3], (902, "good2 " * 30_000)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -11,7 +12,7 @@ from sparkassay.llm import topk
 
 
 def brute(rows, k, every):
-    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(1024 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     first = {}
     for (i, v), (_, raw) in zip(good, [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]):
         if i % every == 0 and (i not in first or raw < first[i][1]):
@@ -26,13 +27,13 @@ def brute(rows, k, every):
 @pytest.mark.parametrize("small", [True, False])
 def test_against_brute_force(spark, monkeypatch, small):
     if small:
-        for name, value in (("SMALLEST", 40), ("BLOCK", 3), ("TILE_QUERIES", 2), ("TILE_ROWS", 16), ("FAN_IN", 2)):
+        for name, value in (("SMALLEST", 40), ("BLOCK", 96), ("SHARD", 4000), ("TILE_QUERIES", 2), ("TILE_ROWS", 16), ("FAN_IN", 2)):
             monkeypatch.setattr(topk, name, value)
     rng = random.Random(7)
     vector = lambda n=4: [rng.choice([rng.uniform(-1, 1), 0.5, -0.25]) for _ in range(n)]
     rows = [(i, vector()) for i in range(300)]
     rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 420)]  # ties
-    rows += [(500, None), (501, [0.1, None, 0.2, 0.3]), (502, [float("nan")] * 4), (600, [float("inf")] * 4), (None, vector()), (700, vector(3)), (701, vector(3)), (800, []), rows[10], rows[10], rows[100], (900, [1e9, 1e9, 0.0, 1.0])]
+    rows += [(500, None), (501, [0.1, None, 0.2, 0.3]), (502, [float("nan")] * 4), (600, [float("inf")] * 4), (None, vector()), (700, vector(3)), (701, vector(3)), (800, []), rows[10], rows[10], rows[100], (900, [1e9, 1e9, 0.0, 1.0]), (901, [1e306, -1e306, 0.3, 0.0]), (910, [0.0, 1e307, -0.7, 0.0])]
     frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id bigint, embedding array<double>, score string, rank int").repartition(3)
     got = topk.report(frame, k=5, every=10)
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, 10)
