@@ -52,6 +52,16 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return exact if bound >= 2**62 else exact.astype(np.int64)
 
 
+def _beyond(score: int) -> bytes | None:
+    """A score that 64 bits do not hold, as bytes that sort like the number."""
+    if abs(score) < (1 << 63) - 1:
+        return None
+    size = abs(score).bit_length() // 8 + 1
+    if score > 0:
+        return b"\1" + size.to_bytes(4) + score.to_bytes(size)
+    return b"\0" + ((1 << 32) - 1 - size).to_bytes(4) + ((1 << 8 * size) + score).to_bytes(size)
+
+
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[list, list, list]:
     """(query id, row id, score) of each query's k best rows; ties go to the smaller row id."""
     order = np.argsort(row_ids, kind="stable")
@@ -88,7 +98,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
                 taken[int(x[i])] += 1
                 out_q.append(int(q_ids[x[i]]))
                 out_r.append(int(ids[i]))
-                out_s.append(max(-(1 << 63), min((1 << 63) - 1, int(values[i]))))
+                out_s.append(int(values[i]))
     return out_q, out_r, out_s
 
 
@@ -98,7 +108,8 @@ def _tile(k: int) -> Callable:
         if rows.num_rows and queries.num_rows:
             found = best(_matrix(queries["embedding"]), queries["vec_id"].to_numpy(), _matrix(rows["embedding"]), rows["vec_id"].to_numpy(), k)
         n, shard = len(found[0]), (rows if rows.num_rows else queries)["shard"][0].as_py()
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64()), pa.array([shard] * n, pa.int32())], names=["query_id", "vec_id", "score", "shard"])
+        score = [max(-(1 << 63), min((1 << 63) - 1, x)) for x in found[2]]
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(score, pa.int64()), pa.array(list(map(_beyond, found[2])), pa.binary()), pa.array([shard] * n, pa.int32())], names=["query_id", "vec_id", "score", "beyond", "shard"])
 
     return run
 
@@ -122,8 +133,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
     keys = ("dim", "shard", "block")
     cut = ("vec_id", "embedding", *keys)
-    lists = left.select(*cut).groupBy(*keys).cogroup(right.select(*cut).groupBy(*keys)).applyInArrow(_tile(k), "query_id bigint, vec_id bigint, score bigint, shard int")
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("vec_id")))
+    lists = left.select(*cut).groupBy(*keys).cogroup(right.select(*cut).groupBy(*keys)).applyInArrow(_tile(k), "query_id bigint, vec_id bigint, score bigint, beyond binary, shard int")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("beyond"), F.asc("vec_id")))
     lists = lists.withColumn("group", (F.col("shard") / FAN_IN).cast("int"))
     merged = lists.withColumn("rank", rank("query_id", "group")).filter(F.col("rank") <= k)
     return merged.withColumn("rank", rank("query_id")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
