@@ -6,11 +6,17 @@ by its count over all documents.  Documents are joined on these prefix shingles
 place in the window and the document's bounds give the one span that can match (length and positional
 filter), and the span's words are then compared with the window's.
 
-The prefix table goes to all executors in parts of at most PART_WINDOWS windows; documents run through
-one part after another, so a benchmark of any size is handled without a shuffle of texts.
+1. rarity: every document counts the shingles that windows have; counts are summed by shingle.
+2. candidates: where a prefix shingle stands in a document, the words that a window around it could cover are sent to
+   the prefix table, by shingle.  A sketch of at most SKETCH bits, whatever the benchmark's size, goes to all
+   executors and keeps nearly all other shingles at home; the join and the words decide.
+3. hits: equal spans are gathered by the digest of the document's text, so texts are never shuffled for the search.
+   Rows with one text have one result.
 
 Cases: a null or empty text has no words and is clean.  Repeated documents get a row each.  Items with
-a null id, or without words, take no part; repeated items count once.  Empty tables give no rows, or clean ones.
+a null id, or without words, take no part; repeated items count once.  Empty tables give no rows, or clean ones.  A very long
+text is scanned by itself; its candidates are rows like any other's.  Other columns of documents, of any name, pass
+through `contamination`; columns named like a result are replaced, and columns of items but item_id and text ignored.
 """
 
 from __future__ import annotations
@@ -20,20 +26,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from sparkassay.llm.frames import carried, with_columns
 from sparkassay.llm.store import written
-from sparkassay.llm.words import ALNUM, U64, Words, mix, rows, scan
+from sparkassay.llm.words import ALNUM, U64, mix, rows, scan
 
 WINDOW = 13
 SHINGLE = 4
 #: A document is contaminated if at least one word in this many is hit.
 RATIO = 20
-#: Windows of one part of the prefix table; some 1 KB each at most.
-PART_WINDOWS = 100_000
-#: Parts that one Python worker holds; more are run in further stages, each from a written table.
-PARTS_A_STAGE = 2
+#: Bits of a sketch: 64 a key, within these powers of two (32 MB at most).
+SKETCH = (16, 28)
+#: Rows of a table, each of bounded size, up to which it is sent to every executor.
+SMALL = 200_000
+#: Tasks that share the windows of one shingle where the prefix table is too large to be sent.
+SALTS = 8
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +63,7 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(win, item_id, words, size, shingle, place): distinct windows with each of their shingles."""
+    """(words, size, k, shingles, items): distinct windows with the hashes of their k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,184 +78,179 @@ def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
                     n = min(window, b - a)
                     k = min(shingle, n)
                     for i in range(a, b - n + 1):
-                        out.append((ids[w.first + d], w.text(i, i + n), n, k, run_hashes(h[i : i + n], k).view(np.int64).tolist()))
+                        out.append((ids[w.first + d], w.text(i, i + n).decode(), n, k, run_hashes(h[i : i + n], k).view(np.int64).tolist()))
                 if out:
-                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["item_id", "words", "size", "k", "shingles"])
 
     plain = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    made = plain.mapInArrow(run, "item_id bigint, words binary, size int, k int, shingles array<bigint>")
+    made = plain.mapInArrow(run, "item_id bigint, words string, size int, k int, shingles array<bigint>")
     return made.groupBy("words").agg(F.any_value("size").alias("size"), F.any_value("k").alias("k"), F.any_value("shingles").alias("shingles"), F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def shingle_counts(docs: DataFrame, wins: DataFrame, part: int = PART_WINDOWS) -> DataFrame:
-    """(shingle, n): how often the windows' shingles stand in all documents."""
-    wanted = written(wins.select("k", F.explode("shingles").alias("shingle")).distinct(), "shingles")
-    out = None
-    for listed in _parts(wanted, part * 10):
-        known = docs.sparkSession.sparkContext.broadcast({k: np.unique(np.array([r["shingle"] for r in listed if r["k"] == k], np.int64).view(U64)) for k in {r["k"] for r in listed}})
-
-        def run(batches: Iterator[pa.RecordBatch], known: object = known) -> Iterator[pa.RecordBatch]:
-            tables = [(k, v, Lookup(v)) for k, v in known.value.items()]
-            counts = [np.zeros(len(v), np.int64) for _, v, _ in tables]
-            for batch in batches:
-                for w in scan(batch.column("text"), ALNUM):
-                    h = w.hashes()
-                    for (k, _, lookup), n in zip(tables, counts):
-                        at, to = lookup.find(run_hashes(h, k))
-                        inside = at + k <= w.doc[np.searchsorted(w.doc, at, "right")]
-                        np.add.at(n, to[inside], 1)
-            for (_, v, _), n in zip(tables, counts):
-                some = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64)), pa.array(n[some])], names=["shingle", "n"])
-
-        found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "shingle bigint, n bigint")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "shingle bigint, n bigint")
-    return out.groupBy("shingle").agg(F.sum("n").alias("n"))
-
-
-def _parts(table: DataFrame, size: int) -> Iterator[list]:
-    """The rows of a table that is written already, in bounded parts."""
-    n = table.count()
-    parts = -(-n // size)
-    for i in range(parts):
-        yield (table if parts == 1 else table.filter(F.pmod(F.xxhash64(*table.columns), F.lit(parts)) == i)).collect()
-
-
-class Lookup:
-    """Places of some 64-bit keys among many: a byte table drops nearly all others first."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = keys
-        self.bits = min(24, max(12, 4 + int(len(keys)).bit_length()))
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(keys >> U64(64 - self.bits)).astype(np.int64)] = True
-
-    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of values that are keys, numbers of these keys)."""
-        at = np.flatnonzero(self.table[(values >> U64(64 - self.bits)).astype(np.int64)]) if len(self.keys) else np.empty(0, np.int64)
-        to = np.searchsorted(self.keys, values[at])
-        to[to == len(self.keys)] = 0
-        good = self.keys[to] == values[at] if len(at) else np.empty(0, bool)
-        return at[good], to[good]
+# -- sketches ------------------------------------------------------------------------------
 
 
-# -- documents -----------------------------------------------------------------------------
+class Sketch:
+    """A bit for the first bits of each key."""
+
+    def __init__(self, bits: int, chunks: list[tuple[int, bytes]], sizes: list[int]) -> None:
+        self.shift, self.sizes = U64(64 - bits), sizes
+        self.table = np.zeros(1 << bits >> 3, np.uint8)
+        for i, data in chunks:
+            self.table[i * _CHUNK : (i + 1) * _CHUNK] = np.frombuffer(data, np.uint8)
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes that may be keys."""
+        at = hashes >> self.shift
+        return np.flatnonzero(self.table[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1)
 
-class Part:
-    """Windows by their prefix shingle."""
 
-    def __init__(self, rows: list[tuple]) -> None:
-        """rows: (k, prefix shingle, place in the window, size, words, items)."""
-        self.by_k = []
-        for k in sorted({r[0] for r in rows}):
-            mine = [r for r in rows if r[0] == k]
-            keys, of = np.unique(np.array([r[1] for r in mine], np.int64).view(U64), return_inverse=True)
-            order = np.argsort(of, kind="stable")
-            first = np.searchsorted(of[order], np.arange(len(keys) + 1))
-            place, size = (np.array([mine[i][c] for i in order], np.int64) for c in (2, 3))
-            self.by_k.append((k, Lookup(keys), first, place, size, [mine[i][4] for i in order], [mine[i][5] for i in order]))
+#: Bytes of a part of a sketch that one group makes.
+_CHUNK = 1 << 13
 
-    def matches(self, w: Words, h: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
-        """(document, first word, words, items) of every occurrence of a window."""
-        for k, lookup, first, place, size, text, items in self.by_k:
-            at, to = lookup.find(run_hashes(h, k))
-            n = first[to + 1] - first[to]
-            at = np.repeat(at, n)
-            win = np.arange(int(n.sum())) + np.repeat(first[to] - (np.cumsum(n) - n), n)
-            doc = np.searchsorted(w.doc, at, "right") - 1
-            start = at - place[win]
-            inside = (start >= w.doc[doc]) & (start + size[win] <= w.doc[doc + 1])
-            for d, s, x in zip(doc[inside].tolist(), start[inside].tolist(), win[inside].tolist()):
-                if w.text(s, s + int(size[x])) == text[x]:
-                    yield d, s - int(w.doc[d]), int(size[x]), items[x]
 
+def _sketch(keys: DataFrame) -> Sketch:
+    """The sketch of a written table (k, shingle); only its bits, at most SKETCH, come to the driver."""
+    n, sizes = keys.count(), sorted(r["k"] for r in keys.select("k").distinct().collect())
+    bits = min(max(SKETCH[0], 6 + n.bit_length()), SKETCH[1])
+    at = F.shiftrightunsigned("shingle", 64 - bits)
+    per = 8 * _CHUNK
 
-_HIT = "struct<start:bigint,size:int,items:array<bigint>>"
-_HIT_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int32()), ("items", pa.list_(pa.int64()))]))
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        made = np.zeros(per, bool)
+        made[table["bit"].to_numpy()] = True
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([np.packbits(made, bitorder="little").tobytes()], pa.binary())})
 
+    # distinct bits first: a group has no more than a chunk's
+    bit = keys.select(F.floor(at / per).cast("bigint").alias("chunk"), (at % per).cast("int").alias("bit")).distinct()
+    chunks = bit.groupBy("chunk").applyInArrow(run, "chunk bigint, data binary").collect()
+    return Sketch(bits, [(r["chunk"], bytes(r["data"])) for r in chunks], sizes)
 
-def _chain(*steps: Callable) -> Callable:
-    """Steps over batches, one after the other in one Python worker."""
+
+# -- documents -----------------------------------------------------------------------------
+
+
+def _count(sketch: object) -> Callable:
+    """How often shingles that windows may have stand in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps:
-            batches = step(batches)
-        yield from batches
+        known = sketch.value
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([np.empty(0, U64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+        for batch in batches:
+            for w in scan(batch.column("text"), ALNUM):
+                h = w.hashes()
+                for k in known.sizes:
+                    runs = run_hashes(h, k)
+                    at = known.find(runs)
+                    held.append(runs[at[at + k <= w.doc[np.searchsorted(w.doc, at, "right")]]])
+            if sum(map(len, held)) > 1_000_000:
+                yield flush()
+        yield flush()
 
     return run
 
 
-def _pass(part: object) -> Callable:
-    """Add one part's occurrences to __hits."""
+def _candidates(sketch: object, window: int) -> Callable:
+    """The words around every place that a prefix shingle may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = part.value
+        known = sketch.value
         for batch in rows(batches):
-            found = batch.column("__hits").to_pylist()
-            per = np.zeros(batch.num_rows, np.int64)
             for w in scan(batch.column("text"), ALNUM):
-                per[w.first : w.first + w.n] = w.counts()
-                for d, start, size, items in index.matches(w, w.hashes()):
-                    found[w.first + d].append({"start": start, "size": size, "items": items})
-            names = batch.schema.names
-            made = {"__hits": pa.array(found, _HIT_ARROW), "__words": pa.array(per)}
-            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+                h, out = w.hashes(), []
+                digests: dict[int, bytes] = {}
+                for k in known.sizes:
+                    runs = run_hashes(h, k)
+                    at = known.find(runs)
+                    doc = np.searchsorted(w.doc, at, "right") - 1
+                    inside = at + k <= w.doc[doc + 1]
+                    at, doc = at[inside], doc[inside]
+                    low = np.maximum(w.doc[doc], at - (window - k))
+                    high = np.minimum(w.doc[doc + 1], at + window)
+                    for a, d, x, y, key in zip(at.tolist(), doc.tolist(), low.tolist(), high.tolist(), runs[at].view(np.int64).tolist()):
+                        if d not in digests:
+                            digests[d] = _digest(batch.column("text")[w.first + d])
+                        out.append((digests[d], key, x - int(w.doc[d]), a - x, w.text(x, y).decode()))
+                if out:
+                    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["digest", "shingle", "first", "before", "around"])
 
     return run
 
 
+def _digest(text: pa.Scalar) -> bytes:
+    return xxhash.xxh3_128_digest(text.as_buffer()) if text.is_valid else b""
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield with_columns(batch, ["digest"], [pa.array([_digest(x) for x in batch.column("text")], pa.binary())])
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int, shingle: int, small: int) -> DataFrame:
+    """(digest, spans, items): of each text with an occurring window, the spans and the ids of their items."""
+    spark = docs.sparkSession
+    text = docs.select("text")
+    wins = written(windows(items, window, shingle), "windows")
+    shingles = written(wins.select("k", F.explode("shingles").alias("shingle")).distinct(), "shingles")
+    counts = text.mapInArrow(_count(spark.sparkContext.broadcast(_sketch(shingles))), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    each = wins.select("words", F.posexplode("shingles").alias("place", "shingle")).join(counts, "shingle", "left")
+    prefix = each.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p"))
+    # a window whose rarest shingle stands nowhere does not occur
+    prefix = written(wins.join(prefix.filter("p.n > 0"), "words").select("k", "p.shingle", "p.place", "size", "words", "items"), "prefix")
+    found = text.mapInArrow(_candidates(spark.sparkContext.broadcast(_sketch(prefix)), window), "digest binary, shingle bigint, first bigint, before int, around string")
+    if prefix.count() <= small:
+        joined = found.join(F.broadcast(prefix), "shingle")
+    else:
+        salted = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = found.withColumn("salt", F.pmod(F.xxhash64("digest", "first", "before"), F.lit(SALTS)).cast("int")).join(salted, ["shingle", "salt"])
+    place = F.col("before") - F.col("place")
+    same = F.array_join(F.slice(F.split("around", " "), F.greatest(place, F.lit(0)) + 1, F.col("size")), " ") == F.col("words")
+    spans = joined.filter((place >= 0) & same).select("digest", F.struct((F.col("first") + place).alias("start"), "size").alias("span"), "items").distinct()
+    return spans.groupBy("digest").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+
 def _judge(ratio: int) -> Callable:
-    """Sum up __hits; text is not needed any more unless it is returned."""
+    """Count words and what spans cover of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits, words = batch.column("__hits").to_pylist(), batch.column("__words").to_numpy()
-            n_hit, items = np.zeros(len(hits), np.int64), []
-            for i, found in enumerate(hits):
+        for batch in rows(batches):
+            words = np.zeros(batch.num_rows, np.int64)
+            for w in scan(batch.column("text"), ALNUM):
+                words[w.first : w.first + w.n] = w.counts()
+            n_hit, items = np.zeros(batch.num_rows, np.int64), []
+            for i, (spans, ids) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
                 end = 0
-                for h in sorted(found, key=lambda h: (h["start"], h["size"])):
-                    to = h["start"] + h["size"]
-                    n_hit[i] += max(0, to - max(end, h["start"]))
+                for s in sorted(spans or (), key=lambda s: (s["start"], s["size"])):
+                    to = s["start"] + s["size"]
+                    n_hit[i] += max(0, to - max(end, s["start"]))
                     end = max(end, to)
-                items.append(sorted({x for h in found for x in h["items"]}))
+                items.append(sorted(ids or ()))
             digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-            keep = [i for i, c in enumerate(batch.schema.names) if not c.startswith("__")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(words), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), pa.array(digest), pa.array((n_hit > 0) & (ratio * n_hit >= words))],
-                names=[*(batch.schema.names[i] for i in keep), "n_words", "n_hit", "items", "items_sha256", "contaminated"],
-            )
+            yield with_columns(batch, _NAMES, [pa.array(words), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), pa.array(digest, pa.string()), pa.array((n_hit > 0) & (ratio * n_hit >= words))], without=("digest", "spans", "items"))
 
     return run
 
 
 _ADDED = "n_words bigint, n_hit bigint, items array<bigint>, items_sha256 string, contaminated boolean"
+_NAMES = [c.split()[0] for c in _ADDED.split(", ")]
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, ratio: int = RATIO, part: int = PART_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, ratio: int = RATIO, small: int = SMALL) -> DataFrame:
     """docs (doc_id, text, ...) with n_words, n_hit, items (ids found), items_sha256 and contaminated."""
-    spark = docs.sparkSession
-    docs = docs.drop(*(c.split()[0] for c in _ADDED.split(", "))).withColumn("text", F.col("text").cast("string"))
-    wins = written(windows(items, window, shingle), "windows")
-    rarity = shingle_counts(docs, wins, part)
-    each = wins.select("words", "k", F.posexplode("shingles").alias("place", "shingle")).join(rarity, "shingle", "left")
-    prefix = each.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p"))
-    table = written(wins.join(prefix, "words").select("k", "p.shingle", "p.place", "size", "words", "items"), "prefix")
-    state = docs.withColumns({"__hits": F.expr(f"cast(array() as array<{_HIT}>)"), "__words": F.lit(0).cast("bigint")})
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
-    broadcast = spark.sparkContext.broadcast
-    ready = []
-    for found in _parts(table, part):
-        if len(ready) == PARTS_A_STAGE:
-            state, ready = written(state.mapInArrow(_chain(*ready), names), "hits"), []
-        ready.append(_pass(broadcast(Part([(r["k"], r["shingle"], r["place"], r["size"], bytes(r["words"]), r["items"]) for r in found]))))
-    if not ready:  # no windows: words are still counted
-        ready.append(_pass(broadcast(Part([]))))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return state.mapInArrow(_chain(*ready, _judge(ratio)), f"{names}, {_ADDED}")
+    held = carried(docs, _ADDED)
+    found = written(hits(held.df, items, window, shingle, small), "hits")
+    keyed = held.df.mapInArrow(_keyed, StructType([*held.schema.fields, StructField("digest", BinaryType())]))
+    few = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans") + F.size("items")), F.lit(0))).first()
+    joined = keyed.join(F.broadcast(found) if max(few) <= small else found, "digest", "left")
+    return held.to_arrow(_judge(ratio), _ADDED, joined)
 
 
 def report(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:

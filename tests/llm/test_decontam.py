@@ -39,8 +39,10 @@ def brute(rows, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("part", [100_000, 7])
-def test_against_brute_force(spark, part):
+@pytest.mark.parametrize(("small", "bits"), [(100_000, (16, 28)), (3, (6, 6))])
+def test_against_brute_force(spark, monkeypatch, small, bits):
+    monkeypatch.setattr(decontam, "SKETCH", bits)
+    monkeypatch.setattr(decontam, "_CHUNK", 8 if bits[0] == 6 else 1 << 13)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(30)] + ["É", "中文", "x9"]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -53,7 +55,7 @@ def test_against_brute_force(spark, part):
             parts += [rng.choice(items)[1] or "", text(rng.randint(0, 40))]
         rows.append((i, rng.choice([" ", ", ", "\n-- "]).join(parts).upper().replace("É", "é") if i % 3 else " ".join(parts)))
     rows += [rows[0], (None, items[0][1]), (500, None), (501, ""), (502, "w1 " * 20_000)]
-    got = decontam.report(documents(spark, rows).repartition(3), spark.createDataFrame(items, "item_id bigint, text string"), part=part).collect()
+    got = decontam.report(documents(spark, rows).repartition(3), spark.createDataFrame(items, "item_id bigint, text string"), small=small).collect()
     key = lambda r: tuple((x is not None, x or 0) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows, items), key=key)
 
