@@ -43,9 +43,9 @@ class Carried:
         return (self.df if source is None else source).mapInArrow(run, StructType([*self.df.schema.fields, *more.fields])).toDF(*self.names, *more.names)
 
 
-def carried(docs: DataFrame, added: str) -> Carried:
+def carried(docs: DataFrame, added: str = "") -> Carried:
     """docs without columns that have the name of an added one."""
-    taken = {c.split()[0].lower() for c in added.split(", ")}
+    taken = {c.split()[0].lower() for c in added.split(", ") if c}
     by_place = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     keep = [i for i, c in enumerate(docs.columns) if c.lower() not in taken]
     columns = [F.col(f"c{i}").cast(KNOWN[n]).alias(n) if (n := docs.columns[i].lower()) in KNOWN else F.col(f"c{i}") for i in keep]

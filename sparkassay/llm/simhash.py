@@ -11,7 +11,8 @@ Only distinct fingerprints are compared.  An anchor's comparison gives a spannin
 links, never all pairs, and an anchor that holds more than TILE rows is compared in tiles.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other.  Each row gets its
-own result; rows with one doc_id share the smallest component.  A null doc_id links but is never the smallest.
+own result; rows with one doc_id share the smallest component.  A null doc_id links but is never the smallest.  A very
+long text is scanned alone.  An empty table gives no rows.  Columns besides doc_id and text, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -248,13 +249,3 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS) -
 def report(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
     return classes(docs, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """docs without all but the document of the smallest doc_id of each component.
-
-    Of rows that repeat this doc_id, all stay; so do rows without a doc_id.
-    """
-    found = classes(docs, **options)
-    lost = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost"))
-    return docs.join(lost, F.col("doc_id").cast("bigint") == F.col("__lost"), "left_anti")

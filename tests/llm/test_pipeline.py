@@ -7,7 +7,7 @@ import re
 
 import corpus_pipeline
 from sparkassay.llm.registry import tokenizer_path
-from tests.llm import test_decontam, test_linededup, test_packing, test_simhash
+from tests.llm import test_decontam, test_linededup, test_nearcopies, test_packing
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -53,8 +53,9 @@ def test_stages_and_rows(spark, tmp_path):
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
     rows = [(d, t) for d, t in rows if t and re.search(r"[^\W\d_]", t)]
     rows = lines_kept(rows)
-    one = {d for d, _, c in test_simhash.brute(rows) if d == c}
-    rows = [(d, t) for d, t in rows if d in one]
+    before, rows = len(rows), test_nearcopies.kept(rows)
+    one = {d for d, _ in rows}
+    assert len(rows) < before
     bad = {r[0] for r in test_decontam.brute(rows, items) if r[-1]}
     rows = [(d, t) for d, t in rows if d not in bad]
     assert bad and len(one) < 160
@@ -69,3 +70,36 @@ def test_stages_keep_columns(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert tokenizer_path()
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, digest string, `a``b` int, score string, `c0` int, __hits int, contaminated string, `x.y` int, Lang_Pred string, lost int, kept_text string"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(d, t, x, "s", len(t or ""), 1, "d", 2, "s", 3, 4, "c", 5, "l", 6, "k") for d, t, x in rows], ODD)
+
+
+def test_odd_columns_and_rows(spark, tmp_path):
+    """Names that clash, null ids and texts, repeated rows and a very long text, through every stage."""
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice(["the", "and", "tion", "whe", "ould", "ing"]) + str(rng.randint(0, 99)) for _ in range(n))
+    rows = [(i, text(30), "en") for i in range(40)]
+    rows += [(None, text(30), "en"), (None, None, None), rows[3], rows[3], (50, "the " * 200_000, "en"), (51, None, "en"), (52, "", None), (53, rows[4][1], "en")]
+    path = str(tmp_path)
+    odd(spark, rows).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, rows[9][1]), (2, None)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == odd(spark, []).columns
+        assert {tuple(r)[5:] for r in docs.collect()} == {(1, "d", 2, "s", 3, 4, "c", 5, "l", 6, "k")}
+    left = [r.doc_id for r in docs.collect()]
+    assert sorted(left, key=lambda d: -1 if d is None else d) == [None, *sorted([*range(9), *range(10, 40), 3, 3, 50])]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == set(left)
+
+
+def test_empty_tables(spark, tmp_path):
+    path = str(tmp_path)
+    odd(spark, []).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0

@@ -55,12 +55,6 @@ def test_against_all_pairs(spark, monkeypatch, blocks, tile):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
-def test_keep_one(spark):
-    rows = [(4, "one two three four five"), (2, "one two three four five"), (9, "something else altogether different"), (None, "one two three four five")]
-    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in simhash.keep_one(documents(spark, rows)).collect()) == [(False, 0), (True, 2), (True, 9)]
-    assert simhash.keep_one(documents(spark, [])).count() == 0
-
-
 @pytest.mark.parametrize("blocks", [2, 3, 4])
 def test_covering(blocks):
     """A value's home is within 1 of it, and every value within the threshold of it is replicated there."""
