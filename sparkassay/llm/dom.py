@@ -11,29 +11,40 @@ import html
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import xxhash
 
 # Element and role names of HTML, and words that mark page furniture in class and id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button object audio video canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select datalist button object audio video canvas".split())
+#: Without an end tag, these hide what follows them; of the others only the tag goes.
+ENDLESS = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav footer aside form menu head dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-HINT = re.compile(r"(?i)(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|side-bar|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|footer|comments?|disqus|replies|respond|shar(?:e|ing)|social|related|recommended|newsletter|subscribe|subscription|popup|modal|pagination|pager|masthead|toolbar|skip-link)(?:$|[^a-z])")
-MAIN = re.compile(r"(?i)(?:^|\s)(?:article-body|articlebody|article-content|post-content|post-body|entry-content|main-content|story-body)(?:$|\s)")
+#: A name marks furniture if each of its parts is one of these words or a neutral one, and one is of these.
+HINTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription popup modal pagination pager masthead toolbar skip".split())
+NEUTRAL = frozenset("area articles bar block body bottom box button buttons container content form group header icon icons inner item items left link links list lower main media message outer panel posts right row section signup site slot text title to top unit upper wrap wrapper".split())
+MAIN = frozenset("article-body articlebody article-content post-content post-body entry-content main-content story-body".split())
 #: An opened element closes these if one is open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = frozenset("table ul ol dl body html article section div main".split())
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?|<[a-zA-Z][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A quote means something after an equals sign only; an unclosed one is a character like any other.
+_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>|<[!?/][^>]*>?", re.S)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 #: Cells of an alignment of children that are held at once; larger ones are halved first.
 CELLS = 1 << 24
 
 
+#: What names tell of a node: it is furniture or inside such, in an article or main element, in a header; it is the article or main element, a heading.
+NAMED, INSIDE, HEADER, MARK, HEADING = 1, 2, 4, 8, 16
+
+
 @dataclass
 class Page:
     """A page's nodes in the order of their first appearance, and its text pieces in page order."""
@@ -41,19 +52,15 @@ class Page:
     label: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     children: list[list[int]] = field(default_factory=list)
-    furniture: list[bool] = field(default_factory=list)  # itself or inside such an element
-    main: list[int] = field(default_factory=list)  # the article or main element it is in, or -1
-    heading: list[bool] = field(default_factory=list)
+    flags: list[int] = field(default_factory=list)
     pieces: list[tuple[int, str, int]] = field(default_factory=list)  # (node, text, characters inside links)
 
-    def add(self, label: str, parent: int, furniture: bool, main: int, heading: bool) -> int:
+    def add(self, label: str, parent: int, flags: int) -> int:
         n = len(self.label)
         self.label.append(label)
         self.parent.append(parent)
         self.children.append([])
-        self.furniture.append(furniture)
-        self.main.append(main)
-        self.heading.append(heading)
+        self.flags.append(flags)
         if parent >= 0:
             self.children[parent].append(n)
         return n
@@ -72,17 +79,28 @@ def _attributes(raw: str) -> tuple[str, str, str]:
     return found.get("class", ""), found.get("id", ""), f"{found.get('role', '')} {found.get('itemprop', '')}".strip()
 
 
+@lru_cache(4096)
+def hinted(names: str) -> bool:
+    """Whether one of the names says that its element is furniture; a name of an article's text overrules."""
+    words = names.split()
+    if any(w.lower() in MAIN for w in words):
+        return False
+    parts = [[x.lower() for x in _PART.findall(w)] for w in words]
+    return any(not HINTS.isdisjoint(p) and all(x in HINTS or x in NEUTRAL or len(x) == 1 for x in p) for p in parts)
+
+
 def parse(text: str) -> Page:
     """The block tree of a page."""
     page = Page()
-    root = page.add("#", -1, False, -1, False)
+    root = page.add("#", -1, 0)
     # (tag, node, children met in this appearance, label of the last child)
     stack: list[list] = [["#", root, 0, -1]]
     opened: Counter = Counter()  # tags on the stack
     words: list[str] = []
     linked = links = 0
     hidden: str | None = None
-    mains = 0
+    endless: set[str] = set()  # elements that have no further end tag
+    muted: list = []  # an inline element that is furniture: its tag, and how deep in elements of this tag
 
     def flush() -> None:
         nonlocal linked
@@ -92,6 +110,7 @@ def parse(text: str) -> Page:
                 page.pieces.append((stack[-1][1], found, min(linked, len(found))))
             words.clear()
         linked = 0
+        muted.clear()
 
     def close(tags: frozenset | set, scope: frozenset | set) -> None:
         if not any(opened[t] for t in tags):
@@ -110,17 +129,23 @@ def parse(text: str) -> Page:
     while True:
         if hidden:  # to the end tag of an element whose content is not text
             lower = text.lower() if lower is None else lower
-            if len(lower) != len(text):  # lower-casing changed lengths; search the text itself
+            if hidden in endless:
+                end = -1
+            elif len(lower) != len(text):  # lower-casing changed lengths; search the text itself
                 m = re.compile(f"</{hidden}", re.I).search(text, at)
                 end = m.start() if m else -1
             else:
                 end = lower.find(f"</{hidden}", at)
             if end < 0:
-                break
-            at, hidden = end, None
+                if hidden in ENDLESS:
+                    break
+                endless.add(hidden)
+            else:
+                at = end
+            hidden = None
         m = _TAG.search(text, at)
         segment = text[at : m.start() if m else len(text)]
-        if segment:
+        if segment and not muted:
             if "&" in segment:
                 segment = html.unescape(segment)
             words.append(segment)
@@ -134,6 +159,10 @@ def parse(text: str) -> Page:
             continue
         tag = tag.lower()
         if m[1]:
+            if muted and tag == muted[0]:
+                muted[1] -= 1
+                if not muted[1]:
+                    muted.clear()
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK:
@@ -147,32 +176,43 @@ def parse(text: str) -> Page:
             words.append(" ")
         elif tag == "a":
             links += 1
-        elif tag in BLOCK:
-            flush()
-            links = 0
-            close({"p"}, SCOPE - {"div"} if tag == "p" else SCOPE)
-            if tag in CLOSES:
-                close(CLOSES[tag], SCOPE - CLOSES[tag])
-            if tag == "hr":
+        if tag not in BLOCK:
+            if tag in VOID:
                 continue
-            css, name, role = _attributes(m[3])
-            label = f"{tag}.{css.split()[0]}" if css.strip() else f"{tag}#{name}" if name else tag
-            up = stack[-1]
-            parent, siblings = up[1], page.children[up[1]]
-            if up[3] >= 0 and page.label[siblings[up[3]]] == label:
-                node = siblings[up[3]]  # one more of the same record
-            else:
-                place = next((i for i in range(up[2], len(siblings)) if page.label[siblings[i]] == label), len(siblings))
-                if place == len(siblings):
-                    own = tag in FURNITURE or any(r in ROLES for r in role.lower().split()) or bool(HINT.search(f"{css} {name}")) and tag not in ("body", "html", "article", "main") or tag == "header" and page.main[parent] < 0
-                    main = page.main[parent]
-                    if main < 0 and (tag in ("article", "main") or "main" in role.lower().split() or "articleBody" in role or MAIN.search(css)):
-                        main, mains = mains, mains + 1
-                    page.add(label, parent, page.furniture[parent] or own, main, tag in HEADINGS)
-                up[2], up[3] = place + 1, place
-                node = siblings[place]
-            stack.append([tag, node, 0, -1])
-            opened[tag] += 1
+            if muted:
+                muted[1] += tag == muted[0]
+            elif "=" in m[3]:
+                css, name, role = _attributes(m[3])
+                if hinted(f"{css} {name}"):
+                    muted[:] = [tag, 1]
+                    words.append(" ")
+            continue
+        flush()
+        links = 0
+        close({"p"}, SCOPE - {"div"} if tag == "p" else SCOPE)
+        if tag in CLOSES:
+            close(CLOSES[tag], SCOPE - CLOSES[tag])
+        if tag == "hr":
+            continue
+        css, name, role = _attributes(m[3])
+        up = stack[-1]
+        parent, siblings = up[1], page.children[up[1]]
+        above = page.flags[parent]
+        hint = hinted(f"{css} {name}") and tag not in ("body", "html", "article", "main")
+        label = (f"{tag}.{css.split()[0]}" if css.strip() else f"{tag}#{name}" if name else tag) + "!" * hint
+        if up[3] >= 0 and page.label[siblings[up[3]]] == label:
+            node = siblings[up[3]]  # one more of the same record
+        else:
+            place = next((i for i in range(up[2], len(siblings)) if page.label[siblings[i]] == label), len(siblings))
+            if place == len(siblings):
+                named = hint or tag in FURNITURE or any(r in ROLES for r in role.lower().split()) or tag == "header" and not above & INSIDE
+                mark = tag in ("article", "main") or "main" in role.lower().split() or "articleBody" in role or any(c.lower() in MAIN for c in css.split())
+                flags = above & (NAMED | INSIDE | HEADER) | NAMED * named | (INSIDE | MARK) * mark | HEADER * (tag == "header") | HEADING * (tag in HEADINGS)
+                page.add(label, parent, flags)
+            up[2], up[3] = place + 1, place
+            node = siblings[place]
+        stack.append([tag, node, 0, -1])
+        opened[tag] += 1
     flush()
     return page
 

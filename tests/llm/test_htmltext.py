@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,3 +138,117 @@ def test_references_of_several_layouts(spark):
     album = lambda i: f"<body><section><h2>Album {i}</h2><h3>All pictures here</h3></section></body>"
     got = run(spark, [(i, f"http://s.example/{i}", (album if i % 2 else story)(i)) for i in range(16)])
     assert [got[i].text for i in range(16)] == [f"Album {i}" if i % 2 else f"Story {i}." for i in range(16)]
+
+
+def test_end_tags_quotes_and_names(spark):
+    body = lambda inside: f"<body><article><p>Start.</p>{inside}<p>End.</p></article></body>"
+    cases = {
+        "<button>Go": "Start.\nGo\nEnd.",
+        "<button>Go</button>": "Start.\nEnd.",
+        "<input list=x><datalist id=x><option>One<option>Two</datalist>": "Start.\nEnd.",
+        "<select><option>One<option>Two</select>": "Start.\nEnd.",
+        "<p title=it's>hello</p><p>it's more</p>": "Start.\nhello\nit's more\nEnd.",
+        '<p title="a > b" class = \'x\'>quoted</p>': "Start.\nquoted\nEnd.",
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>": "Start.\nLet x=2 be.\nEnd.",
+        "<p>Text <span class=ad>Buy <span>now</span>!</span> goes on.</p>": "Start.\nText goes on.\nEnd.",
+        "<p>Text <span class=ad>Buy now": "Start.\nText\nEnd.",
+        "<div class='notice-of-motion'>Moved.</div>": "Start.\nMoved.\nEnd.",
+        "<div class='social-history'>Long ago.</div>": "Start.\nLong ago.\nEnd.",
+        "<div class='article-body related-story'>Told.</div>": "Start.\nTold.\nEnd.",
+        "<div class='cookie-notice'>Cookies!</div><div class='box'>A</div><div class='box ad-banner'>B</div><div class=shareButtons>C</div>": "Start.\nA\nEnd.",
+        "<div id=comments><p>First!</p></div><div class='comment-list'><p>Second!</p></div>": "Start.\nEnd.",
+    }
+    got = run(spark, [(i, f"http://h{i}.example/", body(x)) for i, x in enumerate(cases)])
+    assert {x: got[i].text for i, x in enumerate(cases)} == cases
+
+
+def test_layout_without_any_telling_name(spark):
+    """The pages table with its elements and classes made neutral: the wrapper alone finds the same text."""
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    want = {i: r.text for i, r in run(spark, pages).items()}
+    neutral = lambda h: re.sub(r"<(/?)(nav|article|footer)>", lambda m: "</div>" if m[1] else f"<div class={'abc'[('nav', 'article', 'footer').index(m[2])]}>", h.replace('class="ad"', "class=d"))
+    got = run(spark, [(i, u, neutral(h)) for i, u, h in pages])
+    assert len(want) == len(pages) and sum(got[i].text == want[i] for i in want) >= 0.95 * len(want)
+    mixed = [p for p in pages if "<nav>" in p[2]]
+    assert mixed and all("<a " not in got[i].text for i, _, _ in mixed)
+
+
+def plain_extract(rows, share=htmltext.SHARE, support=htmltext.SUPPORT):
+    """Texts by the rules of the operator, with a recursive alignment and loops over all pairs of pages of one host."""
+    pages = {i: parse(h) for i, h in rows}
+    shape = lambda p: str((p.label, p.children, p.flags))
+
+    def pairs(p, q, a=0, b=0):
+        if p.label[a] != q.label[b]:
+            return {}
+        memo = {}
+
+        def rows_(i, j):
+            if (i, j) not in memo:
+                x, y = p.children[a], q.children[b]
+                if i == len(x) or j == len(y):
+                    memo[i, j] = {}
+                else:
+                    met = pairs(p, q, x[i], y[j])
+                    memo[i, j] = max(*([{**met, **rows_(i + 1, j + 1)}] if met else []), rows_(i + 1, j), rows_(i, j + 1), key=len)
+            return memo[i, j]
+
+        return {a: b, **rows_(0, 0)}
+
+    texts = {i: [[t for n, t, _ in p.pieces if n == m] for m in range(len(p.label))] for i, p in pages.items()}
+    by_shape = {}
+    for i, p in pages.items():
+        if p.pieces:
+            by_shape.setdefault(shape(p), []).append(i)
+    wrappers = []
+    for _, ids in sorted(by_shape.items(), key=lambda x: (-len(x[1]), x[0]))[: htmltext.LAYOUTS]:
+        q, slots = pages[min(ids)], {}
+        for ref in {str(texts[i]): i for i in (max(ids), min(ids))}.values():
+            for m in range(len(q.label)):
+                met = [(i, n) for i, p in pages.items() for n, other in pairs(p, q).items() if other == m and (texts[i][n] or texts[ref][m])]
+                told = [(i, n) for i, n in met if texts[ref][m] and (texts[i] != texts[ref] or shape(pages[i]) != shape(q))]
+                if met:
+                    plain = [sum(len(t) - k for x, t, k in pages[i].pieces if x == n) for i, n in met]
+                    inner = [sum(k for x, t, k in pages[i].pieces if x == n) for i, n in met]
+                    constant = len(told) >= support and sum(texts[i][n] == texts[ref][m] for i, n in told) >= share * len(told)
+                    slots[m] = (sum(plain) / len(met), sum(inner) / len(met), constant or m in slots and slots[m][2])
+        wrappers.append((q, slots))
+    out = {}
+    for i, p in pages.items():
+        best = max(wrappers, key=lambda w: len(pairs(p, w[0])) / (len(p.label) + len(w[0].label) - len(pairs(p, w[0]))))
+        tree = [best[0].label, best[0].children, best[0].flags, best[0].parent]
+        inside, content = htmltext.induce(tree, best[1])
+        met, state = pairs(p, best[0]), {}
+        for n in range(len(p.label)):
+            state[n] = (met[n] in inside, met[n] in content) if n in met else (state[p.parent[n]][0],) * 2
+        kept = [t for n, t, _ in p.pieces if state[n][1] and not htmltext.out_of_text(p.flags[n])]
+        out[i] = "\n".join(kept or [t for n, t, _ in p.pieces if state[n][0] and not htmltext.out_of_text(p.flags[n])])
+    return out
+
+
+def test_against_plain_induction(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(["sun", "rain", "hill", "sea", "wood"]) + str(rng.randint(0, 99)) for _ in range(n))
+    for host in range(4):
+        fixed = [text(4) for _ in range(3)]
+        rows = []
+        for i in range(14):
+            parts = [f"<div class=top>{fixed[0]}</div>", f"<ul class=menu-x>{''.join(f'<li><a href=/{j}>{text(2)}</a></li>' for j in range(4))}</ul>"]
+            inner = f"<h1>{text(5)}</h1><div class=lead>{fixed[1] if i % 7 else text(4)}</div>" + "".join(f"<p>{text(rng.randint(5, 30))}</p>" for _ in range(rng.randint(1, 4)))
+            if rng.random() < 0.5:
+                inner += f"<div class=extra>{text(6)}</div>"
+            parts.append(f"<{'article' if host % 2 else 'div'} class=story>{inner}</{'article' if host % 2 else 'div'}>")
+            if rng.random() < 0.7:
+                parts.append(f"<div class=tail>{text(3)}</div>")
+            parts.append(f"<div class=legal>{fixed[2]}</div>")
+            rows.append((i, f"<body>{''.join(parts)}</body>"))
+        got = run(spark, [(i, f"http://p{host}.example/{i}", h) for i, h in rows])
+        want = plain_extract(rows)
+        assert {i: got[i].text for i, _ in rows} == want
+        assert all(f not in t for t in want.values() for f in (fixed[0], fixed[2]))
+        assert {i: got[i].text for i, _ in rows} != {i: r.text for i, r in run_with(spark, rows, share=2.0).items()}
+
+
+def run_with(spark, rows, **options):
+    frame = spark.createDataFrame([(i, "http://p.example/", h) for i, h in rows], "page_id bigint, url string, html string")
+    return {r.page_id: r for r in htmltext.extract(frame, **options).collect()}
