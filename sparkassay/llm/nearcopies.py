@@ -7,7 +7,8 @@ value its own anchor, one replica a part.  Of two texts at similarity 0.8, 0.85
 0.9975, 0.9999 and 0.9999999; the first FILTER bits drop other pairs at an anchor, and an exact comparison of the two shingle
 sets decides every link.
 
-Only distinct shingle sets are compared.  An anchor gives a spanning forest of its candidates, never all pairs.
+Only distinct shingle sets are compared.  An anchor gives a spanning forest of its candidates, never all pairs; in a large
+one, rows first gather about a few of them, and those that stand together are not compared with each other again.
 Where each of a group's candidates is a link, its class is settled.  The members of the others meet once more, and
 give all candidates between what are different classes so far, so that a candidate that is no link hides none that is.
 
@@ -40,7 +41,10 @@ BITS, PART = 1280, 16
 FILTER, MOST = 128, 34
 #: Rows of an anchor that are compared in one group; more are dealt to tiles.
 TILE = 4096
-PAIRS = 1 << 21
+#: Pairs that are compared at once, and rows from which an anchor is compared by itself.
+PAIRS, LARGE = 1 << 18, 256
+#: Rows that gather those within TIGHT differing bits about them before the rest of a large anchor is compared.
+PIVOTS, TIGHT = 64, 12
 #: Keys up to which a table goes to every executor: 16 or 32 bytes each.
 SMALL = 1_000_000
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -142,28 +146,69 @@ def spanning(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.ndarray:
 def _compare(most: int, forest: bool) -> Callable:
     """Pairs of rows of an anchor whose filter bits are near; a partition comes sorted by anchor and tile."""
 
-    def near(key: np.ndarray, side: np.ndarray, node: np.ndarray, label: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        cuts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-        end = np.repeat(np.append(cuts[1:], len(key)), np.diff(np.append(cuts, len(key))))
-        later = end - np.arange(len(key)) - 1
+    def small(at: np.ndarray, later: np.ndarray, c: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Near pairs of the rows `at` with so many rows after each."""
+        side, _, label, f0, f1 = c
+        x = np.repeat(at, later)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+        first = np.bitwise_count(f0[x] ^ f0[y])
+        keep = np.flatnonzero((first <= most) & (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 2)))
+        x, y = x[keep], y[keep]
+        d = first[keep].astype(np.int64) + np.bitwise_count(f1[x] ^ f1[y])
+        keep = d <= most
+        return x[keep], y[keep], d[keep]
+
+    def large(a: int, b: int, c: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Near pairs of rows a..b-1, without those whose rows a pivot or their label puts together."""
+        side, node, label, f0, f1 = (x[a:b] for x in c)
+        group = np.unique(label, return_inverse=True)[1]
+        if forest:  # any two rows of an anchor may be joined, whatever their sides
+            left = np.arange(b - a)
+            for _ in range(PIVOTS):
+                if len(left) < 2:
+                    break
+                pivot, left = left[0], left[1:]
+                d = np.bitwise_count(f0[left] ^ f0[pivot]).astype(np.int64) + np.bitwise_count(f1[left] ^ f1[pivot])
+                tight = d <= min(most, TIGHT)
+                tight &= node[left] != node[pivot]
+                group[left[tight]] = group[pivot]
+                yield np.full(int(tight.sum()), a + pivot), a + left[tight], d[tight]
+                left = left[~tight]
+        main = group == np.bincount(group).argmax()
+        rest, step = np.flatnonzero(~main), max(1, PAIRS // (b - a))
+        for i in range(0, len(rest), step):
+            x = rest[i : i + step, None]
+            y = np.arange(b - a)[None, :]
+            first = np.bitwise_count(f0[x] ^ f0[y])
+            u, v = np.nonzero((first <= most) & (group[x] != group[y]) & (main[y] | (y > x)) & ((side[x] != side[y]) | (side[x] == 2)))
+            d = first[u, v].astype(np.int64)
+            u = x[u, 0]
+            d += np.bitwise_count(f1[u] ^ f1[v])
+            keep = d <= most
+            yield a + u[keep], a + v[keep], d[keep]
+
+    def near(key: np.ndarray, c: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(anchor, u, v, distance) of near pairs of nodes, anchor by anchor."""
+        cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
+        size = np.diff(cuts)
+        later = np.repeat(cuts[1:], size) - np.arange(len(key)) - 1
+        later[np.repeat(size >= LARGE, size)] = 0
+        for i in np.flatnonzero(size >= LARGE).tolist():
+            for x, y, d in large(int(cuts[i]), int(cuts[i + 1]), c):
+                yield key[x], c[1][x], c[1][y], d
         ends, i = np.cumsum(later), 0
         while i < len(key):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
-            n = later[i:j]
-            x = np.repeat(np.arange(i, j), n)
-            y = x + 1 + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            first = np.bitwise_count(f0[x] ^ f0[y])
-            keep = np.flatnonzero((first <= most) & (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 2)))
-            x, y = x[keep], y[keep]
-            d = first[keep].astype(np.int64) + np.bitwise_count(f1[x] ^ f1[y])
-            keep = d <= most
-            yield key[x[keep]], node[x[keep]], node[y[keep]], d[keep]
+            x, y, d = small(np.arange(i, j), later[i:j], c)
+            yield key[x], c[1][x], c[1][y], d
             i = j
 
     def thin(found: list[tuple]) -> list[tuple]:
         """Candidates of whole anchors, without those that a forest can spare."""
         g, u, v, d = (np.concatenate(c) for c in zip(*found))
         if forest and len(g):
+            order = np.argsort(g, kind="stable")
+            g, u, v, d = g[order], u[order], v[order], d[order]
             bounds = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
             kept = np.concatenate([a + spanning(u[a:b], v[a:b], d[a:b]) for a, b in zip(bounds, [*bounds[1:], len(g)])])
             g, u, v, d = g[kept], u[kept], v[kept], d[kept]
@@ -191,7 +236,7 @@ def _compare(most: int, forest: bool) -> Callable:
             columns = [table[c].to_numpy()[:whole] for c in ("side", "node", "label", "f0", "f1")]
             columns[3:] = [x.view(U64) for x in columns[3:]]  # bits of signed numbers are those of their absolute values
             some: list[tuple] = []
-            for part in near(group[:whole], *columns) if whole else ():
+            for part in near(group[:whole], columns) if whole else ():
                 some.append(part)
                 if not forest or sum(len(x[0]) for x in some) > PAIRS:
                     some = thin(some)

@@ -108,6 +108,46 @@ def test_a_pair_that_is_no_link_hides_none(spark):
     assert sorted(got) == sorted(kept(rows))
 
 
+@pytest.mark.parametrize(("large", "pairs"), [(256, 1 << 18), (4, 40), (1000, 7)])
+def test_anchors_of_any_size(monkeypatch, large, pairs):
+    """Forests connect what all near pairs connect; without a forest, all near pairs of different labels come."""
+    monkeypatch.setattr(nearcopies, "LARGE", large)
+    monkeypatch.setattr(nearcopies, "PAIRS", pairs)
+    rng = np.random.default_rng(large)
+    flip = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    rows = []
+    for anchor in range(6):
+        made = []
+        for _ in range(rng.integers(1, 90)):
+            if made and rng.random() < 0.8:
+                a, b = made[rng.integers(len(made))]
+                made.append((flip(a, rng.integers(1, 16)), flip(b, rng.integers(1, 16))))
+            else:
+                made.append(tuple(rng.integers(0, 1 << 63, 2).astype(np.uint64)))
+        rows += [(anchor, 0, 0, 2, 1000 * anchor + i, int(rng.integers(0, 40)) if anchor % 2 else 1000 * anchor + i, a, b) for i, (a, b) in enumerate(made)]
+    names = ["anchor", "i", "j", "side", "node", "label", "f0", "f1"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    columns = [pa.array([int(np.uint64(r[k]).view(np.int64)) if k > 5 else r[k] for r in rows], t) for k, t in enumerate(kinds)]
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    near = {(x[4], y[4]) for x in rows for y in rows if x[4] < y[4] and x[0] == y[0] and x[5] != y[5] and int(x[6] ^ y[6]).bit_count() + int(x[7] ^ y[7]).bit_count() <= nearcopies.MOST}
+    found = lambda forest: [p for b in nearcopies._compare(nearcopies.MOST, forest)(iter([batch.slice(0, 100), batch.slice(100)])) for p in zip(b["u"].to_pylist(), b["v"].to_pylist())]
+    assert sorted(found(False)) == sorted(near) and near
+    plain = {(u, v) for u, v in near if (u // 1000) % 2 == 0}  # where each row has its own label
+    tree = {(u, v) for u, v in found(True) if (u // 1000) % 2 == 0}
+    assert tree <= plain and joined(tree) == joined(plain)
+
+
+def joined(pairs):
+    group = {}
+    for u, v in pairs:
+        a, b = group.setdefault(u, {u}), group.setdefault(v, {v})
+        if a is not b:
+            a |= b
+            for x in b:
+                group[x] = a
+    return {frozenset(x) for x in group.values()}
+
+
 def test_empty_table_and_columns(spark):
     empty = nearcopies.keep_one(documents(spark, []))
     assert empty.count() == 0 and empty.columns == documents(spark, []).columns
