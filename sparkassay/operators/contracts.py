@@ -260,6 +260,49 @@ def source_manifest_violation(m: Column, manifest_sha256: Column, trusted: Colum
     )
 
 
+def bundle_violation(m: Column, manifest_sha256: Column, trusted: Column, bundle_sha256: Column) -> Column:
+    """First broken rule of a reference bundle's manifest (a struct), before any of its rows is looked at."""
+    digests = T.is_sha256(m["local_corpus_sha256"]) & T.is_sha256(m["reference_snapshot_sha256"])
+    return first_broken(
+        [
+            ("untrusted_manifest", ~F.coalesce(manifest_sha256 == trusted, F.lit(False))),
+            ("bundle_mismatch", ~F.coalesce(m["bundle_sha256"] == bundle_sha256, F.lit(False))),
+            ("collection_method", ~F.coalesce(m["collection_method"] == "independent_public_web", F.lit(False))),
+            ("not_public", ~F.coalesce(m["public_only"] & ~m["private_input_used"], F.lit(False))),
+            ("license_basis", F.coalesce(m["license_basis"], F.lit("")) == ""),
+            ("same_snapshot", ~F.coalesce(digests & (m["local_corpus_sha256"] != m["reference_snapshot_sha256"]), F.lit(False))),
+            ("allowed_domains", F.coalesce(F.size(m["allowed_domains"]), F.lit(0)) <= 0),
+        ]
+    )
+
+
+def triage_binding(m: Column, fixtures_sha256: Column, prelabels_sha256: Column) -> Column:
+    """Why prelabels may not be used: a triage that is not complete, or that was made of other fixtures or gave other labels."""
+    return first_broken(
+        [
+            ("no_manifest", m.isNull()),
+            ("incomplete", ~F.coalesce(m["complete"], F.lit(False))),
+            ("other_fixtures", ~F.coalesce(m["fixtures_sha256"] == fixtures_sha256, F.lit(False))),
+            ("other_prelabels", ~F.coalesce(m["prelabels_sha256"] == prelabels_sha256, F.lit(False))),
+        ]
+    )
+
+
+def digest_of_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many rows there are, and a digest of them in any order: the sum of 60-bit parts of their own digests."""
+    own = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    part = F.conv(F.substring(own, 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.sha2(F.coalesce(F.sum(part), F.lit(0)).cast("string"), 256).alias("sha256"))
+
+
+def receipt(rows: DataFrame, columns: list[str], fingerprint: Column, trusted: Column, manifest_sha256: Column) -> DataFrame:
+    """One row: the receipt that binds public-only fixtures to an approved manifest; its digest is null where they are not to be bound."""
+    public = public_only(rows, fingerprint).select("accepted")
+    made = digest_of_rows(rows, columns).crossJoin(public)  # one row each
+    bound = F.col("accepted") & F.coalesce(manifest_sha256 == trusted, F.lit(False))
+    return made.select(F.col("n").alias("fixtures"), F.when(bound, F.col("sha256")).alias("fixtures_sha256"), F.when(bound, manifest_sha256).alias("source_manifest_sha256"), bound.alias("public_only"))
+
+
 def review_binding(fixtures: DataFrame, by: str, own_sha256: Column, reviewed_sha256: Column) -> DataFrame:
     """(by, bound): whether fixtures are the reviewed file itself, or all derive from it (parent_fixture_sha256)."""
     derived = F.coalesce(F.col("parent_fixture_sha256") == reviewed_sha256, F.lit(False))

@@ -42,12 +42,14 @@ def case(c: DataFrame) -> Column:
     """Markdown of one case.
 
     c: question_id, query_kind, fact_cluster_id, query, reference_answer, source_title, source_url, review, natural,
-    retrieval (array of hits), status, answer, citations, reference_label, predicates (array of text), license_basis.
+    retrieval (array of hits), status, answer, citations, reference_label, predicates (array of text), license_basis,
+    retrieved_at, source_revision, content_digest, elapsed_ms, error, usage.
     """
     hit = lambda h: F.concat(F.lit("  "), h["rank"].cast("string"), F.lit(". `"), T.escape(h["content_id"]), F.lit("` ("), T.escape(h["arm"]), F.lit(", score="), h["score"].cast("string"), F.lit(") — "), T.escape(h["title"]), F.lit(": "), T.escape(h["excerpt"]))
     hits = F.when(F.size("retrieval") > 0, F.array_join(F.transform("retrieval", hit), "\n")).otherwise("  검색 결과 없음")
     citations = F.when(F.size("citations") > 0, F.array_join(F.transform("citations", lambda x: F.concat(F.lit("`"), T.escape(x), F.lit("`"))), ", ")).otherwise("없음")
     predicates = F.when(F.size("predicates") > 0, T.escape(F.array_join("predicates", "; "))).otherwise("없음")
+    or_ = lambda x, usual: F.coalesce(x, F.lit(usual))
     line = lambda name, *parts: F.concat(F.lit(f"- {name}: "), *parts)
     return F.concat_ws(
         "\n",
@@ -62,17 +64,58 @@ def case(c: DataFrame) -> Column:
         F.concat(F.lit("- "), F.col("reference_label"), F.lit(": "), T.escape("reference_answer")),
         line("REFERENCE PREDICATES", predicates),
         line("REFERENCE REVIEW", T.escape("review")),
-        line("REFERENCE", F.lit("["), T.escape("source_title"), F.lit("]("), F.col("source_url"), F.lit(")")),
-        line("SOURCE LICENSE", T.escape("license_basis")),
+        line("REFERENCE", F.lit("["), T.escape("source_title"), F.lit("]("), F.col("source_url"), F.lit(") · retrieved "), T.escape("retrieved_at"), F.lit(" · revision "), T.escape("source_revision"), F.lit(" · digest `"), T.escape("content_digest"), F.lit("`")),
+        line("SOURCE LICENSE", F.coalesce(T.escape("license_basis"), F.lit("확인 필요"))),
+        line("RUN", F.lit("elapsed_ms="), or_(T.escape("elapsed_ms"), ""), F.lit(" · error="), or_(T.escape("error"), ""), F.lit(" · usage="), or_(T.escape("usage"), "{}")),
         line("LABELS", F.lit("reference="), T.escape("review"), F.lit(", query_natural="), T.escape("natural")),
         F.lit(""),
     )
 
 
-def pages(cases: DataFrame) -> DataFrame:
+# The texts at the head of a page and of the index.
+PAGE_HEAD = [
+    "# 질의별 상세 결과",
+    "",
+    "> 이 파일은 `{mode}` 실행의 {n}개 질의입니다. 독립 인터넷 기준답 실험으로 간주하지 않으며, full run 이전에는 품질 주장을 금지합니다.",
+    "",
+    "> 데이터 라이선스는 각 case의 SOURCE LICENSE를 따릅니다. 저장소의 MIT 라이선스는 코드에만 적용됩니다.",
+    "",
+]
+INDEX_HEAD = ["# 전체 질의 결과", "", "실행 모드: `{mode}`", "총 질의: {n}", "품질 주장 금지: {no_claim}", ""]
+
+
+def _filled(lines: list[str], **values: str | Column) -> list[Column]:
+    """Lines with columns in the places of their names."""
+    out = []
+    for text in lines:
+        x = F.lit(text)
+        for name, value in values.items():
+            x = F.replace(x, F.lit("{" + name + "}"), value.cast("string") if isinstance(value, Column) else F.lit(value))
+        out.append(x)
+    return out
+
+
+def pages(cases: DataFrame, mode: str = "full") -> DataFrame:
     """(page, filename, cases, sha256, body) of numbered and paged cases (page, filename, number, markdown)."""
-    bodies = cases.groupBy("page", "filename").agg(F.count("*").alias("cases"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "markdown"))), lambda x: x["markdown"]), "\n").alias("body"))
-    return bodies.withColumn("sha256", T.sha256("body"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("number", "markdown"))), lambda x: x["markdown"])
+    bodies = cases.groupBy("page", "filename").agg(F.count("*").alias("cases"), parts.alias("parts"))
+    body = F.array_join(F.concat(F.array(*_filled(PAGE_HEAD, mode=mode, n=F.col("cases"))), F.col("parts")), "\n")
+    return bodies.select("page", "filename", "cases", body.alias("body")).withColumn("sha256", T.sha256("body"))
+
+
+def index(pages: DataFrame, mode: str = "full") -> DataFrame:
+    """(place, line): the index's lines in order, with a digest for each page."""
+    total = pages.agg(F.coalesce(F.sum("cases"), F.lit(0)).alias("n"))
+    head = total.select(F.posexplode(F.array(*_filled(INDEX_HEAD, mode=mode, n=F.col("n"), no_claim="아니요" if mode == "full" else "예"))).alias("i", "line"))
+    each = F.concat(F.lit("- ["), "filename", F.lit("]("), "filename", F.lit(") — "), F.col("cases").cast("string"), F.lit("건 · SHA-256 `"), "sha256", F.lit("`"))
+    return head.select(F.col("i").cast("bigint").alias("place"), "line").unionByName(pages.select((F.col("page") + len(INDEX_HEAD)).alias("place"), each.alias("line")))
+
+
+def write_report(pages: DataFrame, path: str, mode: str = "full") -> None:
+    """A folder for each page with its one file, and the index; the place must be new.  A file's bytes have the digest that the index names."""
+    # the writer ends each file with a line end, which bodies have
+    pages.select("filename", F.regexp_replace("body", r"\n\z", "").alias("value")).write.mode("errorifexists").partitionBy("filename").text(f"{path}/pages")
+    index(pages, mode).orderBy("place").select("line").write.mode("errorifexists").text(f"{path}/index")
 
 
 def full_gate(fixtures: DataFrame, trusted: DataFrame, labels: DataFrame) -> DataFrame:

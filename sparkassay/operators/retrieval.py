@@ -36,19 +36,23 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = 5, digits: int = 8) ->
     Only terms of questions are carried beyond the scan.  A repeated question term counts again; no
     document without a common term is ranked.  Scores are rounded before ranking, ties go to the smaller id.
 
-    Postings are dealt by document, so that scores are summed where they are made and each task sends on its k
-    best of a question only.
+    Texts are taken apart once: postings carry their document's length.  They are dealt by document, so that scores are
+    summed where they are made and each task sends on its k best of a question only.
     """
     asked = questions.select("question_id", F.explode(T.tokens("query")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("mult"))
-    wanted = asked.select("term").distinct()
-    read = docs.select("doc_id", T.tokens("text").alias("tokens")).withColumn("len", F.size("tokens"))
+    few = asked.count() <= SMALL
+    # every document is also a posting of the empty term, which no text has: its length counts where its tokens are made
+    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
+    read = docs.select("doc_id", F.concat(T.tokens("text"), F.array(F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens") - 1)
     # explode_outer: the filter that Spark would add below explode takes texts apart a second time
-    postings = read.select("doc_id", "len", F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    # reads all columns of the postings, so that their shuffle is one for both uses
-    df = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("len") > 0)).alias("df"))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(length_stats(docs)))  # one row
+    postings = read.select("doc_id", "len", F.explode_outer("tokens").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    # all uses read all columns of the postings and none filters terms, so that their shuffle is one for all
+    terms = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("len") >= 0)).alias("df"), F.sum("len").alias("lengths"))
+    whole = F.col("term") == ""
+    corpus = terms.agg(F.max(F.when(whole, F.col("df"))).alias("n"), F.max(F.when(whole, F.col("lengths") / F.col("df"))).alias("avgdl"))
+    weights = asked.join(terms, "term").crossJoin(F.broadcast(corpus))  # one row
     weights = weights.select("question_id", "term", (F.col("mult") * idf(F.col("n"), F.col("df")) * (K1 + 1)).alias("weight"), F.greatest(F.lit(1.0), "avgdl").alias("avgdl"))
-    if asked.count() <= SMALL:
+    if few:
         weights = F.broadcast(weights)
     part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = postings.repartition("doc_id").join(weights, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score")).filter(F.col("score") != 0)
@@ -86,10 +90,11 @@ def valid_answer(status: Column, answer: Column, citations: Column, allowed: Col
 
 
 def source_hits(hits: DataFrame, truth: DataFrame, by: str) -> DataFrame:
-    """Share of questions whose source is among the hits.  truth: question_id, doc_id and the column `by`."""
+    """Share of questions whose source is among the hits, for each value of `by` and `overall`.  truth: question_id, doc_id and the column `by`."""
     found = truth.join(hits.select("question_id", "doc_id", F.lit(1).alias("hit")), ["question_id", "doc_id"], "left")
     each = found.groupBy("question_id", by).agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
-    return each.groupBy(by).agg(F.count("*").alias("questions"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 8).alias("rate"))
+    both = each.select("hit", F.explode(F.array(F.col(by), F.lit("overall"))).alias(by))
+    return both.groupBy(by).agg(F.count("*").alias("questions"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 8).alias("rate"))
 
 
 def pool(arms: DataFrame, cards: int = 8) -> DataFrame:

@@ -33,15 +33,16 @@ def breaker(attempts: DataFrame, by: str, limit: int = 3) -> DataFrame:
     return tripped.groupBy(by).agg(F.min("seq").alias("tripped_at"))
 
 
-def numbered(rows: DataFrame, order: str, *ties: str, cells: int = 1 << 14) -> DataFrame:
-    """rows with `number` from 1 in the order of a whole-number column (and of ties).
+def numbered(rows: DataFrame, order: str, *ties: str, cells: int = 256) -> DataFrame:
+    """rows with `number` from 1 in the order of a column (and of ties).
 
-    The column's extent is cut into at most `cells` ranges.  Rows are numbered within their range, after the
-    counts of the ranges before; the one task that adds these up sees a row a range, however many rows there are.
+    The column is cut into `cells` ranges at its approximate quantiles, so that outliers do not gather the other rows in one.
+    Rows are numbered within their range, after the counts of the ranges before; the one task that adds these up sees a
+    row a range, however many rows there are.  rows are read three times: a costly plan is better written first.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
-    ranged = rows.withColumn("__range", F.expr(f"(`{order}` - {low or 0}) div {width}"))
+    cuts = rows.agg(F.percentile_approx(order, [i / cells for i in range(1, cells)], 2000)).first()[0] or []
+    cuts = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array(F.lit(0))
+    ranged = rows.withColumn("__range", F.size(F.filter(cuts, lambda x: x < F.col(order))))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))

@@ -74,7 +74,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark items as questions."""
-    return table(spark, sf_dir, "benchmark").selectExpr("item_id as question_id", "substring(text, 1, 160) as query", "text")
+    return table(spark, sf_dir, "benchmark").selectExpr("item_id as question_id", "text as query", "text")
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ SQL_HITS = f"""
     stats as (select count(*) as n, avg(len(tokens)) as avgdl from read),
     postings as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(tokens) as dl, unnest(tokens) as term from read) group by doc_id, term),
     dfs as (select term, count(*) as df from postings group by term),
-    asked as (select question_id, term, count(*) as mult from (select item_id as question_id, unnest({sql_tokens("substring(text, 1, 160)")}) as term from benchmark) group by question_id, term),
+    asked as (select question_id, term, count(*) as mult from (select item_id as question_id, unnest({sql_tokens("text")}) as term from benchmark) group by question_id, term),
     scored as (
         select a.question_id, p.doc_id, round(sum(a.mult * ln(1 + (s.n - d.df + 0.5::double) / (d.df + 0.5::double)) * 2.5::double * p.tf / (p.tf + 1.5::double * (1 - 0.75::double + 0.75::double * p.dl / greatest(1.0::double, s.avgdl)))), 8) as score
         from asked a join dfs d on a.term = d.term join postings p on p.term = a.term cross join stats s group by a.question_id, p.doc_id

@@ -82,40 +82,48 @@ def whitespace_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.sha256(T.joined_key("text")).alias("joined_digest"), T.collapsed_digest("text").alias("collapsed_digest"))
 
 
-#: Short heads of questions, and vectors of questions, that stand in one row.
-HEADS = VECTORS = 256
+#: Whole questions that stand in one row, key words of questions up to which they do, and vectors of questions.
+HEADS, KEYS, VECTORS = 256, 10_000, 256
+_ITEM_KIND = b.KIND.replace("turn", "item_id")
 
 
 @query(f"""
 with {b.SQL_HITS}, truth as (
-    select b.item_id as question_id, d.doc_id, d.lang from benchmark b join documents d on contains(d.text, substring(b.text, 1, 80))
+    select b.item_id as question_id, {_ITEM_KIND} as query_kind, d.doc_id from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''
 ), each_ as (
-    select t.question_id, t.lang, max(case when h.doc_id is null then 0 else 1 end) as hit
-    from truth t left join hits h on t.question_id = h.question_id and t.doc_id = h.doc_id group by t.question_id, t.lang
+    select t.question_id, t.query_kind, max(case when h.doc_id is null then 0 else 1 end) as hit
+    from truth t left join hits h on t.question_id = h.question_id and t.doc_id = h.doc_id group by t.question_id, t.query_kind
 )
-select lang, count(*) as questions, cast(sum(hit) as bigint) as hits, round(avg(hit), 8) as rate from each_ group by lang
+select case when grouping(query_kind) = 1 then 'overall' else query_kind end as query_kind, count(*) as questions, cast(sum(hit) as bigint) as hits, round(avg(hit), 8) as rate from each_ group by grouping sets ((query_kind), ())
+having count(*) > 0
 """)
 def source_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # where a question comes from: documents that hold its first 80 characters
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 80).alias("head"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    # the second to fourth whole words of the head stand in any text that holds it
+    """Share of questions that find a document they stand in, overall and by kind of question."""
+    q = table(spark, sf_dir, "benchmark").filter("text <> ''").select(F.col("item_id").alias("question_id"), F.expr(_ITEM_KIND).alias("query_kind"), F.col("text").alias("asked"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # any text that holds a question holds its words as they are, but for the first and last; the longest names it
     words = lambda x: F.filter(F.split(x, r"[\s\p{Z}]+"), lambda w: w != "")
-    long = F.size(words(F.col("head"))) >= 5
-    short = q.filter(~F.coalesce(long, F.lit(False)) & F.col("head").isNotNull())
-    q = q.filter(long).withColumn("key", F.array_join(F.slice(words(F.col("head")), 2, 3), " "))
-    grams = d.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("key"))
-    near = grams.join(q, "key").select("doc_id", "question_id", "head")
-    truth = near.join(d, "doc_id").filter(F.contains("text", "head")).select("question_id", "doc_id", "lang")
-    # heads of fewer words have no such key: documents meet all of them, in blocks of bounded size
+    inner = words(F.regexp_replace("asked", r"\A\S*|\S*\z", ""))
+    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    q = q.withColumn("key", longest)
+    short, q = q.filter(F.col("key").isNull()), q.filter(F.col("key").isNotNull())
+    keys = q.select("key").distinct()
+    n = keys.count()
+    if n <= KEYS:  # one row of them goes to where texts are read
+        known = F.broadcast(keys.agg(F.collect_list("key").alias("keys")))
+        near = d.crossJoin(known).withColumn("key", F.explode(F.array_intersect("keys", words(F.col("text"))))).drop("keys")
+    else:
+        near = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key")).join(keys, "key", "left_semi").join(d, "doc_id")
+    truth = near.join(q, "key").filter(F.contains("text", "asked")).select("question_id", "query_kind", "doc_id")
+    # questions without an inner word: documents meet all of them, in blocks of bounded size
     blocks = -(-short.count() // HEADS)
     if blocks:
         block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-        held = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("question_id", "head")).alias("heads"))
+        held = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("question_id", "query_kind", "asked")).alias("heads"))
         each = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(held, "block")
-        found = each.withColumn("heads", F.filter("heads", lambda h: F.contains(F.col("text"), h["head"])))
-        truth = truth.unionByName(found.select(F.explode("heads.question_id").alias("question_id"), "doc_id", "lang"))
-    return retrieval.source_hits(hits(spark, sf_dir), truth, "lang")
+        found = each.select("doc_id", F.explode(F.filter("heads", lambda h: F.contains(F.col("text"), h["asked"]))).alias("h"))
+        truth = truth.unionByName(found.select("h.question_id", "h.query_kind", "doc_id"))
+    return retrieval.source_hits(hits(spark, sf_dir), truth, "query_kind")
 
 
 #: An answer for each question, sound or broken in a way that its id decides.
@@ -187,9 +195,9 @@ def canary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def focused_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Focused on the words of the document's own first 60 characters; a fold over parts that SQL has no plain form for."""
+    """Focused on the words of one question; a fold over parts that SQL has no plain form for."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.focused("text", T.query_terms(F.substring("text", 1, 60)), 600).alias("excerpt"))
+    return d.select("doc_id", T.focused("text", T.query_terms(F.lit("Where do the inner nation and 2 other regions meet?")), 600).alias("excerpt"))
 
 
 @query(None)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from sparkassay.operators import metrics, reference, report, retrieval, runlog
 from sparkassay.plans import base as b
 from sparkassay.plans import corpus as c
 from sparkassay.plans.base import query, table
-from sparkassay.sources import jsonl
+from sparkassay.sources import jsonl, shared
 from sparkassay.streaming import logs
 
 # -- soak ----------------------------------------------------------------------------------------------
@@ -52,17 +51,32 @@ def phase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with u as (select user_id, sum(value) * 20 as total, count(distinct case when day(ts) % 2 = 1 then day(ts) end) as fixed, count(distinct case when day(ts) % 2 = 0 then day(ts) end) as varied from events where day(ts) <= 4 group by user_id)
+with u as (select user_id, sum(value) * 20 as total, count(distinct case when day(ts) % 2 = 1 then day(ts) end) as fixed, count(distinct case when day(ts) % 2 = 0 then day(ts) end) as varied from events group by user_id)
 select user_id, total >= 14400 as duration_gate_passed, fixed >= 2 and varied >= 1 as phase_gate_passed, total >= 14400 and fixed >= 2 and varied >= 1 as formal_gate_passed,
     case when total >= 14400 and fixed >= 2 and varied >= 1 then 'completed' else concat_ws(',', case when total < 14400 then 'duration_below_14400' end, case when not (fixed >= 2 and varied >= 1) then 'phase_coverage_insufficient' end) end as exit_reason from u
 """)
 def soak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's first four days as a soak run."""
+    """All events of a user as a soak run, a day as an iteration."""
     day = F.day("ts")
-    runs = table(spark, sf_dir, "events").filter(day <= 4).groupBy("user_id").agg((F.sum("value") * 20).alias("total"), F.count_distinct(F.when(day % 2 == 1, day)).alias("fixed"), F.count_distinct(F.when(day % 2 == 0, day)).alias("varied"))
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg((F.sum("value") * 20).alias("total"), F.count_distinct(F.when(day % 2 == 1, day)).alias("fixed"), F.count_distinct(F.when(day % 2 == 0, day)).alias("varied"))
     return runs.select("user_id", metrics.soak_gate(F.col("total"), F.col("fixed"), F.col("varied")).alias("g")).select("user_id", "g.*")
 
 
+@query("""
+with u as (select user_id, cast(floor((epoch(ts) - epoch((select min(ts) from events))) / 14400) as bigint) as run, sum(value) * 20 as total, count(distinct case when hour(ts) % 2 = 1 then hour(ts) end) as fixed, count(distinct case when hour(ts) % 2 = 0 then hour(ts) end) as varied from events group by all)
+select case when total >= 14400 and fixed >= 2 and varied >= 1 then 'completed' else concat_ws(',', case when total < 14400 then 'duration_below_14400' end, case when not (fixed >= 2 and varied >= 1) then 'phase_coverage_insufficient' end) end as exit_reason, count(*) as runs, round(sum(total), 2) as seconds from u group by exit_reason
+""")
+def soak_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events in spans of four hours as soak runs: how many end for which reason.  Every event counts once."""
+    e = table(spark, sf_dir, "events")
+    start = e.agg(F.min("ts").alias("start"))
+    run = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 14_400_000_000)
+    hour = F.hour("ts")
+    runs = e.crossJoin(F.broadcast(start)).groupBy("user_id", run.alias("run")).agg((F.sum("value") * 20).alias("total"), F.count_distinct(F.when(hour % 2 == 1, hour)).alias("fixed"), F.count_distinct(F.when(hour % 2 == 0, hour)).alias("varied"))  # start is one row
+    reason = metrics.soak_gate(F.col("total"), F.col("fixed"), F.col("varied"))["exit_reason"]
+    return runs.groupBy(reason.alias("exit_reason")).agg(F.count("*").alias("runs"), F.round(F.sum("total"), 2).alias("seconds"))
+
+
 _SIGNED = f"(select cast(user_id % 20 as varchar) as question_id, {_DAY} as iteration, sha256(string_agg(distinct event_type, ',' order by event_type)) as retrieval, sha256(concat('{{\"n\":', count(*) // 4, '}}')) as answer from events group by user_id % 20, {_DAY})"
 _COMPARED = f"(select s.question_id, s.iteration, {_PHASE.replace('iteration', 's.iteration')} as phase, s.answer, s.retrieval = z.retrieval as same_retrieval, s.answer = z.answer as same_answer from {_SIGNED} s join {_SIGNED} z on s.question_id = z.question_id and z.iteration = 1 where s.iteration > 1)"
 
@@ -103,6 +117,29 @@ def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "n", "hits", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
 
 
+def _poisson(u: str) -> str:
+    """A Poisson(1) draw from a uniform one, by the places where its distribution steps."""
+    upto, p, steps = 0.0, math.exp(-1), []
+    for k in range(12):
+        upto += p
+        steps.append(f"({u} >= {upto!r}::double)::int")
+        p /= k + 1
+    return " + ".join(steps)
+
+
+@query(f"""
+with g as (select source, cast(sum(toxic) as bigint) as hits, count(*) as n from documents join labels using (doc_id) group by source),
+d as (select *, ('0x' || substring(sha256(concat('7|', sha256(concat_ws('|', hits, n, source)), '|', i)), 1, 13))::bigint / {1 << 52}::double as u from g, (select unnest(range(200)) as i)),
+r as (select i, sum(w * hits) / sum(w * n)::double as rate from (select *, {_poisson("u")} as w from d) group by i having sum(w * n) > 0),
+o as (select list_sort(list(round(rate, 8))) as v, count(*) as m from r)
+select (select count(*) from g) as clusters, round((select sum(hits) / sum(n)::double from g), 8) as rate, v[cast(floor((m - 1) * 0.025::double) as bigint) + 1] as low, v[cast(floor((m - 1) * 0.975::double) as bigint) + 1] as high from o
+""")
+def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap interval of a rate over clusters, here sources (specified only)."""
+    g = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
+    return metrics.bootstrap(g, "hits", "n")
+
+
 @query("""
 with s as (select source, avg(quality) as success, avg(toxic) as toxic, count(*) / 20.0::double as coverage from documents join labels using (doc_id) group by source)
 select source, concat_ws(',', case when coverage < 0.5 then 'coverage_below_50' end, case when success < 0.7 then 'success_below_70' end, case when toxic > 0.05 then 'unsupported_above_5' end, case when toxic > 0.3 then 'unsure_above_30' end) as reasons from s
@@ -150,7 +187,7 @@ def _sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^{b.WS}+|{b.WS}+$', '', 'g')"
 
 
-_SOURCE = f"(select item_id, {_sql_strip('substring(text, 1, 160)')} as s from benchmark)"
+_SOURCE = f"(select item_id, {_sql_strip('text')} as s from benchmark)"
 _MADE = f"""(select item_id, s, 1 as i, 'spacing.join_all' as transform_id, regexp_replace(s, '{b.WS}+', '', 'g') as t from {_SOURCE}
     union all select item_id, s, 2, 'spacing.pad', replace(s, ' ', '  ') from {_SOURCE}
     union all select item_id, s, 4, 'mixed.en_to_ko', {_sql_words("s", LATIN.en_to_ko)} from {_SOURCE}
@@ -177,13 +214,13 @@ def variants_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Korean terms with a particle before a text of the table; what becomes of them can be stated.
 _HANGUL = "case item_id % 4 when 0 then '내성 굴림을' when 1 then '주문슬롯' when 2 then '공격 굴림에서' else '방어도망' end"
 _MIXED = "case item_id % 4 when 0 then 'saving throw을' when 1 then 'spell slot' when 2 then 'attack roll에서' end"
-_REST = f"regexp_replace(substring(text, 1, 40), '{b.WS}+$', '')"
+_REST = f"regexp_replace(text, '{b.WS}+$', '')"
 
 
 @query(f"select item_id, 'mixed.ko_to_en' as transform_id, concat({_MIXED}, ' ', {_REST}) as text from benchmark where item_id % 4 <> 3 union all select item_id, 'compound.ko_to_en_join', regexp_replace(concat({_MIXED}, ' ', {_REST}), '{b.WS}+', '', 'g') from benchmark where item_id % 4 <> 3")
 def variants_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A term inside a longer word is left alone; a particle is kept; a joined mix may not fuse scripts anew before it is made."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.expr(_HANGUL), F.lit(" "), F.regexp_replace(F.substring("text", 1, 40), f"{T.WS}+$", "")).alias("q"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.expr(_HANGUL), F.lit(" "), F.regexp_replace("text", f"{T.WS}+$", "")).alias("q"))
     v = q.select("item_id", F.explode(rewrite.variants(F.col("q"), SHIPPED)).alias("v"))
     return v.filter("v.transform_id in ('mixed.ko_to_en', 'compound.ko_to_en_join')").select("item_id", "v.transform_id", "v.text")
 
@@ -211,7 +248,7 @@ def _mixed_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EXPANDED = f"""(select cast(item_id as varchar) as question_id, 'natural' as query_kind, s as query from {_SOURCE} where item_id % 3 <> 0
     union all select concat(item_id, '::', transform_id), split_part(transform_id, '.', 1), t from {_FRESH} where item_id % 3 <> 0
-    union all select cast(item_id as varchar), 'paraphrase', substring(text, 1, 160) from benchmark where item_id % 3 = 0)"""
+    union all select cast(item_id as varchar), 'paraphrase', text from benchmark where item_id % 3 = 0)"""
 
 
 @query(f"select * from {_EXPANDED}")
@@ -235,6 +272,33 @@ def variant_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.crossJoin(F.broadcast(n)).select("transform_id", "fired", F.round(F.col("fired") / F.col("n"), 8).alias("rate"))  # one row
 
 
+_TERMS = {**LATIN.en_to_ko, **LATIN.to_abbreviation}
+
+
+@query(f"""
+with t as (select item_id, unnest([lower(w) for w in regexp_extract_all(text, '[A-Za-z0-9]+')]) as term from benchmark)
+select term, count(distinct item_id) as rows, count(*) as places from t where term in ({', '.join(map(repr, _TERMS))}) group by term
+""")
+def term_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many questions each entry of the term map stands, and at how many places."""
+    return rewrite.term_counts(b.questions(spark, sf_dir), "query", _TERMS)
+
+
+_REVIEWED = "case when sha256(concat(item_id, transform_id)) < '02' then 'N' when sha256(concat(item_id, transform_id)) < '28' then 'U' else 'Y' end"
+
+
+@query(f"""
+with s as (select transform_id, {_REVIEWED} as value from (select *, row_number() over (partition by transform_id order by sha256(concat('7:', item_id)), item_id) as place from {_FRESH}) where place <= 20)
+select transform_id, count(*) as reviewed, count(*) filter (value = 'N') as n, count(*) filter (value = 'U') as u, count(*) filter (value = 'N') > 0 or count(*) filter (value = 'U') > 2 as rejected from s group by transform_id
+""")
+def transform_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty variants of each transform reviewed (by a digest here); one N or more than two U reject it (specified only)."""
+    v = b.questions(spark, sf_dir).select(F.col("question_id").alias("item_id"), F.explode(rewrite.variants(F.col("query"), LATIN)).alias("v")).select("item_id", "v.transform_id")
+    digest = T.sha256(F.concat(F.col("item_id").cast("string"), "transform_id"))
+    value = F.when(digest < "02", "N").when(digest < "28", "U").otherwise("Y")
+    return metrics.transform_verdict(metrics.stratified(v, "transform_id", "item_id", 7).withColumn("value", value), "transform_id", "value")
+
+
 _VOCABULARY = f"select distinct unnest({b.sql_tokens('text')}) as term from benchmark"
 _GLOSSARY = f"select distinct unnest({b.sql_tokens('text')}) as term from documents where lang = 'de'"
 
@@ -261,27 +325,23 @@ def effective_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.crossJoin(F.broadcast(known)).agg(F.count("*").alias("replaced"), F.count_if((F.col("v.transform_id") == "mixed.en_to_ko") & F.col("known")).alias("in_glossary"))  # one row
 
 
-_ENTRY = "case when item_id % 6 = 0 then true end"
+_ENTRIES = """e as (
+    select item_id as pos, place, lower(trim(surface)) as key, concat('e', item_id) as en, item_id % 6 = 0 as risk
+    from (select item_id, unnest(w) as surface, unnest(range(len(w))) as place from (select item_id, string_split(text, ' ') as w from benchmark)))"""
 
 
-@query("""
-with e as (select item_id as pos, lower(trim(substring(text, 1, 6))) as key, concat('e', item_id) as en, item_id % 6 = 0 as risk from benchmark
-    union all select item_id, lower(trim(substring(text, 8, 6))), concat('e', item_id), item_id % 6 = 0 from benchmark where item_id % 2 = 0)
-select key, arg_min(en, pos) as en, count(*) as uses from e where not risk and key <> '' group by key
-""")
+@query(f"with {_ENTRIES} select key, arg_min(en, pos * 100000 + place) as en, count(*) as uses from e where not risk and key <> '' group by key")
 def term_map_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.term_table(_entries(spark, sf_dir))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of benchmark items as term-map entries."""
-    return table(spark, sf_dir, "benchmark").selectExpr("item_id as pos", "substring(text, 1, 6) as ko", "concat('e', cast(item_id as string)) as en", "case when item_id % 2 = 0 then array(substring(text, 8, 6)) end as aliases", f"{_ENTRY} as generic_risk")
+    """A benchmark item as a term-map entry: its first word, and all others as aliases."""
+    words = F.split("text", " ", -1)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.get(words, F.lit(0)).alias("ko"), F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("en"), F.slice(words, 2, F.size(words)).alias("aliases"), F.when(F.col("item_id") % 6 == 0, True).alias("generic_risk"))
 
 
-@query("""
-with e as (select lower(trim(substring(text, 1, 6))) as key, item_id % 6 = 0 as risk from benchmark union all select lower(trim(substring(text, 8, 6))), item_id % 6 = 0 from benchmark where item_id % 2 = 0)
-select key, count(*) as uses from e where not risk and key <> '' group by key having count(*) > 1
-""")
+@query(f"with {_ENTRIES} select key, count(*) as uses from e where not risk and key <> '' group by key having count(*) > 1")
 def term_map_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.term_table(_entries(spark, sf_dir)).filter("uses > 1").select("key", "uses")
 
@@ -364,7 +424,11 @@ def reference_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.gathered(retrieval.evidence(c.hits(spark, sf_dir), b.corpus(spark, sf_dir))).withColumnRenamed("question_id", "item_id")
     rows = _report_rows(spark, sf_dir).join(found, "item_id", "left")
-    rows = rows.withColumns({"query_kind": F.lit("natural"), "query": F.substring("text", 1, 160), "reference_answer": F.substring("text", 1, 40), "source_title": F.lit("T & <b>"), "source_url": F.lit("https://a.example/"), "status": F.lit("answered"), "answer": T.collapse(F.substring("text", 1, 30)), "citations": F.transform(F.slice(F.col("retrieval"), 1, 1), lambda h: h["content_id"]), "predicates": F.when(F.col("item_id") % 2 == 0, F.array(F.lit("p > q"), F.lit("r"))), "license_basis": F.lit("CC-BY")})
+    rows = rows.withColumns({
+        "query_kind": F.lit("natural"), "query": F.col("text"), "reference_answer": F.col("text"), "source_title": F.lit("T & <b>"), "source_url": F.lit("https://a.example/"), "status": F.lit("answered"), "answer": T.collapse("text"),
+        "citations": F.transform(F.slice(F.col("retrieval"), 1, 1), lambda h: h["content_id"]), "predicates": F.when(F.col("item_id") % 2 == 0, F.array(F.lit("p > q"), F.lit("r"))), "license_basis": F.when(F.col("item_id") % 3 != 0, F.lit("CC-BY")),
+        "retrieved_at": F.lit("2024-01-01T00:00:00Z"), "source_revision": F.concat(F.lit("r<"), F.col("item_id").cast("string")), "content_digest": T.sha256("text"), "elapsed_ms": F.when(F.col("item_id") % 5 != 0, F.col("item_id") * 7), "error": F.when(F.col("item_id") % 7 == 0, "timed out & lost"), "usage": F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("{'total_tokens': "), F.col("item_id").cast("string"), F.lit("}"))),
+    })
     return rows.select("item_id", "question_id", report.case(rows).alias("markdown"))
 
 
@@ -375,9 +439,10 @@ def _sql_escape(x: str) -> str:
 _CASES = f"""
 evidence as (select h.question_id, h.rank, concat('doc:', c.doc_id, ':chunk:0:sha256:', sha256(c.body)) as content_id, h.score, c.title, rtrim(substring({b.sql_collapse('c.body')}, 1, 360)) as excerpt from hits h join corpus c on h.doc_id = c.doc_id),
 lines as (select question_id, string_agg(concat('  ', rank, '. `', content_id, '` (lexical, score=', score, ') — ', {_sql_escape("title")}, ': ', {_sql_escape("excerpt")}), chr(10) order by rank) as hits, min_by(content_id, rank) as first from evidence group by question_id),
-cases as (select item_id, concat('q', item_id) as question_id, concat_ws(chr(10), concat('## q', item_id, ' · natural'), '', concat('- fact cluster: `f', item_id, '`'), concat('- QUERY: ', {_sql_escape("substring(text, 1, 160)")}), '- RESULT:', coalesce(l.hits, '  검색 결과 없음'),
-    rtrim(concat('- LOCAL ANSWER: [answered] ', {_sql_escape(b.sql_collapse("substring(text, 1, 30)"))})), concat('- LOCAL CITATIONS: ', coalesce(concat('`', l.first, '`'), '없음')), concat('- ', {_LABEL}, ': ', {_sql_escape("substring(text, 1, 40)")}),
-    concat('- REFERENCE PREDICATES: ', case when item_id % 2 = 0 then 'p &gt; q; r' else '없음' end), concat('- REFERENCE REVIEW: ', {_REVIEW}), '- REFERENCE: [T &amp; &lt;b&gt;](https://a.example/)', '- SOURCE LICENSE: CC-BY',
+cases as (select item_id, concat('q', item_id) as question_id, concat_ws(chr(10), concat('## q', item_id, ' · natural'), '', concat('- fact cluster: `f', item_id, '`'), concat('- QUERY: ', {_sql_escape("text")}), '- RESULT:', coalesce(l.hits, '  검색 결과 없음'),
+    rtrim(concat('- LOCAL ANSWER: [answered] ', {_sql_escape(b.sql_collapse("text"))})), concat('- LOCAL CITATIONS: ', coalesce(concat('`', l.first, '`'), '없음')), concat('- ', {_LABEL}, ': ', {_sql_escape("text")}),
+    concat('- REFERENCE PREDICATES: ', case when item_id % 2 = 0 then 'p &gt; q; r' else '없음' end), concat('- REFERENCE REVIEW: ', {_REVIEW}), concat('- REFERENCE: [T &amp; &lt;b&gt;](https://a.example/) · retrieved 2024-01-01T00:00:00Z · revision r&lt;', item_id, ' · digest `', sha256(text), '`'), case when item_id % 3 <> 0 then '- SOURCE LICENSE: CC-BY' else '- SOURCE LICENSE: 확인 필요' end,
+    concat('- RUN: elapsed_ms=', case when item_id % 5 <> 0 then cast(item_id * 7 as varchar) else '' end, ' · error=', case when item_id % 7 = 0 then 'timed out &amp; lost' else '' end, ' · usage=', case when item_id % 2 = 0 then concat('{{''total_tokens'': ', item_id, '}}') else '{{}}' end),
     concat('- LABELS: reference=', {_REVIEW}, ', query_natural=', case when item_id % 5 = 0 then 'Y' else 'pending' end), '') as markdown from benchmark left join lines l on item_id = l.question_id)
 """
 
@@ -387,13 +452,37 @@ def report_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir).select("question_id", "markdown")
 
 
-@query(f"""
-with {b.SQL_HITS}, {_CASES}, n as (select *, row_number() over (order by item_id) as number, count(*) over () as total from cases),
-p as (select *, (number - 1) // 12 as page, printf('cases-%04d-%04d.md', (number - 1) // 12 * 12 + 1, least((number - 1) // 12 * 12 + 12, total)) as filename from n)
-select page, filename, count(*) as cases, sha256(string_agg(markdown, chr(10) order by number)) as sha256 from p group by page, filename
-""")
+_HEAD = "'" + "\n".join(report.PAGE_HEAD).replace("{mode}", "smoke").replace("{n}", "', count(*), '") + "'"
+_PAGES = f"""{_CASES}, n as (select *, row_number() over (order by item_id) as number, count(*) over () as total from cases),
+p as (select *, (number - 1) // 12 as page, printf('cases-%04d-%04d.md', (number - 1) // 12 * 12 + 1, least((number - 1) // 12 * 12 + 12, total)) as filename from n),
+pages as (select page, filename, count(*) as cases, sha256(concat({_HEAD}, chr(10), string_agg(markdown, chr(10) order by number))) as sha256 from p group by page, filename)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = shared.written(_cases(spark, sf_dir))
+    return report.pages(runlog.paged(runlog.numbered(cases, "item_id"), 12), "smoke")
+
+
+@query(f"with {b.SQL_HITS}, {_PAGES} select page, filename, cases, sha256 from pages")
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.pages(runlog.paged(runlog.numbered(_cases(spark, sf_dir), "item_id"), 12)).select("page", "filename", "cases", "sha256")
+    return _pages(spark, sf_dir).select("page", "filename", "cases", "sha256")
+
+
+_INDEX = " union all ".join(f"select {i} as place, '{x.replace('{mode}', 'smoke').replace('{no_claim}', '예')}' as line" for i, x in enumerate(report.INDEX_HEAD)).replace("{n}", "' || (select count(*) from benchmark) || '")
+
+
+@query(f"with {b.SQL_HITS}, {_PAGES} select cast(place as bigint) as place, line from ({_INDEX} union all select page + {len(report.INDEX_HEAD)}, concat('- [', filename, '](', filename, ') — ', cases, '건 · SHA-256 `', sha256, '`') from pages)")
+def report_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.index(_pages(spark, sf_dir), "smoke")
+
+
+@query(f"with {b.SQL_HITS}, {_PAGES} select filename, sha256 from pages")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as files, and the digests of the bytes that are there."""
+    path = shared.folder(spark)
+    report.write_report(shared.written(_pages(spark, sf_dir)), path, "smoke")
+    files = jsonl.file_hashes(spark, f"{path}/pages/*/*.txt")
+    return files.select(F.url_decode(F.regexp_extract("path", "filename=([^/]+)/", 1)).alias("filename"), "sha256")
 
 
 @query(f"""
@@ -408,29 +497,33 @@ def full_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- files and streams ---------------------------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share; the machine's own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/files-{uuid.uuid4().hex}"
-
-
 @query("select event_id, event_type, user_id, sha256(concat('{\"event_id\":', event_id, ',\"event_type\":\"', event_type, '\",\"user_id\":', user_id, '}')) as digest from events")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical lines written, read back and hashed."""
-    path = _shared(spark)
+    path = shared.folder(spark)
     jsonl.write_jsonl(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), path)
     lines = jsonl.read_jsonl(spark, path).filter("valid")
     return lines.select(F.from_json("raw", "event_id bigint, event_type string, user_id bigint").alias("r"), T.sha256("raw").alias("digest")).select("r.*", "digest")
 
 
-@query("select count(*) as files, cast(sum(n) as bigint) as rows from (select event_type, count(*) as n from events group by event_type)")
+@query("""
+with j as (select event_type, count(*) as n, sha256(concat(string_agg(concat('{"event_id":', event_id, ',"user_id":', user_id, '}'), chr(10) order by event_id), chr(10))) as lines_sha256 from events group by event_type)
+select event_type, n as rows, lines_sha256, true as sound from j
+""")
 def manifest_io(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types written as journals, their numbers in a manifest that is read back."""
-    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).agg(F.count("*").alias("files"), F.sum("n").alias("rows"))
-    path = _shared(spark)
-    jsonl.write_manifest(spark, counts.first().asDict(), path)
-    found = jsonl.read_manifest(spark, path)
-    return counts.filter((F.col("files") == found["files"]) & (F.col("rows") == found["rows"]))
+    """Event types written as journals, with a manifest of the rows and digest of each; the files are then checked against it."""
+    path = shared.folder(spark)
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", jsonl.canonical({"event_id": F.col("event_id"), "user_id": F.col("user_id")}).alias("value"))
+    # one file a journal, in the order of its events
+    e.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(f"{path}/journals")
+    files = jsonl.file_hashes(spark, f"{path}/journals/*/*.txt").select(F.url_decode(F.regexp_extract("path", "event_type=([^/]+)/", 1)).alias("event_type"), "sha256")
+    rows = spark.read.text(f"{path}/journals").groupBy("event_type").agg(F.count("*").alias("rows"))
+    jsonl.write_jsonl(files.join(rows, "event_type"), f"{path}/manifest")
+    told = jsonl.read_objects(spark, f"{path}/manifest", "event_type string, rows bigint, sha256 string")
+    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    again = jsonl.file_hashes(spark, f"{path}/journals/*/*.txt").select("sha256", F.lit(True).alias("there"))
+    sound = (F.col("rows") == F.col("n")) & F.coalesce("there", F.lit(False))
+    return told.join(counted, "event_type").join(again, "sha256", "left").select("event_type", "rows", F.col("sha256").alias("lines_sha256"), sound.alias("sound"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,17 +544,17 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 @query(f"select question_id as key, seq, value from (select *, row_number() over (partition by question_id order by seq desc) as i from ({b.SQL_EVENTS})) where i = 1 and action = 'label'")
 def stream_reduce_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir).selectExpr("cast(user_id as string) as key", "event_id as seq", f"{b.EVENT_ACTION} as action", f"{b.EVENT_VALUE} as value")
-    return logs.standing(logs.drain(spark, logs.latest(events), _shared(spark), "update"))
+    return logs.standing(logs.drain(spark, logs.latest(events), shared.folder(spark), "update"))
 
 
 @query("select distinct user_id as question_id from events")
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.drain(spark, logs.once(_stream(spark, sf_dir).select(F.col("user_id").alias("question_id")), "question_id"), _shared(spark))
+    return logs.drain(spark, logs.once(_stream(spark, sf_dir).select(F.col("user_id").alias("question_id")), "question_id"), shared.folder(spark))
 
 
 @query("select time_bucket(interval '30 seconds', ts) as start, count(*) as n, max(value) as peak from events group by 1")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "value")
-    out = logs.drain(spark, logs.windows(samples, "ts", "value"), _shared(spark), "update")
+    out = logs.drain(spark, logs.windows(samples, "ts", "value"), shared.folder(spark), "update")
     # each batch gives a window's new state: the last one has the most rows
     return out.groupBy("start").agg(F.max_by(F.struct("n", "peak"), "n").alias("w")).select(F.col("start").cast("timestamp_ntz").alias("start"), "w.n", "w.peak")

@@ -56,6 +56,55 @@ def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_", contracts.source_manifest_violation(m, F.lit("m"), way(4, F.lit("x"), F.lit("m")), way(5, F.lit("x"), F.lit("s")), F.col("foreign")).alias("violation"))
 
 
+_MANIFEST_RULES = {
+    "untrusted_manifest": "x = 1", "bundle_mismatch": "x % 4 = 2", "collection_method": "method is null or method <> 'independent_public_web'", "not_public": "coalesce(not public_only or private_used, true)",
+    "license_basis": "coalesce(license, '') = ''", "same_snapshot": "coalesce(length(local_) <> 64 or local_ = reference_, true)", "allowed_domains": "coalesce(len(domains), 0) = 0",
+}
+_MANIFESTS = """select page_id, page_id % 9 as x, case when page_id % 5 <> 1 then 'independent_public_web' end as method, page_id % 7 <> 2 as public_only, case when page_id % 11 <> 3 then page_id % 13 = 4 end as private_used,
+    case page_id % 6 when 1 then '' when 2 then null else 'CC-BY' end as license, {sha_html} as local_, case page_id % 8 when 3 then {sha_html} when 5 then null else {sha_url} end as reference_"""
+
+
+@query(f"""
+with m as (select *, case when page_id % 10 = 4 then []::varchar[] when page_id % 10 <> 7 then ['a.example'] end as domains from ({_MANIFESTS.format(sha_html="sha256(html)", sha_url="sha256(url)")} from pages))
+select page_id, case {' '.join(f"when {rule} then '{name}'" for name, rule in _MANIFEST_RULES.items())} end as violation from m
+""")
+def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference bundles of the pages table, with several faults at once in many of them."""
+    rows = table(spark, sf_dir, "pages").selectExpr("*", "sha2(html, 256) as h", "sha2(url, 256) as u").selectExpr("page_id", "page_id % 9 as x", "case when page_id % 5 <> 1 then 'independent_public_web' end as method", "page_id % 7 <> 2 as public_only", "case when page_id % 11 <> 3 then page_id % 13 = 4 end as private_used", "case page_id % 6 when 1 then '' when 2 then null else 'CC-BY' end as license", "h as local_", "case page_id % 8 when 3 then h when 5 then null else u end as reference_", "case when page_id % 10 = 4 then cast(array() as array<string>) when page_id % 10 <> 7 then array('a.example') end as domains")
+    m = F.struct(F.when(F.col("x") % 4 == 2, "other").otherwise("bundle").alias("bundle_sha256"), F.col("method").alias("collection_method"), "public_only", F.col("private_used").alias("private_input_used"), F.col("license").alias("license_basis"), F.col("local_").alias("local_corpus_sha256"), F.col("reference_").alias("reference_snapshot_sha256"), F.col("domains").alias("allowed_domains"))
+    return rows.select("page_id", contracts.bundle_violation(m, F.when(F.col("x") == 1, "y").otherwise("x"), F.lit("x"), F.lit("bundle")).alias("violation"))
+
+
+_ROWS_DIGEST = "sha256(cast(coalesce(sum(cast(('0x' || substring(sha256({x}), 1, 15))::bigint as hugeint)), 0) as varchar))"
+
+
+@query(f"""
+with f as (select source, {_ROWS_DIGEST.format(x="concat_ws('|', doc_id, text)")} as fixtures, count(*) as n from documents group by source),
+p as (select source, {_ROWS_DIGEST.format(x="concat_ws('|', doc_id, quality)")} as prelabels from documents join labels using (doc_id) group by source)
+select source, case when length(source) % 7 = 3 then 'no_manifest' when n % 3 = 0 then 'incomplete' when n % 2 = 0 then 'other_fixtures' when p.prelabels is null then 'other_prelabels' end as violation, f.fixtures as fixtures_sha256 from f left join p using (source)
+""")
+def triage_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's documents as fixtures and its labels as prelabels, with a triage manifest for each that may not fit them."""
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    part = lambda *x: F.conv(F.substring(F.sha2(F.concat_ws("|", *x), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    whole = lambda x: F.sha2(F.coalesce(F.sum(x), F.lit(0)).cast("string"), 256)
+    f = d.groupBy("source").agg(whole(part(F.col("doc_id").cast("string"), "text")).alias("f"), F.count("*").alias("n"))
+    p = d.join(l, "doc_id").groupBy("source").agg(whole(part(F.col("doc_id").cast("string"), F.col("quality").cast("string"))).alias("p"))
+    rows = f.join(p, "source", "left")
+    m = F.when(F.length("source") % 7 != 3, F.struct((F.col("n") % 3 != 0).alias("complete"), F.when(F.col("n") % 2 != 0, F.col("f")).otherwise("other").alias("fixtures_sha256"), F.col("p").alias("prelabels_sha256")))
+    return rows.select("source", contracts.triage_binding(m, F.col("f"), F.col("p")).alias("violation"), F.col("f").alias("fixtures_sha256"))
+
+
+@query(f"""
+select count(*) as fixtures, case when bool_and(url like 'http%') then {_ROWS_DIGEST.format(x="concat_ws('|', page_id, html)")} end as fixtures_sha256, case when bool_and(url like 'http%') then sha256('manifest') end as source_manifest_sha256, bool_and(url like 'http%') as public_only from pages
+""")
+def public_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table as public fixtures, bound to a manifest by a digest of all of it."""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "html", "case when url like 'http%' then 'public_web' else 'private' end as source_type", "false as private_input_used", "'run1' as run_fingerprint")
+    manifest = F.sha2(F.lit("manifest").cast("binary"), 256)
+    return contracts.receipt(rows, ["page_id", "html"], F.lit("run1"), manifest, manifest)
+
+
 @query("select source, bool_and(lang = 'en') or bool_and(doc_id % 7 <> 3) as bound from documents group by source")
 def review_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source as a file of fixtures: reviewed itself if all English, else by what its rows derive from."""
@@ -79,7 +128,7 @@ def fixture_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     row = {c: F.lit("x") for c in contracts.FIXTURE_TEXTS} | {
         "question_id": F.concat(F.lit("q"), F.col("doc_id").cast("string")),
-        "query": way(1, none, F.substring("text", 1, 40)),
+        "query": way(1, none, F.col("text")),
         "source_type": F.when(F.col("m") == 2, "private_web").when(F.col("m") == 11, "synthetic_template").otherwise("public_web"),
         "content_digest": way(4, F.upper(T.sha256("text")), T.sha256("text")),
         "retrieved_at": way(5, F.lit("2024-01-01T00:00:00"), F.lit("2024-01-01T00:00:00+00:00")),
@@ -136,18 +185,20 @@ def candidate_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, a, b): a conversation's first and last four turns as two candidates of a model."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    """(conv_id, pass_, a, b): each eight turns of a conversation as two candidates of a model, of four turns each."""
+    eight = F.floor(F.col("turn") / 8).cast("bigint")
+    half = lambda i: F.transform(F.sort_array(F.collect_list(F.when(F.floor(F.col("turn") % 8 / 4) == i, F.struct("turn", "text")))), lambda x: x["text"])
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", eight.alias("pass_")).agg(half(0).alias("t"), half(1).alias("u"))
 
     def made(part: Column, shift: int) -> Column:
         kinds = F.array(*(F.lit(k) for k in contracts.KINDS))
         kind = lambda i: F.when((F.col("conv_id") + shift) % 5 == 0, F.element_at(kinds, F.least(i + 1, F.lit(3)))).otherwise(F.element_at(kinds, i + 1))
-        text = lambda x, i: F.when((F.col("conv_id") % 3 == 0) & (i == 2), F.concat(F.lit("AB  "), x["text"])).when((F.col("conv_id") % 7 == 0) & (i == 3), F.lit("   ")).otherwise(x["text"])
-        queries = F.transform(part, lambda x, i: F.struct(kind(i).alias("kind"), F.substring(text(x, i), 1, 60).alias("text")))
-        first = F.substring(F.get(part, F.lit(0))["text"], 1, 40)
+        text = lambda x, i: F.when((F.col("conv_id") % 3 == 0) & (i == 2), F.concat(F.lit("AB  "), x)).when((F.col("conv_id") % 7 == 0) & (i == 3), F.lit("   ")).otherwise(x)
+        queries = F.transform(part, lambda x, i: F.struct(kind(i).alias("kind"), text(x, i).alias("text")))
+        first = F.get(part, F.lit(0))
         return F.struct(((F.col("conv_id") + shift) % 11 == 0).alias("skip"), F.when((F.col("conv_id") + shift) % 13 != 0, first).alias("reference_answer"), F.when((F.col("conv_id") + shift) % 9 != 0, first).otherwise(" ").alias("predicate"), queries.alias("queries"))
 
-    return turns.select("conv_id", made(F.slice("t", 1, 4), 0).alias("a"), made(F.when(F.size("t") >= 4, F.slice("t", -4, 4)).otherwise(F.col("t")), 1).alias("b"))
+    return turns.select("conv_id", "pass_", made(F.col("t"), 0).alias("a"), made(F.col("u"), 1).alias("b"))
 
 
 def _sql_candidate(rows: str, shift: int) -> str:
@@ -155,7 +206,7 @@ def _sql_candidate(rows: str, shift: int) -> str:
     text = "case when conv_id % 3 = 0 and i = 3 then concat('AB  ', t[i]) when conv_id % 7 = 0 and i = 4 then '   ' else t[i] end"
     return f"""(select *, case
         when (conv_id + {shift}) % 11 = 0 then 'explicit_skip'
-        when (conv_id + {shift}) % 13 = 0 or coalesce({_sql_strip("substring(t[1], 1, 40)")}, '') = '' then 'missing_reference_answer'
+        when (conv_id + {shift}) % 13 = 0 or coalesce({_sql_strip("t[1]")}, '') = '' then 'missing_reference_answer'
         when (conv_id + {shift}) % 9 = 0 then 'missing_predicate'
         when len(t) <> 4 then 'queries_not_four'
         when (conv_id + {shift}) % 5 = 0 then 'kinds_incomplete'
@@ -163,47 +214,47 @@ def _sql_candidate(rows: str, shift: int) -> str:
         when len(list_distinct([{b.sql_key("x")} for x in q])) <> 4 then 'duplicate_query_text'
         when not regexp_matches(q[2], '[A-Za-z]') then 'mixed_has_no_latin'
         when not (regexp_matches(q[3], '[A-Z]{{2,}}') or contains(q[3], '  ')) then 'spacing_has_no_marker' else 'ok' end as reason
-        from (select conv_id, t, [{_sql_strip("substring(" + text + ", 1, 60)")} for i in range(1, len(t) + 1)] as q from {rows}))"""
+        from (select conv_id, pass_, t, [{_sql_strip(text)} for i in range(1, len(t) + 1)] as q from {rows}))"""
 
 
 def _sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^{b.WS}+|{b.WS}+$', '', 'g')"
 
 
-_TURNS = "(select conv_id, list(text order by turn) as t from conversations group by conv_id)"
-_FIRST = _sql_candidate(f"(select conv_id, t[1:4] as t from {_TURNS})", 0)
-_LAST = _sql_candidate(f"(select conv_id, case when len(t) >= 4 then t[-4:] else t end as t from {_TURNS})", 1)
-_MERGED = f"""(select a.conv_id, a.reason as ra, case when a.reason = 'ok' and b.reason = 'ok' and {b.sql_key("substring(a.t[1], 1, 40)")} = {b.sql_key("substring(b.t[1], 1, 40)")} then 'duplicate_of_previous_pass' else b.reason end as rb
-    from {_FIRST} a join {_LAST} b on a.conv_id = b.conv_id)"""
+_TURNS = "(select conv_id, turn // 8 as pass_, coalesce(list(text order by turn) filter (turn % 8 < 4), []) as t, coalesce(list(text order by turn) filter (turn % 8 >= 4), []) as u from conversations group by conv_id, turn // 8)"
+_FIRST = _sql_candidate(f"(select conv_id, pass_, t from {_TURNS})", 0)
+_LAST = _sql_candidate(f"(select conv_id, pass_, u as t from {_TURNS})", 1)
+_MERGED = f"""(select a.conv_id, a.pass_, a.reason as ra, case when a.reason = 'ok' and b.reason = 'ok' and {b.sql_key("a.t[1]")} = {b.sql_key("b.t[1]")} then 'duplicate_of_previous_pass' else b.reason end as rb
+    from {_FIRST} a join {_LAST} b on a.conv_id = b.conv_id and a.pass_ = b.pass_)"""
 
 
-@query(f"select conv_id, reason from {_FIRST}")
+@query(f"select conv_id, pass_, reason from {_FIRST}")
 def candidate_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("conv_id", contracts.candidate_reason("a").alias("reason"))
+    return candidates(spark, sf_dir).select("conv_id", "pass_", contracts.candidate_reason("a").alias("reason"))
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("conv_id", contracts.merge_passes(F.col("a"), F.col("b")).alias("m")).select("conv_id", "m.*")
+    return candidates(spark, sf_dir).select("conv_id", "pass_", contracts.merge_passes(F.col("a"), F.col("b")).alias("m")).select("conv_id", "pass_", "m.*")
 
 
 _STATUS = "case when ra = 'ok' or rb = 'ok' then 'valid' when ra = 'explicit_skip' or rb = 'explicit_skip' then 'explicit_skip' else 'invalid' end"
 
 
-@query(f"select conv_id, {_STATUS} as status, concat(ra, ',', rb) as reasons, cast((case when ra = 'ok' then 1 else 0 end) + (case when rb = 'ok' then 1 else 0 end) as integer) as accepted from {_MERGED}")
+@query(f"select conv_id, pass_, {_STATUS} as status, concat(ra, ',', rb) as reasons, cast((case when ra = 'ok' then 1 else 0 end) + (case when rb = 'ok' then 1 else 0 end) as integer) as accepted from {_MERGED}")
 def two_pass_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).select("conv_id", "status", F.array_join("reasons", ",").alias("reasons"), F.size("answers").alias("accepted"))
+    return _merged(spark, sf_dir).select("conv_id", "pass_", "status", F.array_join("reasons", ",").alias("reasons"), F.size("answers").alias("accepted"))
 
 
-@query(f"select a.conv_id, a.reason = 'ok' and b.reason = 'ok' and {b.sql_key('substring(a.t[1], 1, 40)')} <> {b.sql_key('substring(b.t[1], 1, 40)')} as usable from {_FIRST} a join {_LAST} b on a.conv_id = b.conv_id")
+@query(f"select a.conv_id, a.pass_, a.reason = 'ok' and b.reason = 'ok' and {b.sql_key('a.t[1]')} <> {b.sql_key('b.t[1]')} as usable from {_FIRST} a join {_LAST} b on a.conv_id = b.conv_id and a.pass_ = b.pass_")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("conv_id", contracts.valid_candidates(F.array("a", "b")).alias("usable"))
+    return candidates(spark, sf_dir).select("conv_id", "pass_", contracts.valid_candidates(F.array("a", "b")).alias("usable"))
 
 
 @query("select conv_id, count(*) >= 4 and bool_and(role in ('user', 'assistant')) as valid from conversations group by conv_id having count(*) > 0")
 def judgment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles as judgments: user Y, assistant N, anything else odd; the first turns as the expected four."""
     value = F.when(F.col("role") == "user", "Y").when(F.col("role") == "assistant", "N").otherwise("?")
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(value).alias("v"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", value.alias("value")))), lambda x: x["value"]).alias("v"))
     return turns.select("conv_id", contracts.valid_judgment(F.get("v", F.lit(0)), F.col("v"), F.greatest(F.size("v"), F.lit(4))).alias("valid"))
 
 
@@ -220,12 +271,13 @@ def attempt_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- triage ------------------------------------------------------------------------------------------
 
 _REJECTED = f"(regexp_matches(q, '[\\x{{4e00}}-\\x{{9fff}}]') or length({b.sql_key('a')}) >= 8 and contains({b.sql_key('q')}, {b.sql_key('a')}) or length({_sql_strip('q')}) < 3)"
-_JUDGED = f"(select doc_id, {_REJECTED} as rejected, case when quality = 0 then 'N' else 'Y' end as j1, case when toxic = 0 then 'N' else 'Y' end as j2 from (select d.doc_id, substring(d.text, 1, 60) as q, substring(d.text, 1 + cast(d.doc_id % 70 as int), 12) as a, quality, toxic from documents d join labels l on d.doc_id = l.doc_id))"
+_JUDGED = f"(select doc_id, {_REJECTED} as rejected, case when quality = 0 then 'N' else 'Y' end as j1, case when toxic = 0 then 'N' else 'Y' end as j2 from (select d.doc_id, d.text as q, string_split(d.text, ' ')[d.doc_id % len(string_split(d.text, ' ')) + 1] as a, quality, toxic from documents d join labels l on d.doc_id = l.doc_id))"
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    q, a = F.expr("substring(text, 1, 60)"), F.expr("substring(text, 1 + cast(doc_id % 70 as int), 12)")
+    words = F.split("text", " ", -1)
+    q, a = F.col("text"), F.get(words, F.expr("doc_id") % F.size(words))
     rows = d.select("doc_id", review.rejected_outright(q, a).alias("rejected"), F.when(F.col("quality") == 0, "N").otherwise("Y").alias("j1"), F.when(F.col("toxic") == 0, "N").otherwise("Y").alias("j2"))
     return rows.withColumn("c", review.consensus(F.col("rejected"), F.col("j1"), F.col("j2")))
 

@@ -3,35 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-_OUT = "key string, seq bigint, action string, value string"
-_STATE = "seq bigint"
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """A row for each batch in which a key's last event (by seq) changes: key, seq, action, value.
+    """A row for each batch in which a key has events: its last event (by seq) so far: key, seq, action, value.
 
-    State holds one number a key; a replayed or late older event changes nothing.
+    The state is one event a key, kept and combined in the JVM; a replayed or late older event changes nothing.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in batches:
-            row = pdf.loc[pdf["seq"].idxmax()]
-            if best is None or row["seq"] > best["seq"]:
-                best = row
-        last = state.get[0] if state.exists else -1
-        if best is not None and int(best["seq"]) > last:
-            state.update((int(best["seq"]),))
-            yield pd.DataFrame([(key[0], int(best["seq"]), best["action"], best["value"])], columns=["key", "seq", "action", "value"])
-
-    return events.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    last = events.groupBy("key").agg(F.max_by(F.struct("seq", "action", "value"), "seq").alias("e"))
+    return last.select("key", "e.seq", "e.action", "e.value")
 
 
 def standing(changes: DataFrame) -> DataFrame:
@@ -39,9 +22,13 @@ def standing(changes: DataFrame) -> DataFrame:
     return changes.groupBy("key").agg(F.max_by(F.struct("seq", "action", "value"), "seq").alias("e")).filter("e.action = 'label'").select("key", "e.seq", "e.value")
 
 
-def once(results: DataFrame, id_: str) -> DataFrame:
-    """Exactly one row an id, also across restarts from one checkpoint."""
-    return results.dropDuplicates([id_])
+def once(results: DataFrame, id_: str, time: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Exactly one row an id, also across restarts from one checkpoint.
+
+    With a time column, an id is forgotten once results as old as its first cannot come any more, so that the state is bounded by
+    what arrives within `late`; without one it holds every id, as a run that may be resumed at any time needs.
+    """
+    return results.dropDuplicates([id_]) if time is None else results.withWatermark(time, late).dropDuplicatesWithinWatermark([id_])
 
 
 def windows(samples: DataFrame, time: str, value: str, width: str = "30 seconds", late: str = "1 minute") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import random
@@ -10,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkassay.operators import corpus, metrics, reference, report, retrieval, review, runlog
+from sparkassay.operators import contracts, corpus, metrics, reference, report, retrieval, review, runlog
 from sparkassay.sources import jsonl, providers
 from sparkassay.streaming import logs
 
@@ -168,6 +169,49 @@ def test_matches_and_gates(spark):
     assert (w[0].w.low, w[0].w.high) == (pytest.approx(0.4901, abs=1e-3), pytest.approx(0.9433, abs=1e-3)) and w[1].w is None
 
 
+def test_nearest_rank_of_a_large_group(spark):
+    """More distinct values than cells, hot ones and outliers, a null group."""
+    rng = random.Random(9)
+    groups = {"a": [rng.choice([1.5, rng.random(), rng.random() * 1e9]) for _ in range(900)], None: [float(i) for i in range(500)]}
+    rows = frame(spark, [(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    names = {f"p{i}": i / 20 for i in range(21)}
+    got = {r.g: r for r in metrics.nearest_rank(rows, "g", "v", names).collect()}
+    for g, vs in groups.items():
+        assert got[g].n == len(vs) and [got[g][x] for x in names] == [sorted(vs)[int((len(vs) - 1) * p)] for p in names.values()]
+
+
+def test_numbers_with_outliers_and_ties(spark):
+    rng = random.Random(10)
+    values = [rng.choice([5, 6, rng.randint(0, 1000)]) for _ in range(700)] + [10**15, -(10**15)]
+    rows = frame(spark, [(v, i) for i, v in enumerate(values)], "v bigint, i int")
+    got = {r.i: r.number for r in runlog.numbered(rows, "v", "i").collect()}
+    assert [got[i] for i in sorted(got, key=lambda i: (values[i], i))] == list(range(1, 703))
+    assert runlog.numbered(rows.limit(0), "v").count() == 0
+
+
+def test_bootstrap_and_verdicts(spark):
+    groups = [(i, (i * 7) % 11, 10) for i in range(40)]
+    rate = lambda h, n: round(h / n, 8)
+    drawn = []
+    for i in range(200):
+        h = n = 0
+        for g, hits, size in groups:
+            key = hashlib.sha256(f"{g}|{hits}|{size}".encode()).hexdigest()
+            u = int(hashlib.sha256(f"7|{key}|{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            w, upto, p = 0, 0.0, math.exp(-1)
+            for k in range(12):
+                upto += p
+                w += u >= upto
+                p /= k + 1
+            h, n = h + w * hits, n + w * size
+        drawn.append(rate(h, n))
+    drawn.sort()
+    got = metrics.bootstrap(frame(spark, groups, "g int, h int, n int"), "h", "n").first()
+    assert tuple(got) == (40, rate(sum(g[1] for g in groups), 400), drawn[int(199 * 0.025)], drawn[int(199 * 0.975)]) and got.low < got.rate < got.high
+    reviews = frame(spark, [("a", "Y"), ("a", "U"), ("a", "U"), ("b", "N"), ("c", "U"), ("c", "U"), ("c", "U"), ("c", "Y")], "t string, v string")
+    assert {r.t: r.rejected for r in metrics.transform_verdict(reviews, "t", "v").collect()} == {"a": False, "b": True, "c": True}
+
+
 # -- references and reports --------------------------------------------------------------------------
 
 
@@ -188,12 +232,26 @@ def test_report_gate_and_labels(spark):
     assert tuple(sets) == (1, 1, 1, False)
 
 
-def test_reports_of_a_thousand_cases(spark):
+def test_reports_of_a_thousand_cases(spark, tmp_path):
     hits = "array<struct<rank:bigint,content_id:string,score:double,arm:string,title:string,excerpt:string>>"
-    rows = spark.range(1, 1001).selectExpr("id as number", "concat('q', id) as question_id", "'natural' as query_kind", "concat('f', id div 4) as fact_cluster_id", "'a < b' as query", "'ref' as reference_answer", "'T' as source_title", "'https://a/' as source_url", "'Y' as review", "'pending' as natural", f"cast(array() as {hits}) as retrieval", "'abstain' as status", "'' as answer", "cast(array() as array<string>) as citations", "'APPROVED' as reference_label", "array('p') as predicates", "'CC' as license_basis")
+    rows = spark.range(1, 1001).selectExpr("id as number", "concat('q', id) as question_id", "'natural' as query_kind", "concat('f', id div 4) as fact_cluster_id", "'a < b' as query", "'ref' as reference_answer", "'T' as source_title", "'https://a/' as source_url", "'Y' as review", "'pending' as natural", f"cast(array() as {hits}) as retrieval", "'abstain' as status", "'' as answer", "cast(array() as array<string>) as citations", "'APPROVED' as reference_label", "array('p') as predicates", "'CC' as license_basis", "'2024-01-01T00:00:00Z' as retrieved_at", "'r<1' as source_revision", "'d' as content_digest", "if(id = 1, null, id) as elapsed_ms", "if(id = 2, 'lost', null) as error", "cast(null as string) as usage")
     cases = runlog.paged(rows.select("number", report.case(rows).alias("markdown")))
     pages = report.pages(cases).orderBy("page").collect()
     assert [p.cases for p in pages] == [100] * 10 and sum(p.body.count("## q") for p in pages) == 1000
+    body = pages[0].body
+    assert body.startswith("# 질의별 상세 결과\n\n> 이 파일은 `full` 실행의 100개 질의입니다.") and body.endswith("\n")
+    assert "- REFERENCE: [T](https://a/) · retrieved 2024-01-01T00:00:00Z · revision r&lt;1 · digest `d`\n" in body
+    assert "- RUN: elapsed_ms= · error= · usage={}\n" in body and "- RUN: elapsed_ms=2 · error=lost · usage={}\n" in body
+    lines = [r.line for r in report.index(report.pages(cases)).orderBy("place").collect()]
+    assert lines[2:5] == ["실행 모드: `full`", "총 질의: 1000", "품질 주장 금지: 아니요"] and len(lines) == 16
+    assert lines[6] == f"- [cases-0001-0100.md](cases-0001-0100.md) — 100건 · SHA-256 `{hashlib.sha256(body.encode()).hexdigest()}`"
+    assert report.index(report.pages(cases, "smoke"), "smoke").filter("line = '품질 주장 금지: 예'").count() == 1
+    report.write_report(report.pages(cases), str(tmp_path / "report"))
+    files = {p.parent.name: p.read_text(encoding="utf-8") for p in (tmp_path / "report" / "pages").glob("*/*.txt")}
+    assert files["filename=cases-0001-0100.md"] == body and len(files) == 10
+    assert [x for p in sorted((tmp_path / "report" / "index").glob("*.txt")) for x in p.read_text(encoding="utf-8").splitlines()] == lines
+    with pytest.raises(Exception, match="exists"):
+        report.write_report(report.pages(cases), str(tmp_path / "report"))
     assert "a &lt; b" in pages[0].body and "검색 결과 없음" in pages[0].body and "- LOCAL ANSWER: [abstain]\n" in pages[0].body
 
 
@@ -213,6 +271,25 @@ def test_reference_bundle(spark):
     assert got["f2", 3].reference_answer == "x" and got["f2", 3].reference_provenance is None and "reference_review" not in row
 
 
+def test_bindings(spark):
+    """Manifests of bundles and triages rule by rule, with the rules that come first deciding; receipts."""
+    good = {"bundle_sha256": "'b'", "collection_method": "'independent_public_web'", "public_only": "true", "private_input_used": "false", "license_basis": "'CC'", "local_corpus_sha256": f"'{'1' * 64}'", "reference_snapshot_sha256": f"'{'2' * 64}'", "allowed_domains": "array('a')"}
+    struct = lambda m: F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in m.items()) + ")")
+    first = lambda c: spark.range(1).select(c.alias("x")).first().x
+    check = lambda trusted="m", **odd: first(contracts.bundle_violation(struct(good | odd), F.lit("m"), F.lit(trusted), F.lit("b")))
+    assert check() is None and check("other") == "untrusted_manifest" and check(bundle_sha256="'x'") == "bundle_mismatch"
+    assert check(collection_method="'search'") == "collection_method" and check(public_only="false") == check(private_input_used="true") == check(private_input_used="cast(null as boolean)") == "not_public"
+    assert check(license_basis="''") == "license_basis" and check(reference_snapshot_sha256=good["local_corpus_sha256"]) == check(local_corpus_sha256="'x'") == "same_snapshot"
+    assert check(allowed_domains="cast(array() as array<string>)") == "allowed_domains" and check(license_basis="''", public_only="false") == "not_public"
+    triage = {"complete": "true", "fixtures_sha256": "'f'", "prelabels_sha256": "'p'"}
+    bind = lambda m: first(contracts.triage_binding(struct(m), F.lit("f"), F.lit("p")))
+    assert [bind(triage | x) for x in ({}, {"complete": "false"}, {"fixtures_sha256": "'x'"}, {"prelabels_sha256": "'x'"})] == [None, "incomplete", "other_fixtures", "other_prelabels"]
+    rows = frame(spark, [(i, "public_web", False, "run") for i in range(9)], "question_id int, source_type string, private_input_used boolean, run_fingerprint string")
+    receipt = lambda r, trusted="m": contracts.receipt(r, ["question_id"], F.lit("run"), F.lit(trusted), F.lit("m")).first()
+    assert receipt(rows).public_only and receipt(rows) == receipt(rows.repartition(3)) and receipt(rows).fixtures_sha256 != receipt(rows.filter("question_id > 0")).fixtures_sha256
+    assert receipt(rows, "x").fixtures_sha256 is None and not receipt(rows.withColumn("source_type", F.lit("private"))).public_only
+
+
 # -- files and streams -------------------------------------------------------------------------------
 
 
@@ -237,7 +314,6 @@ def test_jsonl(spark, tmp_path):
 
 def test_requests_runs_and_bytes(spark, tmp_path):
     from sparkassay.functions import text as T
-    from sparkassay.operators import contracts
 
     row = frame(spark, [("a b", 1)], "q string, n int").select(T.request_key(F.lit("https://w/api"), {"search": F.col("q"), "limit": F.col("n")}).alias("k"), F.sha2(F.lit("https://w/api?limit=1&search=a+b"), 256).alias("w")).first()
     assert row.k == row.w
@@ -253,6 +329,10 @@ def test_streams_resume_and_windows(spark, tmp_path):
     rows.repartition(5).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert logs.drain(spark, logs.once(stream().select("question_id"), "question_id"), str(tmp_path)).count() == 7
+    assert logs.drain(spark, logs.once(stream().select("question_id", "ts"), "question_id", "ts", "1 day"), str(tmp_path)).count() == 7
+    events = stream().selectExpr("cast(question_id as string) as key", "cast(value as bigint) as seq", "if(value >= 95, 'undo', 'label') as action", "'Y' as value")
+    stand = logs.standing(logs.drain(spark, logs.latest(events), str(tmp_path), "update")).collect()
+    assert {r.key: r.seq for r in stand} == {str(i % 7): i for i in range(93, 95)}
     done = logs.drain(spark, logs.windows(stream(), "ts", "value", late="1 day"), str(tmp_path), "update")
     last = done.groupBy("start").agg(F.max("n").alias("n"), F.max("peak").alias("peak")).collect()
     assert sum(r.n for r in last) == 100 and len(last) == 34 and max(r.peak for r in last) == 99

@@ -10,12 +10,14 @@ from sparkassay.plans import corpus
 from tests.test_queries import TABLES, duck, plain, pytestmark  # noqa: F401
 
 
-@pytest.mark.parametrize("size", [256, 2])
-def test_sources_of_short_heads(spark, tmp_path, monkeypatch, size):
+@pytest.mark.parametrize(("size", "keys"), [(256, 10_000), (2, 0)])
+def test_sources_of_any_question(spark, tmp_path, monkeypatch, size, keys):
+    """Questions of one word, without spaces, that start or end inside a word, empty and null ones."""
     monkeypatch.setattr(corpus, "HEADS", size)
+    monkeypatch.setattr(corpus, "KEYS", keys)
     pad = " lorem ipsum dolor sit amet" * 6
-    texts = ["Romance", "二十一世纪的问题没有空格" * 8, "supercalifragilistic" * 5, "three word item", "one two three four five six seven", "", None, "nowhere at all"]
-    docs = [(i, f"before {t} after {i}{pad}", "en" if i % 2 else "de", "s") for i, t in enumerate(texts[:5] * 2)] + [(90, "unRomanced" + pad, "en", "s"), (91, None, "en", "s")]
+    texts = ["Romance", "二十一世纪的问题没有空格" * 8, "supercalifragilistic" * 5, "three word item", "one two three four five six seven", "tail of a word and head of an", "", None, "nowhere at all", "two words"]
+    docs = [(i, f"before {t} after {i}{pad}", "en" if i % 2 else "de", "s") for i, t in enumerate(texts[:6] * 2)] + [(90, "unRomanced" + pad, "en", "s"), (91, None, "en", "s"), (92, "cocktail of a word and head of another" + pad, "en", "s"), (93, "xtwo wordsx" + pad, "de", "s")]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     con = duckdb.connect()
