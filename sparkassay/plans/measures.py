@@ -228,7 +228,11 @@ def variants_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUSED = "case item_id % 5 when 0 then 'AC를' when 1 then 'AC방어' when 2 then '방어AC' when 3 then '3까지' else '내성 AC' end"
 
 
-@query(f"select item_id, item_id % 5 in (1, 2) as fused from benchmark where {_FUSED} <> ''")
+@query(f"""
+with q as (select item_id, concat({_FUSED}, ' ', text) as q from benchmark),
+runs as (select item_id, unnest(regexp_extract_all(q, '[A-Za-z0-9][가-힣]+')) as run from q)
+select item_id, regexp_matches(q, '[가-힣][A-Za-z]') or exists (select 1 from runs r where r.item_id = q.item_id and substring(run, 2) not in ({', '.join(f"'{x}'" for x in rewrite.PARTICLES)})) as fused from q
+""")
 def script_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.expr(_FUSED), F.lit(" "), F.col("text")).alias("q"))
     return q.select("item_id", rewrite.fuses(F.col("q")).alias("fused"))

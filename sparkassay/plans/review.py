@@ -39,21 +39,36 @@ def uniqueness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.uniqueness(table(spark, sf_dir, "events"), "event_id", "user_id")
 
 
-_FOREIGN = f"(select count(*) from pages where {b.sql_host('url')} not like '%.example.com')"
+_MANIFEST = {
+    "source_type": "case when page_id % 5 = 2 then 'other' else 'public_web_snapshot' end",
+    "license_basis": "case when page_id % 7 <> 1 then 'CC' end",
+    "approved_for_public_test": "page_id % 9 <> 4",
+    "contains_private_data": "page_id % 6 = 3",
+    "trusted": "case when page_id % 8 = 5 then 'x' else 'm' end",
+    "snapshot": "case when page_id % 10 = 6 then 'x' else 's' end",
+    "domain": "case page_id % 4 when 1 then 'other.example' when 2 then null else {host} end",
+}
 
 
 @query(f"""
-select case_, case case_ when 0 then case when {_FOREIGN} > 0 then 'foreign_domain' end when 1 then 'missing' when 2 then 'unsupported' when 3 then 'not_public' when 4 then 'untrusted_manifest' when 5 then 'snapshot_mismatch' when 6 then 'allowed_domains' end as violation
-from (select unnest(range(7)) as case_)
+with m as (select page_id, {b.sql_host("url")} as host_, {', '.join(f'{v.format(host=b.sql_host("url"))} as {k}_' for k, v in _MANIFEST.items())} from pages)
+select page_id, case when license_basis_ is null then 'missing'
+    when source_type_ <> 'public_web_snapshot' then 'unsupported'
+    when not approved_for_public_test_ or contains_private_data_ then 'not_public'
+    when trusted_ <> 'm' then 'untrusted_manifest'
+    when snapshot_ <> 's' then 'snapshot_mismatch'
+    when domain_ is null then 'allowed_domains'
+    when host_ <> domain_ then 'foreign_domain' end as violation
+from m
 """)
 def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of the pages table, sound and with each of its faults."""
-    pages = table(spark, sf_dir, "pages")
-    foreign = pages.filter(~T.host("url").endswith(".example.com")).agg(F.count("*").alias("foreign"))
-    rows = foreign.withColumn("case_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))))
-    way = lambda i, odd, usual: F.when(F.col("case_") == i, odd).otherwise(usual)
-    m = F.struct(F.lit(1).alias("schema_version"), F.lit("s").alias("snapshot_sha256"), way(2, F.lit("other"), F.lit("public_web_snapshot")).alias("source_type"), way(6, F.slice(F.array(F.lit("")), 1, 0), F.array(F.lit("*.example.com"))).alias("allowed_domains"), way(1, F.lit(None).cast("string"), F.lit("CC")).alias("license_basis"), F.lit(True).alias("approved_for_public_test"), (F.col("case_") == 3).alias("contains_private_data"))
-    return rows.select("case_", contracts.source_manifest_violation(m, F.lit("m"), way(4, F.lit("x"), F.lit("m")), way(5, F.lit("x"), F.lit("s")), F.col("foreign")).alias("violation"))
+    """A manifest for each page, many with several faults, whose only address is the page's own."""
+    rows = table(spark, sf_dir, "pages").withColumn("host", T.host("url"))
+    f = {k: F.expr(v.format(host="host")) for k, v in _MANIFEST.items()}
+    domains = F.when(f["domain"].isNotNull(), F.array(f["domain"])).otherwise(F.slice(F.array(F.lit("")), 1, 0))
+    m = F.struct(F.lit(1).alias("schema_version"), F.lit("s").alias("snapshot_sha256"), domains.alias("allowed_domains"), *(f[k].alias(k) for k in ("source_type", "license_basis", "approved_for_public_test", "contains_private_data")))
+    foreign = (~F.array_contains(domains, F.col("host"))).cast("int")
+    return rows.select("page_id", contracts.source_manifest_violation(m, F.lit("m"), f["trusted"], f["snapshot"], foreign).alias("violation"))
 
 
 _MANIFEST_RULES = {
@@ -113,75 +128,118 @@ def review_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- validators --------------------------------------------------------------------------------------
-# Rows of a table as JSON, each broken in the way that its id decides; the SQL names the rule by the way.
+# Rows of a table as JSON whose fields follow from the id by different divisors, so that many rows break several rules at
+# once.  Both engines make the fields by the same expressions; the SQL then states the rules and their order over the fields.
 
 
-@query("""
-select doc_id, case doc_id % 14 when 1 then 'missing' when 2 then 'source_type' when 3 then 'private_input_used' when 4 then 'content_digest'
-    when 5 then 'retrieved_at' when 6 then 'source_url' when 7 then 'source_url_missing' when 8 then 'predicates' when 9 then 'private_input_used'
-    when 10 then 'predicates' when 12 then 'missing' when 13 then 'non_empty_strings' end as violation
-from documents where length(text) > 0
+def _fields(fields: dict[str, str], text: str, sha: str) -> dict[str, str]:
+    return {k: v.format(text=text, sha=sha) for k, v in fields.items()}
+
+
+def _in(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_FIXTURE = {
+    "question_id": "concat('q', cast(doc_id as {text}))",
+    "query": "case when doc_id % 9 <> 1 then text end",
+    "source_type": "case doc_id % 8 when 2 then 'private_web' when 5 then 'synthetic_template' else 'public_web' end",
+    "content_digest": "case when doc_id % 11 = 4 then upper({sha}) else {sha} end",
+    "retrieved_at": "case when doc_id % 10 = 5 then '2024-01-01T00:00:00' else '2024-01-01T00:00:00+00:00' end",
+    "source_url": "case when doc_id % 7 = 6 then 'http://a.example/' when doc_id % 7 <> 3 then 'https://a.example/' end",
+    "private_input_used": "case when doc_id % 13 = 3 then true when doc_id % 13 <> 9 then false end",
+    "license_basis": "case when doc_id % 15 = 13 then '7' else 'CC-BY' end",
+    "predicate_text": "case when doc_id % 5 = 3 then '' else 't' end",
+    "importance": "case when doc_id % 17 = 10 then 'odd' else 'optional' end",
+}
+
+
+@query(f"""
+with f as (select doc_id, {', '.join(f'{v} as {k}_' for k, v in _fields(_FIXTURE, "varchar", "sha256(text)").items())} from documents where length(text) > 0)
+select doc_id, case when coalesce(query_, '') = '' or doc_id % 19 = 1 then 'missing'
+    when license_basis_ = '7' then 'non_empty_strings'
+    when source_type_ not in {_in(contracts.SOURCE_TYPES)} then 'source_type'
+    when private_input_used_ is null or private_input_used_ then 'private_input_used'
+    when not regexp_full_match(content_digest_, '[0-9a-f]{{64}}') then 'content_digest'
+    when not regexp_matches(retrieved_at_, '(Z|[+-]\\d\\d:\\d\\d)$') then 'retrieved_at'
+    when source_url_ not like 'https://%' then 'source_url'
+    when source_type_ = 'public_web' and source_url_ is null then 'source_url_missing'
+    when predicate_text_ = '' or importance_ not in {_in(contracts.IMPORTANCE)} then 'predicates' end as violation
+from f
 """)
 def fixture_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("length(text) > 0").withColumn("m", F.col("doc_id") % 14)
-    way = lambda i, odd, usual: F.when(F.col("m") == i, odd).otherwise(usual)
-    none = F.lit(None).cast("string")
-    row = {c: F.lit("x") for c in contracts.FIXTURE_TEXTS} | {
-        "question_id": F.concat(F.lit("q"), F.col("doc_id").cast("string")),
-        "query": way(1, none, F.col("text")),
-        "source_type": F.when(F.col("m") == 2, "private_web").when(F.col("m") == 11, "synthetic_template").otherwise("public_web"),
-        "content_digest": way(4, F.upper(T.sha256("text")), T.sha256("text")),
-        "retrieved_at": way(5, F.lit("2024-01-01T00:00:00"), F.lit("2024-01-01T00:00:00+00:00")),
-        "source_url": F.when(F.col("m") == 6, F.lit("http://a.example/")).when(~F.col("m").isin(7, 11), F.lit("https://a.example/")),
-        "private_input_used": F.when(F.col("m") == 3, True).when(F.col("m") != 9, False),
-        "predicates": F.when(F.col("m") != 12, F.array(F.struct(F.lit("p1").alias("predicate_id"), way(8, F.lit(""), F.lit("t")).alias("text"), way(10, F.lit("odd"), F.lit("optional")).alias("importance")))).otherwise(F.expr("cast(array() as array<struct<predicate_id:string,text:string,importance:string>>)")),
-    }
-    raw = F.to_json(F.struct(*(v.alias(k) for k, v in row.items())))
-    raw = F.when(F.col("m") == 13, F.regexp_replace(raw, '"license_basis":"x"', '"license_basis":7')).otherwise(raw)
+    f = {k: F.expr(v) for k, v in _fields(_FIXTURE, "string", "sha2(text, 256)").items()}
+    part = F.struct(F.lit("p1").alias("predicate_id"), f.pop("predicate_text").alias("text"), f.pop("importance").alias("importance"))
+    row = {c: F.lit("x") for c in contracts.FIXTURE_TEXTS} | f
+    row["predicates"] = F.when(F.col("doc_id") % 19 != 1, F.array(part)).otherwise(F.slice(F.array(part), 1, 0))
+    d = table(spark, sf_dir, "documents").filter("length(text) > 0")
+    raw = F.replace(F.to_json(F.struct(*(v.alias(k) for k, v in row.items()))), F.lit('"license_basis":"7"'), F.lit('"license_basis":7'))
     return contracts.fixture_violations(d.select("doc_id", raw.alias("raw")), "raw").drop("raw")
 
 
+_LABEL_ROW = {
+    "question_id": "cast(user_id as {text})",
+    "target_type": "case when event_id % 7 = 1 then null when event_id % 6 = 3 then 'mood' else 'query_natural' end",
+    "target_id": "case when event_id % 23 = 5 then '' else 't' end",
+    "value": f"case when event_id % 11 = 4 then 'X' else {b.EVENT_VALUE} end",
+    "reason": "case event_id % 3 when 0 then 'wording_unclear' when 1 then case when event_id % 9 = 4 then 'tired' end end",
+    "elapsed_ms": "case event_id % 8 when 6 then -1 when 3 then 12 end",
+    "decision_source": "case when event_id % 10 = 8 then 'oracle' when event_id % 10 < 4 then 'human' end",
+    "confidence": "case when event_id % 12 = 9 then 1.5 when event_id % 4 = 1 then 0.5 end",
+    "free_text": "case when event_id % 13 = 2 then 'y' end",
+}
+
+
 @query(f"""
-select event_id, case event_id % 12 when 1 then 'missing' when 2 then 'additional_properties' when 3 then 'target_type' when 4 then 'value'
-    when 5 then 'reason_required' when 6 then 'reason_without_u' when 7 then 'elapsed_ms' when 8 then 'decision_source' when 9 then 'confidence'
-    when 10 then 'elapsed_ms' else case when {b.EVENT_VALUE} = 'U' then 'reason_required' end end as violation
-from events
+with e as (select event_id, {', '.join(f'{v} as {k}_' for k, v in _fields(_LABEL_ROW, "varchar", "").items())} from events)
+select event_id, case when question_id_ is null or target_type_ is null or value_ is null or target_id_ = '' then 'missing'
+    when free_text_ is not null then 'additional_properties'
+    when target_type_ not in {_in(contracts.TARGET_TYPES)} then 'target_type'
+    when value_ not in {_in(contracts.VALUES)} then 'value'
+    when value_ = 'U' and coalesce(reason_ not in {_in(contracts.U_REASONS)}, true) then 'reason_required'
+    when value_ <> 'U' and reason_ is not null then 'reason_without_u'
+    when elapsed_ms_ < 0 or elapsed_ms_ is null and event_id % 16 = 11 then 'elapsed_ms'
+    when decision_source_ not in {_in(contracts.DECISION_SOURCES)} then 'decision_source'
+    when confidence_ not between 0 and 1 then 'confidence' end as violation
+from e
 """)
 def label_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 12 as m", f"{b.EVENT_VALUE} as v", "user_id")
-    of = lambda *pairs: F.coalesce(*(F.when(F.col("m") == i, F.lit(x)) for i, x in pairs))
-    row = F.to_json(
-        F.struct(
-            F.col("user_id").cast("string").alias("question_id"),
-            F.coalesce(of((3, "mood")), F.when(F.col("m") != 1, F.lit("query_natural"))).alias("target_type"),
-            F.lit("t").alias("target_id"),
-            F.coalesce(of((4, "X"), (5, "U"), (6, "Y"), (7, "Y"), (8, "N"), (9, "N"), (10, "Y")), F.col("v")).alias("value"),
-            of((6, "wording_unclear")).alias("reason"),
-            of((7, -1)).alias("elapsed_ms"),
-            of((8, "oracle")).alias("decision_source"),
-            of((9, 1.5), (8, 1.0)).alias("confidence"),
-            of((2, "y")).alias("free_text"),
-        )
-    )
-    raw = F.when(F.col("m") == 10, F.regexp_replace(row, r"\}$", ',"elapsed_ms":true}')).otherwise(row)
-    return contracts.label_violations(e.select("event_id", raw.alias("raw")), "raw").drop("raw")
+    f = {k: F.expr(v) for k, v in _fields(_LABEL_ROW, "string", "").items()}
+    f["confidence"] = f["confidence"].cast("double")
+    row = F.to_json(F.struct(*(v.alias(k) for k, v in f.items())))
+    # a boolean is no whole number
+    raw = F.when(F.expr("event_id % 16 = 11") & f["elapsed_ms"].isNull(), F.regexp_replace(row, r"\}$", ',"elapsed_ms":true}')).otherwise(row)
+    return contracts.label_violations(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw").drop("raw")
 
 
-@query("""
-select event_id, case event_id % 10 when 1 then 'missing' when 2 then 'additional_properties' when 3 then 'arm' when 4 then 'content_digest'
-    when 5 then 'inspection_receipt' when 6 then 'rank_before_dedup' when 7 then 'not_an_object' when 8 then 'rank_before_dedup' end as violation from events
+_CANDIDATE_ROW = {
+    "question_id": "'q'",
+    "content_id": "case when event_id % 7 <> 1 then 'c' end",
+    "arm": "case when event_id % 6 = 3 then 'magic' when event_id % 6 = 4 then 'hard_negative' else 'dense' end",
+    "content_digest": "case when event_id % 11 = 4 then 'abc' else {sha} end",
+    "rank_before_dedup": "case event_id % 8 when 6 then 0 when 5 then null else 2 end",
+    "inspection_receipt": "case event_id % 9 when 5 then '1' when 6 then 'r' end",
+    "extra": "case when event_id % 5 = 2 then 'x' end",
+}
+
+
+@query(f"""
+with e as (select event_id, {', '.join(f'{v} as {k}_' for k, v in _fields(_CANDIDATE_ROW, "varchar", "sha256(props)").items())} from events)
+select event_id, case when event_id % 10 = 7 then 'not_an_object'
+    when content_id_ is null or rank_before_dedup_ is null then 'missing'
+    when extra_ is not null then 'additional_properties'
+    when arm_ not in {_in(contracts.ARMS)} then 'arm'
+    when not regexp_full_match(content_digest_, '[0-9a-f]{{64}}') then 'content_digest'
+    when inspection_receipt_ = '1' then 'inspection_receipt'
+    when rank_before_dedup_ < 1 or event_id % 12 = 10 and rank_before_dedup_ = 2 then 'rank_before_dedup' end as violation
+from e
 """)
 def candidate_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 10 as m", "props")
-    of = lambda i, x: F.when(F.col("m") == i, F.lit(x))
-    row = F.to_json(
-        F.struct(
-            F.lit("q").alias("question_id"), F.when(F.col("m") != 1, F.lit("c")).alias("content_id"), F.coalesce(of(3, "magic"), F.lit("dense")).alias("arm"), F.when(F.col("m") == 4, F.lit("abc")).otherwise(T.sha256("props")).alias("content_digest"),
-            F.coalesce(of(6, 0), F.lit(2)).alias("rank_before_dedup"), of(2, "x").alias("extra"), of(5, 1).alias("inspection_receipt"),
-        )
-    )
-    raw = F.when(F.col("m") == 7, F.concat(F.lit("["), row, F.lit("]"))).when(F.col("m") == 8, F.replace(row, F.lit('"rank_before_dedup":2'), F.lit('"rank_before_dedup":true'))).otherwise(row)
-    return contracts.candidate_violations(e.select("event_id", raw.alias("raw")), "raw").drop("raw")
+    f = {k: F.expr(v) for k, v in _fields(_CANDIDATE_ROW, "string", "sha2(props, 256)").items()}
+    row = F.replace(F.to_json(F.struct(*(v.alias(k) for k, v in f.items()))), F.lit('"inspection_receipt":"1"'), F.lit('"inspection_receipt":1'))
+    row = F.when(F.expr("event_id % 12 = 10"), F.replace(row, F.lit('"rank_before_dedup":2'), F.lit('"rank_before_dedup":true'))).otherwise(row)
+    raw = F.when(F.expr("event_id % 10 = 7"), F.concat(F.lit("["), row, F.lit("]"))).otherwise(row)
+    return contracts.candidate_violations(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw").drop("raw")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
