@@ -18,8 +18,12 @@ neither the driver nor a task holds a table that grows with the corpus.
 Good-Turing discounts apply to counts up to TRUSTED, from counts of counts over the whole corpus, smoothed
 where copies make them uneven; above, a count loses LEAST, so that every context leaves something.
 
+Words are known by a 64-bit hash that mixes every eight bytes with their place, so texts cannot be made to collide by repeating
+patterns.  In some 3 of 100 corpora of 10^9 different words, two words share a hash.
+
 Cases: a null or empty text is the end token alone.  Without training documents every text has score
-0.  Repeated rows are learned and scored once each.  A null doc_id is learned from.
+0.  Repeated rows are learned and scored once each.  A null doc_id is learned from.  A very long text makes a block by itself.
+An empty table gives no rows.  Columns besides doc_id, text and held_out, of any name, are ignored.
 """
 
 from __future__ import annotations

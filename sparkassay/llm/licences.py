@@ -7,7 +7,13 @@ enough gives its label.  A base phrase is a template whose whole run must match;
 
 Words that no template has reset the automaton, so only runs of template words are streamed.
 
-Cases: a null or empty text has no words, labels or score.  Repeated rows get their result each.
+Templates are given to a Scanner, or read from a table of (text, label) by `scanner_of`, whose words must fit MOST_WORDS: the
+automaton goes to every executor.
+
+Cases: a null or empty text has no words, labels or score.  Repeated rows get their result each.  An empty table gives no
+rows.  Of chains of one label that start at one word, the one that covers most of its template is the span, the first
+found of equals; base phrases that start at one word count each.  A very long text is streamed whole.  Other columns of any name pass
+through `scan_licences`; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ MIN_MATCH = 4
 MAX_GAP = 12
 #: Share of a template's words that a chain must cover.
 COVERAGE = 0.75
+#: Words of all templates that an automaton may hold: some 200 MB of states.
+MOST_WORDS = 400_000
 
 # The phrases and labels of the contract.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -231,6 +239,20 @@ def _scan(scanner: object) -> Callable:
     return run
 
 
+def scanner_of(templates: DataFrame, base: list[tuple[str, str]] = BASE) -> Scanner:
+    """A scanner of templates held as rows (text, label); null ones and those without words are left out.
+
+    More words than MOST_WORDS are refused before any comes to the driver.
+    """
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = templates.filter("label is not null").select(F.regexp_extract_all(lower, F.lit(word), F.lit(0)).alias("words"), F.col("label").cast("string").alias("label")).filter(F.size("words") > 0).distinct()
+    n = cut.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    if n > MOST_WORDS:
+        raise ValueError(f"{n} words of templates; an automaton holds {MOST_WORDS}")
+    return Scanner(base, [(" ".join(r["words"]), r["label"]) for r in cut.orderBy("label", "words").collect()])
+
+
 def scan_licences(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """docs (text, ...) with word counts, base places, labels, score and spans."""
     return carried(docs, _ADDED).to_arrow(_scan(docs.sparkSession.sparkContext.broadcast(scanner or Scanner())), _ADDED)

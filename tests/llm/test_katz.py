@@ -100,6 +100,19 @@ def test_nothing_to_learn(spark):
     assert katz.report(documents(spark, [])).count() == 0
 
 
+def test_words_of_repeating_patterns(spark):
+    """Two words of 2,048 letters whose polynomial hashes modulo 2^64 are equal (Thue and Morse) stay two words."""
+    one, two = "a", "b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    learned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [(learned, one), (held, two)]
+    got = {r.doc_id: r for r in katz.report(documents(spark, rows)).collect()}
+    assert (got[held].n_tokens, got[held].n_known, got[learned].n_known) == (2, 1, 2)
+    assert got[held].base_score == pytest.approx(Plain(rows).row(held, two)[1][0])
+
+
 def test_discounts():
     d = katz.discounts([100, 40, 22, 14, 10, 7])
     assert d[0] == 1 and all(0 < x < 1 for x in d[1:])

@@ -6,6 +6,7 @@ import random
 import re
 import string
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,3 +68,62 @@ def test_matching_statistics(templates, text):
             match = text[i + 1 - length : i + 1]
             assert made.ends[state] == {(t, e - 1) for t, x in enumerate(templates) for e in range(length, len(x) + 1) if x[e - length : e] == match}
             assert [t for t in made.whole[state] if len(templates[t]) <= length] == [t for t, x in enumerate(templates) if text[: i + 1][-len(x) :] == x]
+
+
+def plain_labels(text, templates):
+    """Labels by all common runs of a text and its templates, and all chains of them, by plain search."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
+    known = {x for t, _ in templates for x in t.split()}
+    longest = []  # the longest run of any template that ends at each word
+    for i in range(len(w)):
+        n = 0
+        while n <= i and all(x in known for x in w[i - n : i + 1]) and any(w[i - n : i + 1] == t.split()[j : j + n + 1] for t, _ in templates for j in range(len(t.split()))):
+            n += 1
+        longest.append(n)
+    out = set()
+    for t, label in templates:
+        t = t.split()
+        runs = []
+        for i in range(len(w)):
+            if longest[i] < licences.MIN_MATCH or i + 1 < len(w) and longest[i + 1] > longest[i]:
+                continue
+            for place in range(len(t)):
+                n = 0
+                while n <= min(i, place) and w[i - n] == t[place - n]:
+                    n += 1
+                if n >= licences.MIN_MATCH:
+                    runs.append((i - n + 1, i, place - n + 1, place))
+
+        def best(k, runs=runs):
+            a, b, x, y = runs[k]
+            before = [best(j) for j, (_, b2, _, y2) in enumerate(runs) if j != k and 0 <= a - 1 - b2 <= licences.MAX_GAP and 0 <= x - 1 - y2 <= licences.MAX_GAP]
+            return b - a + 1 + max(before, default=0)
+
+        if any(best(k) / len(t) >= licences.COVERAGE for k in range(len(runs))):
+            out.add(label)
+    return out
+
+
+def test_labels_against_plain_search(spark):
+    """Templates from a table; texts with parts of them, words added, lost and exchanged."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    templates = [(" ".join(rng.choice(vocabulary) for _ in range(rng.choice([6, 15, 30]))), f"l{i % 7}") for i in range(9)]
+    rows = []
+    for i in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 6))]
+        for t, _ in rng.sample(templates, rng.choice([1, 1, 2])):
+            words += [x for x in t.split() if rng.random() > 0.06]
+            for _ in range(rng.choice([0, 1, 3])):
+                words.insert(rng.randint(0, len(words)), rng.choice([*vocabulary, "other", "new"]))
+        rows.append((i, rng.choice([" ", ", ", "-"]).join(words)))
+    table = spark.createDataFrame([*((t.upper(), x, 1) for t, x in templates), (None, "x", 1), ("...", "y", 1), ("w1 w2", None, 1)], "text string, label string, n int")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licences.scan_licences(documents(spark, rows), licences.scanner_of(table, [])).collect()}
+    want = {i: plain_labels(t, templates) for i, t in rows}
+    assert got == want and sum(map(bool, want.values())) > 40 and not all(want.values())
+
+
+def test_too_many_template_words(spark, monkeypatch):
+    monkeypatch.setattr(licences, "MOST_WORDS", 3)
+    with pytest.raises(ValueError, match="4 words"):
+        licences.scanner_of(spark.createDataFrame([("a b", "x"), ("c d", "y")], "text string, label string"))
