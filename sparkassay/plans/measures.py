@@ -353,38 +353,61 @@ def term_map_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- references ------------------------------------------------------------------------------------------
 
 _BUNDLE_DOMAINS = ["a.example", "b.example"]
-_BROKEN = """case doc_id % 12 when 1 then 'missing' when 2 then 'domain' when 3 then 'content_digest' when 4 then 'evidence_digest' when 5 then 'retrieved_at'
-    when 6 then 'not_public' when 7 then 'source_independence' when 8 then 'predicates' when 9 then 'identical_bytes' when 10 then 'identical_text' when 11 then 'unknown_or_duplicated_cluster' end"""
+# Fields of a document's reference, by expressions that both engines read alike; many rows break several rules at once.
+_REFERENCE = {
+    "cluster": "concat(case when doc_id % 11 = 10 then 'x' else 'f' end, cast(doc_id as {text}))",
+    "title": "case when doc_id % 9 <> 1 then 'title' end",
+    "url": "case when doc_id % 7 = 2 then 'https://c.example/' else 'https://A.example/p' end",
+    "at": "case when doc_id % 8 = 5 then '2024-13-01T00:00:00Z' else '2024-01-01T00:00:00Z' end",
+    "evidence": "case when doc_id % 6 = 4 then concat('  ', text, ' ') else concat('ref ', text) end",
+    "digest": "case when doc_id % 13 = 3 then 'zz' when doc_id % 10 = 9 then {sha} else {sha_ref} end",
+    "evidence_digest": "case when doc_id % 12 = 7 then '0' else {sha_evidence} end",
+    "license": "case when doc_id % 14 = 6 then '' else 'CC-BY' end",
+    "independence": "case when doc_id % 15 = 7 then 'unknown' when doc_id % 2 = 0 then 'same_source_new_revision' else 'different_domain' end",
+    "private": "doc_id % 16 = 12",
+    "parts": "case when doc_id % 17 = 8 then 0 else 1 end",
+}
+_EVIDENCE_TEXT = _REFERENCE["evidence"]
+_SQL_REFERENCE = {k: v.format(text="varchar", sha="sha256(text)", sha_ref="sha256(concat('ref ', text))", sha_evidence=f"sha256({_EVIDENCE_TEXT})") for k, v in _REFERENCE.items()}
+_JUDGED = f"""r as (select doc_id, source, text, {', '.join(f'{v} as {k}_' for k, v in _SQL_REFERENCE.items())} from documents where length(text) > 0),
+judged as (select *, case when title_ is null then 'missing'
+    when cluster_ <> concat('f', doc_id) then 'unknown_or_duplicated_cluster'
+    when {b.sql_host("url_")} not in ('a.example', 'b.example') then 'domain'
+    when not regexp_full_match(digest_, '[0-9a-f]{{64}}') then 'content_digest'
+    when evidence_digest_ <> sha256(evidence_) then 'evidence_digest'
+    when at_ like '2024-13%' then 'retrieved_at'
+    when private_ or license_ = '' then 'not_public'
+    when independence_ not in ('different_domain', 'same_source_new_revision') then 'source_independence'
+    when parts_ = 0 then 'predicates'
+    when digest_ = sha256(text) then 'identical_bytes'
+    when lower({b.sql_collapse("evidence_")}) = lower({b.sql_collapse("text")}) then 'identical_text' end as violation from r)"""
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """documents as fixtures, and a reference for each, broken in the way that its id decides."""
-    d = table(spark, sf_dir, "documents").filter("length(text) > 0").withColumn("m", F.col("doc_id") % 12)
+    """documents as fixtures, and a reference for each."""
+    d = table(spark, sf_dir, "documents").filter("length(text) > 0")
     fixtures = d.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("fact_cluster_id"), F.col("doc_id").alias("pos"), T.sha256("text").alias("content_digest"), F.col("text").alias("evidence_excerpt"), F.lit("old").alias("license_basis"), F.col("source").alias("reference_answer"), F.lit("Y").alias("reference_review"))
-    way = lambda i, odd, usual: F.when(F.col("m") == i, odd).otherwise(usual)
-    none = F.lit(None).cast("string")
-    text = way(10, F.concat(F.lit("  "), F.col("text"), F.lit(" ")), F.concat(F.lit("ref "), F.col("text")))
+    f = {k: F.expr(v.format(text="string", sha="sha2(text, 256)", sha_ref="sha2(concat('ref ', text), 256)", sha_evidence=f"sha2({_EVIDENCE_TEXT}, 256)")) for k, v in _REFERENCE.items()}
     part = F.struct(F.lit("p").alias("predicate_id"), F.lit("t").alias("text"), F.lit("mandatory").alias("importance"))
     rows = d.select(
-        F.concat(way(11, F.lit("x"), F.lit("f")), F.col("doc_id").cast("string")).alias("fact_cluster_id"), F.lit("answer").alias("reference_answer"), way(2, F.lit("https://c.example/"), F.lit("https://A.example/p")).alias("source_url"), way(1, none, F.lit("title")).alias("source_title"),
-        way(5, F.lit("2024-13-01T00:00:00Z"), F.lit("2024-01-01T00:00:00Z")).alias("retrieved_at"), F.lit("r1").alias("source_revision"), F.when(F.col("m") == 3, "zz").when(F.col("m") == 9, T.sha256("text")).otherwise(T.sha256(text)).alias("content_digest"),
-        text.alias("evidence_excerpt"), way(4, F.lit("0"), T.sha256(text)).alias("evidence_digest"), way(6, F.lit(""), F.lit("CC-BY")).alias("license_basis"), F.when(F.col("m") == 7, "unknown").when(F.col("doc_id") % 24 == 0, "same_source_new_revision").otherwise("different_domain").alias("source_independence"),
-        F.lit(False).alias("private_input_used"), F.when(F.col("m") != 8, F.array(part)).otherwise(F.expr("cast(array() as array<struct<predicate_id:string,text:string,importance:string>>)")).alias("predicates"),
+        f["cluster"].alias("fact_cluster_id"), F.lit("answer").alias("reference_answer"), f["url"].alias("source_url"), f["title"].alias("source_title"), f["at"].alias("retrieved_at"), F.lit("r1").alias("source_revision"), f["digest"].alias("content_digest"),
+        f["evidence"].alias("evidence_excerpt"), f["evidence_digest"].alias("evidence_digest"), f["license"].alias("license_basis"), f["independence"].alias("source_independence"), f["private"].alias("private_input_used"), F.slice(F.array(part), 1, f["parts"]).alias("predicates"),
     )
     return rows, fixtures
 
 
-@query(f"select concat(case when doc_id % 12 = 11 then 'x' else 'f' end, doc_id) as fact_cluster_id, {_BROKEN} as violation from documents where length(text) > 0")
+@query(f"with {_JUDGED} select cluster_ as fact_cluster_id, violation from judged")
 def reference_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, fixtures = _bundle(spark, sf_dir)
     return reference.violations(rows, fixtures, _BUNDLE_DOMAINS).select("fact_cluster_id", "violation")
 
 
-@query("""
-select concat('f', doc_id) as fact_cluster_id, case when doc_id % 12 = 0 then 'answer' else source end as reference_answer, case when doc_id % 12 = 0 then 'CC-BY' else 'old' end as license_basis,
-    case when doc_id % 24 = 0 then 'same_source_web_refreshed' when doc_id % 12 = 0 then 'independent_web_verified' end as reference_provenance,
-    case when doc_id % 12 = 0 then 'old' end as original_fixture_license_basis, doc_id % 12 = 0 as review_required_after_reference_join
-from documents where length(text) > 0
+@query(f"""
+with {_JUDGED}, f as (select *, violation is null as sound from judged)
+select concat('f', doc_id) as fact_cluster_id, case when sound then 'answer' else source end as reference_answer, case when sound then 'CC-BY' else 'old' end as license_basis,
+    case when sound then case independence_ when 'different_domain' then 'independent_web_verified' else 'same_source_web_refreshed' end end as reference_provenance,
+    case when sound then 'old' end as original_fixture_license_basis, sound as review_required_after_reference_join
+from f
 """)
 def reference_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, fixtures = _bundle(spark, sf_dir)
