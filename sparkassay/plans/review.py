@@ -71,23 +71,33 @@ def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", contracts.source_manifest_violation(m, F.lit("m"), f["trusted"], f["snapshot"], foreign).alias("violation"))
 
 
-_MANIFEST_RULES = {
-    "untrusted_manifest": "x = 1", "bundle_mismatch": "x % 4 = 2", "collection_method": "method is null or method <> 'independent_public_web'", "not_public": "coalesce(not public_only or private_used, true)",
-    "license_basis": "coalesce(license, '') = ''", "same_snapshot": "coalesce(length(local_) <> 64 or local_ = reference_, true)", "allowed_domains": "coalesce(len(domains), 0) = 0",
-}
-_MANIFESTS = """select page_id, page_id % 9 as x, case when page_id % 5 <> 1 then 'independent_public_web' end as method, page_id % 7 <> 2 as public_only, case when page_id % 11 <> 3 then page_id % 13 = 4 end as private_used,
-    case page_id % 6 when 1 then '' when 2 then null else 'CC-BY' end as license, {sha_html} as local_, case page_id % 8 when 3 then {sha_html} when 5 then null else {sha_url} end as reference_"""
+_BUNDLE = {
+    "trusted": "case when page_id % 9 = 1 then 'x' else 'm' end",
+    "bundle": "case when page_id % 9 in (2, 6) then 'other' else 'bundle' end",
+    "method": "case when page_id % 5 <> 1 then 'independent_public_web' end",
+    "public_only": "page_id % 7 <> 2",
+    "private_used": "case when page_id % 11 <> 3 then page_id % 13 = 4 end",
+    "license": "case page_id % 6 when 1 then '' when 2 then null else 'CC-BY' end",
+    "own": "{html}",
+    "other": "case page_id % 8 when 3 then {html} when 5 then null else {url} end",
+    "domains": "case when page_id % 10 = 4 then 0 when page_id % 10 <> 7 then 1 end",
+}
 
 
 @query(f"""
-with m as (select *, case when page_id % 10 = 4 then []::varchar[] when page_id % 10 <> 7 then ['a.example'] end as domains from ({_MANIFESTS.format(sha_html="sha256(html)", sha_url="sha256(url)")} from pages))
-select page_id, case {' '.join(f"when {rule} then '{name}'" for name, rule in _MANIFEST_RULES.items())} end as violation from m
+with m as (select page_id, {', '.join(f'{v.format(html="sha256(html)", url="sha256(url)")} as {k}_' for k, v in _BUNDLE.items())} from pages)
+select page_id, case when trusted_ <> 'm' then 'untrusted_manifest' when bundle_ <> 'bundle' then 'bundle_mismatch' when method_ is null then 'collection_method'
+    when not public_only_ or private_used_ is null or private_used_ then 'not_public' when coalesce(license_, '') = '' then 'license_basis'
+    when other_ is null or own_ = other_ then 'same_snapshot' when coalesce(domains_, 0) = 0 then 'allowed_domains' end as violation
+from m
 """)
 def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference bundles of the pages table, with several faults at once in many of them."""
-    rows = table(spark, sf_dir, "pages").selectExpr("*", "sha2(html, 256) as h", "sha2(url, 256) as u").selectExpr("page_id", "page_id % 9 as x", "case when page_id % 5 <> 1 then 'independent_public_web' end as method", "page_id % 7 <> 2 as public_only", "case when page_id % 11 <> 3 then page_id % 13 = 4 end as private_used", "case page_id % 6 when 1 then '' when 2 then null else 'CC-BY' end as license", "h as local_", "case page_id % 8 when 3 then h when 5 then null else u end as reference_", "case when page_id % 10 = 4 then cast(array() as array<string>) when page_id % 10 <> 7 then array('a.example') end as domains")
-    m = F.struct(F.when(F.col("x") % 4 == 2, "other").otherwise("bundle").alias("bundle_sha256"), F.col("method").alias("collection_method"), "public_only", F.col("private_used").alias("private_input_used"), F.col("license").alias("license_basis"), F.col("local_").alias("local_corpus_sha256"), F.col("reference_").alias("reference_snapshot_sha256"), F.col("domains").alias("allowed_domains"))
-    return rows.select("page_id", contracts.bundle_violation(m, F.when(F.col("x") == 1, "y").otherwise("x"), F.lit("x"), F.lit("bundle")).alias("violation"))
+    """A reference bundle's manifest for each page, many with several faults at once."""
+    f = {k: F.expr(v.format(html="sha2(html, 256)", url="sha2(url, 256)")) for k, v in _BUNDLE.items()}
+    names = {"bundle": "bundle_sha256", "method": "collection_method", "public_only": "public_only", "private_used": "private_input_used", "license": "license_basis", "own": "local_corpus_sha256", "other": "reference_snapshot_sha256"}
+    domains = F.when(f["domains"].isNotNull(), F.slice(F.array(F.lit("a.example")), 1, F.coalesce(f["domains"], F.lit(0))))
+    m = F.struct(*(f[k].alias(name) for k, name in names.items()), domains.alias("allowed_domains"))
+    return table(spark, sf_dir, "pages").select("page_id", contracts.bundle_violation(m, F.lit("m"), f["trusted"], F.lit("bundle")).alias("violation"))
 
 
 _ROWS_DIGEST = "sha256(cast(coalesce(sum(cast(('0x' || substring(sha256({x}), 1, 15))::bigint as hugeint)), 0) as varchar))"
