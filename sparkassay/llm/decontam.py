@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sparkassay.llm.frames import carried, with_columns
+from sparkassay.llm.memory import tidy
 from sparkassay.llm.store import written
 from sparkassay.llm.words import ALNUM, U64, mix, rows, scan
 
@@ -200,12 +201,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int, shingle: int, small: in
     text = docs.select("text")
     wins = written(windows(items, window, shingle), "windows")
     shingles = written(wins.select("k", F.explode("shingles").alias("shingle")).distinct(), "shingles")
-    counts = text.mapInArrow(_count(spark.sparkContext.broadcast(_sketch(shingles))), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = text.mapInArrow(tidy(_count(spark.sparkContext.broadcast(_sketch(shingles)))), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     each = wins.select("words", F.posexplode("shingles").alias("place", "shingle")).join(counts, "shingle", "left")
     prefix = each.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p"))
     # a window whose rarest shingle stands nowhere does not occur
     prefix = written(wins.join(prefix.filter("p.n > 0"), "words").select("k", "p.shingle", "p.place", "size", "words", "items"), "prefix")
-    found = text.mapInArrow(_candidates(spark.sparkContext.broadcast(_sketch(prefix)), window), "digest binary, shingle bigint, first bigint, before int, around string")
+    found = text.mapInArrow(tidy(_candidates(spark.sparkContext.broadcast(_sketch(prefix)), window)), "digest binary, shingle bigint, first bigint, before int, around string")
     if prefix.count() <= small:
         joined = found.join(F.broadcast(prefix), "shingle")
     else:
@@ -247,7 +248,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     """docs (doc_id, text, ...) with n_words, n_hit, items (ids found), items_sha256 and contaminated."""
     held = carried(docs, _ADDED)
     found = written(hits(held.df, items, window, shingle, small), "hits")
-    keyed = held.df.mapInArrow(_keyed, StructType([*held.schema.fields, StructField("digest", BinaryType())]))
+    keyed = held.df.mapInArrow(tidy(_keyed), StructType([*held.schema.fields, StructField("digest", BinaryType())]))
     few = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans") + F.size("items")), F.lit(0))).first()
     joined = keyed.join(F.broadcast(found) if max(few) <= small else found, "digest", "left")
     return held.to_arrow(_judge(ratio), _ADDED, joined)

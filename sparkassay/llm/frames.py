@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkassay.llm.memory import tidy
+
 #: Columns that operators look at, with the types that they read.
 KNOWN = {"doc_id": "bigint", "text": "string"}
 
@@ -40,7 +42,7 @@ class Carried:
         run reads source (the table itself, if none) and gives the carried columns, then the added ones.
         """
         more = StructType.fromDDL(added)
-        return (self.df if source is None else source).mapInArrow(run, StructType([*self.df.schema.fields, *more.fields])).toDF(*self.names, *more.names)
+        return (self.df if source is None else source).mapInArrow(tidy(run), StructType([*self.df.schema.fields, *more.fields])).toDF(*self.names, *more.names)
 
 
 def carried(docs: DataFrame, added: str = "") -> Carried:

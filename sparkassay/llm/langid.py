@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.frames import carried, with_columns
+from sparkassay.llm.memory import tidy
 from sparkassay.llm.words import ALNUM, LOWER, rows, slices, utf8
 
 ORDER = 4
@@ -38,7 +39,7 @@ SMOOTHING = 0.5
 #: Estimation ends when no mixture can have a log likelihood greater by this, or when more would not change the decision.
 TOLERANCE = 0.05
 #: Bytes of text in one run of the estimation, and values (n-grams x languages) that it holds at once.
-SLICE, VALUES = 1 << 18, 1 << 21
+SLICE, VALUES = 1 << 18, 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 _KEPT = ALNUM.copy()
 _KEPT[0x30:0x3A] = False
@@ -197,7 +198,7 @@ def proportions(p: np.ndarray, size: np.ndarray, times: np.ndarray | None = None
 def train(docs: DataFrame) -> Model | None:
     """Count n-grams of every document that has a language and a text."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_count, "lang string, bin int, n bigint")
+    counts = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(tidy(_count), "lang string, bin int, n bigint")
     table = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = table.toArrow()
     names = sorted(table["lang"].unique().to_pylist())

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.frames import carried, with_columns
+from sparkassay.llm.memory import tidy
 from sparkassay.llm.store import written
 from sparkassay.llm.words import rows as few
 
@@ -172,7 +173,7 @@ def _distinct(min_chars: int) -> Callable:
 
 def line_counts(docs: DataFrame, min_chars: int, least: int) -> DataFrame:
     """(a, b, n, keeper): hashes of lines in at least so many documents."""
-    lines = docs.mapInArrow(_distinct(min_chars), "a bigint, b bigint, doc_id bigint")
+    lines = docs.mapInArrow(tidy(_distinct(min_chars)), "a bigint, b bigint, doc_id bigint")
     return lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= least)
 
 

@@ -31,6 +31,7 @@ from sparkassay.llm.components import components
 from sparkassay.llm.decontam import run_hashes
 from sparkassay.llm.fingerprints import majority
 from sparkassay.llm.frames import carried
+from sparkassay.llm.memory import tidy
 from sparkassay.llm.store import written
 from sparkassay.llm.words import NOT_SPACE, U64, Words, mix, scan
 
@@ -261,7 +262,7 @@ def _compare(most: int, forest: bool) -> Callable:
 def candidates(nodes: DataFrame, forest: bool, tile: int | None = None) -> DataFrame:
     """Distinct pairs (u, v) of nodes (node, label, print) of different labels that an anchor holds near each other."""
     tile = tile or TILE
-    spread = nodes.select("node", "label", "print").mapInArrow(_replicate, "anchor int, node bigint, label bigint, f0 bigint, f1 bigint")
+    spread = nodes.select("node", "label", "print").mapInArrow(tidy(_replicate), "anchor int, node bigint, label bigint, f0 bigint, f1 bigint")
     large = written(spread.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "large")
     # there are BITS / PART * 2^PART anchors, whatever the number of texts
     tiled = spread.join(F.broadcast(large), "anchor", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
@@ -269,7 +270,7 @@ def candidates(nodes: DataFrame, forest: bool, tile: int | None = None) -> DataF
     # part i meets part j in tile (i, j), i <= j; side 2: the tile's rows are all of one part and meet each other
     spot = lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side"))
     rows = tiled.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), spot))).select("anchor", "t.i", "t.j", "t.side", "node", "label", "f0", "f1")
-    found = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_compare(MOST, forest), "u bigint, v bigint")
+    found = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(tidy(_compare(MOST, forest)), "u bigint, v bigint")
     return found.distinct()
 
 
@@ -302,7 +303,7 @@ def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, simi
     """
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     named = written(nodes.join(wanted, "node", "left_semi").select("node", "key", "key2"), "named")
-    shingles = written(texts.join(_send(named), ["key", "key2"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(size), "node bigint, shingles array<bigint>"), "sets")
+    shingles = written(texts.join(_send(named), ["key", "key2"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(tidy(_sets(size)), "node bigint, shingles array<bigint>"), "sets")
     one, two = (shingles.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
     n = F.size(F.array_intersect("of_u", "of_v"))
     both = pairs.join(one, "u").join(two, "v").select("u", "v", n.alias("n"), (F.size("of_u") + F.size("of_v")).alias("sum"))
@@ -312,7 +313,7 @@ def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, simi
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, key2, class) of every row of docs (doc_id, text): rows of a class are near copies, directly or in steps."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(_keys())
-    marked = written(texts.mapInArrow(_mark(size), "doc_id bigint, key bigint, key2 bigint, set bigint, print binary"), "marked")
+    marked = written(texts.mapInArrow(tidy(_mark(size)), "doc_id bigint, key bigint, key2 bigint, set bigint, print binary"), "marked")
     one = F.min(F.struct("key", "key2", "print")).alias("x")
     nodes = written(marked.groupBy(F.col("set").alias("node")).agg(one).select("node", F.col("node").alias("label"), "x.*"), "nodes")
     pairs = written(candidates(nodes, True), "pairs")

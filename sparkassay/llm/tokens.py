@@ -52,6 +52,11 @@ class WordPieces:
             _loaded[path] = cls(path)
         return _loaded[path]
 
+    @staticmethod
+    def forget() -> None:
+        """Drop all tokenizers of this worker."""
+        _loaded.clear()
+
     def _learn(self, chunks: list[str]) -> None:
         """Remember lower-cased chunks."""
         flat = _PIECE.findall("\n".join(chunks))
