@@ -9,7 +9,7 @@ sets decides every link.
 
 Only distinct shingle sets are compared.  An anchor gives a spanning forest of its candidates, never all pairs; in a large
 one, rows first gather about a few of them, and those that stand together are not compared with each other again.
-Where each of a group's candidates is a link, its class is settled.  The members of the others meet once more, and
+Classes that no failed candidate lies between are settled.  The members of the others meet once more, and
 give all candidates between what are different classes so far, so that a candidate that is no link hides none that is.
 
 Cases: null, empty and blank texts have no shingles and are copies of each other; texts of fewer words than a shingle have one.
@@ -320,15 +320,21 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     judged = written(linked(pairs, texts, nodes, size, similarity), "judged")
     links = judged.filter("ok").select("u", "v")
     failed = judged.filter(~F.col("ok")).select("u", "v")
+    found = components(links)
     if not failed.isEmpty():
-        # classes of candidates that hold a pair that is no link: their members meet once more
-        wide, so_far = components(pairs), components(links)
-        odd = wide.join(failed.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("component").distinct()
-        members = wide.join(odd, "component", "left_semi").select("node")
-        again = nodes.join(members, "node").drop("label").join(so_far, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        # a hidden link joins classes that pairs which are no links lie between: their members meet once more
+        found = written(found, "so_far")
+        label = lambda pairs, node: pairs.join(found.select(F.col("node").alias(node), F.col("component").alias(f"of_{node}")), node, "left").withColumn(f"of_{node}", F.coalesce(f"of_{node}", node))
+        between = label(label(failed, "u"), "v").filter("of_u <> of_v")
+        odd = between.select(F.explode(F.array("of_u", "of_v")).alias("label")).distinct()
+        again = written(nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).join(odd, "label", "left_semi").select("node", "label", "key", "key2", "print"), "again")
         more = written(candidates(again, False).join(failed, ["u", "v"], "left_anti"), "pairs")
-        links = links.unionByName(linked(more, texts, nodes, size, similarity).filter("ok").select("u", "v"))
-    found = components(links)
+        new = label(label(linked(more, texts, nodes, size, similarity).filter("ok").select("u", "v"), "u"), "v")
+        joined = components(new.select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
+        # classes of classes: every class that is joined, and every node of it
+        upper = joined.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+        members = found.select("node", "component").unionByName(joined.select("node", F.col("node").alias("component"))).distinct()
+        found = members.join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
     named = marked.select("doc_id", "key", "key2", F.col("set").alias("node"))
     return named.join(found, "node", "left").select("doc_id", "key", "key2", F.coalesce("component", "node").alias("class"))
 
