@@ -270,7 +270,7 @@ def candidates(nodes: DataFrame, forest: bool, tile: int | None = None) -> DataF
     # part i meets part j in tile (i, j), i <= j; side 2: the tile's rows are all of one part and meet each other
     spot = lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side"))
     rows = tiled.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), spot))).select("anchor", "t.i", "t.j", "t.side", "node", "label", "f0", "f1")
-    found = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(tidy(_compare(MOST, forest)), "u bigint, v bigint")
+    found = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node").mapInArrow(tidy(_compare(MOST, forest)), "u bigint, v bigint")
     return found.distinct()
 
 
@@ -317,7 +317,17 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     one = F.min(F.struct("key", "key2", "print")).alias("x")
     nodes = written(marked.groupBy(F.col("set").alias("node")).agg(one).select("node", F.col("node").alias("label"), "x.*"), "nodes")
     pairs = written(candidates(nodes, True), "pairs")
-    judged = written(linked(pairs, texts, nodes, size, similarity), "judged")
+    # of each node the pair with its smallest neighbour comes first: these join most of a group, whose other pairs need no check then
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))).alias("e")).select("e.*")
+    least = ends.groupBy("node").agg(F.min("other").alias("other"))
+    first = written(least.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "first")
+    judged = written(linked(first, texts, nodes, size, similarity), "judged")
+    so_far = written(components(judged.filter("ok").select("u", "v")), "classes")
+    rest = pairs.join(first, ["u", "v"], "left_anti")
+    for end in "uv":
+        rest = rest.join(so_far.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    rest = written(rest.filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"), "rest")
+    judged = judged.unionByName(written(linked(rest, texts, nodes, size, similarity), "judged"))
     links = judged.filter("ok").select("u", "v")
     failed = judged.filter(~F.col("ok")).select("u", "v")
     found = components(links)
