@@ -25,6 +25,19 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def place(names: list[str], name: str) -> int | None:
+    """Where a column stands: the first of just that name, else the first that differs in case only."""
+    same = [i for i, c in enumerate(names) if c == name] or [i for i, c in enumerate(names) if c.lower() == name.lower()]
+    return same[0] if same else None
+
+
+def pick(table: DataFrame, **types: str) -> DataFrame:
+    """The named columns with these types, found by place; null where the table has none of the name."""
+    by_place = table.toDF(*(f"c{i}" for i in range(len(table.columns))))
+    at = {n: place(table.columns, n) for n in types}
+    return by_place.select(*((F.lit(None) if at[n] is None else F.col(f"c{at[n]}")).cast(t).alias(n) for n, t in types.items()))
+
+
 @dataclass
 class Carried:
     """A table by place, and the names that it has outside."""
@@ -50,7 +63,8 @@ def carried(docs: DataFrame, added: str = "") -> Carried:
     taken = {c.split()[0].lower() for c in added.split(", ") if c}
     by_place = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     keep = [i for i, c in enumerate(docs.columns) if c.lower() not in taken]
-    columns = [F.col(f"c{i}").cast(KNOWN[n]).alias(n) if (n := docs.columns[i].lower()) in KNOWN else F.col(f"c{i}") for i in keep]
+    known = {i: n for n in KNOWN if (i := place(docs.columns, n)) is not None}
+    columns = [F.col(f"c{i}").cast(KNOWN[known[i]]).alias(known[i]) if i in known else F.col(f"c{i}") for i in keep]
     return Carried(by_place.select(*columns), [docs.columns[i] for i in keep])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import decontam, htmltext, katz, langid, licences, linededup, packing, resample, simhash, topk
+from sparkassay.llm import decontam, htmltext, katz, langid, licences, linededup, merkle, packing, resample, simhash, topk
 
 
 def tokenizer_path() -> str:
@@ -58,6 +58,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
 #: Words of the benchmark contract; A-Z only are lower-cased.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -122,6 +126,49 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 where rank <= 10
 """
 
+_FIELD = "coalesce(concat(strlen({0}), ':', {0}), '-')"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(f"cast({c} as varchar)") for c in ("doc_id", "source", "lang", "{n}", "text")) + "))"
+#: A CRC-32 by its reflected polynomial, bit by bit over the bytes of the decimal number.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, step: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)"""
+
+OP11_SQL = f"""
+with recursive rows_ as (
+    select doc_id, coalesce('+' || lang, '') as g, {_LEAF.format(n="n_chars")} as leaf,
+        case when {_CRC} % 7 = 0 then {_LEAF.format(n="n_chars + 1")} end as bad
+    from documents
+), leaves as (
+    select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by g) as n from rows_
+), tree as (
+    select g, 0 as level, pos, leaf as digest, n from leaves
+    union all
+    select g, level + 1, pos // 2, sha256(concat(digest, sibling)), (n + 1) // 2
+    from (select *, lead(digest) over (partition by g order by pos) as sibling from tree where n > 1) where pos % 2 = 0
+), roots as (
+    select g, digest as subroot, row_number() over (order by g) - 1 as pos, count(*) over () as n from tree where n = 1
+), upper as (
+    select 0 as level, pos, subroot as digest, n from roots
+    union all
+    select level + 1, pos // 2, sha256(concat(digest, sibling)), (n + 1) // 2
+    from (select *, lead(digest) over (order by pos) as sibling from upper where n > 1) where pos % 2 = 0
+), nodes as (
+    select g, false as top, level, pos, digest from tree union all select '', true, level, pos, digest from upper
+), climb as (
+    select l.doc_id, l.leaf, l.g, r.subroot, r.pos as top_pos, r.n as top_n, false as top, 0 as level, l.pos, l.n, coalesce(bad, leaf) as now, '' as proof
+    from leaves l join roots r using (g)
+    union all
+    select c.doc_id, c.leaf, c.g, c.subroot, c.top_pos, c.top_n, c.top or c.n = 1, case when c.n = 1 then 0 else c.level + 1 end,
+        case when c.n = 1 then c.top_pos else c.pos // 2 end, case when c.n = 1 then c.top_n else (c.n + 1) // 2 end,
+        case when c.n = 1 then now when c.pos % 2 = 0 then sha256(concat(now, s.digest)) else sha256(concat(s.digest, now)) end,
+        concat(proof, case when c.n > 1 then s.digest end)
+    from climb c left join nodes s on s.top = c.top and s.g = case when c.top then '' else c.g end and s.level = c.level and s.pos = xor(c.pos, 1)
+    where not (c.top and c.n = 1)
+)
+select doc_id, leaf, subroot, (select digest from upper where n = 1) as root, sha256(proof) as proof_sha256, now as folded_root,
+    now = (select digest from upper where n = 1) as verified
+from climb where top and n = 1
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -133,5 +180,6 @@ QUERIES = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_exact_topk": op9_exact_topk,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLE = {"op3_line_dedup": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_decontamination": OP10_SQL}
+ORACLE = {"op3_line_dedup": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
