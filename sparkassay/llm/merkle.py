@@ -21,17 +21,16 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.frames import pick
 from sparkassay.llm.memory import tidy
+from sparkassay.llm.order import numbered, sent
 from sparkassay.llm.store import written
 
 #: Children of a node; levels that a block hashes by itself, and levels a round.
 FANOUT, INNER, OUTER = 2, 10, 4
-#: Rows up to which a table goes to every executor: some 100 bytes each.
-SMALL = 100_000
 FIELDS = {"doc_id": "bigint", "source": "string", "lang": "string", "n_chars": "bigint", "text": "string"}
 
 
@@ -41,47 +40,6 @@ def leaf(*values: Column) -> Column:
     return F.sha2(F.concat(*(F.when(t.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)) for t in texts)), 256)
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
-# -- order ---------------------------------------------------------------------------------------
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows of each group within a sorted partition."""
-    from pyspark import TaskContext
-
-    part, last, before = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        g = batch.column("g").to_numpy(zero_copy_only=False)
-        start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        at = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-        if g[0] == last:
-            at[: start[1] if len(start) > 1 else n] += before
-        last, before = g[-1], int(at[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(at)], names=[*batch.schema.names, "part", "at"])
-
-
-def numbered(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows (g, ...) with their place pos in the order of keys within g, and n, the rows of g.
-
-    The parts of a range partition know their own places; the places before them come from a count for each part and group.
-    Rows with equal keys are dealt out by number, as any order of theirs is the same.
-    """
-    salt = F.xxhash64(F.monotonically_increasing_id()).alias("salt")
-    dealt = rows.select("*", salt).repartitionByRange("g", *keys, "salt").sortWithinPartitions("g", *keys, "salt").drop("salt")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    placed = written(dealt.mapInArrow(tidy(_count), f"{schema}, part int, at bigint"), "placed")
-    whole = Window.partitionBy("g")  # a row for each part of a group
-    counts = placed.groupBy("g", "part").agg(F.count("*").alias("rows"))
-    counts = counts.select("g", "part", (F.sum("rows").over(whole.orderBy("part")) - F.col("rows")).alias("before"), F.sum("rows").over(whole).alias("n"))
-    return placed.join(_sent(written(counts, "counts")), ["g", "part"]).withColumn("pos", F.col("at") + F.col("before")).drop("part", "at", "before")
-
-
 # -- hashing -------------------------------------------------------------------------------------
 
 
@@ -241,7 +199,7 @@ def proofs(leaves: DataFrame, fanout: int = FANOUT, inner: int = INNER, outer: i
     upper = _dealt(numbered(roots, "group"), fanout, inner)
     above = exchange(upper, fanout, inner, outer).withColumnsRenamed({"digest": "root", "siblings": "upper"})
     tops = _tops(upper, above, fanout, inner)
-    heads = state.join(_sent(written(tops, "tops")), "g")
+    heads = state.join(sent(written(tops, "tops")), "g")
     both = _dealt(placed, fanout, inner).unionByName(heads.withColumn("pos", F.lit(-1).cast("bigint")), allowMissingColumns=True)
     schema = _PROOF + (", pos bigint, n bigint, top_pos bigint, top_n bigint, siblings array<string>" if whole else "")
     return both.repartition("g", "block").sortWithinPartitions("g", "block", "pos").mapInArrow(tidy(_prove(fanout, inner, whole)), schema)

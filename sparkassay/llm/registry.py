@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import decontam, htmltext, katz, langid, licences, linededup, merkle, packing, resample, simhash, topk
+from sparkassay.llm import decontam, htmltext, katz, langid, licences, linededup, merkle, mixing, packing, resample, simhash, topk
 
 
 def tokenizer_path() -> str:
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(_table(spark, sf_dir, "documents"))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 #: Words of the benchmark contract; A-Z only are lower-cased.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -181,5 +185,6 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_mixing": op12_source_mixing,
 }
 ORACLE = {"op3_line_dedup": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
