@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import decontam, htmltext, katz, langid, licences, linededup, merkle, mixing, packing, resample, simhash, topk
+from sparkassay.llm import decontam, htmltext, katz, langid, lexical, licences, linededup, merkle, mixing, packing, resample, simhash, topk
 
 
 def tokenizer_path() -> str:
@@ -66,6 +66,10 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: Words of the benchmark contract; A-Z only are lower-cased.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -173,6 +177,30 @@ select doc_id, leaf, subroot, (select digest from upper where n = 1) as root, sh
 from climb where top and n = 1
 """
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '{lexical.TERM}')"
+
+OP13_SQL = rf"""
+with docs as (
+    select row_number() over () as row_id, doc_id, {_TERMS} as t from documents
+), corpus as (
+    select count(*) filter (len(t) > 0) as n, cast(sum(len(t)) as bigint) as words from docs
+), postings as (
+    select row_id, doc_id, len(t) as length, term, count(*) as tf from (select row_id, doc_id, t, unnest(t) as term from docs) group by all
+), dfs as (
+    select term, count(*) as df from postings group by term
+), asked as (
+    select item_id, term, count(*) as times from (select item_id, unnest({_TERMS}) as term from benchmark where item_id is not null) group by all
+), scored as (
+    select item_id, row_id, any_value(doc_id) as doc_id,
+        cast(sum(times * cast(floor(1000 * ln((2 * n + 2)::double / (2 * df + 1)::double)) as bigint)
+            * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * length * n) // words)))) as bigint) as score
+    from asked join dfs using (term) join postings using (term), corpus group by item_id, row_id
+)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scored where score > 0)
+where rank <= 10
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -186,5 +214,6 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_source_mixing": op12_source_mixing,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLE = {"op3_line_dedup": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE = {"op3_line_dedup": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_lexical_search": OP13_SQL}
