@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,24 @@ def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+@functools.lru_cache
+def folds() -> dict[str, str]:
+    """Lower-case characters that full case folding still changes, and what they become: one character or more."""
+    return {c: f for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.lower() == c and (f := c.casefold()) != c}
+
+
+def casefold(text: str | Column) -> Column:
+    """Full case folding, which may lengthen a text: ß and SS are alike, as are all three sigmas."""
+    low, table = F.lower(_col(text)), folds()
+    codes = sorted(map(ord, table))
+    firsts = [c for c in codes if c - 1 not in codes]
+    odd = "[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in zip(firsts, (c for c in codes if c + 1 not in codes))) + "]"  # few ranges are fast to test
+    names = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    new = F.transform(F.regexp_extract_all(low, F.lit(odd), F.lit(0)), lambda c: F.try_element_at(names, c))
+    folded = F.array_join(F.zip_with(F.split(low, odd, -1), new, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+    return F.when(low.rlike(odd), folded).otherwise(low)
+
+
 def tokens(text: str | Column) -> Column:
     """Lower-cased tokens, with camel case taken apart."""
     apart = F.regexp_replace(_col(text), r"(?<=[a-z0-9])(?=[A-Z])", " ")
@@ -35,12 +56,12 @@ def excerpt(text: str | Column, limit: int = 360) -> Column:
 
 
 def joined_key(text: str | Column) -> Column:
-    """Without any white space, lower-cased."""
-    return F.lower(F.regexp_replace(_col(text), f"{WS}+", ""))
+    """Without any white space, case folded."""
+    return casefold(F.regexp_replace(_col(text), f"{WS}+", ""))
 
 
 def collapsed_digest(text: str | Column) -> Column:
-    return F.sha2(F.lower(collapse(text)), 256)
+    return F.sha2(casefold(collapse(text)), 256)
 
 
 def sha256(text: str | Column) -> Column:
@@ -106,7 +127,7 @@ def focused(text: str | Column, terms: Column, limit: int = 3000) -> Column:
     """The parts of a text that hold most terms, in their own order, within a budget of characters.
 
     Parts are taken by matched terms, then by place; one that does not fit is passed over, and taking
-    ends at four fifths of the budget.
+    ends once four fifths of the budget are used.
     """
     parts = sentences(text)
     ranked = F.array_sort(F.transform(parts, lambda p, i: F.struct((-F.size(F.filter(terms, lambda t: F.contains(F.lower(p), t)))).alias("score"), i.alias("place"), p.alias("part"))))
@@ -114,7 +135,7 @@ def focused(text: str | Column, terms: Column, limit: int = 3000) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         size = F.length(x["part"])
-        fits = (acc["used"] < F.lit(limit * 4 // 5)) & (acc["used"] + size <= limit)
+        fits = (acc["used"] * 5 < F.lit(limit * 4)) & (acc["used"] + size <= limit)
         more = F.struct((acc["used"] + size + 5).alias("used"), F.concat(acc["taken"], F.array(F.struct(x["place"].alias("place"), x["part"].alias("part")))).alias("taken"))
         return F.when(fits, more).otherwise(acc)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,21 @@ def sql_collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '{WS}+', ' ', 'g'))"
 
 
+#: Full case folding as a table of its own: characters that become one other, and those that become several.
+_FOLD = {c: f for c in map(chr, range(sys.maxunicode + 1)) if (f := c.casefold()) != c}
+_ONE = {c: f for c, f in _FOLD.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLD.items() if len(f) > 1}
+
+
+def sql_casefold(x: str) -> str:
+    out = f"translate({x}, '{''.join(_ONE)}', '{''.join(_ONE.values())}')"
+    for c, f in _SEVERAL.items():
+        out = f"replace({out}, '{c}', '{f}')"
+    return out
+
+
 def sql_key(x: str) -> str:
-    return f"lower(regexp_replace({x}, '{WS}+', '', 'g'))"
+    return sql_casefold(f"regexp_replace({x}, '{WS}+', '', 'g')")
 
 
 def sql_host(x: str) -> str:

@@ -77,7 +77,7 @@ def excerpt_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.excerpt("text").alias("excerpt"), T.sha256(T.bounded("text")).alias("bounded_digest"), T.sha256(T.tail("text")).alias("tail_digest"))
 
 
-@query(f"select doc_id, sha256({b.sql_key('text')}) as joined_digest, sha256(lower({b.sql_collapse('text')})) as collapsed_digest from documents")
+@query(f"select doc_id, sha256({b.sql_key('text')}) as joined_digest, sha256({b.sql_casefold(b.sql_collapse('text'))}) as collapsed_digest from documents")
 def whitespace_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.sha256(T.joined_key("text")).alias("joined_digest"), T.collapsed_digest("text").alias("collapsed_digest"))
 

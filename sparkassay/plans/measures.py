@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.functions import rewrite, terms
 from sparkassay.functions import text as T
-from sparkassay.operators import metrics, reference, report, retrieval, runlog
+from sparkassay.operators import metrics, reference, report, retrieval, runlog, termmap
 from sparkassay.plans import base as b
 from sparkassay.plans import corpus as c
 from sparkassay.plans.base import query, table
@@ -174,7 +174,6 @@ def review_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: English function words of the corpus as a term map, so that its rewriting can be stated in SQL.
 LATIN = rewrite.TermMap("t1", "approved", en_to_ko={"the": "그것", "of": "소유", "and": "그리고", "in": "안"}, to_abbreviation={"that": "TT", "with": "w/"})
-SHIPPED = rewrite.compile_map(terms.PAYLOAD, allow_unapproved=True)
 
 
 def _sql_words(x: str, words: dict[str, str]) -> str:
@@ -220,8 +219,9 @@ _REST = f"regexp_replace(text, '{b.WS}+$', '')"
 @query(f"select item_id, 'mixed.ko_to_en' as transform_id, concat({_MIXED}, ' ', {_REST}) as text from benchmark where item_id % 4 <> 3 union all select item_id, 'compound.ko_to_en_join', regexp_replace(concat({_MIXED}, ' ', {_REST}), '{b.WS}+', '', 'g') from benchmark where item_id % 4 <> 3")
 def variants_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A term inside a longer word is left alone; a particle is kept; a joined mix may not fuse scripts anew before it is made."""
+    shipped = termmap.load(spark, terms.PAYLOAD, allow_unapproved=True)
     q = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.expr(_HANGUL), F.lit(" "), F.regexp_replace("text", f"{T.WS}+$", "")).alias("q"))
-    v = q.select("item_id", F.explode(rewrite.variants(F.col("q"), SHIPPED)).alias("v"))
+    v = q.select("item_id", F.explode(rewrite.variants(F.col("q"), shipped)).alias("v"))
     return v.filter("v.transform_id in ('mixed.ko_to_en', 'compound.ko_to_en_join')").select("item_id", "v.transform_id", "v.text")
 
 
@@ -329,25 +329,48 @@ def effective_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.crossJoin(F.broadcast(known)).agg(F.count("*").alias("replaced"), F.count_if((F.col("v.transform_id") == "mixed.en_to_ko") & F.col("known")).alias("in_glossary"))  # one row
 
 
-_ENTRIES = """e as (
-    select item_id as pos, place, lower(trim(surface)) as key, concat('e', item_id) as en, item_id % 6 = 0 as risk
-    from (select item_id, unnest(w) as surface, unnest(range(len(w))) as place from (select item_id, string_split(text, ' ') as w from benchmark)))"""
+#: A benchmark item as a term-map entry: its first word, all others as aliases; many entries break a rule or two.
+_EN = "case when item_id % 11 = 3 then ' ' when item_id % 11 = 5 then concat(' ', first_, ' ') else concat('e', cast(item_id as {text})) end"
+_SHORT = "case item_id % 5 when 1 then '' when 2 then ' X ' when 3 then first_ end"
+_ENTRIES = f"""words as (select item_id, string_split(text, ' ') as w, string_split(text, ' ')[1] as first_ from benchmark),
+made as (select item_id as pos, case when item_id % 13 = 4 then null else first_ end as ko, {_EN.format(text="varchar")} as en, w[2:] as aliases, item_id % 17 = 6 as odd, {_SHORT} as short, item_id % 6 = 0 as risk from words),
+judged as (select *, case when trim(coalesce(ko, '')) = '' then 'ko' when trim(en) = '' then 'en'
+    when {b.sql_casefold("trim(ko)")} = {b.sql_casefold("trim(en)")} then 'maps_to_itself' when risk then null when odd then 'aliases' when trim(short) = '' then 'abbreviation' end as violation from made),
+sound as (select * from judged where violation is null and not risk),
+surfaces as (select pos, place, trim(surface) as surface, {b.sql_casefold("trim(surface)")} as key, trim(en) as en, trim(short) as short
+    from (select *, unnest(list_prepend(ko, aliases)) as surface, unnest(range(len(aliases) + 1)) as place from sound) where trim(surface) <> '')"""
 
 
-@query(f"with {_ENTRIES} select key, arg_min(en, pos * 100000 + place) as en, count(*) as uses from e where not risk and key <> '' group by key")
-def term_map_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.term_table(_entries(spark, sf_dir))
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " ", -1)).withColumn("first_", F.get("w", F.lit(0)))
+    made = words.selectExpr("item_id as pos", "case when item_id % 13 = 4 then null else first_ end as ko", f"{_EN.format(text='string')} as en", "item_id % 6 = 0 as generic_risk", f"{_SHORT} as abbreviation", "item_id % 17 = 6 as odd", "w")
+    # aliases are a list, or a text that is none
+    plain = F.to_json(F.struct("ko", "en", "generic_risk", "abbreviation"))
+    listed = F.when(F.col("odd"), F.lit('"x"')).otherwise(F.to_json(F.slice("w", 2, F.size("w"))))
+    return made.select("pos", F.concat(F.lit('{"ko_aliases":'), listed, F.lit(","), F.substring(plain, 2, 1 << 30)).alias("entry"))
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A benchmark item as a term-map entry: its first word, and all others as aliases."""
-    words = F.split("text", " ", -1)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.get(words, F.lit(0)).alias("ko"), F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("en"), F.slice(words, 2, F.size(words)).alias("aliases"), F.when(F.col("item_id") % 6 == 0, True).alias("generic_risk"))
+@query(f"with {_ENTRIES} select pos, violation from judged where violation is not null")
+def term_map_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rule each unusable entry of a term map breaks first."""
+    return termmap.entries(_entries(spark, sf_dir)).filter("violation is not null").select("pos", "violation")
+
+
+@query(f"""
+with {_ENTRIES}
+select 'ko_to_en' as direction, key, arg_min(en, (pos, place)) as value from surfaces group by key
+union all select 'en_to_ko', {b.sql_casefold("en")}, arg_min(surface, pos) from surfaces where place = 0 group by 2
+union all select 'to_abbreviation', key, arg_max(short, pos) from
+    (select key, pos, short from surfaces union all select {b.sql_casefold("en")}, pos, short from surfaces where place = 0) where short is not null and key <> {b.sql_casefold("short")} group by key
+""")
+def term_map_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termmap.lookups(termmap.entries(_entries(spark, sf_dir)))
 
 
-@query(f"with {_ENTRIES} select key, count(*) as uses from e where not risk and key <> '' group by key having count(*) > 1")
+@query(f"with {_ENTRIES} select key, count(*) as uses from surfaces group by key having count(*) > 1")
 def term_map_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.term_table(_entries(spark, sf_dir)).filter("uses > 1").select("key", "uses")
+    """Surfaces that stand more than once."""
+    return termmap.repeated(termmap.entries(_entries(spark, sf_dir)))
 
 
 # -- references ------------------------------------------------------------------------------------------
@@ -380,7 +403,7 @@ judged as (select *, case when title_ is null then 'missing'
     when independence_ not in ('different_domain', 'same_source_new_revision') then 'source_independence'
     when parts_ = 0 then 'predicates'
     when digest_ = sha256(text) then 'identical_bytes'
-    when lower({b.sql_collapse("evidence_")}) = lower({b.sql_collapse("text")}) then 'identical_text' end as violation from r)"""
+    when {b.sql_casefold(b.sql_collapse("evidence_"))} = {b.sql_casefold(b.sql_collapse("text"))} then 'identical_text' end as violation from r)"""
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -10,8 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkassay.functions import rewrite, terms
+from sparkassay.operators import termmap
 
-MAP = rewrite.compile_map(terms.PAYLOAD, allow_unapproved=True)
+
+
+@pytest.fixture(scope="module")
+def shipped(spark):
+    return termmap.load(spark, terms.PAYLOAD, allow_unapproved=True)
 
 
 def run(spark, texts, *cols):
@@ -46,25 +51,25 @@ def model(text, mapping):
     return out if hits and out != text and not (fused(out) and not fused(text)) else None
 
 
-def test_goldens(spark):
-    got = run(spark, ["내성 굴림 규칙"], F.expr("1").alias("x")) and run(spark, [" 내성 굴림 규칙 "], rewrite.variants(F.col("t"), MAP).alias("v"))[0]
+def test_goldens(spark, shipped):
+    got = run(spark, ["내성 굴림 규칙"], F.expr("1").alias("x")) and run(spark, [" 내성 굴림 규칙 "], rewrite.variants(F.col("t"), shipped).alias("v"))[0]
     assert [(v.transform_id, v.text) for v in got] == [("spacing.join_all", "내성굴림규칙"), ("spacing.pad", "내성  굴림  규칙"), ("mixed.ko_to_en", "saving throw 규칙"), ("abbreviation.apply", "내성 규칙"), ("compound.ko_to_en_join", "savingthrow규칙")]
-    assert run(spark, ["", "x"], F.size(rewrite.variants(F.col("t"), MAP)).alias("n")) == [0, 0]
+    assert run(spark, ["", "x"], F.size(rewrite.variants(F.col("t"), shipped)).alias("n")) == [0, 0]
 
 
 @pytest.mark.parametrize("name", ["ko_to_en", "en_to_ko", "to_abbreviation"])
-def test_replacement_against_model(spark, name):
+def test_replacement_against_model(spark, shipped, name):
     rng = random.Random(name)
-    mapping = getattr(MAP, name)
+    mapping = getattr(shipped, name)
     parts = [*mapping, *rewrite.PARTICLES[:12], " ", " ", "망상", "x", "3", "Roll", ".", "AC"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(1500)]
     texts = [t.upper() if rng.random() < 0.2 else t for t in texts]
     assert run(spark, texts, rewrite.replace_terms(F.col("t"), mapping).alias("x")) == [model(t, mapping) for t in texts]
 
 
-def test_rows_inherit_and_expand(spark):
+def test_rows_inherit_and_expand(spark, shipped):
     rows = spark.createDataFrame([("q1", "natural", "긴 휴식 규칙", 7), ("q2", "paraphrase", " kept as it is", 8), ("q3", None, "x", 9)], "question_id string, query_kind string, query string, more int")
-    got = rewrite.expand(rows, MAP).collect()
+    got = rewrite.expand(rows, shipped).collect()
     ids = {r.question_id: r for r in got}
     assert ids["q2"].query == " kept as it is" and ids["q1::mixed.ko_to_en"].query == "long rest 규칙" and ids["q1::mixed.ko_to_en"].more == 7
     assert ids["q1"].transform_id == "natural.source" and ids["q3"].query_kind == "natural" and len(got) == len(ids)
@@ -82,18 +87,18 @@ def broken(**change):
 
 
 @pytest.mark.parametrize("change", [{"status": "draft"}, {"entries": []}, {"entries": "x"}, {"entries": [1]}, {"ko": " "}, {"en": None}, {"en": "내성 굴림"}, {"ko_aliases": "x"}, {"ko_aliases": ["능력치"]}, {"abbreviation": " "}])
-def test_map_errors(change):
-    with pytest.raises(rewrite.TermMapError):
-        rewrite.compile_map(broken(**change))
+def test_map_errors(spark, change):
+    with pytest.raises(termmap.TermMapError):
+        termmap.load(spark, broken(**change))
 
 
-def test_map_content():
-    made = rewrite.compile_map(broken())
-    assert made.en_to_ko["saving throw"] == "내성 굴림" and made.ko_to_en["내성굴림"] == "saving throw" and "피해" in made.excluded
+def test_map_content(spark):
+    made = termmap.load(spark, broken())
+    assert made.en_to_ko["saving throw"] == "내성 굴림" and made.ko_to_en["내성굴림"] == "saving throw" and "피해" not in made.ko_to_en
     assert made.to_abbreviation["armour class"] == "AC" and "ac" not in made.to_abbreviation
-    assert "피해" in rewrite.compile_map(broken(), include_generic_risk=True).ko_to_en
-    with pytest.raises(rewrite.TermMapError):
-        rewrite.compile_map({k: v for k, v in broken().items() if k != "domain"})
+    assert "피해" in termmap.load(spark, broken(), include_generic_risk=True).ko_to_en
+    with pytest.raises(termmap.TermMapError):
+        termmap.load(spark, {k: v for k, v in broken().items() if k != "domain"})
 
 
 def test_overlap(spark):

@@ -104,3 +104,14 @@ def test_focused(spark):
     got = column(spark, texts, T.focused("t", F.array(*map(F.lit, terms)), 100).alias("x"))
     assert [g[0] for g in got] == [model_focused(t, terms, 100) for t in texts]
     assert column(spark, ["Alpha a 9 alpha BB 12"], T.query_terms("t").alias("x")) == [(["alpha", "9", "bb", "12"],)]
+
+
+def test_casefold_of_every_character(spark):
+    import unicodedata
+
+    known = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    # a lower-case form that only a later edition of Unicode has is not one that Python knows
+    later = {c for c in known if c.lower() == c == c.casefold() and c.upper() == c}
+    texts = [c + "a" + c for c in known if c not in later] + ["Straße", "STRASSE", "ΟΔΟΣ", "ﬃ x ŉ", "", None]
+    got = column(spark, texts, T.casefold("t").alias("x"))
+    assert [g[0] for g in got] == [t if t is None else t.casefold() for t in texts]
