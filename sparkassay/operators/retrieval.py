@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions import text as T
+from sparkassay.operators import blockmax
+from sparkassay.sources.shared import written
 
 K1, B = 1.5, 0.75
 
@@ -26,38 +28,14 @@ def length_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(T.tokens("text")).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
-#: Rows of question weights up to which they are sent to every executor.
-SMALL = 500_000
-
-
 def bm25(docs: DataFrame, questions: DataFrame, k: int = 5, digits: int = 8) -> DataFrame:
     """(question_id, rank, doc_id, score): the k best documents of each question.
 
-    Only terms of questions are carried beyond the scan.  A repeated question term counts again; no
-    document without a common term is ranked.  Scores are rounded before ranking, ties go to the smaller id.
-
-    Texts are taken apart once: postings carry their document's length.  They are dealt by document, so that scores are
-    summed where they are made and each task sends on its k best of a question only.
+    A repeated question term counts again; no document without a common term is ranked.  Scores are rounded before ranking, ties
+    go to the smaller id.  `sparkassay.operators.blockmax` has the index and the search.
     """
-    asked = questions.select("question_id", F.explode(T.tokens("query")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("mult"))
-    few = asked.count() <= SMALL
-    # every document is also a posting of the empty term, which no text has: its length counts where its tokens are made
-    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
-    read = docs.select("doc_id", F.concat(T.tokens("text"), F.array(F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens") - 1)
-    # explode_outer: the filter that Spark would add below explode takes texts apart a second time
-    postings = read.select("doc_id", "len", F.explode_outer("tokens").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    # all uses read all columns of the postings and none filters terms, so that their shuffle is one for all
-    terms = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("len") >= 0)).alias("df"), F.sum("len").alias("lengths"))
-    whole = F.col("term") == ""
-    corpus = terms.agg(F.max(F.when(whole, F.col("df"))).alias("n"), F.max(F.when(whole, F.col("lengths") / F.col("df"))).alias("avgdl"))
-    weights = asked.join(terms, "term").crossJoin(F.broadcast(corpus))  # one row
-    weights = weights.select("question_id", "term", (F.col("mult") * idf(F.col("n"), F.col("df")) * (K1 + 1)).alias("weight"), F.greatest(F.lit(1.0), "avgdl").alias("avgdl"))
-    if few:
-        weights = F.broadcast(weights)
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = postings.repartition("doc_id").join(weights, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score")).filter(F.col("score") != 0)
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k).select("question_id", "rank", "doc_id", "score")
+    asked = written(questions.select("question_id", F.explode(T.tokens("query")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("mult")))
+    return blockmax.search(docs.select("doc_id", T.tokens("text").alias("tokens")), asked, k, digits, K1, B)
 
 
 def evidence(hits: DataFrame, docs: DataFrame) -> DataFrame:

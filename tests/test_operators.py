@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkassay.operators import contracts, corpus, metrics, reference, report, retrieval, review, runlog
+from sparkassay.operators import blockmax, contracts, corpus, metrics, reference, report, retrieval, review, runlog
 from sparkassay.sources import jsonl, providers
 from sparkassay.streaming import logs
 
@@ -44,6 +44,39 @@ def test_bm25_against_plain_scoring(spark):
         assert [(r.rank, r.doc_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.question_id == q] == [(n, i, pytest.approx(-s, abs=2e-8)) for n, (s, i) in enumerate(sorted(want)[:4], 1)]
 
 
+@pytest.mark.parametrize("options", [{}, {"turn": 12, "block": 30}, {"block": 1}])
+def test_ranked_search_by_blocks(spark, options):
+    """Every pair scored plainly: ties, copies, null ids and texts, questions without terms; many pairs are not scored."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rare = lambda: words[min(59, int(rng.expovariate(0.08)))]
+    docs = [(i, [rare() for _ in range(rng.randint(0, 40))]) for i in range(300)]
+    docs += [(i, docs[7][1]) for i in range(400, 430)] + [(None, docs[8][1]), (None, docs[7][1]), (500, None), docs[9]]
+    asked = [(q, t, rng.randint(1, 2)) for q in range(12) for t in {rare() for _ in range(rng.randint(1, 9))}] + [(50, "unheard of", 1)]
+    d, a = frame(spark, docs, "doc_id bigint, tokens array<string>").repartition(2), frame(spark, asked, "question_id bigint, term string, mult bigint")
+    got = blockmax.search(d, a, 4, **options).collect()
+    bags = [(i, Counter(t or []), len(t or [])) for i, t in docs]
+    n, mean = len(docs), sum(x for _, _, x in bags) / len(docs)
+    df = Counter(t for _, c, _ in bags for t in c)
+    want = []
+    for q in {q for q, _, _ in asked}:
+        score = {j: sum(m * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * 2.5 * c[t] / (c[t] + 1.5 * (0.25 + 0.75 * x / mean)) for p, t, m in asked if p == q and t in c) for j, (_, c, x) in enumerate(bags)}
+        best = sorted((-round(s, 8), bags[j][0] is None, bags[j][0] or 0) for j, s in score.items() if s)[:4]
+        want += [(q, r, None if none else i, round(-s, 6)) for r, (s, none, i) in enumerate(best, 1)]
+    assert sorted(((r.question_id, r.rank, r.doc_id, round(r.score, 6)) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_most_pairs_are_not_scored(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    pick = lambda: words[min(399, int(rng.expovariate(0.01)))]
+    docs = [(i, [pick() for _ in range(80)]) for i in range(3000)]
+    asked = [(q, t, 1) for q in range(10) for t in {pick() for _ in range(30)}]
+    got = blockmax.found(frame(spark, docs, "doc_id bigint, tokens array<string>").coalesce(1), frame(spark, asked, "question_id bigint, term string, mult bigint"), 5, block=512)
+    assert got.first().scored < 0.1 * 3000 * 10
+    assert blockmax.search(frame(spark, [], "doc_id bigint, tokens array<string>"), frame(spark, [], "question_id bigint, term string, mult bigint"), 5).count() == 0
+
+
 def test_evidence_answers_and_pool(spark):
     docs = frame(spark, [(1, "t", "a  body. More", "https://a/1"), (2, "u", "b", "https://a/2")], "doc_id bigint, title string, body string, source_url string")
     hits = frame(spark, [(7, 1, 2, 2.0), (7, 2, 1, 1.0)], "question_id bigint, rank bigint, doc_id bigint, score double")
