@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions import text as T
-from sparkassay.operators import contracts, corpus, retrieval
+from sparkassay.operators import contracts, corpus, dense, retrieval
 from sparkassay.plans import base as b
 from sparkassay.plans.base import query, table
 from sparkassay.sources import providers
@@ -82,8 +82,8 @@ def whitespace_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.sha256(T.joined_key("text")).alias("joined_digest"), T.collapsed_digest("text").alias("collapsed_digest"))
 
 
-#: Whole questions that stand in one row, key words of questions up to which they do, and vectors of questions.
-HEADS, KEYS, VECTORS = 256, 10_000, 256
+#: Whole questions that stand in one row, and key words of questions up to which they do.
+HEADS, KEYS = 256, 10_000
 _ITEM_KIND = b.KIND.replace("turn", "item_id")
 
 
@@ -206,14 +206,26 @@ def answer_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.answer(retrieval.gathered(retrieval.evidence(hits(spark, sf_dir), b.corpus(spark, sf_dir))))
 
 
+_DENSE_HITS = """
+pairs as (
+    select b.item_id as question_id, c.vec_id, round(list_inner_product([x::double for x in q.embedding], [x::double for x in c.embedding]), 6) as score
+    from benchmark b join embeddings q on q.vec_id = b.item_id join embeddings c on c.vec_id <> q.vec_id
+), dense as (select question_id, rank, vec_id, score from (select *, row_number() over (partition by question_id order by score desc, vec_id) as rank from pairs) where rank <= 5)"""
+
+
+@query(f"with {_DENSE_HITS} select * from dense")
+def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors nearest to that of each question, by inner product."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    asked = table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("question_id"), F.col("vec_id").alias("own"), F.col("v").alias("q"))
+    return dense.search(e, asked, 5)
+
+
 _DENSE = "select question_id, concat('doc:', vec_id) as content_id, 'dense' as arm, rank from dense"
 
 
 @query(f"""
-with {b.SQL_HITS}, e as (select vec_id, embedding from embeddings), pairs as (
-    select b.item_id as question_id, c.vec_id, round(list_inner_product([x::double for x in q.embedding], [x::double for x in c.embedding]), 6) as score
-    from benchmark b join e q on q.vec_id = b.item_id join e c on c.vec_id <> q.vec_id
-), dense as (select question_id, vec_id, rank from (select *, row_number() over (partition by question_id order by score desc, vec_id) as rank from pairs) where rank <= 5),
+with {b.SQL_HITS}, {_DENSE_HITS},
 arms as ({_DENSE} union all select question_id, concat('doc:', doc_id), 'lexical', rank from hits),
 once as (select * from (select *, row_number() over (partition by question_id, content_id order by rank, arm) as i from arms) where i = 1),
 kept as (select * from (select * exclude (i), row_number() over (partition by question_id order by rank, arm, content_id) as i from once) where i <= 8)
@@ -221,16 +233,6 @@ select question_id, row_number() over (partition by question_id order by sha256(
 """)
 def evidence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Specified only: lexical and dense candidates as blind cards."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    asked = table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("question_id"), F.col("v").alias("q"))
-    # the stated questions against all vectors, question by question within a block of them
-    score = lambda q, v: F.round(F.aggregate(F.zip_with(q, v, lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x), 6)
-    n = max(8, -(-asked.count() // VECTORS))
-    blocks = asked.groupBy(F.pmod("question_id", F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("question_id", "q")).alias("asked"))
-    each = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
-    scored = F.filter("asked", lambda a: a["question_id"] != F.col("vec_id"))
-    pairs = each.select("vec_id", "v", F.explode(scored).alias("a")).select("a.question_id", "vec_id", score(F.col("a.q"), F.col("v")).alias("score"))
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "vec_id")
-    dense = pairs.withColumn("rank", F.row_number().over(best).cast("bigint")).filter("rank <= 5").select("question_id", F.concat(F.lit("doc:"), F.col("vec_id").cast("string")).alias("content_id"), F.lit("dense").alias("arm"), "rank")
+    dense_ = dense_hits(spark, sf_dir).select("question_id", F.concat(F.lit("doc:"), F.col("vec_id").cast("string")).alias("content_id"), F.lit("dense").alias("arm"), "rank")
     lexical = hits(spark, sf_dir).select("question_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("content_id"), F.lit("lexical").alias("arm"), "rank")
-    return retrieval.pool(dense.unionByName(lexical))
+    return retrieval.pool(dense_.unionByName(lexical))

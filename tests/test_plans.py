@@ -27,10 +27,5 @@ def test_sources_of_any_question(spark, tmp_path, monkeypatch, size, keys):
     assert plain(entry.queries()["source_hit_at_k"](spark, str(tmp_path)).toPandas()) == want
 
 
-def test_blocks_follow_the_questions(spark, duck, monkeypatch):  # noqa: F811
-    monkeypatch.setattr(corpus, "VECTORS", 2)
-    assert plain(entry.queries()["evidence_pool"](spark, TABLES).toPandas()) == plain(duck.execute(entry.oracle_sql()["evidence_pool"]).df())
-
-
 def test_peaks_gather_nothing(spark):
     assert "collect_list" not in entry.queries()["peaks"](spark, TABLES)._jdf.queryExecution().toString()
