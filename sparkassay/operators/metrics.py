@@ -127,3 +127,28 @@ def transform_verdict(reviews: DataFrame, by: str, value: str, unsure: int = 2)
     """(by, reviewed, n, u, rejected) of a reviewed sample: one N, or more than `unsure` U, rejects the whole transform."""
     counted = reviews.groupBy(by).agg(F.count("*").alias("reviewed"), F.count_if(F.col(value) == "N").alias("n"), F.count_if(F.col(value) == "U").alias("u"))
     return counted.withColumn("rejected", (F.col("n") > 0) | (F.col("u") > unsure))
+
+
+def pooled(cards: DataFrame) -> DataFrame:
+    """(measure, arm, kind, targets, yes, no, unsure, unjudged, lower, upper, estimate) from pools that are judged in part.
+
+    cards (measure, arm, kind, target, stratum, value): a target holds if one of its cards is Y, and does not if all are N.  A
+    target with a card nobody judged is unjudged, else one with a U unsure; they bound the rate.  The estimate gives their open cards
+    the share of Y among the judged of their stratum.
+    """
+    rate = cards.groupBy("measure", "stratum").agg(F.coalesce(F.sum((F.col("value") == "Y").cast("double")) / F.sum(F.col("value").isin("Y", "N").cast("double")), F.lit(0.0)).alias("p"))
+    each = cards.join(rate, ["measure", "stratum"])
+    open_ = F.col("value").isNull() | (F.col("value") == "U")
+    targets = each.groupBy("measure", "arm", "kind", "target").agg(
+        F.max((F.col("value") == "Y").cast("int")).alias("yes"),
+        F.max(F.col("value").isNull().cast("int")).alias("unjudged"),
+        F.max((F.col("value") == "U").cast("int")).alias("unsure"),
+        F.exp(F.sum(F.when(open_, F.ln(F.greatest(1 - F.col("p"), F.lit(1e-12)))).otherwise(0.0))).alias("none"),
+    )
+    yes, unjudged, unsure = (F.coalesce(F.col(c), F.lit(0)) == 1 for c in ("yes", "unjudged", "unsure"))
+    state = F.when(yes, "yes").when(unjudged, "unjudged").when(unsure, "unsure").otherwise("no")
+    chance = F.when(yes, 1.0).when(unjudged | unsure, 1 - F.col("none")).otherwise(0.0)
+    judged = targets.select("measure", "arm", "kind", state.alias("state"), chance.alias("chance"))
+    counts = [F.count_if(F.col("state") == c).alias(c) for c in ("yes", "no", "unsure", "unjudged")]
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return judged.groupBy("measure", "arm", "kind").agg(F.count("*").alias("targets"), *counts, share(F.col("state") == "yes").alias("lower"), share(F.col("state") != "no").alias("upper"), share(F.col("chance")).alias("estimate"))

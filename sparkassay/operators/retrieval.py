@@ -86,3 +86,38 @@ def pool(arms: DataFrame, cards: int = 8) -> DataFrame:
     kept = once.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= cards)
     blind = Window.partitionBy("question_id").orderBy(F.sha2(F.concat_ws("|", "question_id", "content_id"), 256))
     return kept.withColumn("card", F.row_number().over(blind).cast("bigint")).select("question_id", "card", "content_id", "arm", F.col("rank").alias("rank_before_dedup"))
+
+
+def shingles(tokens: Column, size: int) -> Column:
+    """Distinct runs of tokens; fewer tokens are one run."""
+    n = F.size(tokens)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))
+    return F.array_distinct(F.when(n > 0, runs).otherwise(F.slice(runs, 1, 0)))
+
+
+def held_evidence(pairs: DataFrame, evidence: DataFrame, docs: DataFrame, share: float = 0.5, size: int = 5) -> DataFrame:
+    """(question_id, doc_id, shared, n): the pairs whose document has at least so much of the question's evidence.
+
+    evidence (question_id, tokens), docs (doc_id, tokens).  With n runs of tokens, share * n must be found: so one of any
+    n - share * n + 1 runs is, and of these the rarest are looked for first.  Only the pairs that have one are counted in full.
+    """
+    wanted = written(evidence.select("question_id", F.explode(shingles(F.col("tokens"), size)).alias("run")))
+    known = wanted.select("run").distinct()
+    some = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(shingles(F.col("tokens"), size)).alias("run"))
+    runs = written(some.join(known, "run", "left_semi"))
+    rarity = runs.groupBy("run").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("question_id")
+    ranked = wanted.join(rarity, "run", "left").withColumns({"n": F.count("*").over(own), "i": F.row_number().over(own.orderBy(F.coalesce("df", F.lit(0)), "run"))})
+    ranked = written(ranked.withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("n") * share).cast("int"))))
+    first = ranked.filter("i <= n - least + 1").join(runs, "run").select("question_id", "doc_id").distinct().join(pairs.select("question_id", "doc_id"), ["question_id", "doc_id"], "left_semi")
+    counted = first.join(ranked, "question_id").join(runs, ["doc_id", "run"]).groupBy("question_id", "doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("least").alias("least"))
+    return counted.filter("shared >= least").select("question_id", "doc_id", "shared", "n")
+
+
+def hard_negatives(hits: DataFrame, evidence: DataFrame, docs: DataFrame, k: int = 5, share: float = 0.5, size: int = 5) -> DataFrame:
+    """(question_id, rank, doc_id, rank_before, inspection_receipt): the best hits (question_id, rank, doc_id) that do not hold the evidence."""
+    hits = written(hits.select("question_id", "rank", "doc_id"))
+    left = hits.join(held_evidence(hits, evidence, docs, share, size), ["question_id", "doc_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("rank")).cast("bigint")
+    receipt = T.sha256(F.concat_ws("|", F.lit("evidence_absent"), F.col("question_id").cast("string"), F.col("doc_id").cast("string"), F.col("rank").cast("string")))
+    return left.select("question_id", place.alias("place"), "doc_id", F.col("rank").alias("rank_before"), receipt.alias("inspection_receipt")).filter(F.col("place") <= k).withColumnRenamed("place", "rank")
