@@ -29,8 +29,9 @@ def test_negatives_do_not_hold_the_evidence(spark):
     docs = []
     for i in range(60):
         t = [rng.choice(words) for _ in range(rng.randint(0, 40))]
-        q = rng.choice(evidence)[1]
-        docs.append((i, t + q[: rng.choice([0, len(q) // 3, len(q) // 2, len(q)])]))
+        for _, q in rng.sample(evidence, 4):
+            t = t + q[: rng.choice([0, len(q) // 3, len(q) // 2, len(q)])]
+        docs.append((i, t))
     hits = [(q, r, d) for q, _ in evidence for r, d in enumerate(rng.sample(range(60), 12), 1)]
     runs = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
     text = dict(docs)
