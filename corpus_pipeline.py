@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkassay.llm import decontam, langid, linededup, nearcopies, packing
-from sparkassay.llm.frames import carried
+from sparkassay.llm.frames import carried, pick
 from sparkassay.llm.registry import tokenizer_path
 from sparkassay.llm.store import shared_dir
 
@@ -25,7 +25,7 @@ from sparkassay.llm.store import shared_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language (operator 4)."""
     held = carried(docs)
-    found = langid.identify(held.df, docs.filter(~langid.held_out(F.col("doc_id"), 4)))
+    found = langid.identify(held.df, pick(docs, doc_id="bigint", text="string", lang="string").filter(~langid.held_out(F.col("doc_id"), 4)))
     return found.filter(F.col("lang_pred") != "und").select(*held.df.columns).toDF(*held.names)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from sparkassay.llm.frames import carried, with_columns
+from sparkassay.llm.frames import carried, pick, with_columns
 from sparkassay.llm.memory import tidy
 from sparkassay.llm.store import written
 from sparkassay.llm.words import ALNUM, U64, mix, rows, scan
@@ -42,8 +42,8 @@ SHINGLE = 4
 RATIO = 20
 #: Bits of a sketch: 64 a key, within these powers of two (32 MB at most).
 SKETCH = (16, 28)
-#: Rows of a table, each of bounded size, up to which it is sent to every executor.
-SMALL = 200_000
+#: Rows of a table up to which it is sent to every executor, and bytes of their words on average.
+SMALL, BYTES = 200_000, 200
 #: Tasks that share the windows of one shingle where the prefix table is too large to be sent.
 SALTS = 8
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -64,7 +64,7 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(words, size, k, shingles, items): distinct windows with the hashes of their k-word shingles."""
+    """(item_id, words, size, k, shingles): the windows of each item with the hashes of their k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +84,8 @@ def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
                     kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["item_id", "words", "size", "k", "shingles"])
 
-    plain = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    made = plain.mapInArrow(run, "item_id bigint, words string, size int, k int, shingles array<bigint>")
-    return made.groupBy("words").agg(F.any_value("size").alias("size"), F.any_value("k").alias("k"), F.any_value("shingles").alias("shingles"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    plain = pick(items, item_id="bigint", text="string")
+    return plain.mapInArrow(run, "item_id bigint, words string, size int, k int, shingles array<bigint>")
 
 
 # -- sketches ------------------------------------------------------------------------------
@@ -191,31 +190,40 @@ def _digest(text: pa.Scalar) -> bytes:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its text's digest; empty ones, which have no hits, get shorter numbers, so that no key gathers them."""
+    from pyspark import TaskContext
+
+    own = TaskContext.get().partitionId() << 40
     for batch in batches:
-        yield with_columns(batch, ["digest"], [pa.array([_digest(x) for x in batch.column("text")], pa.binary())])
+        digests = [_digest(x) if x.is_valid and x.as_py() else (own := own + 1).to_bytes(8) for x in batch.column("text")]
+        yield with_columns(batch, ["digest"], [pa.array(digests, pa.binary())])
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int, shingle: int, small: int) -> DataFrame:
     """(digest, spans, items): of each text with an occurring window, the spans and the ids of their items."""
     spark = docs.sparkSession
     text = docs.select("text")
-    wins = written(windows(items, window, shingle), "windows")
+    owned = written(windows(items, window, shingle), "owned")
+    # a window may be that of very many items: their ids are a table of their own, joined to what was found
+    wins = written(owned.groupBy("words").agg(*(F.any_value(c).alias(c) for c in ("size", "k", "shingles"))), "windows")
+    owners = owned.select("words", "item_id").distinct()
     shingles = written(wins.select("k", F.explode("shingles").alias("shingle")).distinct(), "shingles")
     counts = text.mapInArrow(tidy(_count(spark.sparkContext.broadcast(_sketch(shingles)))), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     each = wins.select("words", F.posexplode("shingles").alias("place", "shingle")).join(counts, "shingle", "left")
     prefix = each.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p"))
     # a window whose rarest shingle stands nowhere does not occur
-    prefix = written(wins.join(prefix.filter("p.n > 0"), "words").select("k", "p.shingle", "p.place", "size", "words", "items"), "prefix")
+    prefix = written(wins.join(prefix.filter("p.n > 0"), "words").select("k", "p.shingle", "p.place", "size", "words"), "prefix")
     found = text.mapInArrow(tidy(_candidates(spark.sparkContext.broadcast(_sketch(prefix)), window)), "digest binary, shingle bigint, first bigint, before int, around string")
-    if prefix.count() <= small:
+    n, size = prefix.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
+    if n <= small and size <= BYTES * small:
         joined = found.join(F.broadcast(prefix), "shingle")
     else:
         salted = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = found.withColumn("salt", F.pmod(F.xxhash64("digest", "first", "before"), F.lit(SALTS)).cast("int")).join(salted, ["shingle", "salt"])
     place = F.col("before") - F.col("place")
     same = F.array_join(F.slice(F.split("around", " "), F.greatest(place, F.lit(0)) + 1, F.col("size")), " ") == F.col("words")
-    spans = joined.filter((place >= 0) & same).select("digest", F.struct((F.col("first") + place).alias("start"), "size").alias("span"), "items").distinct()
-    return spans.groupBy("digest").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    spans = joined.filter((place >= 0) & same).select("digest", F.struct((F.col("first") + place).alias("start"), "size").alias("span"), "words").distinct()
+    return spans.join(owners, "words").groupBy("digest").agg(F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("items"))
 
 
 def _judge(ratio: int) -> Callable:
@@ -256,5 +264,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 def report(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = contamination(docs.select("doc_id", "text"), items, **options)
+    found = contamination(pick(docs, doc_id="bigint", text="string"), items, **options)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", "contaminated")

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.llm.frames import pick
 from sparkassay.llm.langid import held_out
 from sparkassay.llm.store import written
 from sparkassay.llm.words import NOT_SPACE, U64, mix, scan
@@ -409,5 +410,5 @@ def score(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    found = score(docs.select("doc_id", "text", held_out(F.col("doc_id"), 7).alias("held_out")))
+    found = score(pick(docs, doc_id="bigint", text="string").select("doc_id", "text", held_out(F.col("doc_id"), 7).alias("held_out")))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.frames import carried, with_columns
+from sparkassay.llm.frames import carried, pick, with_columns
 from sparkassay.llm.memory import tidy
 from sparkassay.llm.words import ALNUM, LOWER, rows, slices, utf8
 
@@ -197,8 +197,8 @@ def proportions(p: np.ndarray, size: np.ndarray, times: np.ndarray | None = None
 
 def train(docs: DataFrame) -> Model | None:
     """Count n-grams of every document that has a language and a text."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(tidy(_count), "lang string, bin int, n bigint")
+    known = pick(docs, text="string", lang="string").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = known.mapInArrow(tidy(_count), "lang string, bin int, n bigint")
     table = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = table.toArrow()
     names = sorted(table["lang"].unique().to_pylist())
@@ -242,5 +242,6 @@ def identify(docs: DataFrame, learn_from: DataFrame, penalty: float = PENALTY) -
 def report(docs: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the documents that are not held out."""
     out = held_out(F.col("doc_id"), 4)
-    found = identify(docs.select("doc_id", "text", out.alias("held_out")), docs.filter(~out), penalty)
+    own = pick(docs, doc_id="bigint", text="string", lang="string")
+    found = identify(own.select("doc_id", "text", out.alias("held_out")), own.filter(~out), penalty)
     return found.select("doc_id", "held_out", "lang_pred", "score")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.frames import carried, with_columns
+from sparkassay.llm.frames import carried, pick, with_columns
 from sparkassay.llm.words import ALNUM, U64, Words, scan
 
 MIN_MATCH = 4
@@ -260,4 +260,4 @@ def scan_licences(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id and all but the spans."""
-    return scan_licences(docs.select("doc_id", "text")).select("doc_id", *_NAMES[:-1])
+    return scan_licences(pick(docs, doc_id="bigint", text="string")).select("doc_id", *_NAMES[:-1])

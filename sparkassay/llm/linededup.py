@@ -26,9 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.frames import carried, with_columns
+from sparkassay.llm.frames import carried, pick, with_columns
 from sparkassay.llm.memory import tidy
 from sparkassay.llm.store import written
+from sparkassay.llm.words import mix
 from sparkassay.llm.words import rows as few
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -107,14 +108,14 @@ class Shard:
     """One shard: the hash function and the arrays in its order."""
 
     def __init__(self, row: dict) -> None:
-        self.hash = PerfectHash.load(row["bits"], row["sizes"])
+        self.hash, self.seed = PerfectHash.load(row["bits"], row["sizes"]), row["seed"]
         self.fingerprint = np.frombuffer(row["fingerprints"], U64)
         self.count = np.frombuffer(row["counts"], "<u4")
         self.keeper = np.frombuffer(row["keepers"], np.int64)
 
     def drops(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, min_docs: int) -> np.ndarray:
         """Whether documents lose the line hashes (a, b)."""
-        at = self.hash.index(a ^ (b << U64(1)))
+        at = self.hash.index(_fold(a, b, self.seed))
         hit = np.flatnonzero(at >= 0)
         at = at[hit]
         gone = (self.fingerprint[at] == b[hit]) & (self.count[at] >= min_docs) & (self.keeper[at] != doc[hit])
@@ -123,20 +124,27 @@ class Shard:
         return out
 
 
-_SHARD = "shard int, bits binary, sizes array<int>, fingerprints binary, counts binary, keepers binary"
+def _fold(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Line hashes as one number each; another seed tells apart those that coincide."""
+    return (mix(a + U64(seed)) if seed else a) ^ (b << U64(1))
+
+
+_SHARD = "shard int, seed int, bits binary, sizes array<int>, fingerprints binary, counts binary, keepers binary"
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
     a, b, n, keeper = (table[c].to_numpy() for c in ("a", "b", "n", "keeper"))
     a, b = a.view(U64), b.view(U64)
-    keys = a ^ (b << U64(1))
-    assert len(np.unique(keys)) == len(keys), "two line hashes of a shard coincide"
+    seed, keys = 0, _fold(a, b, 0)
+    while len(np.unique(keys)) < len(keys):  # the hashes themselves are distinct
+        seed += 1
+        keys = _fold(a, b, seed)
     function = PerfectHash.of(keys)
     order = np.empty(len(keys), np.int64)
     order[function.index(keys)] = np.arange(len(keys))
     bits, sizes = function.dump()
-    row = {"shard": [key[0].as_py()], "bits": [bits], "sizes": [sizes], "fingerprints": [b[order].tobytes()], "counts": [np.minimum(n[order], (1 << 32) - 1).astype("<u4").tobytes()], "keepers": [keeper[order].tobytes()]}
-    return pa.table(row, pa.schema([("shard", pa.int32()), ("bits", pa.binary()), ("sizes", pa.list_(pa.int32())), ("fingerprints", pa.binary()), ("counts", pa.binary()), ("keepers", pa.binary())]))
+    row = {"shard": [key[0].as_py()], "seed": [seed], "bits": [bits], "sizes": [sizes], "fingerprints": [b[order].tobytes()], "counts": [np.minimum(n[order], (1 << 32) - 1).astype("<u4").tobytes()], "keepers": [keeper[order].tobytes()]}
+    return pa.table(row, pa.schema([("shard", pa.int32()), ("seed", pa.int32()), ("bits", pa.binary()), ("sizes", pa.list_(pa.int32())), ("fingerprints", pa.binary()), ("counts", pa.binary()), ("keepers", pa.binary())]))
 
 
 # -- documents -----------------------------------------------------------------------------
@@ -277,7 +285,7 @@ def _apply(min_chars: int) -> Callable:
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs (doc_id, text, ...) with n_lines, n_dropped and kept_text."""
     spark = docs.sparkSession
-    two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    two = pick(docs, doc_id="bigint", text="string")
     counts = written(line_counts(two, min_chars, min(RECURS, min_docs)), "lines")
     keys = counts.count()
     shards = max(1, -(-keys // SHARD_KEYS))
@@ -301,4 +309,4 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
 
 def report(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
-    return dedup(docs, **options).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return dedup(pick(docs, doc_id="bigint", text="string"), **options).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

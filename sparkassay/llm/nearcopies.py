@@ -1,15 +1,16 @@
 """Near copies by wide SimHash: operator 7 for texts that share a given part of their word shingles.
 
 Two texts with Jaccard similarity 0.8 differ in 15 % of the bits of any SimHash, far from where copies and other texts can
-be told apart within 64 bits.  So sets of distinct shingles get fingerprints of BITS bits, cut into parts of PART bits
-that must agree in one part at least.  With no bit to spare in a part, the covering code is that of all words: radius 0, each
-value its own anchor, one replica a part.  Of two texts at similarity 0.8, 0.85 or 0.9, some part agrees with probability
-0.9975, 0.9999 and 0.9999999; the first FILTER bits drop other pairs at an anchor, and an exact comparison of the two shingle
-sets decides every link.
+be told apart within 64 bits.  So sets of distinct shingles get wide fingerprints, cut into parts that must agree in one
+part at least.  With no bit to spare in a part, the covering code is that of all words: radius 0, each value its own
+anchor, one replica a part.  Parts have PART bits, and one more with every doubling of the table beyond ROWS texts an anchor, so that
+anchors do not fill up; their number follows, so that of two texts at similarity 0.8 no part agrees with probability MISS at most,
+at 0.85 and 0.9 with 0.0001 and 0.0000001.  The first FILTER bits drop other pairs at an anchor, all bits most of the
+rest, and an exact comparison of the two shingle sets decides every link.
 
 Only distinct shingle sets are compared.  An anchor gives a spanning forest of its candidates, never all pairs; in a large
 one, rows first gather about a few of them, and those that stand together are not compared with each other again.
-Classes that no failed candidate lies between are settled.  The members of the others meet once more, and
+Classes that no failed candidate lies between are settled.  The members of the others meet once more, with all their bits, and
 give all candidates between what are different classes so far, so that a candidate that is no link hides none that is.
 
 Cases: null, empty and blank texts have no shingles and are copies of each other; texts of fewer words than a shingle have one.
@@ -20,7 +21,9 @@ table gives no rows.  Other columns of any name stay.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +33,15 @@ from pyspark.sql import functions as F
 from sparkassay.llm.components import components
 from sparkassay.llm.decontam import run_hashes
 from sparkassay.llm.fingerprints import majority
-from sparkassay.llm.frames import carried
+from sparkassay.llm.frames import carried, pick
 from sparkassay.llm.memory import tidy
 from sparkassay.llm.store import written
 from sparkassay.llm.words import NOT_SPACE, U64, Words, mix, scan
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of a fingerprint and of a part of it.
-BITS, PART = 1280, 16
-#: Bits that filter pairs, and how many of them may differ: 3.5 standard deviations above what similarity 0.8 gives.
+#: Bits of a part of a fingerprint, texts an anchor from which parts grow, and how often a pair may have no part alike.
+PART, ROWS, MISS = 16, 64, 0.0025
+#: Bits that filter pairs at an anchor, and how many of them may differ: 3.5 standard deviations above what similarity 0.8 gives.
 FILTER, MOST = 128, 34
 #: Rows of an anchor that are compared in one group; more are dealt to tiles.
 TILE = 4096
@@ -51,6 +54,24 @@ SMALL = 1_000_000
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
+@dataclass(frozen=True)
+class Shape:
+    """A fingerprint: the width and number of its parts, its 64-bit words, and how many of all bits two near copies may differ in."""
+
+    width: int
+    parts: int
+    words: int
+    most: int
+
+    @classmethod
+    def of(cls, texts: int, similarity: float = SIMILARITY, rows: int = ROWS) -> Shape:
+        apart = math.acos(2 * similarity / (1 + similarity)) / math.pi  # the share of bits in which sets of one size differ
+        width = min(32, PART + max(0, math.ceil(math.log2(max(1, texts) / rows)) - PART))
+        parts = math.ceil(math.log(MISS) / math.log(1 - (1 - apart) ** width))
+        words = -(-parts * width // 64)
+        return cls(width, parts, words, int(64 * words * apart + 4 * math.sqrt(64 * words * apart * (1 - apart))))
+
+
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, how many of each document): the distinct shingles of each text, sorted."""
     h, per = w.hashes(), w.counts()
@@ -76,7 +97,7 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.bincount(docs[new], minlength=w.n)
 
 
-def _mark(size: int) -> Callable:
+def _mark(size: int, words: int) -> Callable:
     """The digest of each text's shingle set, and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +108,7 @@ def _mark(size: int) -> Callable:
                 upto = np.append(U64(0), np.cumsum(mix(h)))
                 ends = np.cumsum(n)
                 digest.append(mix(upto[ends] - upto[ends - n] + n.astype(U64) * _STEP))
-                made = np.stack([majority(mix(h + step), n) for step in _STEP * np.arange(1, BITS // 64 + 1, dtype=U64)], axis=1)
+                made = np.stack([majority(mix(h + step), n) for step in _STEP * np.arange(1, words + 1, dtype=U64)], axis=1)
                 prints += [row.tobytes() for row in np.ascontiguousarray(made)]
             set_ = np.concatenate([np.empty(0, U64), *digest]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("key2"), pa.array(set_), pa.array(prints, pa.binary())], names=["doc_id", "key", "key2", "set", "print"])
@@ -95,21 +116,33 @@ def _mark(size: int) -> Callable:
     return run
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each part of each fingerprint, at the part's value."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4000):
-            cut = batch.slice(at, 4000)
-            n = cut.num_rows
-            prints = np.frombuffer(b"".join(cut.column("print").to_pylist()), "<u8").reshape(n, -1)
-            parts = np.frombuffer(prints.tobytes(), "<u2").reshape(n, -1).astype(np.int32)
-            count = parts.shape[1]
-            anchor = (parts | np.arange(count, dtype=np.int32)[None, :] << PART).ravel()
-            again = lambda x: pa.array(np.repeat(x, count))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), again(cut.column("node").to_numpy()), again(cut.column("label").to_numpy()), again(prints[:, 0].view(np.int64)), again(prints[:, 1].view(np.int64))],
-                names=["anchor", "node", "label", "f0", "f1"],
-            )
+def part_values(prints: np.ndarray, shape: Shape) -> np.ndarray:
+    """The value of each part of each fingerprint (a row of 64-bit words)."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    held = np.zeros((len(prints), shape.parts, 32), np.uint8)
+    held[:, :, : shape.width] = bits[:, : shape.parts * shape.width].reshape(len(prints), shape.parts, shape.width)
+    return np.packbits(held.reshape(len(prints), -1), axis=1, bitorder="little").view("<u4").astype(np.int64)
+
+
+def _replicate(shape: Shape, whole: bool) -> Callable:
+    """A row for each part of each fingerprint, at the part's value; with all its bits, if whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                cut = batch.slice(at, 2000)
+                n = cut.num_rows
+                prints = np.frombuffer(b"".join(cut.column("print").to_pylist()), "<u8").reshape(n, -1)
+                anchor = (part_values(prints, shape) | np.arange(shape.parts, dtype=np.int64)[None, :] << 32).ravel()
+                again = np.repeat(np.arange(n), shape.parts)
+                numbers = (cut.column("node").to_numpy(), cut.column("label").to_numpy(), prints[:, 0].view(np.int64), prints[:, 1].view(np.int64))
+                arrays = [pa.array(anchor), *(pa.array(x[again]) for x in numbers)]
+                names = ["anchor", "node", "label", "f0", "f1"]
+                if whole:
+                    arrays, names = [*arrays, cut.column("print").take(pa.array(again))], [*names, "print"]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return run
 
 
 def spanning(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -144,12 +177,18 @@ def spanning(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return np.concatenate(taken) if taken else np.empty(0, np.int64)
 
 
-def _compare(most: int, forest: bool) -> Callable:
-    """Pairs of rows of an anchor whose filter bits are near; a partition comes sorted by anchor and tile."""
+def _compare(most: int, forest: bool, most_of_all: int | None = None) -> Callable:
+    """Pairs of rows of an anchor whose filter bits are near; a partition comes sorted by anchor and tile.
+
+    Rows that come with all their bits are near if these are, too.
+    """
+
+    def near_whole(x: np.ndarray, y: np.ndarray, c: list[np.ndarray]) -> np.ndarray:
+        return np.bitwise_count(c[5][x] ^ c[5][y]).sum(1, dtype=np.int64) <= most_of_all
 
     def small(at: np.ndarray, later: np.ndarray, c: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Near pairs of the rows `at` with so many rows after each."""
-        side, _, label, f0, f1 = c
+        side, _, label, f0, f1 = c[:5]
         x = np.repeat(at, later)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
         first = np.bitwise_count(f0[x] ^ f0[y])
@@ -157,11 +196,13 @@ def _compare(most: int, forest: bool) -> Callable:
         x, y = x[keep], y[keep]
         d = first[keep].astype(np.int64) + np.bitwise_count(f1[x] ^ f1[y])
         keep = d <= most
+        if most_of_all is not None:
+            keep[keep] = near_whole(x[keep], y[keep], c)
         return x[keep], y[keep], d[keep]
 
     def large(a: int, b: int, c: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
         """Near pairs of rows a..b-1, without those whose rows a pivot or their label puts together."""
-        side, node, label, f0, f1 = (x[a:b] for x in c)
+        side, node, label, f0, f1 = (x[a:b] for x in c[:5])
         group = np.unique(label, return_inverse=True)[1]
         if forest:  # any two rows of an anchor may be joined, whatever their sides
             left = np.arange(b - a)
@@ -186,6 +227,8 @@ def _compare(most: int, forest: bool) -> Callable:
             u = x[u, 0]
             d += np.bitwise_count(f1[u] ^ f1[v])
             keep = d <= most
+            if most_of_all is not None:
+                keep[keep] = near_whole(a + u[keep], a + v[keep], c)
             yield a + u[keep], a + v[keep], d[keep]
 
     def near(key: np.ndarray, c: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -236,6 +279,8 @@ def _compare(most: int, forest: bool) -> Callable:
             whole = len(table) if last else int(np.searchsorted(group, group[-1]))  # the last group may go on
             columns = [table[c].to_numpy()[:whole] for c in ("side", "node", "label", "f0", "f1")]
             columns[3:] = [x.view(U64) for x in columns[3:]]  # bits of signed numbers are those of their absolute values
+            if most_of_all is not None:
+                columns.append(np.frombuffer(b"".join(table["print"].slice(0, whole).to_pylist()), "<u8").reshape(whole, -1) if whole else np.empty((0, 1), U64))
             some: list[tuple] = []
             for part in near(group[:whole], columns) if whole else ():
                 some.append(part)
@@ -252,25 +297,28 @@ def _compare(most: int, forest: bool) -> Callable:
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 50_000:
+            if rows >= (50_000 if most_of_all is None else 20_000):
                 yield from flush(False)
         yield from flush(True)
 
     return run
 
 
-def candidates(nodes: DataFrame, forest: bool, tile: int | None = None) -> DataFrame:
-    """Distinct pairs (u, v) of nodes (node, label, print) of different labels that an anchor holds near each other."""
+def candidates(nodes: DataFrame, shape: Shape, forest: bool, tile: int | None = None) -> DataFrame:
+    """Distinct pairs (u, v) of nodes (node, label, print) of different labels that an anchor holds near each other.
+
+    Without a forest rows bring all their bits, so that few pairs come that are no links.
+    """
     tile = tile or TILE
-    spread = nodes.select("node", "label", "print").mapInArrow(tidy(_replicate), "anchor int, node bigint, label bigint, f0 bigint, f1 bigint")
+    held = "anchor bigint, node bigint, label bigint, f0 bigint, f1 bigint" + ("" if forest else ", print binary")
+    spread = nodes.select("node", "label", "print").mapInArrow(tidy(_replicate(shape, not forest)), held)
     large = written(spread.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "large")
-    # there are BITS / PART * 2^PART anchors, whatever the number of texts
-    tiled = spread.join(F.broadcast(large), "anchor", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tiled = spread.join(_send(large), "anchor", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     # part i meets part j in tile (i, j), i <= j; side 2: the tile's rows are all of one part and meet each other
     spot = lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side"))
-    rows = tiled.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), spot))).select("anchor", "t.i", "t.j", "t.side", "node", "label", "f0", "f1")
-    found = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node").mapInArrow(tidy(_compare(MOST, forest)), "u bigint, v bigint")
+    rows = tiled.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), spot))).select("anchor", "t.i", "t.j", "t.side", "node", "label", "f0", "f1", *(() if forest else ("print",)))
+    found = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node").mapInArrow(tidy(_compare(MOST, forest, None if forest else shape.most)), "u bigint, v bigint")
     return found.distinct()
 
 
@@ -286,6 +334,11 @@ def _sets(size: int) -> Callable:
     return run
 
 
+def _word(print_: str, i: Column) -> Column:
+    """The i-th eight bytes of a fingerprint as a number."""
+    return F.conv(F.hex(F.substring(print_, i * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
+
+
 def _keys() -> dict[str, Column]:
     """Two digests that tell rows apart by id and text."""
     return {"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64("text", "doc_id", F.lit(SHINGLE))}
@@ -306,17 +359,22 @@ def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, simi
     shingles = written(texts.join(_send(named), ["key", "key2"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(tidy(_sets(size)), "node bigint, shingles array<bigint>"), "sets")
     one, two = (shingles.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
     n = F.size(F.array_intersect("of_u", "of_v"))
-    both = pairs.join(one, "u").join(two, "v").select("u", "v", n.alias("n"), (F.size("of_u") + F.size("of_v")).alias("sum"))
+    # v first: a smallest neighbour u may have very many pairs, which are then rows wide enough for Spark to split its partition
+    both = pairs.join(two, "v").join(one, "u").select("u", "v", n.alias("n"), (F.size("of_u") + F.size("of_v")).alias("sum"))
     return both.select("u", "v", (F.col("n") >= similarity * (F.col("sum") - F.col("n")) - 1e-9).alias("ok"))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, key2, class) of every row of docs (doc_id, text): rows of a class are near copies, directly or in steps."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(_keys())
-    marked = written(texts.mapInArrow(tidy(_mark(size)), "doc_id bigint, key bigint, key2 bigint, set bigint, print binary"), "marked")
+    texts = pick(docs, doc_id="bigint", text="string").withColumns(_keys())
+    shape = Shape.of(docs.count(), similarity)
+    marked = written(texts.mapInArrow(tidy(_mark(size, shape.words)), "doc_id bigint, key bigint, key2 bigint, set bigint, print binary"), "marked")
     one = F.min(F.struct("key", "key2", "print")).alias("x")
     nodes = written(marked.groupBy(F.col("set").alias("node")).agg(one).select("node", F.col("node").alias("label"), "x.*"), "nodes")
-    pairs = written(candidates(nodes, True), "pairs")
+    # all bits drop most pairs that no exact comparison would keep
+    bits = [nodes.select(F.col("node").alias(end), F.col("print").alias(f"bits_{end}")) for end in "uv"]
+    near = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(shape.words - 1)), lambda i: F.bit_count(_word("bits_u", i).bitwiseXOR(_word("bits_v", i)))), F.lit(0), lambda a, x: a + x) <= shape.most
+    pairs = written(written(candidates(nodes, shape, True), "near").join(bits[1], "v").join(bits[0], "u").filter(near).select("u", "v"), "pairs")
     # of each node the pair with its smallest neighbour comes first: these join most of a group, whose other pairs need no check then
     ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))).alias("e")).select("e.*")
     least = ends.groupBy("node").agg(F.min("other").alias("other"))
@@ -338,7 +396,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         between = label(label(failed, "u"), "v").filter("of_u <> of_v")
         odd = between.select(F.explode(F.array("of_u", "of_v")).alias("label")).distinct()
         again = written(nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).join(odd, "label", "left_semi").select("node", "label", "key", "key2", "print"), "again")
-        more = written(candidates(again, False).join(failed, ["u", "v"], "left_anti"), "pairs")
+        more = written(candidates(again, shape, False).join(failed, ["u", "v"], "left_anti"), "pairs")
         new = label(label(linked(more, texts, nodes, size, similarity).filter("ok").select("u", "v"), "u"), "v")
         joined = components(new.select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
         # classes of classes: every class that is joined, and every node of it

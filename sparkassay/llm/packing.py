@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.llm.frames import pick
 from sparkassay.llm.memory import tidy
 from sparkassay.llm.store import written
 from sparkassay.llm.tokens import WordPieces
@@ -165,7 +166,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, nearly_full: int
     path is the tokenizer file.  Rounds end when the underfull bins fit one group of GROUP bins, or
     when a round merges less than a fiftieth of them: with larger leftovers no further merging pays.
     """
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = pick(docs, doc_id="bigint", text="string")
     tables = [written(plain.mapInArrow(tidy(_pack_partition(path, capacity, nearly_full), tokenizes=True), BIN), "bins0")]
     sequences = []
     groups = None

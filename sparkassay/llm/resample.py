@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.llm.frames import pick
 from sparkassay.llm.langid import held_out
 from sparkassay.llm.store import written
 from sparkassay.llm.words import NOT_SPACE, U64, Words, mix, scan
@@ -61,7 +62,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.nd
     """log(target / raw) of each bin."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("__good")).distinct()
     good = good.orderBy(F.xxhash64("__good"), "__good").limit(most)
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = pick(docs, doc_id="bigint", text="string")
     marked = plain.join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left").select("text", F.col("__good").isNotNull().alias("target"))
     found = marked.mapInArrow(_count, "model int, bin int, n bigint").groupBy("model", "bin").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, 1 << BITS))
@@ -109,7 +110,7 @@ def sample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int =
     """
     spark = docs.sparkSession
     ratio = spark.sparkContext.broadcast(train(docs, labels))
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = pick(docs, doc_id="bigint", text="string")
     uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
     noisy = plain.withColumn("noise", -F.ln(-F.ln(uniform)))
     weighed = noisy.mapInArrow(_weigh(ratio), "doc_id bigint, noise double, log_ratio double")

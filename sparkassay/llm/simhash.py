@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.llm.components import components
 from sparkassay.llm.fingerprints import simhash
+from sparkassay.llm.frames import pick
 from sparkassay.llm.store import written
 from sparkassay.llm.words import U64
 
@@ -117,7 +118,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(simhash(batch.column("text")).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _replicate(blocks: int, threshold: int) -> Callable:

@@ -65,3 +65,14 @@ def test_empty_tables(spark):
     assert [tuple(r)[1:4] for r in decontam.report(documents(spark, [(1, "a b")]), none).collect()] == [(2, 0, 0)]
     some = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     assert decontam.report(documents(spark, []), some).count() == 0
+
+
+def test_a_window_of_very_many_items(spark):
+    """Boilerplate that all items share: rows that are sent stay small, all ids come back."""
+    words = "terms of use apply to all that is said in this small note here"
+    items = spark.createDataFrame([(i, words + f" item{i}") for i in range(3000)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x " + words + " y"), (2, "nothing"), (3, None), (4, "")], "doc_id bigint, text string")
+    for small in (200_000, 0):
+        got = {r.doc_id: r for r in decontam.report(docs, items, small=small).collect()}
+        assert got[1].n_items == 3000 and got[1].contaminated and got[1].n_hit == 14
+        assert [got[d].n_hit for d in (2, 3, 4)] == [0, 0, 0]

@@ -65,3 +65,15 @@ def test_perfect_hash_is_minimal_and_perfect():
     made = linededup.PerfectHash.of(keys)
     again = linededup.PerfectHash.load(*made.dump())
     assert sorted(again.index(keys).tolist()) == list(range(len(keys)))
+
+
+def test_hashes_that_coincide_are_told_apart():
+    """(a, b) pairs whose folded numbers are one: another seed, the same result."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = np.array([1, 3, 5, 9], np.uint64), np.array([0, 1, 2, 7], np.uint64)
+    assert len(np.unique(linededup._fold(a, b, 0))) < 4
+    table = pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "n": [9, 9, 9, 2], "keeper": [100, 101, 102, 103]})
+    shard = linededup.Shard(linededup._build((pa.scalar(0),), table).to_pylist()[0])
+    assert shard.seed > 0 and shard.drops(a, b, np.array([1, 101, 1, 1]), 5).tolist() == [True, False, True, False]

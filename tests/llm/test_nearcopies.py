@@ -137,6 +137,39 @@ def test_anchors_of_any_size(monkeypatch, large, pairs):
     assert tree <= plain and joined(tree) == joined(plain)
 
 
+@pytest.mark.parametrize("texts", [1000, 10**6, 10**8, 10**10])
+def test_parts_grow_with_the_table(texts):
+    """Rows an anchor stay few, and near copies still share one: of fingerprints that differ in each bit with probability 0.1515."""
+    shape = nearcopies.Shape.of(texts)
+    assert texts / 2**shape.width <= nearcopies.ROWS and shape.parts * shape.width <= 64 * shape.words
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, (2000, shape.words)).astype(np.uint64)
+    flips = np.packbits((rng.random((2000, 64 * shape.words)) < 0.1515).astype(np.uint8), axis=1).view(np.uint64)
+    same = (nearcopies.part_values(a, shape) == nearcopies.part_values(a ^ flips, shape)).any(1)
+    assert same.mean() >= 0.993  # 0.9975 but for chance
+    assert (np.bitwise_count(flips).sum(1) <= shape.most).mean() > 0.999
+
+
+def test_rows_of_an_anchor_stay_flat(spark, monkeypatch):
+    """Ten times more texts, parts that grow: an anchor of the largest holds no more."""
+    monkeypatch.setattr(nearcopies, "PART", 6)
+    rng = np.random.default_rng(2)
+    most = []
+    for n in (2000, 20_000):
+        shape = nearcopies.Shape.of(n, rows=32)
+        values = nearcopies.part_values(rng.integers(0, 1 << 63, (n, shape.words)).astype(np.uint64), shape)
+        most.append(max(np.unique(values[:, i], return_counts=True)[1].max() for i in range(10)))
+    assert most[1] <= 1.5 * most[0] and nearcopies.Shape.of(20_000, rows=32).width > nearcopies.Shape.of(2000, rows=32).width
+
+
+def test_wider_parts_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies.Shape.of.__func__, "__defaults__", (0.8, 1 / 4096))  # 19 bits for these few
+    rng = random.Random(12)
+    rows = edited(rng, 120, 150, [1, 2, 3, 6])
+    got = [(r.doc_id, r.text) for r in nearcopies.keep_one(documents(spark, rows).repartition(3)).collect()]
+    assert sorted(got) == sorted(kept(rows)) and len(got) < 110
+
+
 def joined(pairs):
     group = {}
     for u, v in pairs:

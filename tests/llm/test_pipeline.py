@@ -103,3 +103,25 @@ def test_empty_tables(spark, tmp_path):
     odd(spark, []).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    """Exact names come first; others, whatever their case, are columns like any other."""
+    from sparkassay.llm import decontam, langid, licences, linededup, packing
+
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["the", "and", "tion", "whe", "ould", "ing"]) + str(rng.randint(0, 99)) for _ in range(20))
+    rows = [("no", i, text(), "xx", "en", None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "TEXT string, doc_id bigint, text string, Doc_Id string, lang string, LANG string")
+    items = spark.createDataFrame([(1, "other", rows[3][2])], "item_id bigint, TEXT string, text string")
+    assert {r[0] for r in linededup.report(docs).collect()} == set(range(30))
+    assert {r.lang_pred for r in langid.report(docs).collect()} == {"en"}
+    assert licences.report(docs).count() == packing.pack(docs, tokenizer_path()).count() == 30
+    assert {r.doc_id for r in decontam.report(docs, items).collect() if r.contaminated} == {3}
+    assert linededup.dedup(docs).columns[:6] == docs.columns
+    held = docs
+    spark.createDataFrame([(1, rows[3][2])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, str(tmp_path))
+        assert held.columns == docs.columns
+    assert held.toDF("a", "b", "c", "d", "e", "f").select("b").distinct().count() == 29
