@@ -318,15 +318,28 @@ def glossary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.glossary_overlap(mine, known)
 
 
+_REPLACED = " union all ".join(f"select v.item_id, v.transform_id, lower(p) as term from (select item_id, transform_id, unnest(regexp_extract_all(s, '[A-Za-z0-9]+')) as p from (select f.*, q.s from {_FRESH} f join {_SOURCE} q using (item_id) where transform_id = '{t}')) v where lower(p) in ({', '.join(map(repr, m))})" for t, m in (("mixed.en_to_ko", LATIN.en_to_ko), ("abbreviation.apply", LATIN.to_abbreviation)))
+
+
 @query(f"""
-with v as (select * from {_FRESH} where i > 2), k as ({_GLOSSARY})
-select count(*) as replaced, count(*) filter (transform_id = 'mixed.en_to_ko' and exists (select 1 from k where term in ('the', 'of', 'and', 'in'))) as in_glossary from v
+with r as ({_REPLACED}), k as ({_GLOSSARY})
+select transform_id, term, count(distinct item_id) as variants, count(*) as places, term in (select term from k) as in_glossary from r group by transform_id, term
 """)
 def effective_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term variants, and those whose replaced terms the glossary knows (specified only)."""
-    known = table(spark, sf_dir, "documents").filter("lang = 'de'").select(F.explode(T.tokens("text")).alias("term")).filter(F.col("term").isin(*LATIN.en_to_ko)).agg((F.count("*") > 0).alias("known"))
-    v = b.questions(spark, sf_dir).select(F.explode(rewrite.variants(F.col("query"), LATIN)).alias("v")).filter("v.kind <> 'spacing'")
-    return v.crossJoin(F.broadcast(known)).agg(F.count("*").alias("replaced"), F.count_if((F.col("v.transform_id") == "mixed.en_to_ko") & F.col("known")).alias("in_glossary"))  # one row
+    """How often each term was really replaced, by transform, and whether the retriever's glossary knows it (specified only)."""
+    known = table(spark, sf_dir, "documents").filter("lang = 'de'").select(F.explode(T.tokens("text")).alias("term"))
+    return rewrite.effective_overlap(b.questions(spark, sf_dir), LATIN, known)
+
+
+@query(f"""
+with r as ({_REPLACED}), k as ({_GLOSSARY})
+select transform_id, count(*) as places, count(*) filter (term in (select term from k)) as known_places, round(count(*) filter (term in (select term from k)) / count(*)::double, 8) as overlap from r group by transform_id
+""")
+def firing_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The glossary's share of the replaced places of each transform: a known term weighs as often as it fires."""
+    each = effective_overlap(spark, sf_dir)
+    known = F.sum(F.when(F.col("in_glossary"), F.col("places")).otherwise(0))
+    return each.groupBy("transform_id").agg(F.sum("places").alias("places"), known.alias("known_places"), F.round(known / F.sum("places"), 8).alias("overlap"))
 
 
 #: A benchmark item as a term-map entry: its first word, all others as aliases; many entries break a rule or two.
@@ -556,39 +569,62 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.from_json("raw", "event_id bigint, event_type string, user_id bigint").alias("r"), T.sha256("raw").alias("digest")).select("r.*", "digest")
 
 
+_NESTED = "struct(event_id, value, struct(cast(event_id as string) as at, array(struct(user_id as id, event_type as kind), null) as z, array(value, cast(null as double)) as list, 'ü\"' as a) as more, cast(null as string) as none)"
+
+
 @query("""
-with j as (select event_type, count(*) as n, sha256(concat(string_agg(concat('{"event_id":', event_id, ',"user_id":', user_id, '}'), chr(10) order by event_id), chr(10))) as lines_sha256 from events group by event_type)
-select event_type, n as rows, lines_sha256, true as sound from j
+with e as (select event_id, user_id, event_type, value, cast(value as varchar) as v from events)
+select event_id, sha256(concat('{"event_id":', event_id, ',"more":{"a":"ü\\"","at":"', event_id, '","list":[', v, ',null],"z":[{"id":', user_id, ',"kind":"', event_type, '"},null]},"none":null,"value":', v, '}')) as digest from e
+""")
+def canonical_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of rows with structs, lists, decimals and nulls in canonical form."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_NESTED).alias("row"))
+    raw = F.to_json("row", {"ignoreNullFields": "false"})
+    return e.select("event_id", T.sha256(jsonl.canonical_json(raw)).alias("digest"))
+
+
+#: Journals in parts of so many events, each a file: some lines blank, some no JSON, some no object.
+_PART = "event_id div 5000"
+_LINE = "case when event_id % 1009 = 3 then '{{bad' when event_id % 1013 = 4 then '[1]' when event_id % 97 = 5 then '' else concat('{{\"event_id\":', cast(event_id as {text}), '}}') end"
+
+
+@query(f"""
+with lines as (select event_type, event_id // 5000 as part, row_number() over (partition by event_type, event_id // 5000 order by event_id) as line, {_LINE.format(text="varchar")} as value from events)
+select event_type, part, line, case when value = '{{bad' then 'invalid JSON' else 'object required' end as error from lines where value in ('{{bad', '[1]')
+""")
+def journal_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals written with bad lines; file and number of each."""
+    path = shared.folder(spark)
+    e = table(spark, sf_dir, "events").selectExpr("event_type", f"{_PART} as part", "event_id", f"{_LINE.format(text='string')} as value")
+    e.repartition("event_type", "part").sortWithinPartitions("event_type", "part", "event_id").select("event_type", "part", "value").write.partitionBy("event_type", "part").text(path)
+    found = jsonl.bad_lines(spark, f"{path}/*/*")
+    return found.select(F.url_decode(F.regexp_extract("path", "event_type=([^/]+)/", 1)).alias("event_type"), F.regexp_extract("path", "part=([^/]+)/", 1).cast("bigint").alias("part"), "line", "error")
+
+
+@query("""
+with parts as (select event_type, event_id // 5000 as part, count(*) as n, sha256(concat(string_agg(concat('{"event_id":', event_id, ',"user_id":', user_id, '}'), chr(10) order by event_id), chr(10))) as d from events group by all)
+select event_type, cast(sum(n) as bigint) as rows, count(*) as parts, sha256(string_agg(d, chr(10) order by part)) as parts_sha256, true as sound from parts group by event_type
 """)
 def manifest_io(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types written as journals, with a manifest of the rows and digest of each; the files are then checked against it."""
+    """Event types written as journals in parts, with a manifest of the rows and digest of each part; the files are then checked against it.
+
+    A journal's digest is that of its parts' digests in their order, so no file or value grows with it.
+    """
     path = shared.folder(spark)
-    e = table(spark, sf_dir, "events").select("event_type", "event_id", jsonl.canonical({"event_id": F.col("event_id"), "user_id": F.col("user_id")}).alias("value"))
-    # one file a journal, in the order of its events
-    e.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(f"{path}/journals")
-    files = jsonl.file_hashes(spark, f"{path}/journals/*/*.txt").select(F.url_decode(F.regexp_extract("path", "event_type=([^/]+)/", 1)).alias("event_type"), "sha256")
-    rows = spark.read.text(f"{path}/journals").groupBy("event_type").agg(F.count("*").alias("rows"))
-    jsonl.write_jsonl(files.join(rows, "event_type"), f"{path}/manifest")
-    told = jsonl.read_objects(spark, f"{path}/manifest", "event_type string, rows bigint, sha256 string")
-    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    again = jsonl.file_hashes(spark, f"{path}/journals/*/*.txt").select("sha256", F.lit(True).alias("there"))
-    sound = (F.col("rows") == F.col("n")) & F.coalesce("there", F.lit(False))
-    return told.join(counted, "event_type").join(again, "sha256", "left").select("event_type", "rows", F.col("sha256").alias("lines_sha256"), sound.alias("sound"))
-
-
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # a table that is one file is read by its folder and name
-    if os.path.basename(path).endswith(".parquet") and not _is_folder(spark, path):
-        return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return spark.readStream.schema(schema).parquet(path)
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    e = table(spark, sf_dir, "events").select("event_type", F.expr(_PART).alias("part"), "event_id", jsonl.canonical({"event_id": F.col("event_id"), "user_id": F.col("user_id")}).alias("value"))
+    # one file a part, in the order of its events
+    e.repartition("event_type", "part").sortWithinPartitions("event_type", "part", "event_id").select("event_type", "part", "value").write.partitionBy("event_type", "part").text(f"{path}/journals")
+    named = (F.url_decode(F.regexp_extract("path", "event_type=([^/]+)/", 1)).alias("event_type"), F.regexp_extract("path", "part=([^/]+)/", 1).cast("bigint").alias("part"))
+    files = lambda: jsonl.file_hashes(spark, f"{path}/journals/*/*/*.txt").select(*named, "sha256")
+    rows = spark.read.text(f"{path}/journals/*/*").select(F.col("_metadata.file_path").alias("path")).select(*named).groupBy("event_type", "part").agg(F.count("*").alias("rows"))
+    jsonl.write_jsonl(files().join(rows, ["event_type", "part"]), f"{path}/manifest")
+    told = jsonl.read_objects(spark, f"{path}/manifest", "event_type string, part bigint, rows bigint, sha256 string")
+    counted = table(spark, sf_dir, "events").groupBy("event_type", F.expr(_PART).alias("part")).agg(F.count("*").alias("n"))
+    again = files().withColumnRenamed("sha256", "now")
+    parts = told.join(counted, ["event_type", "part"], "full_outer").join(again, ["event_type", "part"], "full_outer")
+    sound = F.coalesce((F.col("sha256") == F.col("now")) & (F.col("rows") == F.col("n")), F.lit(False))
+    digest = T.sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sha256"))), lambda x: x["sha256"]), "\n"))  # a line for each part of a journal
+    return parts.groupBy("event_type").agg(F.sum("rows").alias("rows"), F.count("*").alias("parts"), digest.alias("parts_sha256"), F.min(sound).alias("sound"))
 
 
 @query(f"select question_id as key, seq, value from (select *, row_number() over (partition by question_id order by seq desc) as i from ({b.SQL_EVENTS})) where i = 1 and action = 'label'")

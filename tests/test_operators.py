@@ -11,6 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sparkassay.functions import rewrite
 from sparkassay.operators import blockmax, contracts, corpus, metrics, reference, report, retrieval, review, runlog
 from sparkassay.sources import jsonl, providers
 from sparkassay.streaming import logs
@@ -369,3 +370,38 @@ def test_streams_resume_and_windows(spark, tmp_path):
     done = logs.drain(spark, logs.windows(stream(), "ts", "value", late="1 day"), str(tmp_path), "update")
     last = done.groupBy("start").agg(F.max("n").alias("n"), F.max("peak").alias("peak")).collect()
     assert sum(r.n for r in last) == 100 and len(last) == 34 and max(r.peak for r in last) == 99
+
+
+def test_numbers_of_bad_lines_in_files_read_in_parts(spark, tmp_path):
+    rng = random.Random(2)
+    want = []
+    for name in ("a", "b c", "d"):
+        lines = [rng.choice(['{"x":1}'] * 30 + ["", "[1]", "{bad", '"s"', "  "]) for _ in range(rng.choice([0, 400, 3000]) if name != "a" else 3000)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines), encoding="utf-8")
+        want += [(name, i, "object required" if x in ("[1]", '"s"') else "invalid JSON") for i, x in enumerate(lines, 1) if x.strip() and x[0] != "{" or x == "{bad"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = jsonl.bad_lines(spark, str(tmp_path)).collect()
+        assert sorted((r.path.rsplit("/", 1)[1].removesuffix(".jsonl").replace("%20", " "), r.line, r.error) for r in got) == sorted(want)
+        first = min(w for w in want if w[0] == "a")
+        with pytest.raises(ValueError, match=f"a.jsonl:{first[1]}: {first[2]}"):
+            jsonl.read_objects(spark, str(tmp_path), "x int")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_canonical_json_of_any_depth(spark):
+    texts = ['{"b":{"z":[{"y":1,"x":null}],"a":1.50},"a":1e3}', '{"n":1e16,"m":-0.0,"k":0.1,"l":123456789012345678901}', '{"ü":"\\u00fc\\n","":[]}', None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(jsonl.canonical_json("t")).collect()]
+    assert got == [None if t is None else json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True, separators=(",", ":")) for t in texts]
+    nested = spark.sql("select named_struct('q', 1.0d, 'p', array(2, null)) as s, 'x' as a")
+    assert nested.select(jsonl.canonical_row(nested)).first()[0] == '{"a":"x","s":{"p":[2,null],"q":1.0}}'
+
+
+def test_overlap_weighs_terms_by_what_they_replace(spark):
+    terms = rewrite.TermMap("v", "approved", en_to_ko={"the": "그것", "of": "소유"}, to_abbreviation={"with": "w/"})
+    rows = frame(spark, [("the house of the man",), ("nothing here",), ("with them",), ("of with of",)], "query string")
+    got = rewrite.effective_overlap(rows, terms, frame(spark, [("THE",), ("w",)], "term string")).collect()
+    assert sorted(tuple(r[c] for c in ("transform_id", "term", "variants", "places", "in_glossary")) for r in got) == [("abbreviation.apply", "with", 2, 2, False), ("mixed.en_to_ko", "of", 2, 3, False), ("mixed.en_to_ko", "the", 1, 2, True)]
