@@ -627,6 +627,21 @@ def manifest_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("event_type").agg(F.sum("rows").alias("rows"), F.count("*").alias("parts"), digest.alias("parts_sha256"), F.min(sound).alias("sound"))
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # a table that is one file is read by its folder and name
+    if os.path.basename(path).endswith(".parquet") and not _is_folder(spark, path):
+        return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 @query(f"select question_id as key, seq, value from (select *, row_number() over (partition by question_id order by seq desc) as i from ({b.SQL_EVENTS})) where i = 1 and action = 'label'")
 def stream_reduce_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir).selectExpr("cast(user_id as string) as key", "event_id as seq", f"{b.EVENT_ACTION} as action", f"{b.EVENT_VALUE} as value")
@@ -644,3 +659,47 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = logs.drain(spark, logs.windows(samples, "ts", "value"), shared.folder(spark), "update")
     # each batch gives a window's new state: the last one has the most rows
     return out.groupBy("start").agg(F.max_by(F.struct("n", "peak"), "n").alias("w")).select(F.col("start").cast("timestamp_ntz").alias("start"), "w.n", "w.peak")
+
+
+@query(f"""
+with e as (select cast(user_id as varchar) as key, event_id as seq, event_type = 'error' as error from events),
+islands as (select *, sum(case when error then 0 else 1 end) over (partition by key order by seq) as island from e),
+streaks as (select *, sum(case when error then 1 else 0 end) over (partition by key, island order by seq) as streak from islands)
+select key, cast(count(*) filter (error) as bigint) as errors, coalesce(min(seq) filter (error and streak = 3), -1) as tripped_at, max(seq) as last from streaks group by key
+""")
+def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and the breaker of each key as a stream that is stopped after half of the log and resumed with the rest."""
+    base = shared.folder(spark)
+    log = table(spark, sf_dir, "events").selectExpr("cast(user_id as string) as key", "event_id as seq", "event_type = 'error' as error")
+    half = log.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    for i, part in enumerate((F.col("seq") <= half, F.col("seq") > half)):
+        log.filter(part).write.mode("append").parquet(f"{base}/log")
+        told = spark.readStream.schema(log.schema).parquet(f"{base}/log")
+        out = logs.drain(spark, logs.attempts(told), base, "update", "attempts")
+    return logs.counted(out).select("key", "errors", F.coalesce("tripped_at", F.lit(-1)).alias("tripped_at"), "last")
+
+
+_SESSIONS = """
+e as (select user_id as key, event_id as seq, value, ts, lag(ts) over (partition by user_id order by ts, event_id) as before from events),
+s as (select *, sum(case when before is null or ts - before > interval '1 day' then 1 else 0 end) over (partition by key order by ts, seq) as session from e),
+g as (select key, session, count(*) as n, sum(value) as total, arg_min(value, (ts, seq)) as cold, min(ts) as start, max(ts) as "end" from s group by key, session),
+sessions as (select key, start, "end", round(cold, 6) as cold, n - 1 as iterations, round((total - cold) / nullif(n - 1, 0), 6) as warm_mean, round((n - 1) / nullif(epoch_us("end") / 1e6 - epoch_us(start) / 1e6, 0), 9) as per_second from g)"""
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return rows.select("key", plain("start"), plain("end"), F.round("cold", 6).alias("cold"), "iterations", F.round("warm_mean", 6).alias("warm_mean"), F.round("per_second", 9).alias("per_second"))
+
+
+@query(f"with {_SESSIONS} select * from sessions")
+def soak_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user, their warm-up apart, with mean and throughput of what follows (specified only)."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _rounded(logs.sessions(e, "user_id", "ts", "event_id", "value", "1 day"))
+
+
+@query(f"""with {_SESSIONS} select * from sessions where "end" + interval '1 day' <= (select max(ts) from events) - interval '1 hour'""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream: sessions that no sample of the last hour can still change."""
+    samples = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _rounded(logs.drain(spark, logs.sessions(samples, "user_id", "ts", "event_id", "value", "1 day", "1 hour"), shared.folder(spark)))

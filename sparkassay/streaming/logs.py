@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -36,9 +39,57 @@ def windows(samples: DataFrame, time: str, value: str, width: str = "30 seconds"
     return samples.withWatermark(time, late).groupBy(F.window(time, width).alias("w")).agg(F.count("*").alias("n"), F.max(value).alias("peak")).select(F.col("w.start").alias("start"), "n", "peak")
 
 
-def drain(spark: SparkSession, stream: DataFrame, base: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote, from files under `base`."""
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+_ATTEMPTS = "key string, errors bigint, in_a_row bigint, tripped_at bigint, last bigint"
+
+
+def attempts(log: DataFrame, limit: int = 3) -> DataFrame:
+    """A row for each batch in which a key has attempts: its errors, those in a row just now, where it first met `limit` of these (or -1).
+
+    log (key, seq, error) comes in the order of seq for each key; an attempt that is read again changes nothing.  The state is four
+    numbers a key and lives in the stream's checkpoint, so that a run that was stopped counts on.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        errors, row, tripped, last = state.get if state.exists else (0, 0, -1, -1)
+        for part in parts:
+            for seq, error in part.sort_values("seq")[["seq", "error"]].itertuples(index=False):
+                if seq <= last:
+                    continue
+                last, errors, row = int(seq), errors + int(error), row + 1 if error else 0
+                tripped = last if row == limit and tripped < 0 else tripped
+        state.update((errors, row, tripped, last))
+        yield pd.DataFrame({"key": [key[0]], "errors": [errors], "in_a_row": [row], "tripped_at": [tripped], "last": [last]})
+
+    kinds = "errors bigint, in_a_row bigint, tripped bigint, last bigint"
+    return log.select("key", "seq", F.coalesce("error", F.lit(False)).alias("error")).groupBy("key").applyInPandasWithState(step, _ATTEMPTS, kinds, "update", GroupStateTimeout.NoTimeout)
+
+
+def counted(changes: DataFrame) -> DataFrame:
+    """The last state of each key, from the changes that the stream gave."""
+    state = F.max_by(F.struct("errors", "in_a_row", "tripped_at", "last"), "last").alias("s")
+    return changes.groupBy("key").agg(state).select("key", "s.*").withColumn("tripped_at", F.when(F.col("tripped_at") >= 0, F.col("tripped_at")))
+
+
+def sessions(samples: DataFrame, key: str, time: str, seq: str, value: str, gap: str = "10 minutes", late: str | None = None) -> DataFrame:
+    """Sessions of samples with their first one, which warms up, apart: (key, start, end, cold, iterations, warm_mean, per_second).
+
+    Late samples join the session that they belong to as long as they come within `late`.  All parts are sums and extremes, so a
+    session's state does not grow with it.
+    """
+    if late is not None:
+        samples = samples.withWatermark(time, late)
+    order = F.struct(time, seq)
+    grouped = samples.groupBy(F.col(key).alias("key"), F.session_window(time, gap).alias("w")).agg(
+        F.count("*").alias("n"), F.sum(value).alias("total"), F.min_by(value, order).alias("cold"), F.min(time).alias("first"), F.max(time).alias("last")
+    )
+    warm: Column = F.col("n") - 1
+    seconds = F.unix_micros("last") / 1e6 - F.unix_micros("first") / 1e6
+    return grouped.select("key", F.col("first").alias("start"), F.col("last").alias("end"), "cold", warm.alias("iterations"), F.when(warm > 0, (F.col("total") - F.col("cold")) / warm).alias("warm_mean"), F.when(seconds > 0, warm / seconds).alias("per_second"))
+
+
+def drain(spark: SparkSession, stream: DataFrame, base: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote, from files under `base`; a stream `at` a place goes on from there."""
+    path = f"{base}/stream-{at or uuid.uuid4().hex}"
 
     def keep(df: DataFrame, batch: int) -> None:
         # a batch that is run again replaces its own files
