@@ -118,16 +118,17 @@ def write_report(pages: DataFrame, path: str, mode: str = "full") -> None:
     index(pages, mode).orderBy("place").select("line").write.mode("errorifexists").text(f"{path}/index")
 
 
-def full_gate(fixtures: DataFrame, trusted: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the first rule that forbids a full report, or null.
+def full_gate(fixtures: DataFrame, trusted: DataFrame, labels: DataFrame, by: str | None = None) -> DataFrame:
+    """One row: the first rule that forbids a full report, or null; with `by`, a row for each run that fixtures and trusted name there.
 
     fixtures: question_id, fact_cluster_id, reference_provenance; trusted: fact_cluster_id;
     labels: target_type, target_id, value, decision_source, pos.
     """
+    run = [by] if by else []
     last = labels.groupBy("target_type", "target_id").agg(F.max_by(F.struct("value", F.coalesce("decision_source", F.lit("human")).alias("source")), "pos").alias("v"))
     part = lambda kind, key, name: last.filter(F.col("target_type") == kind).select(F.col("target_id").alias(key), F.col("v").alias(name))
-    known = trusted.select("fact_cluster_id", F.lit(True).alias("trusted")).distinct()
-    rows = fixtures.join(known, "fact_cluster_id", "full_outer").join(part("reference_supported", "fact_cluster_id", "r"), "fact_cluster_id", "left").join(part("query_natural", "question_id", "q"), "question_id", "left")
+    known = trusted.select(*run, "fact_cluster_id", F.lit(True).alias("trusted")).distinct()
+    rows = fixtures.join(known, [*run, "fact_cluster_id"], "full_outer").join(part("reference_supported", "fact_cluster_id", "r"), "fact_cluster_id", "left").join(part("query_natural", "question_id", "q"), "question_id", "left")
     no = lambda c: F.count_if(~F.coalesce(c, F.lit(False))) > 0
-    out = rows.agg(no(F.col("trusted") & (F.col("reference_provenance") == "independent_web_verified")).alias("foreign"), no((F.col("r.value") == "Y") & (F.col("q.value") == "Y")).alias("unreviewed"), no((F.col("r.source") == "human") & (F.col("q.source") == "human")).alias("automatic"))
-    return out.select(F.when(F.col("foreign"), "independent_reference_required").when(F.col("unreviewed"), "y_review_required").when(F.col("automatic"), "human_review_required").alias("violation"))
+    out = rows.groupBy(*run).agg(no(F.col("trusted") & (F.col("reference_provenance") == "independent_web_verified")).alias("foreign"), no((F.col("r.value") == "Y") & (F.col("q.value") == "Y")).alias("unreviewed"), no((F.col("r.source") == "human") & (F.col("q.source") == "human")).alias("automatic"))
+    return out.select(*run, F.when(F.col("foreign"), "independent_reference_required").when(F.col("unreviewed"), "y_review_required").when(F.col("automatic"), "human_review_required").alias("violation"))

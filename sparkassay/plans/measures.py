@@ -141,12 +141,12 @@ def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select source, avg(quality) as success, avg(toxic) as toxic, count(*) / 20.0::double as coverage from documents join labels using (doc_id) group by source)
-select source, concat_ws(',', case when coverage < 0.5 then 'coverage_below_50' end, case when success < 0.7 then 'success_below_70' end, case when toxic > 0.05 then 'unsupported_above_5' end, case when toxic > 0.3 then 'unsure_above_30' end) as reasons from s
+with s as (select source, avg(quality) as success, avg(toxic) as toxic, avg((n_chars < 900)::int::double) as unsure, count(*) filter (doc_id % 389 = 7) as external, count(*) / 20.0::double as coverage from documents join labels using (doc_id) group by source)
+select source, concat_ws(',', case when coverage < 0.5 then 'coverage_below_50' end, case when success < 0.7 then 'success_below_70' end, case when toxic > 0.05 then 'unsupported_above_5' end, case when unsure > 0.3 then 'unsure_above_30' end, case when external > 0 then 'external_requests' end) as reasons from s
 """)
 def stage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.avg("quality").alias("s"), F.avg("toxic").alias("t"), (F.count("*") / 20.0).alias("c"))
-    return s.select("source", metrics.stage_gates(F.col("c"), F.col("s"), F.col("t"), F.col("t"), F.lit(0)).alias("reasons"))
+    s = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.avg("quality").alias("s"), F.avg("toxic").alias("t"), F.avg((F.col("n_chars") < 900).cast("double")).alias("u"), F.count_if(F.col("doc_id") % 389 == 7).alias("x"), (F.count("*") / 20.0).alias("c"))
+    return s.select("source", metrics.stage_gates(F.col("c"), F.col("s"), F.col("t"), F.col("u"), F.col("x")).alias("reasons"))
 
 
 @query("""
@@ -557,6 +557,26 @@ def full_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.full_gate(rows.withColumnRenamed("provenance", "reference_provenance"), rows.filter("item_id % 16 = 0"), labels)
 
 
+#: Five runs of a question each in turn: sound, of another provenance, not reviewed with Y, decided by models, with a cluster unknown.
+_RUN = "item_id % 5"
+_FROM = f"case when {_RUN} = 1 and item_id % 4 = 0 then 'generated' else 'independent_web_verified' end"
+_NATURAL = f"case when {_RUN} = 2 and item_id % 3 = 0 then 'U' else 'Y' end"
+_SOURCE_OF = f"case when {_RUN} = 3 and item_id % 2 = 0 then 'local_model_consensus' when item_id % 7 = 0 then null else 'human' end"
+
+
+@query(f"""
+with r as (select {_RUN} as run, {_FROM} as provenance, {_NATURAL} as natural_, coalesce({_SOURCE_OF}, 'human') as decided, not ({_RUN} = 4 and item_id % 10 = 4) as known from benchmark)
+select run, case when bool_or(provenance <> 'independent_web_verified' or not known) then 'independent_reference_required' when bool_or(natural_ <> 'Y') then 'y_review_required' when bool_or(decided <> 'human') then 'human_review_required' end as violation from r group by run
+""")
+def full_gate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate of a full report for several runs, of which each meets another rule or none; earlier decisions do not count."""
+    rows = table(spark, sf_dir, "benchmark").selectExpr(f"{_RUN} as run", "item_id", "concat('q', item_id) as question_id", "concat('f', item_id) as fact_cluster_id", f"{_FROM} as reference_provenance", f"{_NATURAL} as natural_", f"{_SOURCE_OF} as decided")
+    natural = rows.selectExpr("'query_natural' as target_type", "question_id as target_id", "natural_ as value", "decided as decision_source", "item_id + 1000000 as pos")
+    reference = rows.selectExpr("'reference_supported'", "fact_cluster_id", "'Y'", "'human'", "item_id")
+    before = rows.selectExpr("'query_natural'", "question_id", "'N'", "'deterministic'", "item_id")
+    return report.full_gate(rows.drop("natural_", "decided"), rows.filter("not (run = 4 and item_id % 10 = 4)"), natural.union(reference).union(before), "run")
+
+
 # -- files and streams ---------------------------------------------------------------------------------------
 
 
