@@ -5,7 +5,9 @@ that are nearly full; what is left becomes items of the next round, in fewer and
 one bounded group is left.  A bin carries the coordinates of its pieces, so no round joins anything.
 
 Cases: a null or empty text is one end token.  Repeated rows are packed once each.  A null doc_id
-stays null.  An empty table gives no rows.  Columns besides doc_id and text are ignored.
+stays null.  Pieces of one length are packed in the order in which they come, and of bins with the same room the one filled last takes
+a piece; where a piece lands is any result's own.  A very long text is tokenised whole and cut into pieces, which are rows like any
+other's.  An empty table gives no rows.  Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
