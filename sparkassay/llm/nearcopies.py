@@ -177,14 +177,19 @@ def spanning(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return np.concatenate(taken) if taken else np.empty(0, np.int64)
 
 
-def _compare(most: int, forest: bool, most_of_all: int | None = None) -> Callable:
+def _compare(most: int, forest: bool, shape: Shape | None = None) -> Callable:
     """Pairs of rows of an anchor whose filter bits are near; a partition comes sorted by anchor and tile.
 
-    Rows that come with all their bits are near if these are, too.
+    Rows that come with all their bits (of a shape) are near if these are, too, and only at the first part that both have alike.
     """
 
     def near_whole(x: np.ndarray, y: np.ndarray, c: list[np.ndarray]) -> np.ndarray:
-        return np.bitwise_count(c[5][x] ^ c[5][y]).sum(1, dtype=np.int64) <= most_of_all
+        near = np.bitwise_count(c[5][x] ^ c[5][y]).sum(1, dtype=np.int64) <= shape.most
+        at = np.flatnonzero(near)
+        for i in range(0, len(at), 8000):
+            some = at[i : i + 8000]
+            near[some] = (c[6][x[some]] == c[6][y[some]]).argmax(1) == c[7][x[some]]
+        return near
 
     def small(at: np.ndarray, later: np.ndarray, c: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Near pairs of the rows `at` with so many rows after each."""
@@ -196,7 +201,7 @@ def _compare(most: int, forest: bool, most_of_all: int | None = None) -> Callabl
         x, y = x[keep], y[keep]
         d = first[keep].astype(np.int64) + np.bitwise_count(f1[x] ^ f1[y])
         keep = d <= most
-        if most_of_all is not None:
+        if shape is not None:
             keep[keep] = near_whole(x[keep], y[keep], c)
         return x[keep], y[keep], d[keep]
 
@@ -227,7 +232,7 @@ def _compare(most: int, forest: bool, most_of_all: int | None = None) -> Callabl
             u = x[u, 0]
             d += np.bitwise_count(f1[u] ^ f1[v])
             keep = d <= most
-            if most_of_all is not None:
+            if shape is not None:
                 keep[keep] = near_whole(a + u[keep], a + v[keep], c)
             yield a + u[keep], a + v[keep], d[keep]
 
@@ -279,8 +284,9 @@ def _compare(most: int, forest: bool, most_of_all: int | None = None) -> Callabl
             whole = len(table) if last else int(np.searchsorted(group, group[-1]))  # the last group may go on
             columns = [table[c].to_numpy()[:whole] for c in ("side", "node", "label", "f0", "f1")]
             columns[3:] = [x.view(U64) for x in columns[3:]]  # bits of signed numbers are those of their absolute values
-            if most_of_all is not None:
-                columns.append(np.frombuffer(b"".join(table["print"].slice(0, whole).to_pylist()), "<u8").reshape(whole, -1) if whole else np.empty((0, 1), U64))
+            if shape is not None:
+                prints = np.frombuffer(b"".join(table["print"].slice(0, whole).to_pylist()), "<u8").reshape(whole, shape.words)
+                columns += [prints, part_values(prints, shape).astype(np.uint32), table["anchor"].to_numpy()[:whole] >> 32]
             some: list[tuple] = []
             for part in near(group[:whole], columns) if whole else ():
                 some.append(part)
@@ -297,7 +303,7 @@ def _compare(most: int, forest: bool, most_of_all: int | None = None) -> Callabl
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= (50_000 if most_of_all is None else 20_000):
+            if rows >= (50_000 if shape is None else 20_000):
                 yield from flush(False)
         yield from flush(True)
 
@@ -318,7 +324,7 @@ def candidates(nodes: DataFrame, shape: Shape, forest: bool, tile: int | None =
     # part i meets part j in tile (i, j), i <= j; side 2: the tile's rows are all of one part and meet each other
     spot = lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side"))
     rows = tiled.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), spot))).select("anchor", "t.i", "t.j", "t.side", "node", "label", "f0", "f1", *(() if forest else ("print",)))
-    found = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node").mapInArrow(tidy(_compare(MOST, forest, None if forest else shape.most)), "u bigint, v bigint")
+    found = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node").mapInArrow(tidy(_compare(MOST, forest, None if forest else shape)), "u bigint, v bigint")
     return found.distinct()
 
 
