@@ -70,7 +70,7 @@ def _pieces(path: str, capacity: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordPieces.shared(path).encode
-        for batch in rows(batches):
+        for batch in rows(batches, 4000):
             ids = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
             for doc, data in zip(ids, encode(batch.column("text"))):

@@ -78,3 +78,19 @@ def test_best_fit_bins(sizes):
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 50 for b in bins)
     assert len(bins) <= 2 * -(-sum(sizes) // 50)
+
+
+def test_memory_is_given_up_and_learned_again():
+    """Ids stay right where chunks and pieces are forgotten between and within slices, and a worker keeps no object for each of them."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé'1,\x85\xa0 \n") for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["中 a", None, "<|endoftext|>", "\xa0", "a\x1cb"]
+    whole = tokenizers.Tokenizer.from_file(tokenizer_path())
+    want = [np.array(whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    words = WordPieces(tokenizer_path())
+    words.chunks.limit, words.pieces.limit = 150, 60
+    for at in range(0, len(texts), 20):
+        assert list(words.encode(pa.array(texts[at : at + 20], pa.string()))) == want[at : at + 20]
+    assert isinstance(words.chunks.names, pa.Array)
+    assert len(words.chunks.names) < len({c for t in texts[:200] for c in t.lower().split()})
