@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +46,27 @@ _ATTEMPTS = "key string, errors bigint, in_a_row bigint, tripped_at bigint, last
 def attempts(log: DataFrame, limit: int = 3) -> DataFrame:
     """A row for each batch in which a key has attempts: its errors, those in a row just now, where it first met `limit` of these (or -1).
 
-    log (key, seq, error) comes in the order of seq for each key; an attempt that is read again changes nothing.  The state is four
-    numbers a key and lives in the stream's checkpoint, so that a run that was stopped counts on.
+    log (key, seq, error) comes in the order of seq from batch to batch for each key, in any order within one; an attempt that is read
+    again changes nothing.  Rows of a key reach a task in several parts that no order ties together, so they are sorted as a whole: nine
+    bytes for each of a batch.  The state is four numbers a key and lives in the stream's checkpoint, so that a run that was stopped counts on.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         errors, row, tripped, last = state.get if state.exists else (0, 0, -1, -1)
-        for part in parts:
-            for seq, error in part.sort_values("seq")[["seq", "error"]].itertuples(index=False):
-                if seq <= last:
-                    continue
-                last, errors, row = int(seq), errors + int(error), row + 1 if error else 0
-                tripped = last if row == limit and tripped < 0 else tripped
+        told = [(part["seq"].to_numpy(np.int64, copy=True), part["error"].to_numpy(bool, copy=True)) for part in parts]
+        seq, error = (np.concatenate(x) for x in zip(*told))
+        order = np.argsort(seq, kind="stable")
+        seq, error = seq[order], error[order]
+        new = np.diff(seq, prepend=last) > 0
+        new &= seq > last
+        seq, error = seq[new], error[new]
+        if len(seq):
+            place = np.arange(len(seq))
+            sound = np.maximum.accumulate(np.where(error, -1, place))
+            streak = np.where(sound < 0, place + 1 + row, place - sound)  # errors in a row up to each attempt
+            trips = np.flatnonzero(error & (streak == limit))
+            tripped = int(seq[trips[0]]) if tripped < 0 and len(trips) else tripped
+            errors, row, last = errors + int(error.sum()), int(streak[-1]), int(seq[-1])
         state.update((errors, row, tripped, last))
         yield pd.DataFrame({"key": [key[0]], "errors": [errors], "in_a_row": [row], "tripped_at": [tripped], "last": [last]})
 

@@ -28,6 +28,22 @@ def test_attempts_of_a_stream_that_is_resumed(spark, tmp_path):
     assert len({b.name for b in (tmp_path / "stream-one" / "out").glob("batch=*")}) == 4
 
 
+def test_attempts_of_keys_that_come_in_many_parts(spark, tmp_path):
+    """A batch with more rows of a key than one Arrow batch holds, in no order, some of them twice."""
+    rng = random.Random(6)
+    rows = [(f"k{i % 3}", i, rng.random() < 0.2) for i in range(45_000)]
+    mixed = rows + rows[:2_000]
+    rng.shuffle(mixed)
+    spark.createDataFrame(mixed, LOG).repartition(6).write.parquet(str(tmp_path / "log"))
+    out = logs.drain(spark, logs.attempts(spark.readStream.schema(LOG).parquet(str(tmp_path / "log"))), str(tmp_path), "update", "many")
+    want = {}
+    for k, i, error in rows:
+        errors, row, tripped, _ = want.get(k, (0, 0, None, -1))
+        row = row + 1 if error else 0
+        want[k] = (errors + error, row, i if row == 3 and tripped is None else tripped, i)
+    assert {r.key: (r.errors, r.in_a_row, r.tripped_at, r.last) for r in logs.counted(out).collect()} == want
+
+
 def test_sessions_with_late_samples(spark, tmp_path):
     at = lambda m: f"2024-01-01 {10 + m // 60:02d}:{m % 60:02d}:00"
     schema = "u string, seq bigint, ts string, value double"
