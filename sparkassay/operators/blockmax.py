@@ -6,7 +6,7 @@ greatest shares, tells when no new document can reach the k-th score so far, and
 still can: only these are looked up in the lighter terms, and fewer with each.  A block whose terms together cannot reach
 it is not opened.
 
-Blocks are made where texts are read and are searched where they lie; what moves is counts of terms and, of each task, the k best
+Blocks are made where texts are read and are searched where they lie, each sealed as one compressed value and opened by itself; what moves is counts of terms and, of each task, the k best
 of each question, merged in two steps.  Questions go in turns of a bounded number of terms, so what is sent is bounded too.
 """
 
@@ -30,7 +30,25 @@ BLOCK, TURN = 4096, 500_000
 SLACK = 1e-6
 #: Parts in which a question's best are merged first.
 PARTS = 32
-_BLOCKS = "docs array<bigint>, lens array<bigint>, terms array<bigint>, ends array<bigint>, places array<int>, tfs array<int>, n bigint, words bigint"
+#: Tokens of a block's documents that are numbered at once (about: a document goes whole).
+TOKENS = 250_000
+_BLOCKS = "block binary, terms array<bigint>, ends array<bigint>, n bigint, words bigint"
+_POSTINGS = ("docs", "lens", "terms", "ends", "places", "tfs")
+
+
+def _sealed(arrays: list[pa.Array]) -> bytes:
+    """A block's arrays, compressed: a task is sent all of its blocks at once and opens one after the other."""
+    row = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays], names=list(_POSTINGS))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(row)
+    return out.getvalue().to_pybytes()
+
+
+def _opened(block: pa.BinaryScalar) -> tuple[np.ndarray, ...]:
+    row = pa.ipc.open_stream(block.as_buffer()).read_next_batch()
+    docs, *rest = (row.column(c)[0].values for c in _POSTINGS)
+    return docs.fill_null(_NONE).to_numpy(), *(x.to_numpy() for x in rest)
 
 
 def _pack(vocabulary: object, block: int) -> Callable:
@@ -40,29 +58,33 @@ def _pack(vocabulary: object, block: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(vocabulary.value, pa.string())
         df, n, words = np.zeros(len(known), np.int64), 0, 0
-        names = [c.split()[0] for c in _BLOCKS.split(", ")]
-
-        def row(docs: pa.Array, *numbers: np.ndarray, n: int | None = None, words: int | None = None) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            lists = [docs, *(pa.array(x, t) for x, t in zip(numbers, kinds))]
-            return pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists), pa.array([n], pa.int64()), pa.array([words], pa.int64())], names=names)
-
+        schema = pa.schema([("block", pa.binary()), ("terms", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("n", pa.int64()), ("words", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 cut = batch.slice(at, block)
                 tokens, docs = cut.column("tokens"), cut.column("doc_id")
-                length = np.nan_to_num(tokens.value_lengths().fill_null(0).to_numpy()).astype(np.int64)
-                place = np.repeat(np.arange(cut.num_rows), length)
-                found = pc.index_in(tokens.flatten(), known).fill_null(-1).to_numpy()
-                mine = found >= 0
-                key, tf = np.unique(found[mine].astype(np.int64) * cut.num_rows + place[mine], return_counts=True)
-                term, place = key // cut.num_rows, key % cut.num_rows
-                terms, counts = np.unique(term, return_counts=True)
+                length = np.nan_to_num(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+                ends = np.cumsum(length)
+                keys, tfs, i = [], [], 0
+                while i < cut.num_rows:
+                    j = max(i + 1, int(np.searchsorted(ends, ends[i] - length[i] + TOKENS, "right")))
+                    found = pc.index_in(tokens.slice(i, j - i).flatten(), known).fill_null(-1).to_numpy()
+                    mine = found >= 0
+                    key, tf = np.unique(found[mine].astype(np.int64) * cut.num_rows + np.repeat(np.arange(i, j), length[i:j])[mine], return_counts=True)
+                    keys.append(key)
+                    tfs.append(tf.astype(np.int32))
+                    i = j
+                key, tf = np.concatenate(keys), np.concatenate(tfs)
+                order = np.argsort(key, kind="stable")
+                key, tf = key[order], tf[order]
+                terms, counts = np.unique(key // cut.num_rows, return_counts=True)
                 df[terms] += counts
                 n, words = n + cut.num_rows, words + int(length.sum())
-                yield row(docs, length, terms, np.cumsum(counts), place, tf)
-        some, none = np.flatnonzero(df), np.empty(0, np.int64)
-        yield row(pa.array([], pa.int64()), none, some, df[some], none, none, n=n, words=words)
+                held = _sealed([docs, pa.array(length), pa.array(terms), pa.array(np.cumsum(counts), pa.int64()), pa.array(key % cut.num_rows, pa.int32()), pa.array(tf)])
+                yield pa.RecordBatch.from_pylist([{"block": held}], schema)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pylist([{"terms": some, "ends": df[some], "n": n, "words": words}], schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -161,10 +183,10 @@ def _search(model: object, k: int, k1: float, b: float, digits: int) -> Callable
         best = Best(len(asked.ids), k)
         for batch in batches:
             for r in range(batch.num_rows):
-                row = [batch.column(c)[r].values for c in ("docs", "lens", "terms", "ends", "places", "tfs")]
-                scan((row[0].fill_null(_NONE).to_numpy(), *(x.to_numpy() for x in row[1:])), asked, best, avgdl, k1, b, digits)
+                scan(_opened(batch.column("block")[r]), asked, best, avgdl, k1, b, digits)
         rows = [(asked.ids[i], None if none else doc, -score) for i, held in enumerate(best.rows) for score, none, doc in held]
         yield pa.RecordBatch.from_pydict({"question_id": pa.array([r[0] for r in rows], pa.int64()), "doc_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64()), "scored": pa.array([best.scored] * len(rows), pa.int64())})
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -405,3 +405,26 @@ def test_overlap_weighs_terms_by_what_they_replace(spark):
     rows = frame(spark, [("the house of the man",), ("nothing here",), ("with them",), ("of with of",)], "query string")
     got = rewrite.effective_overlap(rows, terms, frame(spark, [("THE",), ("w",)], "term string")).collect()
     assert sorted(tuple(r[c] for c in ("transform_id", "term", "variants", "places", "in_glossary")) for r in got) == [("abbreviation.apply", "with", 2, 2, False), ("mixed.en_to_ko", "of", 2, 3, False), ("mixed.en_to_ko", "the", 1, 2, True)]
+
+
+def test_blocks_of_postings_are_sealed(monkeypatch):
+    """A task holds blocks as compressed bytes, one row each; documents longer than what is numbered at once count whole."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(blockmax, "TOKENS", 7)
+    words = ["a", "b", "c", "d"]
+    docs = [[words[(i * j) % 5] if (i * j) % 5 < 4 else "other" for j in range(i % 40)] for i in range(300)] + [None]
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(299), None, 300], pa.int64()), "tokens": pa.array(docs, pa.list_(pa.string()))})
+    *blocks, counts = [r for b in blockmax._pack(SimpleNamespace(value=words), 128)(iter([rows])) for r in b.to_pylist()]
+    assert [type(r["block"]) for r in blocks] == [bytes] * 3 and counts["n"] == 301 and counts["words"] == sum(len(d or []) for d in docs)
+    assert dict(zip(counts["terms"], counts["ends"])) == {t: sum(w in (d or []) for d in docs) for t, w in enumerate(words)}
+    got = set()
+    for at, r in zip(range(0, 301, 128), blocks):
+        ids, lens, terms, ends, places, tfs = blockmax._opened(pa.scalar(r["block"], pa.binary()))
+        assert lens.tolist() == [len(d or []) for d in docs[at : at + 128]] and len(r["block"]) < 8 * len(places) + 4000
+        for t, a, z in zip(terms, [0, *ends[:-1]], ends):
+            assert list(places[a:z]) == sorted(places[a:z])
+            got |= {(at + int(p), words[t], int(f)) for p, f in zip(places[a:z], tfs[a:z])}
+    assert got == {(i, w, d.count(w)) for i, d in enumerate(docs) for w in words if d and w in d}
