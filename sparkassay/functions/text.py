@@ -29,7 +29,9 @@ def casefold(text: str | Column) -> Column:
     low, table = F.lower(_col(text)), folds()
     codes = sorted(map(ord, table))
     firsts = [c for c in codes if c - 1 not in codes]
-    odd = "[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in zip(firsts, (c for c in codes if c + 1 not in codes))) + "]"  # few ranges are fast to test
+    ranges = [f"{chr(a)}-{chr(z)}" for a, z in zip(firsts, (c for c in codes if c + 1 not in codes))]
+    latin, others = ("".join(r for r in ranges if (r < "\u0100") == low_) for low_ in (True, False))
+    odd = rf"[{latin}[\x{{100}}-\x{{10ffff}}&&[{others}]]]"  # the many ranges are gone through only for what lies beyond Latin-1
     names = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
     new = F.transform(F.regexp_extract_all(low, F.lit(odd), F.lit(0)), lambda c: F.try_element_at(names, c))
     folded = F.array_join(F.zip_with(F.split(low, odd, -1), new, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
