@@ -54,6 +54,9 @@ def entity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _phrase_hits(spark, sf_dir, *ENTITIES)
 
 
+#: Hits of a question among which its negatives are looked for.
+NEAR = 20
+
 _NEGATIVES = f"""{b.SQL_HITS.replace("rank <= 5", "rank <= 20")},
     item_tokens as (select item_id as question_id, {b.sql_tokens("text")} as t from benchmark),
     item_runs as (select distinct question_id, array_to_string(t[i : i + 4], ' ') as run from (select question_id, t, unnest(range(1, greatest(1, len(t) - 4) + 1)) as i from item_tokens where len(t) > 0)),
@@ -69,9 +72,14 @@ _NEGATIVES = f"""{b.SQL_HITS.replace("rank <= 5", "rank <= 20")},
 @query(f"with {_NEGATIVES} select * from negatives")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hits of each question that hold less than half of its runs of five tokens."""
+    return _negatives(spark, sf_dir, written(c.hits(spark, sf_dir, NEAR)))
+
+
+def _negatives(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
     evidence = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), T.tokens("text").alias("tokens"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("tokens"))
-    return retrieval.hard_negatives(c.hits(spark, sf_dir, 20), evidence, docs)
+    # only texts that are hits are cut into tokens
+    docs = table(spark, sf_dir, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens("text").alias("tokens"))
+    return retrieval.hard_negatives(hits, evidence, docs)
 
 
 _ARMS = ("lexical", "dense", "glossary", "hard_negative")
@@ -80,7 +88,8 @@ _ARMS = ("lexical", "dense", "glossary", "hard_negative")
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, arm, rank, content_id) of four arms."""
     content = lambda x: F.concat(F.lit("doc:"), F.col(x).cast("string")).alias("content_id")
-    arms = (c.hits(spark, sf_dir).withColumnRenamed("doc_id", "x"), c.dense_hits(spark, sf_dir).withColumnRenamed("vec_id", "x"), glossary_hits(spark, sf_dir).withColumnRenamed("doc_id", "x"), hard_negatives(spark, sf_dir).withColumnRenamed("doc_id", "x"))
+    near = written(c.hits(spark, sf_dir, NEAR))  # one search: its first five are the lexical arm
+    arms = (near.filter("rank <= 5").withColumnRenamed("doc_id", "x"), c.dense_hits(spark, sf_dir).withColumnRenamed("vec_id", "x"), glossary_hits(spark, sf_dir).withColumnRenamed("doc_id", "x"), _negatives(spark, sf_dir, near).withColumnRenamed("doc_id", "x"))
     out = None
     for name, hits in zip(_ARMS, arms):
         rows = hits.select("question_id", F.lit(name).alias("arm"), "rank", content("x"))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sparkassay.plans import corpus
+from sparkassay.plans import arms, corpus
 from tests.test_queries import TABLES, duck, plain, pytestmark  # noqa: F401
 
 
@@ -29,3 +29,11 @@ def test_sources_of_any_question(spark, tmp_path, monkeypatch, size, keys):
 
 def test_peaks_gather_nothing(spark):
     assert "collect_list" not in entry.queries()["peaks"](spark, TABLES)._jdf.queryExecution().toString()
+
+
+def test_pooled_arms_share_one_lexical_search(spark, monkeypatch):
+    asked = []
+    hits = corpus.hits
+    monkeypatch.setattr(corpus, "hits", lambda *a: asked.append(a[2:]) or hits(*a))
+    arms._cards(spark, TABLES)
+    assert asked == [(20,)]
