@@ -37,3 +37,17 @@ def test_pooled_arms_share_one_lexical_search(spark, monkeypatch):
     monkeypatch.setattr(corpus, "hits", lambda *a: asked.append(a[2:]) or hits(*a))
     arms._cards(spark, TABLES)
     assert asked == [(20,)]
+
+
+def test_pooled_measures_of_few_cards(spark, tmp_path):
+    """One question, whose strata hold a card each: some have an unsure one and nothing else."""
+    texts = ["one two three four five six seven eight", "one two three four and more of it", "seven eight or six five", "two three in a row", "nothing alike", "four five six seven eight nine ten"]
+    pad = " lorem ipsum dolor sit amet" * 6
+    spark.createDataFrame([(i, t + pad, "en", "s") for i, t in enumerate(texts * 4)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, texts[0])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, [float(i % 5), 1.0, float(i)]) for i in range(12)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = plain(con.execute(entry.oracle_sql()["pooled_measures"]).df())
+    assert plain(entry.queries()["pooled_measures"](spark, str(tmp_path)).toPandas()) == want
